@@ -84,8 +84,8 @@ def signatures(s: np.ndarray, scheme: Scheme, seed: int) -> np.ndarray:
 
 
 def parity_sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's elements in 2**j >= n bins. Two sketches differ in at most as many bins as the sets do in elements."""
-    bits = max(64, 1 << max(0, int(len(s) - 1)).bit_length())
+    """Parities of the set's elements in 2**j >= 2n bins. Two sketches differ in at most as many bins as the sets do in elements."""
+    bits = max(64, 2 << max(0, int(len(s) - 1)).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -185,37 +185,92 @@ def _meetings(docs: DataFrame, k: int, percent: int, schemes: dict[int, Scheme],
     return packed.groupBy("bucket").applyInPandas(meet, "sig long, fp long, leader long")
 
 
-def _resplit(hot: DataFrame, sets: DataFrame, percent: int, schemes: dict[int, Scheme], seed: int) -> DataFrame:
-    """(sig, fp, component) of crowded meetings (sig, fp, component), cut again by a partition with another seed.
+def _same(s: np.ndarray, t: np.ndarray) -> int:
+    """Elements that two sorted sets share."""
+    both = np.concatenate([s, t])
+    both.sort(kind="stable")
+    return int((both[1:] == both[:-1]).sum())
 
-    Linked sets that meet in one entry also meet in some entry of any other complete
-    partition, so a pair needs comparing only where both meet.
+
+def _crowd_links(x: pd.DataFrame, percent: int, within: bool, half: int) -> list[tuple[int, int]]:
+    """Links that connect what links connect among the sets of x (fp, component, set): all of them, or the first half to the others.
+
+    Sketches of all are compared as bit matrices; the pairs left are verified on whole
+    sets, but for those that are connected by then.
     """
+    sets = [np.frombuffer(r, np.uint64) for r in x["set"]]
+    n = np.array([len(s) for s in sets])
+    raw = [np.frombuffer(parity_sketch(s), np.uint64) for s in sets]
+    parent: dict[int, int] = {c: c for c in x["component"]}
+
+    def find(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    fp, comp = x["fp"].tolist(), x["component"].tolist()
+    found = []
+    widths = np.array([len(r) for r in raw])
+    for width in np.unique(widths):
+        # wider sketches fold to this width; partners are at most one width apart
+        own = np.flatnonzero(widths == width)
+        near = np.flatnonzero((widths == width) | (widths == 2 * width))
+        table = np.array([raw[i] if len(raw[i]) == width else raw[i][:width] ^ raw[i][width:] for i in near])
+        step = max(1, (1 << 22) // max(1, table.size))
+        for at in range(0, len(own), step):
+            rows = own[at : at + step]
+            mine = np.array([raw[i] for i in rows])
+            apart = np.bitwise_count(mine[:, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[rows][:, None] + n[near][None, :]) * (100 - percent)
+            if within:
+                ok &= (rows[:, None] < near[None, :]) | (widths[near][None, :] > width)
+            else:
+                ok &= (rows[:, None] < half) != (near[None, :] < half)
+            for i, j in zip(*np.nonzero(ok), strict=True):
+                a, b = int(rows[i]), int(near[j])
+                ca, cb = find(comp[a]), find(comp[b])
+                if ca == cb:
+                    continue
+                same = _same(sets[a], sets[b])
+                if 100 * same >= percent * (n[a] + n[b] - same):
+                    parent[max(ca, cb)] = min(ca, cb)
+                    found.append((min(fp[a], fp[b]), max(fp[a], fp[b])))
+    return found
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            out_sig, out_fp, out_c = [], [], []
-            for sig, fp, comp, raw in zip(f["sig"], f["fp"], f["component"], f["set"], strict=True):
-                s = np.frombuffer(raw, np.uint64)
-                own = band_of(len(s), percent)
-                for b in (own - 1, own):
-                    if b in schemes:
-                        e = mix(signatures(s, schemes[b], seed) ^ mix(np.array([sig & (2**64 - 1)], np.uint64)))
-                        out_sig.append(_signed(e))
-                        out_fp.append(np.full(len(e), fp, np.int64))
-                        out_c.append(np.full(len(e), comp, np.int64))
-            if out_sig:
-                yield pd.DataFrame({"sig": np.concatenate(out_sig), "fp": np.concatenate(out_fp), "component": np.concatenate(out_c)})
 
-    return hot.join(sets.select("fp", "set").hint("merge"), "fp").select("sig", "fp", "component", "set").mapInPandas(run, "sig long, fp long, component long")
+def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096) -> DataFrame:
+    """Links (a, b) among sets that meet in crowded entries; hot has (sig, fp, component).
+
+    Sets that crowded entries chain together form a crowd. A crowd is dealt to blocks of about
+    `block` sets, and every two of its blocks are compared in one task: with bit operations
+    on sketches, so that a crowd of many texts that are alike, but not enough to link, needs no row per pair.
+    """
+    lead = hot.groupBy("sig").agg(F.min("fp").alias("a"))
+    edges = hot.join(lead.hint("merge"), "sig").select("a", F.col("fp").alias("b")).distinct()
+    crowds = scratch.write(connected_components(edges, scratch), "crowds").select(F.col("node").alias("fp"), F.col("component").alias("crowd"))
+    members = hot.select("fp", "component").distinct().join(crowds.hint("merge"), "fp")
+    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    members = members.join(sizes.hint("merge"), "crowd").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    members = members.join(_sets_of(hot.select("fp").distinct(), docs, sets, k, scratch).hint("merge"), "fp")
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "set")
+
+    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+        first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        pdf = pdf.sort_values(["own", "fp"], ignore_index=True)
+        found = _crowd_links(pdf, percent, first == second, int((pdf["own"] == first).sum()))
+        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+    return dealt.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
 
 
 def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: Scratch, crowd: int = 64, block_bytes: int = 16 << 20) -> DataFrame:
     """(a, b): links between fingerprints of different sets, enough of them to connect all that links connect.
 
     A first round compares each set with the least set it meets anywhere. Sets that
-    are then connected need no more comparing; a second round compares all others that meet,
-    after a second partition where more than `crowd` do.
+    are then connected need no more comparing; a second round compares all others that meet:
+    as pairs, or as a crowd where more than `crowd` do.
     """
     sets = told.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = scratch.write(sets, "sets")
@@ -238,13 +293,11 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     open_ = scratch.write(known.join(mixed.hint("merge"), "sig"), "open")
     calm = open_.where(F.col("n") <= crowd).select("sig", "fp", "component")
     hot = open_.where(F.col("n") > crowd).select("sig", "fp", "component")
-    if not hot.isEmpty():
-        wanted = hot.select("fp").distinct()
-        calm = calm.unionByName(_resplit(hot, _sets_of(wanted, docs, sets, k, scratch), percent, schemes, 1))
     l, r = calm.alias("l"), calm.alias("r")
     pairs = l.join(r.hint("merge"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component")))
     pairs = pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
-    return links.union(_verified(pairs, docs, sets, k, percent, scratch))
+    links = links.union(_verified(pairs, docs, sets, k, percent, scratch))
+    return links if hot.isEmpty() else links.union(crowd_links(hot, docs, sets, k, percent, scratch))
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratch: Scratch) -> DataFrame:
@@ -271,9 +324,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
         out = []
         for a, b in zip(x, y, strict=True):
             s, t = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            both = np.concatenate([s, t])
-            both.sort(kind="stable")
-            same = int((both[1:] == both[:-1]).sum())
+            same = _same(s, t)
             out.append(100 * same >= percent * (len(s) + len(t) - same))
         return pd.Series(out, dtype=bool)
 
