@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import math
+import uuid
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,37 +127,53 @@ def slot_tables(contexts: DataFrame) -> list[np.ndarray]:
     return [t[: 1 << b] for t, b in zip(tables, cm.SLOT_BITS, strict=True)]
 
 
-def train(texts: DataFrame, scratch: Scratch) -> cm.Model:
-    """The model of all rows of texts (text binary).
+_unpacked: dict[str, list[np.ndarray]] = {}
+
+
+class SharedTables:
+    """Slot tables on their way to the executors: sent once, compressed, unpacked once in each Python worker."""
+
+    def __init__(self, texts: DataFrame, tables: list[np.ndarray]):
+        self.name = uuid.uuid4().hex
+        self.packed: Broadcast = texts.sparkSession.sparkContext.broadcast([zlib.compress(t.tobytes(), 1) for t in tables])
+
+    def model(self, params: np.ndarray | None = None, refine: np.ndarray | None = None) -> cm.Model:
+        if self.name not in _unpacked:
+            _unpacked.clear()
+            _unpacked[self.name] = [np.frombuffer(zlib.decompress(t), np.uint16) for t in self.packed.value]
+        return cm.Model(_unpacked[self.name], cm.start_params() if params is None else params.copy(), refine)
+
+
+def train(texts: DataFrame, scratch: Scratch) -> tuple[SharedTables, np.ndarray, np.ndarray]:
+    """The model of all rows of texts (text binary): slot tables, mixer parameters, refinement.
 
     Counts of all contexts are sums over the corpus. The mixer then learns online from
     every distinct (context, byte), weighed by its occurrences and with one occurrence left out of the
     counts; each bucket of contexts trains a mixer from the same start, and their
     average by occurrences is kept. The refinement counts outcomes of that mixer's predictions.
     """
-    spark = texts.sparkSession
-    contexts = scratch.write(context_counts(texts, shuffle_partitions(spark)), "contexts")
-    model = cm.Model(slot_tables(contexts))
-    shared = spark.sparkContext.broadcast(model)
+    contexts = scratch.write(context_counts(texts, shuffle_partitions(texts.sparkSession)), "contexts")
+    shared = SharedTables(texts, slot_tables(contexts))
 
     def mixers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for codes, counts in zip(f["codes"], f["counts"], strict=True):
-                m = cm.Model(shared.value.tables)
+                m = shared.model()
                 n = np.frombuffer(counts, np.int64)
                 cm.learn(m, np.frombuffer(codes, np.int64), n)
                 yield pd.DataFrame({"i": np.arange(cm.PARAMS), "x": m.params * n.sum(), "mass": float(n.sum())})
 
+    params = cm.start_params()
     sums = contexts.mapInPandas(mixers, "i int, x double, mass double").groupBy("i").agg((F.sum("x") / F.sum("mass")).alias("x"))
     for r in sums.toLocalIterator():
-        model.params[r["i"]] = round(r["x"], 9)
-    mixed = spark.sparkContext.broadcast(model)
+        params[r["i"]] = round(r["x"], 9)
 
     def outcomes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ones, total = np.zeros(256 * cm.BINS), np.zeros(256 * cm.BINS)
+        model = shared.model(params)
         for f in frames:
             for codes, counts in zip(f["codes"], f["counts"], strict=True):
-                a, b = cm.refinement(mixed.value, np.frombuffer(codes, np.int64), np.frombuffer(counts, np.int64))
+                a, b = cm.refinement(model, np.frombuffer(codes, np.int64), np.frombuffer(counts, np.int64))
                 ones += a
                 total += b
         held = np.flatnonzero(total)
@@ -163,8 +182,7 @@ def train(texts: DataFrame, scratch: Scratch) -> cm.Model:
     ones, total = np.zeros(256 * cm.BINS), np.zeros(256 * cm.BINS)
     for r in contexts.mapInPandas(outcomes, "i int, ones double, total double").groupBy("i").agg(F.sum("ones").alias("ones"), F.sum("total").alias("total")).toLocalIterator():
         ones[r["i"]], total[r["i"]] = r["ones"], r["total"]
-    model.refine = cm.refined(ones, total)
-    return model
+    return shared, params, cm.refined(ones, total)
 
 
 class _Costs:
@@ -214,11 +232,12 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chu
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = {bytes(r["token"]): r["c"] for r in counts.orderBy(F.desc("c"), "token").limit(head_size).toLocalIterator()}
     whole = math.log10(n + 0.1 * (v + 1))
-    shared = spark.sparkContext.broadcast((train(train_rows, scratch), {t: (c, math.log10(c + 0.1) - whole) for t, c in head.items()}))
+    tables, params, refine = train(train_rows, scratch)
+    shared = spark.sparkContext.broadcast({t: (c, math.log10(c + 0.1) - whole) for t, c in head.items()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        model, common = shared.value
-        costs = _Costs(model)
+        common = shared.value
+        costs = _Costs(tables.model(params, refine))
         for f in frames:
             rows, queue, scores, size = [], [], [], 0
             for i, t in enumerate(f["text"]):
