@@ -27,7 +27,7 @@ def tokens(text: bytes | None) -> Counter:
     return c
 
 
-def token_counts(texts: DataFrame, flush: int = 1 << 18) -> DataFrame:
+def token_counts(texts: DataFrame, flush: int = 1 << 17) -> DataFrame:
     """(token, c) over all rows of texts (text binary)."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,7 +50,7 @@ def token_counts(texts: DataFrame, flush: int = 1 << 18) -> DataFrame:
     return texts.mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
-def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 8 << 20) -> DataFrame:
+def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -> DataFrame:
     """(bucket, codes, counts): how often each byte follows each 5-byte context, over all rows of texts.
 
     Tasks count blocks of block_bytes on their own; counts meet by bucket of the code.
@@ -211,7 +211,7 @@ class _Costs:
         return out
 
 
-def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chunk_bytes: int = 4 << 20) -> DataFrame:
+def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chunk_bytes: int = 1 << 20) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs.
 
     Everything is learnt from the texts of rows where held_out is false, and all whole texts are
