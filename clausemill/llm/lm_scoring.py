@@ -18,6 +18,7 @@ from . import context_mixing as cm
 from .common import Scratch, shuffle_partitions
 
 END_TOKEN = b""
+PARTS = 16
 
 
 def tokens(text: bytes | None) -> Counter:
@@ -157,16 +158,24 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[SharedTables, np.ndarray,
 
     def mixers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            for codes, counts in zip(f["codes"], f["counts"], strict=True):
+            for bucket, codes, counts in zip(f["bucket"], f["codes"], f["counts"], strict=True):
                 m = shared.model()
                 n = np.frombuffer(counts, np.int64)
                 cm.learn(m, np.frombuffer(codes, np.int64), n)
-                yield pd.DataFrame({"i": np.arange(cm.PARAMS), "x": m.params * n.sum(), "mass": float(n.sum())})
+                yield pd.DataFrame({"part": [bucket % PARTS], "x": [(m.params * n.sum()).tobytes()], "mass": [float(n.sum())]})
+
+    def summed(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.sum([np.frombuffer(v, np.float64) for v in pdf["x"]], 0)
+        return pd.DataFrame({"part": [pdf["part"].iloc[0]], "x": [x.tobytes()], "mass": [pdf["mass"].sum()]})
 
-    params = cm.start_params()
-    sums = contexts.mapInPandas(mixers, "i int, x double, mass double").groupBy("i").agg((F.sum("x") / F.sum("mass")).alias("x"))
+    # a mixer travels as one packed row; PARTS rows reach the driver
+    schema = "part int, x binary, mass double"
+    sums = contexts.mapInPandas(mixers, schema).groupBy("part").applyInPandas(summed, schema).orderBy("part")
+    params, mass = np.zeros(cm.PARAMS), 0.0
     for r in sums.toLocalIterator():
-        params[r["i"]] = round(r["x"], 9)
+        params += np.frombuffer(r["x"], np.float64)
+        mass += r["mass"]
+    params = np.round(params / mass, 9) if mass else cm.start_params()
 
     def outcomes(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ones, total = np.zeros(256 * cm.BINS), np.zeros(256 * cm.BINS)
