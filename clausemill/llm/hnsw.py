@@ -14,13 +14,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components
 
 DEGREE = 12
+OWN = 3  # slots for the vector inserted before, the one after, and the list hung on the nearest
 BATCH = 128
 
 
 class Graph:
     """Unit vectors with neighbour lists for each layer; layer 0 holds all vectors.
 
-    Slot 0 of every list links a vector with the one inserted before it in its layer, so that each
+    The first slots of every list link a vector with the one inserted before it in its layer, so that each
     layer is connected and a beam as wide as the shard sees all of it.
     """
 
@@ -33,7 +34,7 @@ class Graph:
         rng = np.random.default_rng(seed)
         levels = np.minimum((-np.log(rng.random(n)) / math.log(DEGREE)).astype(int), 4)
         levels[0] = levels.max()
-        links = [np.full((n, (2 if l == 0 else 1) * DEGREE + 2), -1, np.int32) for l in range(int(levels[0]) + 1)]
+        links = [np.full((n, (2 if l == 0 else 1) * DEGREE + OWN), -1, np.int32) for l in range(int(levels[0]) + 1)]
         g = cls(unit, links, 0)
         last = [-1] * len(links)
         at = 0
@@ -62,7 +63,7 @@ class Graph:
 
     def _connect(self, v: int, near: np.ndarray, layer: int) -> None:
         table = self.links[layer]
-        most = table.shape[1] - 2
+        most = table.shape[1] - OWN
         sims = self.unit[near] @ self.unit[v]
         near = near[np.argsort(-sims)][: 3 * most]
         among = self.unit[near] @ self.unit[near].T
@@ -75,10 +76,12 @@ class Graph:
             if not picked or to_v[i] > among[i, picked].max():
                 picked.append(i)
         picked += [i for i in range(len(near)) if i not in picked][: most - len(picked)]
-        table[v, 2 : 2 + len(picked)] = near[picked]
+        table[v, OWN : OWN + len(picked)] = near[picked]
+        # a list hung on the nearest vector, so that each is reached from there however crowded lists are
+        table[v, 2], table[near[0], 2] = table[near[0], 2], v
         for i in picked:
             u = near[i]
-            row = table[u, 2:]
+            row = table[u, OWN:]
             free = np.flatnonzero(row < 0)
             if len(free):
                 row[free[0]] = v
@@ -140,9 +143,36 @@ class Graph:
                 entry = self._beam(part, entry, l, 1)[0][:, 0]
             found: list = []
             self._beam(part, entry, 0, width, found, least)
-            out += [(r + at, v) for r, v in found]
+            out += [(r + at, v) for r, v in self._flood(part, found, least)]
         return np.concatenate([x for x, _ in out]), np.concatenate([x for _, x in out])
 
+    def _flood(self, q: np.ndarray, found: list, least: float, chunk: int = 1 << 15) -> list[tuple[np.ndarray, np.ndarray]]:
+        """found, and all that links of found vectors lead to without leaving the range: a group larger than a beam comes whole."""
+        table, n = self.links[0], len(self.unit)
+        seen = np.zeros((len(q), n), bool)
+        rows, vs = np.concatenate([r for r, _ in found]), np.concatenate([v for _, v in found])
+        seen[rows, vs] = True
+        out = [(rows, vs)]
+        queue = [(rows, vs)]
+        while queue:
+            rows, vs = queue.pop()
+            for at in range(0, len(rows), chunk):
+                nb = table[vs[at : at + chunk]].astype(np.int64)
+                r = np.repeat(rows[at : at + chunk], nb.shape[1])
+                nb = nb.reshape(-1)
+                new = nb >= 0
+                new[new] = ~seen[r[new], nb[new]]
+                key = np.unique(r[new] * n + nb[new])
+                r, nb = key // n, key % n
+                seen[r, nb] = True
+                hit = np.zeros(len(r), bool)
+                for i in range(0, len(r), chunk):
+                    hit[i : i + chunk] = np.einsum("kd,kd->k", self.unit[nb[i : i + chunk]], q[r[i : i + chunk]]) >= least
+                if hit.any():
+                    out.append((r[hit], nb[hit]))
+                    queue.append((r[hit], nb[hit]))
+        return out
+
     def dump(self) -> bytes:
         f = io.BytesIO()
         np.savez(f, *self.links)
@@ -185,7 +215,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
     shards of about shard_size by hashed id, each with a graph of its own, and every shard
     is asked for the links of each shard of its label that doesn't come before it. A
     beam widens, up to the whole shard, until for a sample of its queries it finds all
-    that brute force finds; pairs found are checked in double precision.
+    that brute force finds; links of vectors found within range are followed, whatever
+    the beam's width; pairs found are checked in double precision.
     """
     scratch = Scratch(vectors.sparkSession)
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
