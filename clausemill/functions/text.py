@@ -71,7 +71,7 @@ def search_text(c: Column) -> Column:
 
 
 def unique_strings(c: Column) -> Column:
-    return F.array_distinct(F.filter(F.transform(c, F.trim), lambda x: x != ""))
+    return F.array_distinct(F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x != ""))
 
 
 def tokenize_unique(c: Column) -> Column:
@@ -124,4 +124,4 @@ def readable_lines(c: Column) -> Column:
         odd = _count(x, ODD) <= F.greatest(F.lit(2), F.floor((letters + _count(x, "[0-9]")) * 0.18))
         return (letters >= 4) & odd & (repeated_noise(x) < F.length(x) * 0.2)
 
-    return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), F.trim), ok), "\n")
+    return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x)), ok), "\n")
