@@ -113,7 +113,11 @@ def train_language_id(docs: DataFrame, where: Column, sample_docs: int = 6000, s
     """
     at = F.greatest(F.lit(1), ((F.length("text") - sample_chars) / 2).cast("int"))
     rows = docs.where(where & F.col("text").isNotNull() & F.col("lang").isNotNull())
+    usable = rows.select("lang").count()
     rows = rows.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("k"), F.substring("text", at, F.lit(sample_chars)).alias("text"), "lang")
+    if usable > 4 * sample_docs:
+        # about twice the sample is below this digest, so that few rows leave each task whatever the input
+        rows = rows.where(F.col("k") < f"{int(2 * sample_docs / usable * 16**8):08x}")
     sample = [r for r in rows.orderBy("k", "lang", "text").limit(sample_docs).collect() if LETTER.search(r["text"])]
     return _fit([r["text"] for r in sample], [r["lang"] for r in sample], epochs, rate, seed)
 
