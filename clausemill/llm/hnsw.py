@@ -16,6 +16,9 @@ from .common import Scratch, connected_components
 DEGREE = 12
 OWN = 3  # slots for the vector inserted before, the one after, and the list hung on the nearest
 BATCH = 128
+ENTRIES = 4  # vectors a beam takes along to the layer below
+SLACK = 1e-5  # more than single precision errs by in a cosine
+UPPER = 32  # beam of the layers above the lowest in a search
 
 
 class Graph:
@@ -41,12 +44,12 @@ class Graph:
         while at < n:
             end = min(n, max(at + 1, min(at + BATCH, 2 * at)))
             new = np.arange(at, end)
-            entry = np.zeros(len(new), np.int64)
+            entry = np.zeros((len(new), 1), np.int64)
             for l in range(len(links) - 1, -1, -1):
                 here = new[levels[new] >= l]
                 if at:
                     ids, _ = g._beam(unit[new], entry, l, beam if l == 0 or len(here) else 1)
-                    entry = ids[:, 0]
+                    entry = ids[:, :ENTRIES]
                 else:
                     ids = np.full((len(new), 1), -1)
                 for v in here:
@@ -101,12 +104,13 @@ class Graph:
         ids = np.full((len(q), width), -1, np.int64)
         sims = np.full((len(q), width), -np.inf, np.float32)
         open_ = np.zeros((len(q), width), bool)
-        ids[:, 0], open_[:, 0] = entry, True
-        sims[:, 0] = np.einsum("qd,qd->q", self.unit[entry], q)
-        seen[rows, entry] = True
+        r, c = np.nonzero(entry[:, :width] >= 0)
+        v = entry[r, c]
+        ids[r, c], open_[r, c], seen[r, v] = v, True, True
+        s = np.einsum("kd,kd->k", self.unit[v], q[r])
+        sims[r, c] = s
         if found is not None:
-            hit = sims[:, 0] >= least
-            found.append((rows[hit], entry[hit]))
+            found.append((r[s >= least], v[s >= least]))
         step = 4 if width >= 8 else 1
         while open_.any():
             score = np.where(open_, sims, -np.inf)
@@ -133,14 +137,17 @@ class Graph:
         order = np.argsort(-sims, axis=1)
         return np.where(np.take_along_axis(sims, order, 1) > -np.inf, np.take_along_axis(ids, order, 1), -1), np.take_along_axis(sims, order, 1)
 
-    def near(self, q: np.ndarray, least: float, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, vector) of similarity >= least that a beam of this width comes across."""
+    def near(self, q: np.ndarray, least: float, width: int, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, vector) of similarity >= least that a beam of this width comes across; own: where the queries are in the graph."""
         out: list[tuple[np.ndarray, np.ndarray]] = []
         for at in range(0, len(q), BATCH):
             part = q[at : at + BATCH]
-            entry = np.zeros(len(part), np.int64)
-            for l in range(len(self.links) - 1, 0, -1):
-                entry = self._beam(part, entry, l, 1)[0][:, 0]
+            if own is not None:
+                entry = own[at : at + BATCH, None]
+            else:
+                entry = np.zeros((len(part), 1), np.int64)
+                for l in range(len(self.links) - 1, 0, -1):
+                    entry = self._beam(part, entry, l, UPPER)[0][:, :ENTRIES]
             found: list = []
             self._beam(part, entry, 0, width, found, least)
             out += [(r + at, v) for r, v in self._flood(part, found, least)]
@@ -189,21 +196,25 @@ def _unit(raw: bytes, dim: int) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, recall: float) -> tuple[np.ndarray, np.ndarray]:
-    """Widens the beam until at least `recall` of what brute force finds for some of the queries is found for them."""
+def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, recall: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Widens the beam until at least `recall` of what brute force finds for some of the queries is found for them.
+
+    own: the queries are the graph's vectors, and each search starts from the query's own.
+    """
     some = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
     truth = q[some] @ g.unit.T >= least
+    at = np.arange(len(q)) if own else None
     while width < len(g.unit):
-        a, v = g.near(q[some], least, width)
+        a, v = g.near(q[some], least, width, some if own else None)
         got = np.zeros_like(truth)
         got[a, v] = True
         if (got & truth).sum() >= recall * truth.sum():
             break
         width *= 2
-    return g.near(q, least, width)
+    return g.near(q, least, width, at)
 
 
-def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int = 4096, beam: int = 64, audit: int = 256, recall: float = 1.0) -> DataFrame:
+def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int = 16384, beam: int = 64, audit: int = 256, recall: float = 1.0) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding, label).
 
     Vectors of one label link when their cosine in double precision is at least threshold.
@@ -213,7 +224,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
 
     Equal vectors of a label are one entry of the index, with a count. A label's entries go to
     shards of about shard_size by hashed id, each with a graph of its own, and every shard
-    is asked for the links of each shard of its label that doesn't come before it. A
+    is asked for the links of each shard of its label that doesn't come before it: a vector's
+    searches grow with the number of shards, so these are as large as one task builds well. A
     beam widens, up to the whole shard, until for a sample of its queries it finds all
     that brute force finds; links of vectors found within range are followed, whatever
     the beam's width; pairs found are checked in double precision.
@@ -252,7 +264,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
             for r in f.itertuples():
                 unit, q = _unit(r.vecs, r.dim), _unit(r.q_vecs, r.dim)
                 g = Graph.load(unit, r.graph)
-                a, v = _audited(g, q, threshold - 1e-4, beam, audit, recall)
+                a, v = _audited(g, q, threshold - SLACK, beam, audit, recall, r.shard == r.asked)
                 if r.shard == r.asked:
                     a, v = np.minimum(a, v), np.maximum(a, v)
                     both = np.unique(a * len(unit) + v)
