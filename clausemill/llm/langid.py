@@ -122,7 +122,7 @@ def train_language_id(docs: DataFrame, where: Column, sample_docs: int = 6000, s
     return _fit([r["text"] for r in sample], [r["lang"] for r in sample], epochs, rate, seed)
 
 
-def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes: int = 4 << 20) -> DataFrame:
+def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes: int = 1 << 19) -> DataFrame:
     """docs with lang_pred, score and rejected.
 
     Only the text is looked at, whole. Null text, and text without a letter, has lang_pred

@@ -265,7 +265,7 @@ def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     return dealt.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: Scratch, crowd: int = 64, block_bytes: int = 16 << 20) -> DataFrame:
+def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: Scratch, crowd: int = 64, block_bytes: int = 6 << 20) -> DataFrame:
     """(a, b): links between fingerprints of different sets, enough of them to connect all that links connect.
 
     A first round compares each set with the least set it meets anywhere. Sets that
@@ -291,6 +291,7 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     scratch.drop(met)
     mixed = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
     open_ = scratch.write(known.join(mixed.hint("merge"), "sig"), "open")
+    scratch.drop(known)
     calm = open_.where(F.col("n") <= crowd).select("sig", "fp", "component")
     hot = open_.where(F.col("n") > crowd).select("sig", "fp", "component")
     l, r = calm.alias("l"), calm.alias("r")
