@@ -301,16 +301,25 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     return links if hot.isEmpty() else links.union(crowd_links(hot, docs, sets, k, percent, scratch))
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratch: Scratch) -> DataFrame:
-    """(fp, set) of the wanted fingerprints, from one text of each."""
+def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratch: Scratch, block: int = 1 << 18) -> DataFrame:
+    """(fp, set) of the wanted fingerprints, from one text of each; tasks hand on sets of about block elements in all."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"fp": f["fp"], "set": [shingle_set(t, k).tobytes() for t in f["text"]]})
+            fps, found, size = [], [], 0
+            for fp, t in zip(f["fp"], f["text"], strict=True):
+                fps.append(fp)
+                found.append(_signed(shingle_set(t, k)))
+                size += len(found[-1])
+                if size > block:
+                    yield pd.DataFrame({"fp": fps, "set": found})
+                    fps, found, size = [], [], 0
+            if fps:
+                yield pd.DataFrame({"fp": fps, "set": found})
 
     rows = sets.join(wanted.hint("merge"), "fp", "left_semi").select("fp", "_row")
     texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(rows.hint("merge"), "_row").dropDuplicates(["fp"])
-    return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set binary"), "members")
+    return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set array<long>"), "members")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
@@ -320,15 +329,6 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     def near(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([_apart(a, b) * (100 + percent) <= (i + j) * (100 - percent) for i, j, a, b in zip(n, m, x, y, strict=True)], dtype=bool)
 
-    @F.pandas_udf(BooleanType())
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for a, b in zip(x, y, strict=True):
-            s, t = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-            same = _same(s, t)
-            out.append(100 * same >= percent * (len(s) + len(t) - same))
-        return pd.Series(out, dtype=bool)
-
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
     close = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
@@ -338,7 +338,9 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     members = _sets_of(wanted, docs, sets, k, scratch)
     both = close.join(members.select(F.col("fp").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
     both = both.join(members.select(F.col("fp").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    return both.where(linked("x", "y")).select("a", "b")
+    # 100 * shared >= percent * (all of x and y - shared)
+    shared = F.size(F.array_intersect("x", "y")).cast("long")
+    return both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")).cast("long") * percent).select("a", "b")
 
 
 def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, keep_row: bool = False) -> DataFrame:
