@@ -8,9 +8,8 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType
 
 from .common import Scratch, connected_components, shuffle_partitions
 from .shingles import mix, shingle_set
@@ -83,21 +82,27 @@ def signatures(s: np.ndarray, scheme: Scheme, seed: int) -> np.ndarray:
     return np.unique(np.concatenate(out))
 
 
-def parity_sketch(s: np.ndarray) -> bytes:
-    """Parities of the set's elements in 2**j >= 2n bins. Two sketches differ in at most as many bins as the sets do in elements."""
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """Parities of the set's elements in 2**j >= 2n bins, 64 to a word. Two sketches differ in at most as many bins as the sets do in elements."""
     bits = max(64, 2 << max(0, int(len(s) - 1)).bit_length())
     odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.int64)
 
 
-def _apart(a: bytes, b: bytes) -> int:
-    """A lower bound of the number of elements in just one of two sets, from their sketches."""
-    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-    while len(x) > len(y):
-        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
-    while len(y) > len(x):
-        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
-    return int(np.bitwise_count(x ^ y).sum())
+def _folded(x: Column) -> Column:
+    half = (F.size(x) / 2).cast("int")
+    return F.zip_with(F.slice(x, F.lit(1), half), F.slice(x, half + 1, half), lambda a, b: a.bitwiseXOR(b))
+
+
+def _apart(x: Column, y: Column) -> Column:
+    """A lower bound of the number of elements in just one of two sets, from their sketches; 0 where widths differ by more than a factor of 2.
+
+    Sets that may link differ by at most that, from 50 percent on.
+    """
+    wide, narrow = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
+    level = F.when(F.size(wide) > F.size(narrow), _folded(wide)).otherwise(wide)
+    differ = F.zip_with(level, narrow, lambda a, b: F.bit_count(a.bitwiseXOR(b)))
+    return F.coalesce(F.aggregate(differ, F.lit(0), lambda acc, n: acc + n), F.lit(0))
 
 
 def _signed(x: np.ndarray) -> np.ndarray:
@@ -200,7 +205,7 @@ def _crowd_links(x: pd.DataFrame, percent: int, within: bool, half: int) -> list
     """
     sets = [np.frombuffer(r, np.uint64) for r in x["set"]]
     n = np.array([len(s) for s in sets])
-    raw = [np.frombuffer(parity_sketch(s), np.uint64) for s in sets]
+    raw = [parity_sketch(s).view(np.uint64) for s in sets]
     parent: dict[int, int] = {c: c for c in x["component"]}
 
     def find(c: int) -> int:
@@ -239,18 +244,19 @@ def _crowd_links(x: pd.DataFrame, percent: int, within: bool, half: int) -> list
     return found
 
 
-def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096) -> DataFrame:
+def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096, *, elements: int = 1 << 21) -> DataFrame:
     """Links (a, b) among sets that meet in crowded entries; hot has (sig, fp, component).
 
     Sets that crowded entries chain together form a crowd. A crowd is dealt to blocks of about
-    `block` sets, and every two of its blocks are compared in one task: with bit operations
+    `block` sets, or fewer where those hold more than `elements` shingles, and every two of its blocks are compared in one task: with bit operations
     on sketches, so that a crowd of many texts that are alike, but not enough to link, needs no row per pair.
     """
     lead = hot.groupBy("sig").agg(F.min("fp").alias("a"))
     edges = hot.join(lead.hint("merge"), "sig").select("a", F.col("fp").alias("b")).distinct()
     crowds = scratch.write(connected_components(edges, scratch), "crowds").select(F.col("node").alias("fp"), F.col("component").alias("crowd"))
     members = hot.select("fp", "component").distinct().join(crowds.hint("merge"), "fp")
-    sizes = crowds.groupBy("crowd").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    counted = crowds.join(sets.select("fp", "n").hint("merge"), "fp").groupBy("crowd")
+    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"))
     members = members.join(sizes.hint("merge"), "crowd").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     members = members.join(_sets_of(hot.select("fp").distinct(), docs, sets, k, scratch).hint("merge"), "fp")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -325,14 +331,11 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratc
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose sets have 100 * intersection >= percent * union: sketches first, then whole sets."""
 
-    @F.pandas_udf(BooleanType())
-    def near(n: pd.Series, m: pd.Series, x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([_apart(a, b) * (100 + percent) <= (i + j) * (100 - percent) for i, j, a, b in zip(n, m, x, y, strict=True)], dtype=bool)
-
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
     close = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
-    close = close.where((F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent) & near("an", "bn", "ask", "bsk"))
+    close = close.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
+    close = close.where(_apart(F.col("ask"), F.col("bsk")) * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
     close = scratch.write(close.select("a", "b"), "close")
     wanted = close.select(F.col("a").alias("fp")).union(close.select(F.col("b").alias("fp"))).distinct()
     members = _sets_of(wanted, docs, sets, k, scratch)
@@ -384,7 +387,7 @@ def _described(keyed: DataFrame, k: int) -> DataFrame:
             yield pd.DataFrame({"doc_id": f["doc_id"], "_row": f["_row"], "n": n, "fp": fp, "sketch": sketch})
 
     plain = keyed.select(F.col("doc_id").cast("string").alias("doc_id"), "_row", F.col("text").cast("binary").alias("text"))
-    return plain.mapInPandas(run, "doc_id string, _row long, n long, fp long, sketch binary").withColumn("doc_id", F.col("doc_id").cast("long"))
+    return plain.mapInPandas(run, "doc_id string, _row long, n long, fp long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
