@@ -72,3 +72,8 @@ def extractor(mime: Column, name: Column) -> Column:
         .when((m == "application/pdf") | n.endswith(".pdf"), "pdf")
         .otherwise("fallback")
     )
+
+
+def type_label(language: Column, mime: Column) -> Column:
+    kind = F.coalesce(lookup(R.TYPE_OF_MIME, mime), F.lit("other"))
+    return lookup({f"{x}:{k}": t for x, by in R.TYPE_LABEL.items() for k, t in by.items()}, F.concat_ws(":", language, kind))

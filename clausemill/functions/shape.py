@@ -50,3 +50,11 @@ def excerpt(text: Column, most: int = 240) -> Column:
     cut = F.substring(body, 1, most)
     sentence = F.regexp_extract(cut, r"(?s)^(.{59,}[.!?])(?:\s|$)", 1)
     return F.when(F.length(body) <= most, body).when(sentence != "", sentence).otherwise(F.concat(F.rtrim(F.substring(body, 1, most - 3)), F.lit("...")))
+
+
+def strip_trailing_marker(text: Column) -> Column:
+    """The text without a loose number at its end; a labelled number stays."""
+    text = F.regexp_replace(text, r"\s+$", "")
+    bare = F.regexp_replace(F.regexp_replace(text, r"[.!?]\d+(?:[.,]\d+){0,5}[.)]?\s*$", ""), r"\s+\d+(?:[.,]\d+){0,5}[.)]?\s*$", "")
+    labelled = F.regexp_like(text, F.lit(rf"(?iu){LABEL}\s+{NUMBER}[.)]?\s*$"))
+    return F.when(labelled, text).otherwise(F.regexp_replace(bare, r"\s+$", ""))

@@ -125,3 +125,33 @@ def readable_lines(c: Column) -> Column:
         return (letters >= 4) & odd & (repeated_noise(x) < F.length(x) * 0.2)
 
     return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x)), ok), "\n")
+
+
+# Fixed character classes of the score: undecodable and control characters, blanks, letters with case, the C1 range.
+BAD = r"[\x{FFFD}\x00-\x08\x0B\x0C\x0E-\x1F]"
+SPACE = r"[ \t\n\r\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+CASED = r"[\p{Lu}\p{Ll}\p{Lt}]"
+C1 = r"[\x{7F}-\x{9F}]"
+
+
+def char_class_score(c: Column) -> Column:
+    """2 a letter, 0.4 a blank, -4 a control character, -1 one of the C1 range, 1 any other; counted in tenths."""
+    letters, blanks, bad, c1 = _count(c, CASED), _count(c, SPACE), _count(c, BAD), _count(c, C1)
+    rest = F.length(c) - letters - blanks - bad - c1
+    return (letters * 20 + blanks * 4 - bad * 40 - c1 * 10 + rest * 10) / F.lit(10.0)
+
+
+def flat_text(html: Column) -> Column:
+    return collapse_ws(F.regexp_replace(html, "<[^>]+>", " "))
+
+
+def structured_or_flat(structured: Column, flat: Column) -> Column:
+    """The structured text unless it is empty, or shorter than 0.6 times the flat one."""
+    return F.when((structured != "") & (F.length(structured) * 10 >= F.length(flat) * 6), structured).otherwise(flat)
+
+
+def report_points(c: Column, most: int = 8) -> Column:
+    """Sentences and list items without bullets and numbers, the first of equal ones, at most so many."""
+    parts = F.split(F.regexp_replace(collapse_ws(c), r"([.!?])\s+", "$1\n"), r"[\n;]+", -1)
+    bare = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^[\x{2022}\x{25AA}\x{2023}\x{25E6}*-]\s*", ""), r"^\d+(?:\.\d+)*[.)]\s*", ""))
+    return F.slice(unique_strings(bare), 1, most)

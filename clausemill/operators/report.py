@@ -107,3 +107,86 @@ def analysis_output(spark, sf) -> DataFrame:
     plan = L.execution_plan(F.col("mime_type"), F.col("document_text").isNotNull()).alias("execution_plan")
     head = docs.select(key, "language", "role", plan)
     return head.join(counts, key).join(risk_rows, key).join(dispute_rows, key, "left").join(sections, key)
+
+
+def candidates(clauses: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
+    """One row per rule and clause with marker_hits (keywords found) and lexical (four a hit)."""
+    hits = M.contains_join(clauses.withColumn("_low", F.lower("clause_text")), keywords, "_low", "keyword")
+    found = hits.groupBy(key, "clause_index", "rule_id", "rule_index", "severity").agg(F.count("*").alias("marker_hits"))
+    return found.withColumn("lexical", F.col("marker_hits") * 4)
+
+
+def candidate_order(found: DataFrame, key: str) -> DataFrame:
+    order = W.partitionBy(key).orderBy(F.desc("lexical"), F.desc("marker_hits"), "clause_index", "rule_index")
+    return found.withColumn("n", F.row_number().over(order))
+
+
+def dispute_best(disputes: DataFrame, key: str) -> DataFrame:
+    """The most confident dispute of each clause and excerpt, then the first of the pack."""
+    best = F.min_by(F.struct("dispute_id", "confidence"), F.struct(-F.col("confidence"), F.col("dispute_index"))).alias("d")
+    return disputes.groupBy(key, "clause_index", "excerpt").agg(best).select(key, "clause_index", "excerpt", "d.*")
+
+
+def final_risk_order(found: DataFrame, key: str) -> DataFrame:
+    """One row per rule of a document: severity raised by occurrences, then ordered by severity, occurrences, first appearance."""
+    rolled = found.groupBy(key, "rule_id", "rule_index", "severity").agg(F.count("*").alias("occurrences"), F.min("clause_index").alias("first_clause"))
+    shown = F.when(F.col("severity") == "critical", "high").otherwise(elevate_severity(F.col("severity"), F.col("occurrences")))
+    rolled = rolled.withColumn("severity", shown)
+    order = W.partitionBy(key).orderBy(L.lookup(R.UI_ORDER, F.col("severity")), F.desc("occurrences"), "first_clause", "rule_index")
+    return rolled.withColumn("n", F.row_number().over(order)).select(key, "n", "rule_id", "severity", "occurrences")
+
+
+def with_role_missing(risks: DataFrame, clauses: DataFrame, key: str) -> DataFrame:
+    """risks, and before them (n = 0) a medium one for each document in whose clauses the role isn't named."""
+    found = clauses.groupBy(key).agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
+    row = found.where(~F.col("found")).select(key, F.lit(0).alias("n"), F.lit("role_missing").alias("rule_id"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("occurrences"))
+    return risks.unionByName(row)
+
+
+def brief(docs: DataFrame, clauses: DataFrame, disputes: DataFrame, sections: DataFrame) -> DataFrame:
+    """(contract_id, brief): an opening, then obligations, payment, deadlines, penalties and disputes as far as there are any.
+
+    Every section lists its first two statements; obligations are those that name the
+    role, else any; the counterparty's follow if it has one.
+    """
+    key = "contract_id"
+    said = segmentation.statements(docs.select(key, "role", "counterparty_role", "document_text"))
+    wanted = sections.where(F.col("section").isin("must_do", "payment_terms", "deadlines", "penalties"))
+    hits = M.contains_join(said.withColumn("_low", F.lower("piece")), wanted, "_low", "marker").select(key, "role", "counterparty_role", "section", "pos", "piece", "_low").distinct()
+
+    def first(when: Column) -> Column:
+        held = F.slice(F.array_sort(F.collect_list(F.when(when, F.struct("pos", "piece")))), 1, 2)
+        return F.array_join(F.transform(held, lambda x: x["piece"]), "; ")
+
+    must = F.col("section") == "must_do"
+    got = hits.groupBy(key).agg(
+        first(must & F.contains("_low", F.lower("role"))).alias("own"), first(must).alias("any"),
+        first(must & F.contains("_low", F.lower("counterparty_role"))).alias("other"),
+        *[first(F.col("section") == s).alias(s) for s in ("payment_terms", "deadlines", "penalties")])
+    counts = clauses.groupBy(key).agg(F.count("*").alias("clauses"))
+    open_ = disputes.groupBy(key).agg(F.count("*").alias("disputes"))
+    all_ = docs.select(key, "role").join(counts, key).join(got, key, "left").join(open_, key, "left")
+    line = lambda name, label: F.when(F.col(name) != "", F.concat(F.lit(label), F.col(name), F.lit(".")))
+    parts = [F.coalesce(line("own", "Obligations: "), line("any", "General obligations: ")), line("other", "Counterparty: "), line("payment_terms", "Payment: "),
+             line("deadlines", "Deadlines: "), line("penalties", "Penalties: "), F.when(F.col("disputes") > 0, F.concat(F.lit("Disputed clauses: "), F.col("disputes").cast("string"), F.lit(".")))]
+    rest = F.concat_ws(" ", *parts)
+    opening = F.concat(F.lit("Contract for "), "role", F.lit(" with "), F.col("clauses").cast("string"), F.lit(" clauses."))
+    return all_.select(key, F.when(rest == "", F.concat(opening, F.lit(" Nothing stands out."))).otherwise(F.concat(opening, F.lit(" "), rest)).alias("brief"))
+
+
+def core_report(output: DataFrame) -> DataFrame:
+    """analysis_output as the report a client gets: shown severities, a wording for risks without a clause, dispute ids, type label."""
+    unknown = L.lookup(R.UNKNOWN_CLAUSE, F.col("language"))
+    shown = lambda s: F.when(s == "critical", "high").otherwise(s)
+    risks = F.transform("risks", lambda r: F.struct(r["risk_id"].alias("risk_id"), F.coalesce(r["clause_id"], unknown).alias("clause_ref"), shown(r["severity"]).alias("severity")))
+    ids = lambda d: F.concat_ws("_", F.col("contract_id").cast("string"), d["clause_id"])
+    disputes = F.transform("disputes", lambda d: F.struct(ids(d).alias("dispute_id"), d["clause_id"].alias("clause_ref"), d["excerpt"].alias("fragment")))
+    return output.select("contract_id", "language", "role", risks.alias("risks"), disputes.alias("disputes"), "role_summary")
+
+
+def safe_report(docs: DataFrame, risks: DataFrame, key: str, text: str = "document_text") -> DataFrame:
+    """(key, state, risks): documents whose text could not be read get a fallback report with one risk; the others are untouched."""
+    n = risks.groupBy(key).agg(F.count("*").alias("n"))
+    failed = F.col(text).isNull()
+    out = docs.select(key, failed.alias("failed")).join(n, key, "left")
+    return out.select(key, F.when(F.col("failed"), "fallback").otherwise("analyzed").alias("state"), F.when(F.col("failed"), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("risks"))

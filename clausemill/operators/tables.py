@@ -64,3 +64,26 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
 
 def retained(table: DataFrame, at: str, now: str, days: int) -> DataFrame:
     return table.where(F.col(at) >= F.to_timestamp_ntz(F.lit(now)) - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def remote_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
+    """(job_id, status): what a local job becomes after its remote state (remote_status, has_result) is seen; without one it stays."""
+    seen = F.col("remote_status")
+    status = (
+        F.when(seen == "processing", "analyzing").when(seen == "failed", "failed")
+        .when((seen == "completed") & F.col("has_result"), "report_ready").when(seen == "completed", "failed").otherwise(F.col("status"))
+    )
+    return local.join(remote, "job_id", "left").select("job_id", status.alias("status"))
+
+
+def pack_violations(pack: DataFrame, languages: DataFrame, severities: list[str]) -> DataFrame:
+    """(rule_id, violation): titles without a language, and severities that aren't known. languages is a short list, and broadcast."""
+    need = pack.select("rule_id", "title").crossJoin(F.broadcast(languages))
+    lacking = need.where(F.coalesce(F.element_at("title", F.col("language")), F.lit("")) == "")
+    unknown = pack.where(~F.coalesce(F.col("severity").isin(severities), F.lit(False)))
+    return lacking.select("rule_id", F.concat(F.lit("title:"), "language").alias("violation")).unionByName(unknown.select("rule_id", F.lit("severity").alias("violation")))
+
+
+def job_times(log: DataFrame) -> DataFrame:
+    at = lambda s: F.min(F.when(F.col("status") == s, F.col("ts")))
+    return log.groupBy("job_id").agg(at("uploaded").alias("created"), at("preprocessing").alias("started"), at("report_ready").alias("finished"))

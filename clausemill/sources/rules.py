@@ -98,3 +98,15 @@ RANK_SQL = values(list(SEVERITY_RANK.items())) + " AS r(severity, rank)"
 LABEL_SQL = values([(x, s, t) for x, by in SEVERITY_LABEL.items() for s, t in by.items()]) + " AS l(language, severity, label)"
 PLACEHOLDER_SQL = values(list(PLACEHOLDER.items())) + " AS p(language, placeholder)"
 TRANSITION_SQL = values([(a, b) for a, bs in TRANSITIONS.items() for b in bs]) + " AS t(from_status, to_status)"
+
+# Fixed labels of report types, and of a risk without a clause.
+TYPE_LABEL = {
+    "ru": {"other": "Договор", "pdf": "PDF-договор", "docx": "DOCX-договор", "text": "Текстовый договор"},
+    "en": {"other": "Contract", "pdf": "PDF contract", "docx": "DOCX contract", "text": "Text contract"},
+    "it": {"other": "Contratto", "pdf": "Contratto PDF", "docx": "Contratto DOCX", "text": "Contratto testuale"},
+    "fr": {"other": "Contrat", "pdf": "Contrat PDF", "docx": "Contrat DOCX", "text": "Contrat texte"},
+}
+TYPE_OF_MIME = dict(zip(ACCEPTED_MIMES, ("pdf", "docx", "text"), strict=True))
+UNKNOWN_CLAUSE = {"ru": "Без номера пункта", "en": "Clause reference not found", "it": "Riferimento clausola non trovato", "fr": "Référence de clause introuvable"}
+TYPE_LABEL_SQL = values([(x, k, t) for x, by in TYPE_LABEL.items() for k, t in by.items()]) + " AS y(language, kind, label)"
+UNKNOWN_SQL = values(list(UNKNOWN_CLAUSE.items())) + " AS u(language, unknown)"
