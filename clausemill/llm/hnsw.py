@@ -197,21 +197,37 @@ def _unit(raw: bytes, dim: int) -> np.ndarray:
 
 
 def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, recall: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """Widens the beam until at least `recall` of what brute force finds for some of the queries is found for them.
+    """(query, vector) of similarity >= least, found by a beam widened until it finds `recall` of what brute force does.
 
-    own: the queries are the graph's vectors, and each search starts from the query's own.
+    Blocks of queries dealt at random are compared with all vectors until `audit` groups of links are met: a query
+    of k links counts 1/k, so that a crowd is about one group. Where the queries end first, the result is
+    brute force's. own: the queries are the graph's vectors; a vector's link with itself is left out.
     """
-    some = np.linspace(0, len(q) - 1, min(audit, len(q))).astype(int)
-    truth = q[some] @ g.unit.T >= least
-    at = np.arange(len(q)) if own else None
-    while width < len(g.unit):
-        a, v = g.near(q[some], least, width, some if own else None)
-        got = np.zeros_like(truth)
-        got[a, v] = True
-        if (got & truth).sum() >= recall * truth.sum():
+    n = len(g.unit)
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    done, met, true = 0, 0.0, []
+    while done < len(q) and met < audit:
+        some = order[done : done + BATCH]
+        hit = q[some] @ g.unit.T >= least
+        if own:
+            hit[np.arange(len(some)), some] = False
+        links = hit.sum(1)
+        met += (1 / links[links > 0]).sum()
+        a, v = np.nonzero(hit)
+        true.append((some[a], v))
+        done += len(some)
+    a, v = np.concatenate([x for x, _ in true]), np.concatenate([x for _, x in true])
+    if done == len(q):
+        return a, v
+    linked = np.unique(a)
+    while width < n:
+        i, w = g.near(q[linked], least, width, linked if own else None)
+        if np.isin(a * n + v, linked[i] * n + w).sum() >= recall * len(a):
             break
         width *= 2
-    return g.near(q, least, width, at)
+    rest = order[done:]
+    i, w = g.near(q[rest], least, width, rest if own else None)
+    return np.concatenate([a, rest[i]]), np.concatenate([v, w])
 
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int = 16384, beam: int = 64, audit: int = 256, recall: float = 1.0) -> DataFrame:
@@ -226,9 +242,10 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
     shards of about shard_size by hashed id, each with a graph of its own, and every shard
     is asked for the links of each shard of its label that doesn't come before it: a vector's
     searches grow with the number of shards, so these are as large as one task builds well. A
-    beam widens, up to the whole shard, until for a sample of its queries it finds all
-    that brute force finds; links of vectors found within range are followed, whatever
-    the beam's width; pairs found are checked in double precision.
+    beam widens, up to the whole shard, until it finds all links of queries that brute force has
+    found to have some; where too few have any, brute force answers all queries. Links of
+    vectors found within range are followed, whatever the beam's width; pairs found are
+    checked in double precision.
     """
     scratch = Scratch(vectors.sparkSession)
     norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))

@@ -9,7 +9,7 @@ from clausemill.llm import context_mixing as cm
 from clausemill.llm.common import connected_components, fold
 from clausemill.llm.common import Scratch
 from clausemill.llm.decontaminate import drop_leaks, find_leaks, myers, normal
-from clausemill.llm.hnsw import embedding_links
+from clausemill.llm.hnsw import Graph, _audited, embedding_links
 from clausemill.llm.langid import predict_language, train_language_id
 from clausemill.llm.licenses import scan_licenses
 from clausemill.llm.lines import dedup_lines
@@ -127,6 +127,20 @@ def test_embeddings(spark):
     assert embedding_links(df.limit(0)).collect() == []
 
 
+def test_audit_meets_sparse_links():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(20000, 32))
+    x[10001::500] = x[1:10000:500] + rng.normal(size=(20, 32)) * 0.01
+    x[2:10000:500] = x[1:10000:500] + rng.normal(size=(20, 32)) * 0.01
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    # a graph without links, whose beams find nothing but their entry
+    g = Graph(x[:10000], [np.full((10000, 4), -1, np.int32)], 0)
+    a, v = _audited(g, x[10000:], 0.98, 64, 256, 1.0)
+    assert sorted(zip(a.tolist(), v.tolist())) == [(i, i + j) for i in range(1, 10000, 500) for j in (0, 1)]
+    a, v = _audited(g, g.unit, 0.98, 64, 256, 1.0, own=True)
+    assert {(i, j) for i, j in zip(a.tolist(), v.tolist()) if i != j} == {(i + j, i + 1 - j) for i in range(1, 10000, 500) for j in (0, 1)}
+
+
 def test_mix(docs, texts):
     got = mix_sources(docs, rows_per_bucket=10).select("doc_id", F.col("source"), "size", "source_size", "target", "taken").collect()
     sizes = {}
