@@ -28,13 +28,15 @@ def _subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     four = (three << np.uint64(8)) | b[3:]
     k = np.uint64(0x9E3779B97F4A7C15)
     shift = np.uint64(64 - BITS + 1)
-    # the halves of the table keep the two lengths apart; a text's last three windows run over into the next text's padding
+    # the halves of the table keep the two lengths apart
     a = ((three + np.uint64(1)) * k) >> shift
     c = (((four + np.uint64(1)) * k) >> shift) + np.uint64(1 << (BITS - 1))
-    both = np.stack([a, c], 1).reshape(-1).astype(np.int64)
-    counts = 2 * lengths
-    counts[-1] -= 6
-    return both, counts
+    # windows that begin in a text's last three bytes run over into the next text's padding
+    keep = np.ones(len(b), bool)
+    for j in range(1, 4):
+        keep[np.cumsum(lengths) - j] = False
+    both = np.stack([a, c], 1)[keep[:-3]].reshape(-1).astype(np.int64)
+    return both, 2 * (lengths - 3)
 
 
 @dataclass

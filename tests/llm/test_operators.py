@@ -10,7 +10,7 @@ from clausemill.llm.common import connected_components, fold
 from clausemill.llm.common import Scratch
 from clausemill.llm.decontaminate import drop_leaks, find_leaks, myers, normal
 from clausemill.llm.hnsw import Graph, _audited, embedding_links
-from clausemill.llm.langid import predict_language, train_language_id
+from clausemill.llm.langid import _subwords, predict_language, train_language_id
 from clausemill.llm.licenses import scan_licenses
 from clausemill.llm.lines import dedup_lines
 from clausemill.llm.lm_scoring import score_texts
@@ -268,6 +268,14 @@ def test_language(spark):
     assert train_language_id(df.limit(0), F.lit(True)) is None
 
 
+def test_subwords_do_not_cross_texts():
+    texts = ["the", "schön", "", "a house"]
+    buckets, counts = _subwords(texts)
+    alone = [_subwords([t]) for t in texts]
+    assert counts.tolist() == [n[0] for _, n in alone]
+    assert buckets.tolist() == [b for x, _ in alone for b in x.tolist()]
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)]
