@@ -44,12 +44,21 @@ def q_rule_pack_load(spark, sf):
     return R.keywords(spark)
 
 
+def payload_md5(text):
+    """Digest of the text after base64 without padding and back."""
+    packed = F.regexp_replace(F.base64(F.encode(text, "utf-8")), "[\r\n=]", "")
+    padded = F.rpad(packed, (F.ceil(F.length(packed) / 4) * 4).cast("int"), "=")
+    return F.md5(F.unbase64(padded))
+
+
 @query("SELECT doc_id, md5(encode(substr(text, 1, 90))) AS payload_md5 FROM documents")
 def q_payload_decode(spark, sf):
-    docs = T.table(spark, sf, "documents")
-    packed = F.regexp_replace(F.base64(F.encode(F.substring("text", 1, 90), "utf-8")), "[\r\n=]", "")
-    padded = F.rpad(packed, (F.ceil(F.length(packed) / 4) * 4).cast("int"), "=")
-    return docs.select("doc_id", F.md5(F.unbase64(padded)).alias("payload_md5"))
+    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.substring("text", 1, 90)).alias("payload_md5"))
+
+
+@query("SELECT doc_id, md5(encode(text)) AS payload_md5 FROM documents")
+def q_payload_decode_whole(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.col("text")).alias("payload_md5"))
 
 
 @query(f"""WITH {C} SELECT contract_id, CASE WHEN size_bytes IS NULL OR size_bytes <= 0 THEN 'missing_file'
