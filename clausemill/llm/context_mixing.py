@@ -1,14 +1,16 @@
-"""Numpy part of the context mixing model: slots, quantised counts, gated mixer, adaptive refinement."""
+"""Numpy part of the context mixing model: quantised counts of contexts, gated mixer, adaptive refinement."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 
 END = 255  # never occurs in UTF-8; ends a text and stands for what is before it
 ORDERS = 6  # contexts of 0 to 5 bytes
-SLOT_BITS = (8, 16, 20, 22, 23, 23)
+SLOT_BITS = (8, 16, 24)  # a slot for every context of 0 to 2 bytes and node; longer ones are counted from their codes
+DENSE = len(SLOT_BITS)
 RANGE_BITS = 18  # counts travel by ranges of so many slots
 GATES = 64
 BINS = 33
@@ -74,12 +76,41 @@ def counted(code: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slots(code: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:
-    """Hashed slot of (last `order` bytes, bits of the byte so far)."""
-    ctx = (code >> 8) & ((1 << 8 * order) - 1)
-    if order < 2:
-        return (ctx << 8) | node
-    h = (ctx.astype(np.uint64) * _K + node.astype(np.uint64)) * _R
-    return ((h ^ (h >> np.uint64(29))) * _K >> np.uint64(64 - SLOT_BITS[order])).astype(np.int64)
+    """Slot of (last `order` bytes, bits of the byte so far)."""
+    return (((code >> 8) & ((1 << 8 * order) - 1)) << 8) | node
+
+
+def kin(code: np.ndarray) -> np.ndarray:
+    """Hash of the last 3 bytes of context: codes that share a context of 3 bytes or more share it."""
+    return (((code >> 8) & 0xFFFFFF).astype(np.uint64) + np.uint64(1)) * _K
+
+
+def slices(code: np.ndarray, size: int = 1 << 17) -> Iterator[np.ndarray]:
+    """Positions of the codes in parts of about `size`, none of which cuts a context of 3 bytes."""
+    h = kin(code)
+    order = np.argsort(h, kind="stable")
+    h = h[order]
+    starts = np.append(np.flatnonzero(h[1:] != h[:-1]) + 1, len(h))
+    at = 0
+    while at < len(h):
+        end = int(starts[min(np.searchsorted(starts, at + size), len(starts) - 1)])
+        yield order[at:end]
+        at = end
+
+
+def cells(code: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Quantised counts of each code's contexts of 3 to 5 bytes (order, decision, code), exact when all codes of these contexts are given."""
+    out = np.empty((ORDERS - DENSE, 8, len(code)), np.uint16)
+    for k in range(DENSE, ORDERS):
+        key = code & ((1 << 8 * (k + 1)) - 1)
+        order = np.argsort(key, kind="stable")
+        key, n = key[order], count[order].astype(float)
+        for j in range(8):
+            group = key >> (8 - j)
+            first = np.flatnonzero(np.append(True, group[1:] != group[:-1])[: len(key)])
+            ones, both = (np.add.reduceat(x, first) if len(first) else n for x in (n * ((key >> (7 - j)) & 1), n))
+            out[k - DENSE, j, order] = np.repeat(quantised(both - ones, ones), np.diff(np.append(first, len(key))))
+    return out
 
 
 def bits_of(code: np.ndarray):
@@ -95,16 +126,16 @@ def _squash(x: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    tables: list[np.ndarray]  # uint16 for each order
+    tables: list[np.ndarray]  # uint16 for each order below DENSE
     params: np.ndarray = field(default_factory=lambda: start_params())
     refine: np.ndarray | None = None  # probability for each (node, bin)
 
-    def inputs(self, code: np.ndarray, node: np.ndarray, bit: np.ndarray | None):
-        """Stretched predictions of all orders, and the gate. With bit, the code's own occurrence is left out."""
+    def inputs(self, code: np.ndarray, node: np.ndarray, bit: np.ndarray | None, longer: np.ndarray):
+        """Stretched predictions of all orders, and the gate. With bit, the code's own occurrence is left out. longer: cells of the longer orders."""
         st = np.empty((ORDERS, len(code)), np.float32)
         gate = np.zeros(len(code), np.int64)
         for k in range(ORDERS):
-            q = self.tables[k][slots(code, node, k)]
+            q = self.tables[k][slots(code, node, k)] if k < DENSE else longer[k - DENSE]
             if bit is None:
                 st[k] = ST[0][q]
                 cf = CF[0][q] if k >= 3 else None
@@ -131,17 +162,16 @@ class Model:
             p = (p + self.refine[node, bin_of(x)]) / 2
         return np.clip(p, 1e-6, 1 - 1e-6)
 
-    def costs(self, code: np.ndarray) -> np.ndarray:
-        """log10 probability of each code's byte after its context."""
+    def costs(self, code: np.ndarray, count: np.ndarray | None = None) -> np.ndarray:
+        """log10 probability of each code's byte after its context. count: occurrences in training; codes must hold all of their longer contexts' then."""
         out = np.zeros(len(code))
-        if len(code) > 1 << 16:
-            for at in range(0, len(code), 1 << 16):
-                out[at : at + (1 << 16)] = self.costs(code[at : at + (1 << 16)])
-            return out
-        for node, bit in bits_of(code):
-            st, gate = self.inputs(code, node, None)
-            p = self.probability(self.mixed(st, gate, node), node)
-            out += np.log10(np.where(bit == 1, p, 1 - p))
+        for at in slices(code):
+            c = code[at]
+            longer = cells(c, np.zeros(len(c)) if count is None else count[at])
+            for j, (node, bit) in enumerate(bits_of(c)):
+                st, gate = self.inputs(c, node, None, longer[:, j])
+                p = self.probability(self.mixed(st, gate, node), node)
+                out[at] += np.log10(np.where(bit == 1, p, 1 - p))
         return out
 
 
@@ -155,39 +185,47 @@ def bin_of(x: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(x * 2), -16, 16).astype(np.int64) + 16
 
 
-def learn(model: Model, code: np.ndarray, count: np.ndarray, batch: int = 1024, rate: float = 0.15, least: int = 100_000) -> None:
-    """Online gradient steps (scaled by past gradients) over the codes in hashed order, each weighed by its occurrences."""
-    if not len(code):
-        return
-    order = np.argsort((code.astype(np.uint64) + np.uint64(1)) * _K * _R)
+def learn(model: Model, code: np.ndarray, count: np.ndarray, batch: int = 1024, rate: float = 0.15, passes: int = 2) -> None:
+    """Online gradient steps (scaled by past gradients) over the codes in hashed order, each weighed by its occurrences.
+
+    The codes must hold all of their contexts of 3 bytes.
+    """
     past = np.full(PARAMS, 1e-6)
+    for _ in range(passes):
+        for part in slices(code):
+            _learn_part(model, code[part], count[part], past, batch, rate)
+
+
+def _learn_part(model: Model, code: np.ndarray, count: np.ndarray, past: np.ndarray, batch: int, rate: float) -> None:
+    order = np.argsort((code.astype(np.uint64) + np.uint64(1)) * _K * _R)
+    longer = cells(code, count)
     cut = GATES * (ORDERS + 1)
-    for _ in range(min(8, max(1, least // len(code)))):
-        for at in range(0, len(code), batch):
-            own = order[at : at + batch]
-            c = np.repeat(code[own], 8)
-            w = np.repeat(count[own].astype(float), 8)
-            byte, j = c & 255, np.tile(np.arange(8), len(own))
-            node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
-            st, gate = model.inputs(c, node, bit)
-            err = (_squash(model.mixed(st, gate, node)) - bit) * (w / w.sum() * 8)
-            grad = np.zeros(PARAMS)
-            for k in range(ORDERS):
-                e = err * st[k]
-                grad[:cut].reshape(GATES, ORDERS + 1)[:, k] = np.bincount(gate, e, GATES)
-                grad[cut:].reshape(256, ORDERS)[:, k] = np.bincount(node, e, 256)
-            grad[:cut].reshape(GATES, ORDERS + 1)[:, ORDERS] = np.bincount(gate, err, GATES)
-            past += grad * grad
-            model.params -= rate * grad / np.sqrt(past)
+    for at in range(0, len(code), batch):
+        own = order[at : at + batch]
+        c = np.repeat(code[own], 8)
+        w = np.repeat(count[own].astype(float), 8)
+        byte, j = c & 255, np.tile(np.arange(8), len(own))
+        node, bit = (1 << j) | (byte >> (8 - j)), (byte >> (7 - j)) & 1
+        st, gate = model.inputs(c, node, bit, longer[:, :, own].transpose(0, 2, 1).reshape(ORDERS - DENSE, -1))
+        err = (_squash(model.mixed(st, gate, node)) - bit) * (w / w.sum() * 8)
+        grad = np.zeros(PARAMS)
+        for k in range(ORDERS):
+            e = err * st[k]
+            grad[:cut].reshape(GATES, ORDERS + 1)[:, k] = np.bincount(gate, e, GATES)
+            grad[cut:].reshape(256, ORDERS)[:, k] = np.bincount(node, e, 256)
+        grad[:cut].reshape(GATES, ORDERS + 1)[:, ORDERS] = np.bincount(gate, err, GATES)
+        past += grad * grad
+        model.params -= rate * grad / np.sqrt(past)
 
 
 def refinement(model: Model, code: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ones, all) for each (node, bin of the mixer's output), occurrences counted, own ones left out of the prediction."""
     ones, total = np.zeros(256 * BINS), np.zeros(256 * BINS)
-    for at in range(0, len(code), 1 << 16):
-        c, w = code[at : at + (1 << 16)], count[at : at + (1 << 16)].astype(float)
-        for node, bit in bits_of(c):
-            st, gate = model.inputs(c, node, bit)
+    for part in slices(code):
+        c, w = code[part], count[part].astype(float)
+        longer = cells(c, w)
+        for j, (node, bit) in enumerate(bits_of(c)):
+            st, gate = model.inputs(c, node, bit, longer[:, j])
             i = node * BINS + bin_of(model.mixed(st, gate, node))
             total += np.bincount(i, w, 256 * BINS)
             ones += np.bincount(i, w * bit, 256 * BINS)

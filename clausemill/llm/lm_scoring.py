@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import uuid
 import zlib
@@ -15,10 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context_mixing as cm
-from .common import Scratch, shuffle_partitions
+from .common import Scratch
 
 END_TOKEN = b""
 PARTS = 16
+BUCKET_BYTES = 32 << 20  # text for each bucket of contexts
 
 
 def tokens(text: bytes | None) -> Counter:
@@ -51,10 +53,47 @@ def token_counts(texts: DataFrame, flush: int = 1 << 17) -> DataFrame:
     return texts.mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
 
+def _packed(code: np.ndarray) -> bytes:
+    """Sorted codes, byte by byte, compressed."""
+    return zlib.compress(np.ascontiguousarray(code.view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    six = np.frombuffer(zlib.decompress(packed), np.uint8).reshape(6, -1)
+    wide = np.zeros((six.shape[1], 8), np.uint8)
+    wide[:, :6] = six.T
+    return wide.view(np.int64).reshape(-1)
+
+
+def _blob(rows: list[int], texts: list[bytes]) -> bytes:
+    """A block of texts and their row numbers, compressed."""
+    head = np.array([len(rows), *rows, *map(len, texts)], np.int64)
+    return zlib.compress(head.tobytes() + b"".join(texts), 1)
+
+
+def _unblob(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
+    raw = zlib.decompress(blob)
+    n = int(np.frombuffer(raw, np.int64, 1)[0])
+    head = np.frombuffer(raw, np.int64, 2 * n + 1)
+    ends = (8 * (2 * n + 1) + np.cumsum(head[n + 1 :])).tolist()
+    return head[1 : n + 1], [raw[i:j] for i, j in zip([8 * (2 * n + 1), *ends], ends, strict=False)]
+
+
+def _by_bucket(texts: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(bucket, sorted distinct codes, occurrences); a bucket has all codes of a context of 3 bytes."""
+    code, n = cm.counted(cm.codes_of(texts)[0])
+    at = (cm.kin(code) >> np.uint64(24)).astype(np.int64) % buckets
+    order = np.lexsort((code, at))
+    code, n, at = code[order], n[order], at[order]
+    held, first = np.unique(at, return_index=True)
+    for b, i, j in zip(held.tolist(), first, [*first[1:], len(at)], strict=True):
+        yield b, code[i:j], n[i:j]
+
+
 def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -> DataFrame:
     """(bucket, codes, counts): how often each byte follows each 5-byte context, over all rows of texts.
 
-    Tasks count blocks of block_bytes on their own; counts meet by bucket of the code.
+    Tasks count blocks of block_bytes on their own; counts meet by bucket of the context's last 3 bytes.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -62,15 +101,7 @@ def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -
         size = 0
 
         def out() -> pd.DataFrame:
-            code, n = cm.counted(cm.codes_of(queue)[0])
-            at = ((code.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)) >> np.uint64(40)).astype(np.int64) % buckets
-            order = np.argsort(at, kind="stable")
-            code, n, at = code[order], n[order], at[order]
-            held, first = np.unique(at, return_index=True)
-            rows = []
-            for b, i, j in zip(held.tolist(), first, [*first[1:], len(at)], strict=True):
-                six = np.ascontiguousarray(code[i:j].view(np.uint8).reshape(-1, 8)[:, :6])
-                rows.append((b, six.tobytes(), n[i:j].astype(np.uint32).tobytes()))
+            rows = [(b, _packed(code), n.astype(np.uint32).tobytes()) for b, code, n in _by_bucket(queue, buckets)]
             return pd.DataFrame(rows, columns=["bucket", "codes", "counts"])
 
         for f in frames:
@@ -84,11 +115,8 @@ def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -
             yield out()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        six = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in pdf["codes"]])
-        wide = np.zeros((len(six), 8), np.uint8)
-        wide[:, :6] = six
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
-        code, back = np.unique(wide.view(np.int64).reshape(-1), return_inverse=True)
+        code, back = np.unique(np.concatenate([_unpack(x) for x in pdf["codes"]]), return_inverse=True)
         total = np.bincount(back, n).astype(np.int64)
         return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "codes": [code.tobytes()], "counts": [total.tobytes()]})
 
@@ -97,14 +125,15 @@ def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -
 
 
 def slot_tables(contexts: DataFrame) -> list[np.ndarray]:
-    """Quantised counts of every order's slots. Their number is fixed, and so is what reaches the driver."""
+    """Quantised counts of the contexts of 0 to 2 bytes: every one has a slot, and so what reaches the driver is fixed."""
     width = 1 << cm.RANGE_BITS
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for codes, counts in zip(f["codes"], f["counts"], strict=True):
-                code, n = np.frombuffer(codes, np.int64), np.frombuffer(counts, np.int64)
-                for k in range(cm.ORDERS):
+                every, each = np.frombuffer(codes, np.int64), np.frombuffer(counts, np.int64)
+                for at, k in itertools.product(range(0, len(every), 1 << 18), range(cm.DENSE)):
+                    code, n = every[at : at + (1 << 18)], each[at : at + (1 << 18)]
                     where = np.concatenate([cm.slots(code, node, k) * 2 + bit for node, bit in cm.bits_of(code)])
                     u, back = np.unique(where, return_inverse=True)
                     total = np.bincount(back, np.tile(n, 8))
@@ -145,16 +174,16 @@ class SharedTables:
         return cm.Model(_unpacked[self.name], cm.start_params() if params is None else params.copy(), refine)
 
 
-def train(texts: DataFrame, scratch: Scratch) -> tuple[SharedTables, np.ndarray, np.ndarray]:
-    """The model of all rows of texts (text binary): slot tables, mixer parameters, refinement.
+def train(contexts: DataFrame) -> tuple[SharedTables, np.ndarray, np.ndarray]:
+    """The model of all contexts: tables of the short ones, mixer parameters, refinement.
 
-    Counts of all contexts are sums over the corpus. The mixer then learns online from
-    every distinct (context, byte), weighed by its occurrences and with one occurrence left out of the
-    counts; each bucket of contexts trains a mixer from the same start, and their
-    average by occurrences is kept. The refinement counts outcomes of that mixer's predictions.
+    Counts of all contexts are sums over the corpus; those of 3 bytes and more are read off the codes of
+    their bucket. The mixer then learns online from every distinct (context, byte), weighed by its
+    occurrences and with one occurrence left out of the counts; each bucket of contexts trains a
+    mixer from the same start, and their average by occurrences is kept. The refinement
+    counts outcomes of that mixer's predictions.
     """
-    contexts = scratch.write(context_counts(texts, shuffle_partitions(texts.sparkSession)), "contexts")
-    shared = SharedTables(texts, slot_tables(contexts))
+    shared = SharedTables(contexts, slot_tables(contexts))
 
     def mixers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -194,33 +223,44 @@ def train(texts: DataFrame, scratch: Scratch) -> tuple[SharedTables, np.ndarray,
     return shared, params, cm.refined(ones, total)
 
 
-class _Costs:
-    """Costs of codes under one model, kept in a direct-mapped table between batches."""
+def code_costs(asked: DataFrame, contexts: DataFrame, shared: SharedTables, params: np.ndarray, refine: np.ndarray) -> DataFrame:
+    """(block, bucket, costs) for rows of asked (block, bucket, codes): the model's costs, looked up among all contexts of the bucket."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        known, asks = pdf[pdf["counts"].notna()], pdf[pdf["counts"].isna()]
+        codes = [_unpack(x) for x in asks["codes"]]
+        held = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in known["codes"])])
+        if not codes:
+            return pd.DataFrame({"block": [], "bucket": [], "costs": []})
+        code = np.unique(np.concatenate([held, *codes]))
+        count = np.zeros(len(code), np.int64)
+        if len(held):
+            count[np.searchsorted(code, held)] = np.concatenate([np.frombuffer(x, np.int64) for x in known["counts"]])
+        cost = shared.model(params, refine).costs(code, count).astype(np.float32)
+        return pd.DataFrame({"block": asks["block"], "bucket": asks["bucket"], "costs": [cost[np.searchsorted(code, c)].tobytes() for c in codes]})
+
+    both = asked.withColumn("counts", F.lit(None).cast("binary")).unionByName(contexts.withColumn("block", F.lit(0).cast("long")))
+    return both.groupBy("bucket").applyInPandas(run, "block long, bucket int, costs binary")
 
-    BITS = 21
 
-    def __init__(self, model: cm.Model):
-        self.model = model
-        self.code = np.full(1 << self.BITS, -1, np.int64)
-        self.cost = np.zeros(1 << self.BITS)
+def block_scores(blocks: DataFrame, costs: DataFrame, buckets: int) -> DataFrame:
+    """(row, score) for every text of blocks (block, blob)."""
 
-    def of(self, code: np.ndarray) -> np.ndarray:
-        h = ((code.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.BITS)).astype(np.int64)
-        miss = self.code[h] != code
-        if miss.any():
-            put = h[miss]
-            self.code[put] = code[miss]
-            fresh = np.unique(put)
-            self.cost[fresh] = self.model.costs(self.code[fresh])
-        out = self.cost[h]
-        left = self.code[h] != code
-        if left.any():
-            u, back = np.unique(code[left], return_inverse=True)
-            out[left] = self.model.costs(u)[back]
-        return out
+    def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        rows, texts = _unblob(left["blob"].iloc[0])
+        told = dict(zip(right["bucket"], right["costs"], strict=True))
+        parts = [(code, np.frombuffer(told[b], np.float32)) for b, code, _ in _by_bucket(texts, buckets)]
+        known, cost = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]).astype(float)
+        order = np.argsort(known)
+        known, cost = known[order], cost[order]
+        code, lengths = cm.codes_of(texts)
+        each = cost[np.searchsorted(known, code)]
+        return pd.DataFrame({"row": rows, "score": np.add.reduceat(each, np.cumsum(lengths) - lengths)})
 
+    return blocks.groupBy("block").cogroup(costs.groupBy("block")).applyInPandas(run, "row long, score double")
 
-def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chunk_bytes: int = 1 << 20) -> DataFrame:
+
+def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, block_bytes: int = 3 << 20, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) for every row of docs.
 
     Everything is learnt from the texts of rows where held_out is false, and all whole texts are
@@ -231,7 +271,8 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chu
     training texts counts are 0 and the smoothing alone defines the scores.
 
     The head_size commonest tokens are sent to the executors; other tokens of each
-    text join the count table, where none is common enough to crowd a task.
+    text join the count table, where none is common enough to crowd a task. The codes (context and byte)
+    of each block of texts join the contexts by bucket, whose number follows the bytes of docs.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
@@ -241,15 +282,17 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chu
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     head = {bytes(r["token"]): r["c"] for r in counts.orderBy(F.desc("c"), "token").limit(head_size).toLocalIterator()}
     whole = math.log10(n + 0.1 * (v + 1))
-    tables, params, refine = train(train_rows, scratch)
+    size = told.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
+    buckets = max(1, math.ceil(size / bucket_bytes))
+    contexts = scratch.write(context_counts(train_rows, buckets), "contexts")
+    shared_tables, params, refine = train(contexts)
     shared = spark.sparkContext.broadcast({t: (c, math.log10(c + 0.1) - whole) for t, c in head.items()})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         common = shared.value
-        costs = _Costs(tables.model(params, refine))
         for f in frames:
-            rows, queue, scores, size = [], [], [], 0
-            for i, t in enumerate(f["text"]):
+            rows, numbers, queue, size = [], [], [], 0
+            for i, (at, t) in enumerate(zip(f["row"], f["text"], strict=True)):
                 t = t or b""
                 base, known, number = 0.0, 0, 0
                 tail, tail_n = [], []
@@ -261,27 +304,39 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, chu
                     else:
                         tail.append(w)
                         tail_n.append(k)
-                rows.append((number, known, base, len(t), tail, tail_n))
+                numbers.append(at)
                 queue.append(t)
-                size += len(t)
-                if size > chunk_bytes or i == len(f) - 1:
-                    code, lengths = cm.codes_of(queue)
-                    scores.append(np.add.reduceat(costs.of(code), np.concatenate([[0], np.cumsum(lengths)[:-1]])))
-                    queue, size = [], 0
-            out = pd.DataFrame(rows, columns=["n_tokens", "head_known", "head_base", "n_bytes", "tail", "tail_n"])
-            out["score"] = np.concatenate(scores) if scores else np.zeros(0)
-            out["doc_id"], out["held_out"] = f["doc_id"], f["held_out"]
+                size += len(t) + 6
+                blob = None
+                if size > block_bytes or i == len(f) - 1:
+                    blob = _blob(numbers, queue)
+                    numbers, queue, size = [], [], 0
+                rows.append((blob, number, known, base, len(t), tail, tail_n))
+            out = pd.DataFrame(rows, columns=["blob", "n_tokens", "head_known", "head_base", "n_bytes", "tail", "tail_n"])
+            for c in ("row", "doc_id", "held_out"):
+                out[c] = f[c]
             yield out
 
-    parts = told.mapInPandas(
-        run, "doc_id string, held_out boolean, n_tokens long, head_known long, head_base double, n_bytes long, tail array<binary>, tail_n array<long>, score double")
     # numbered as they are written, so that the numbers hold from then on
-    parts = scratch.write(parts.withColumn("row", F.monotonically_increasing_id()), "parts")
+    parts = told.withColumn("row", F.monotonically_increasing_id()).mapInPandas(
+        run, "row long, blob binary, doc_id string, held_out boolean, n_tokens long, head_known long, head_base double, n_bytes long, tail array<binary>, tail_n array<long>")
+    parts = scratch.write(parts, "parts")
+
+    def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for block, blob in zip(f["block"], f["blob"], strict=True):
+                yield pd.DataFrame([(block, b, _packed(code)) for b, code, _ in _by_bucket(_unblob(blob)[1], buckets)], columns=["block", "bucket", "codes"])
+
+    # the last row of a block carries its texts
+    blocks = parts.where(F.col("blob").isNotNull()).select(F.col("row").alias("block"), "blob")
+    asked = blocks.mapInPandas(ask, "block long, bucket int, codes binary")
+    scores = scratch.write(block_scores(blocks, code_costs(asked, contexts, shared_tables, params, refine), buckets), "scores")
+    scratch.drop(contexts)
     tail = parts.select("row", F.explode(F.arrays_zip(F.col("tail").alias("token"), F.col("tail_n").alias("k"))).alias("x")).select("row", "x.token", "x.k")
     met = tail.join(counts.hint("merge"), "token", "left")
     cost = F.log10(F.coalesce("c", F.lit(0)) + 0.1) - F.lit(whole)
     sums = met.groupBy("row").agg(F.sum(F.col("k") * cost).alias("tail_base"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("tail_known"))
-    out = parts.drop("tail", "tail_n").join(sums.hint("merge"), "row", "left")
+    out = parts.drop("tail", "tail_n", "blob").join(scores.hint("merge"), "row").join(sums.hint("merge"), "row", "left")
     return out.select(
         F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"), "held_out", "n_tokens",
         (F.col("head_known") + F.coalesce("tail_known", F.lit(0))).alias("n_known"),

@@ -84,6 +84,31 @@ def test_model_is_a_distribution():
     assert abs(p.sum() - 1) < 1e-6
 
 
+def test_contexts_do_not_share_counts():
+    rng = np.random.default_rng(2)
+    code = np.unique(rng.integers(97, 123, (300000, 6)) @ (1 << 8 * np.arange(6)))
+    n = rng.integers(1, 40, len(code))
+    got = np.zeros((3, 8, len(code)), np.uint16)
+    for part in cm.slices(code, 1 << 12):
+        got[:, :, part] = cm.cells(code[part], n[part])
+    for k in (3, 4, 5):
+        for j, (node, bit) in enumerate(cm.bits_of(code)):
+            _, back = np.unique(((code >> 8) % (1 << 8 * k) << 8) | node, return_inverse=True)
+            want = cm.quantised(np.bincount(back, n * (1 - bit))[back], np.bincount(back, n * bit)[back])
+            assert (got[k - 3, j] == want).all()
+
+
+def test_scores_do_not_follow_the_session(spark, docs):
+    runs = []
+    for parts in ("2", "5"):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            runs.append({r.doc_id: r.score for r in score_texts(docs.repartition(int(parts)), F.lit(False), bucket_bytes=1 << 15, block_bytes=1 << 12).collect()})
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert len(runs[0]) == docs.count() and all(abs(v - runs[1][k]) <= 1e-4 * abs(v) for k, v in runs[0].items())
+
+
 def test_codes_do_not_cross_texts():
     code, n = cm.codes_of([b"ab", b"", b"c"])
     assert n.tolist() == [3, 1, 2] and len(code) == 6
