@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from urllib.parse import urlparse
+from collections.abc import Iterator
+from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 # Fixed character values of the text contracts: what separates words, and A-Z.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,11 +30,33 @@ def shared_dir(spark: SparkSession) -> str:
     return made
 
 
+# While an intermediate table is written: its shuffle files go once it is there, and Arrow batches
+# are bounded by bytes, so that a batch of very long texts isn't larger than others.
+WRITE_SETTINGS = {
+    "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
+}
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """Session settings for the time of a block."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 class Scratch:
     """Intermediate tables, written once to the shared folder and read back.
 
     A written table cuts lineage, survives lost executors and has a true size
-    estimate, unlike a cached or locally checkpointed one.
+    estimate, unlike a cached or locally checkpointed one. What is not dropped before
+    stays for results that are still to be read, and goes with the session, or by release().
     """
 
     def __init__(self, spark: SparkSession):
@@ -47,7 +73,8 @@ class Scratch:
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         at = f"{self.root}/{name}-{uuid.uuid4().hex[:8]}"
-        df.write.parquet(at)
+        with settings(self.spark, WRITE_SETTINGS):
+            df.write.parquet(at)
         out = self.spark.read.schema(df.schema).parquet(at)
         out._scratch = at
         return out
@@ -57,9 +84,44 @@ class Scratch:
             path, fs = self._fs(t._scratch)
             fs.delete(path, True)
 
+    def release(self) -> None:
+        """Deletes all tables; results that read them must have been written by then."""
+        path, fs = self._fs(self.root)
+        fs.delete(path, True)
+
+
+def give_back() -> None:
+    """Returns memory that a Python worker has freed to the system: idle workers are kept and would hold on to it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+class Aside:
+    """A table under working names, so that no column of it clashes with those an operator makes.
+
+    rows has the columns c0, c1, ...; back() are these under their own names, without those
+    whose name, letters in either case, an added column takes: the added one wins.
+    """
+
+    def __init__(self, table: DataFrame):
+        self.names = table.columns
+        self.rows = table.toDF(*[f"c{i}" for i in range(len(self.names))])
+        self._at = {n.lower(): f"c{i}" for i, n in enumerate(self.names)}
 
-def is_local(path: str) -> bool:
-    return urlparse(path).scheme in ("", "file")
+    def __getitem__(self, name: str) -> Column:
+        return F.col(self._at[name.lower()])
+
+    def __contains__(self, name: str) -> bool:
+        return name.lower() in self._at
+
+    def back(self, *added: str) -> list[Column]:
+        taken = {a.lower() for a in added}
+        return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
+
+    def every(self) -> list[Column]:
+        return [F.col(f"c{i}") for i in range(len(self.names))]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
@@ -80,13 +142,46 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+HOT_SHARE = 64
+SALTS = 32
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, rows: int) -> list:
+    """Keys that hold more than a HOT_SHARE-th of all rows: fewer than HOT_SHARE, whatever the input."""
+    if rows < 8 * HOT_SHARE:
+        return []
+    return [r[0] for r in counts.where(F.col(n) > rows / HOT_SHARE).select(key).collect()]
+
+
+def salted_join(large: DataFrame, small: DataFrame, key: str, hot: list, spread: str, how: str = "inner") -> DataFrame:
+    """large joined to small, which has one row for each key; rows of hot keys are spread over SALTS tasks by their spread column."""
+    if not hot:
+        return large.join(small.hint("merge"), key, how)
+    salts = F.array(*[F.lit(i) for i in range(SALTS)])
+    is_hot = F.coalesce(F.col(key).isin(hot), F.lit(False))
+    dealt = large.withColumn("_salt", F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(0))
+    copies = small.withColumn("_salt", F.explode(F.when(is_hot, salts).otherwise(F.array(F.lit(0)))))
+    return dealt.join(copies.hint("merge"), [key, "_salt"], how).drop("_salt")
+
+
+def numbered(rows: DataFrame, key: str, scratch: Scratch, parts: int = 256) -> DataFrame:
+    """rows, a written table, with _no: 1, 2, ... among rows of one key, in any order. A key's rows are numbered in parts, so that none is too large for a task."""
+    dealt = scratch.write(rows.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.lit(parts)).cast("int")), "dealt")
+    sizes = dealt.groupBy(key, "_part").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(W.partitionBy(key).orderBy("_part").rowsBetween(W.unboundedPreceding, -1))
+    offsets = sizes.select(key, "_part", F.coalesce(before, F.lit(0)).alias("_offset"))
+    own = F.row_number().over(W.partitionBy(key, "_part").orderBy(F.lit(0)))
+    out = dealt.withColumn("_own", own).join(offsets.hint("merge"), [key, "_part"])
+    return out.withColumn("_no", F.col("_offset") + F.col("_own")).drop("_part", "_offset", "_own")
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b): component is the smallest node reachable.
 
     Alternating large-star and small-star rounds; each round is two groupings by
     node, and writes its edges to the shared folder. Edge lists never meet in one
     group: a round sends every neighbour to the group's minimum, found beforehand
-    by a partial aggregate and joined back.
+    by a partial aggregate and joined back. Hubs, of which there are few, are salted in that join.
     """
     und = edges.select("a", "b").where("a <> b")
     cur = scratch.write(und.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
@@ -94,9 +189,11 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
     for _ in range(max_rounds):
         # large star: neighbours larger than u go to the minimum of u and its neighbours
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        # small star: u (the larger end) and its smaller neighbours go to their minimum
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        hubs = hot_keys(low, "u", "n", 2 * cur.count())
+        large = salted_join(both.where("v > u"), low.select("u", F.least("u", "m").alias("m")), "u", hubs, "v")
+        large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # small star: u (the larger end) and its smaller neighbours go to their minimum; few are smaller, as edges point to minima by now
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(low.hint("merge"), "u")
         small = step.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()

@@ -63,16 +63,16 @@ def codes_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return code[keep], lengths
 
 
-def counted(code: np.ndarray, bits: int = 21) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct codes and how often each occurs; a direct-mapped table takes most, sorting the rest."""
-    h = ((code.astype(np.uint64) * _K) >> np.uint64(64 - bits)).astype(np.int64)
-    table = np.full(1 << bits, -1, np.int64)
-    table[h] = code
-    hit = table[h] == code
-    n = np.bincount(h[hit], minlength=1 << bits)
-    held = n > 0
-    rest, m = np.unique(code[~hit], return_counts=True)
-    return np.concatenate([table[held], rest]), np.concatenate([n[held], m])
+def starts_of(x: np.ndarray) -> np.ndarray:
+    """Where runs of equal values begin in a sorted array."""
+    return np.flatnonzero(np.append(True, x[1:] != x[:-1])[: len(x)])
+
+
+def counted(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct codes and how often each occurs."""
+    code = np.sort(code)
+    first = starts_of(code)
+    return code[first], np.diff(np.append(first, len(code)))
 
 
 def slots(code: np.ndarray, node: np.ndarray, order: int) -> np.ndarray:

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components
+from .shingles import distinct
 
 DEGREE = 12
 OWN = 3  # slots for the vector inserted before, the one after, and the list hung on the nearest
@@ -169,7 +170,7 @@ class Graph:
                 nb = nb.reshape(-1)
                 new = nb >= 0
                 new[new] = ~seen[r[new], nb[new]]
-                key = np.unique(r[new] * n + nb[new])
+                key = distinct(r[new] * n + nb[new])
                 r, nb = key // n, key % n
                 seen[r, nb] = True
                 hit = np.zeros(len(r), bool)
@@ -219,7 +220,7 @@ def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, reca
     a, v = np.concatenate([x for x, _ in true]), np.concatenate([x for _, x in true])
     if done == len(q):
         return a, v
-    linked = np.unique(a)
+    linked = distinct(a)
     while width < n:
         i, w = g.near(q[linked], least, width, linked if own else None)
         if np.isin(a * n + v, linked[i] * n + w).sum() >= recall * len(a):
@@ -284,7 +285,7 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
                 a, v = _audited(g, q, threshold - SLACK, beam, audit, recall, r.shard == r.asked)
                 if r.shard == r.asked:
                     a, v = np.minimum(a, v), np.maximum(a, v)
-                    both = np.unique(a * len(unit) + v)
+                    both = distinct(a * len(unit) + v)
                     a, v = both // len(unit), both % len(unit)
                     a, v = a[a != v], v[a != v]
                 x, y = np.frombuffer(r.vecs, np.float64).reshape(-1, r.dim), np.frombuffer(r.q_vecs, np.float64).reshape(-1, r.dim)

@@ -16,11 +16,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import context_mixing as cm
-from .common import Scratch
+from .common import Scratch, give_back
+from .shingles import distinct
 
 END_TOKEN = b""
 PARTS = 16
-BUCKET_BYTES = 32 << 20  # text for each bucket of contexts
+HEAD_BYTES = 64  # longer tokens are never sent to the executors
+BLOCK_TEXTS = 1 << 16
+BUCKET_BYTES = 16 << 20  # text for each bucket of contexts
 
 
 def tokens(text: bytes | None) -> Counter:
@@ -30,11 +33,13 @@ def tokens(text: bytes | None) -> Counter:
     return c
 
 
-def token_counts(texts: DataFrame, flush: int = 1 << 17) -> DataFrame:
-    """(token, c) over all rows of texts (text binary)."""
+def token_counts(texts: DataFrame, flush: int = 1 << 17, flush_bytes: int = 16 << 20) -> DataFrame:
+    """(token, c) over all rows of texts (text binary). Tasks hand on what they hold at flush tokens, or after flush_bytes of text."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        _unpacked.clear()  # tables of an earlier model that this worker may hold
         total: Counter = Counter()
+        size = 0
 
         def out() -> pd.DataFrame:
             df = pd.DataFrame({"token": list(total), "n": list(total.values())})
@@ -45,10 +50,13 @@ def token_counts(texts: DataFrame, flush: int = 1 << 17) -> DataFrame:
             for t in f["text"]:
                 total.update((t or b"").lower().split())
                 total[END_TOKEN] += 1
-                if len(total) > flush:
+                size += len(t or b"")
+                if len(total) > flush or size > flush_bytes:
                     yield out()
+                    size = 0
         if total:
             yield out()
+        give_back()
 
     return texts.mapInPandas(run, "token binary, n long").groupBy("token").agg(F.sum("n").alias("c"))
 
@@ -79,15 +87,24 @@ def _unblob(blob: bytes) -> tuple[np.ndarray, list[bytes]]:
     return head[1 : n + 1], [raw[i:j] for i, j in zip([8 * (2 * n + 1), *ends], ends, strict=False)]
 
 
-def _by_bucket(texts: list[bytes], buckets: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(bucket, sorted distinct codes, occurrences); a bucket has all codes of a context of 3 bytes."""
-    code, n = cm.counted(cm.codes_of(texts)[0])
-    at = (cm.kin(code) >> np.uint64(24)).astype(np.int64) % buckets
-    order = np.lexsort((code, at))
-    code, n, at = code[order], n[order], at[order]
-    held, first = np.unique(at, return_index=True)
-    for b, i, j in zip(held.tolist(), first, [*first[1:], len(at)], strict=True):
-        yield b, code[i:j], n[i:j]
+def _occurrences(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted distinct codes, how often each occurs, and in which text each occurrence is, in that order. At most BLOCK_TEXTS texts."""
+    code, lengths = cm.codes_of(texts)
+    # a code has 48 bits: with the number of its text behind it, one sort does all
+    both = (code.astype(np.uint64) << np.uint64(16)) | np.repeat(np.arange(len(texts), dtype=np.uint64), lengths)
+    both.sort()
+    code, text = (both >> np.uint64(16)).astype(np.int64), (both & np.uint64(0xFFFF)).astype(np.int64)
+    first = cm.starts_of(code)
+    return code[first], np.diff(np.append(first, len(code))), text
+
+
+def _dealt(code: np.ndarray, buckets: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of the codes by bucket, then code, and (bucket, from, to) in it; a bucket has all codes of a context of 3 bytes."""
+    at = ((cm.kin(code) >> np.uint64(24)) % np.uint64(buckets)).astype(np.uint16 if buckets <= 1 << 16 else np.int64)
+    order = np.argsort(at, kind="stable")
+    at = at[order]
+    first = cm.starts_of(at)
+    return order, list(zip(at[first].tolist(), first.tolist(), [*first[1:].tolist(), len(at)], strict=True))
 
 
 def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -> DataFrame:
@@ -101,24 +118,30 @@ def context_counts(texts: DataFrame, buckets: int, block_bytes: int = 3 << 20) -
         size = 0
 
         def out() -> pd.DataFrame:
-            rows = [(b, _packed(code), n.astype(np.uint32).tobytes()) for b, code, n in _by_bucket(queue, buckets)]
-            return pd.DataFrame(rows, columns=["bucket", "codes", "counts"])
+            code, n, _ = _occurrences(queue)
+            order, parts = _dealt(code, buckets)
+            code, n = code[order], n[order].astype(np.uint32)
+            return pd.DataFrame([(b, _packed(code[i:j]), n[i:j].tobytes()) for b, i, j in parts], columns=["bucket", "codes", "counts"])
 
         for f in frames:
             for t in f["text"]:
                 queue.append(t or b"")
                 size += len(queue[-1]) + 6
-                if size > block_bytes:
+                if size > block_bytes or len(queue) == BLOCK_TEXTS:
                     yield out()
                     queue, size = [], 0
         if queue:
             yield out()
+        give_back()
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         n = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["counts"]])
-        code, back = np.unique(np.concatenate([_unpack(x) for x in pdf["codes"]]), return_inverse=True)
-        total = np.bincount(back, n).astype(np.int64)
-        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "codes": [code.tobytes()], "counts": [total.tobytes()]})
+        code = np.concatenate([_unpack(x) for x in pdf["codes"]])
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        first = cm.starts_of(code)
+        total = np.add.reduceat(n.astype(np.int64), first)
+        return pd.DataFrame({"bucket": [pdf["bucket"].iloc[0]], "codes": [code[first].tobytes()], "counts": [total.tobytes()]})
 
     packed = texts.mapInPandas(run, "bucket int, codes binary, counts binary")
     return packed.groupBy("bucket").applyInPandas(merge, "bucket int, codes binary, counts binary")
@@ -135,19 +158,26 @@ def slot_tables(contexts: DataFrame) -> list[np.ndarray]:
                 for at, k in itertools.product(range(0, len(every), 1 << 18), range(cm.DENSE)):
                     code, n = every[at : at + (1 << 18)], each[at : at + (1 << 18)]
                     where = np.concatenate([cm.slots(code, node, k) * 2 + bit for node, bit in cm.bits_of(code)])
-                    u, back = np.unique(where, return_inverse=True)
-                    total = np.bincount(back, np.tile(n, 8))
+                    if cm.SLOT_BITS[k] <= 16:
+                        total = np.bincount(where, np.tile(n, 8))
+                        u = np.flatnonzero(total)
+                        total = total[u]
+                    else:
+                        u, back = np.unique(where, return_inverse=True)
+                        total = np.bincount(back, np.tile(n, 8))
                     held, first = np.unique(u >> (cm.RANGE_BITS + 1), return_index=True)
                     yield pd.DataFrame({"order": k, "range": held, "slots": [u[i:j].tobytes() for i, j in zip(first, [*first[1:], len(u)], strict=True)],
                                         "counts": [total[i:j].tobytes() for i, j in zip(first, [*first[1:], len(u)], strict=True)]})
 
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merge(key: tuple, batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # lists come batch by batch: however many buckets there are, a task holds one range of cells
         both = np.zeros(2 * width)
-        for s, c in zip(pdf["slots"], pdf["counts"], strict=True):
-            at = np.frombuffer(s, np.int64) & (2 * width - 1)
-            both[at] += np.frombuffer(c, np.float64)
+        for pdf in batches:
+            for s, c in zip(pdf["slots"], pdf["counts"], strict=True):
+                at = np.frombuffer(s, np.int64) & (2 * width - 1)
+                both[at] += np.frombuffer(c, np.float64)
         q = cm.quantised(both[0::2], both[1::2])
-        return pd.DataFrame({"order": [pdf["order"].iloc[0]], "range": [pdf["range"].iloc[0]], "cells": [q.tobytes()]})
+        yield pd.DataFrame({"order": [key[0]], "range": [key[1]], "cells": [q.tobytes()]})
 
     parts = contexts.mapInPandas(run, "order int, range long, slots binary, counts binary")
     merged = parts.groupBy("order", "range").applyInPandas(merge, "order int, range long, cells binary")
@@ -232,7 +262,7 @@ def code_costs(asked: DataFrame, contexts: DataFrame, shared: SharedTables, para
         held = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x, np.int64) for x in known["codes"])])
         if not codes:
             return pd.DataFrame({"block": [], "bucket": [], "costs": []})
-        code = np.unique(np.concatenate([held, *codes]))
+        code = distinct(np.concatenate([held, *codes]))
         count = np.zeros(len(code), np.int64)
         if len(held):
             count[np.searchsorted(code, held)] = np.concatenate([np.frombuffer(x, np.int64) for x in known["counts"]])
@@ -249,13 +279,11 @@ def block_scores(blocks: DataFrame, costs: DataFrame, buckets: int) -> DataFrame
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         rows, texts = _unblob(left["blob"].iloc[0])
         told = dict(zip(right["bucket"], right["costs"], strict=True))
-        parts = [(code, np.frombuffer(told[b], np.float32)) for b, code, _ in _by_bucket(texts, buckets)]
-        known, cost = np.concatenate([x for x, _ in parts]), np.concatenate([x for _, x in parts]).astype(float)
-        order = np.argsort(known)
-        known, cost = known[order], cost[order]
-        code, lengths = cm.codes_of(texts)
-        each = cost[np.searchsorted(known, code)]
-        return pd.DataFrame({"row": rows, "score": np.add.reduceat(each, np.cumsum(lengths) - lengths)})
+        code, n, text = _occurrences(texts)
+        order, parts = _dealt(code, buckets)
+        cost = np.empty(len(code))
+        cost[order] = np.concatenate([np.frombuffer(told[b], np.float32) for b, _, _ in parts])
+        return pd.DataFrame({"row": rows, "score": np.bincount(text, np.repeat(cost, n), len(texts))})
 
     return blocks.groupBy("block").cogroup(costs.groupBy("block")).applyInPandas(run, "row long, score double")
 
@@ -270,7 +298,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, blo
     again; columns other than doc_id, text and those of held_out aren't looked at. Without
     training texts counts are 0 and the smoothing alone defines the scores.
 
-    The head_size commonest tokens are sent to the executors; other tokens of each
+    The head_size commonest tokens of at most HEAD_BYTES bytes are sent to the executors; other tokens of each
     text join the count table, where none is common enough to crowd a task. The codes (context and byte)
     of each block of texts join the contexts by bucket, whose number follows the bytes of docs.
     """
@@ -280,7 +308,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, blo
     train_rows = told.where(~F.col("held_out")).select("text")
     counts = scratch.write(token_counts(train_rows), "tokens")
     n, v = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    head = {bytes(r["token"]): r["c"] for r in counts.orderBy(F.desc("c"), "token").limit(head_size).toLocalIterator()}
+    head = {bytes(r["token"]): r["c"] for r in counts.where(F.length("token") <= HEAD_BYTES).orderBy(F.desc("c"), "token").limit(head_size).toLocalIterator()}
     whole = math.log10(n + 0.1 * (v + 1))
     size = told.agg(F.coalesce(F.sum(F.length("text") + 1), F.lit(0))).first()[0]
     buckets = max(1, math.ceil(size / bucket_bytes))
@@ -308,7 +336,7 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, blo
                 queue.append(t)
                 size += len(t) + 6
                 blob = None
-                if size > block_bytes or i == len(f) - 1:
+                if size > block_bytes or len(queue) == BLOCK_TEXTS or i == len(f) - 1:
                     blob = _blob(numbers, queue)
                     numbers, queue, size = [], [], 0
                 rows.append((blob, number, known, base, len(t), tail, tail_n))
@@ -325,7 +353,11 @@ def score_texts(docs: DataFrame, held_out: Column, head_size: int = 1 << 16, blo
     def ask(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for block, blob in zip(f["block"], f["blob"], strict=True):
-                yield pd.DataFrame([(block, b, _packed(code)) for b, code, _ in _by_bucket(_unblob(blob)[1], buckets)], columns=["block", "bucket", "codes"])
+                code = _occurrences(_unblob(blob)[1])[0]
+                order, parts = _dealt(code, buckets)
+                code = code[order]
+                yield pd.DataFrame([(block, b, _packed(code[i:j])) for b, i, j in parts], columns=["block", "bucket", "codes"])
+        give_back()
 
     # the last row of a block carries its texts
     blocks = parts.where(F.col("blob").isNotNull()).select(F.col("row").alias("block"), "blob")

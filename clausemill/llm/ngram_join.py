@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, shuffle_partitions
-from .shingles import mix, shingle_set
+from .shingles import distinct, mix, shingle_set
 
 
 @dataclass(frozen=True)
@@ -79,7 +79,7 @@ def signatures(s: np.ndarray, scheme: Scheme, seed: int) -> np.ndarray:
     if scheme.segments - len(held) > (0 if scheme.deletions else scheme.spare):
         empty = np.setdiff1d(np.arange(scheme.segments), held, assume_unique=True)
         out.append(mix(tag[empty]))
-    return np.unique(np.concatenate(out))
+    return distinct(np.concatenate(out))
 
 
 def parity_sketch(s: np.ndarray) -> np.ndarray:

@@ -60,6 +60,14 @@ def word_hashes(text: bytes, chunk: int = CHUNK) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; several times as fast as np.unique, which hashes."""
+    x = np.sort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=new[1:])
+    return x[new]
+
+
 def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     """Sorted distinct hashes of the text's k-word shingles; the whole sequence if it has fewer words; empty without words."""
     w = word_hashes(text) if text else np.zeros(0, np.uint64)
@@ -70,4 +78,4 @@ def shingle_set(text: bytes | None, k: int) -> np.ndarray:
     h = np.zeros(n - size + 1, np.uint64)
     for j in range(size):
         h = h * _STEP + w[j : n - size + 1 + j]
-    return np.unique(mix(h ^ np.uint64(size)))
+    return distinct(mix(h ^ np.uint64(size)))
