@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -10,20 +10,27 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import Aside
+
 BITS = 18
 DIM = 16
-LETTER = re.compile(r"[^\W\d_]")
+SLICE = 1 << 19  # bytes of text whose subwords are hashed at once
 _SPACE = bytes(c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
 
 
-def _subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed buckets of all 3- and 4-byte subwords of the texts' words, and each text's number of them.
+def has_letter(text: str) -> bool:
+    """Whether any character is of a letter category; a number such as one half is none."""
+    return any(map(str.isalpha, text))
 
-    Words are padded by one blank on both sides; subwords of one text come together.
-    """
-    normal = [b"   " + b" ".join(t.lower().encode("utf-8", "replace").translate(_SPACE).split()) + b"   " for t in texts]
-    lengths = np.array([len(x) for x in normal], np.int64)
-    b = np.frombuffer(b"".join(normal), np.uint8).astype(np.uint64)
+
+def _normal(text: str) -> bytes:
+    """Lower case, what is no letter of ASCII and no further byte of UTF-8 as one blank, three blanks around."""
+    return b"   " + b" ".join(text.lower().encode("utf-8", "replace").translate(_SPACE).split()) + b"   "
+
+
+def _buckets(b: np.ndarray) -> np.ndarray:
+    """The bucket of the 3-byte and that of the 4-byte subword at each place but the last three, side by side."""
+    b = b.astype(np.uint64)
     three = (b[:-3] << np.uint64(16)) | (b[1:-2] << np.uint64(8)) | b[2:-1]
     four = (three << np.uint64(8)) | b[3:]
     k = np.uint64(0x9E3779B97F4A7C15)
@@ -31,12 +38,36 @@ def _subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     # the halves of the table keep the two lengths apart
     a = ((three + np.uint64(1)) * k) >> shift
     c = (((four + np.uint64(1)) * k) >> shift) + np.uint64(1 << (BITS - 1))
+    return np.stack([a, c], 1).astype(np.int64)
+
+
+def _subwords(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed buckets of all 3- and 4-byte subwords of the texts' words, and each text's number of them.
+
+    Words are padded by one blank on both sides; subwords of one text come together.
+    """
+    normal = [_normal(t) for t in texts]
+    lengths = np.array([len(x) for x in normal], np.int64)
+    b = np.frombuffer(b"".join(normal), np.uint8)
     # windows that begin in a text's last three bytes run over into the next text's padding
     keep = np.ones(len(b), bool)
     for j in range(1, 4):
         keep[np.cumsum(lengths) - j] = False
-    both = np.stack([a, c], 1)[keep[:-3]].reshape(-1).astype(np.int64)
-    return both, 2 * (lengths - 3)
+    return _buckets(b)[keep[:-3]].reshape(-1), 2 * (lengths - 3)
+
+
+def subword_counts(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the text's subwords and how often each occurs; slice by slice, so that scratch memory is bounded."""
+    b = np.frombuffer(_normal(text), np.uint8)
+    total = None
+    for at in range(0, len(b) - 3, SLICE):
+        u, n = np.unique(_buckets(b[at : at + SLICE + 3]), return_counts=True)
+        if total is None and at + SLICE + 3 >= len(b):
+            return u, n
+        total = np.zeros(1 << BITS, np.int64) if total is None else total
+        total[u] += n
+    u = np.flatnonzero(total)
+    return u, total[u]
 
 
 @dataclass
@@ -47,31 +78,41 @@ class LanguageModel:
     temperature: float
     threshold: float
 
-    def probabilities(self, texts: list[str]) -> np.ndarray:
+    def means(self, texts: list[str]) -> np.ndarray:
+        """Each text's average logits."""
         buckets, counts = _subwords(texts)
         starts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-        logits = np.stack([np.add.reduceat(self.table[:, j][buckets], starts) for j in range(len(self.labels))], 1)
-        z = (logits / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature
+        logits = np.stack([np.add.reduceat(self.table[:, j][buckets], starts, dtype=np.float64) for j in range(len(self.labels))], 1)
+        return logits / np.maximum(counts, 1)[:, None]
+
+    def long_mean(self, text: str) -> np.ndarray:
+        u, n = subword_counts(text)
+        return (n @ self.table[u].astype(np.float64)) / max(1, n.sum())
+
+    def probabilities(self, texts: list[str]) -> np.ndarray:
+        z = np.zeros((len(texts), len(self.labels)))
+        short = [i for i, t in enumerate(texts) if len(t) <= SLICE]
+        if short:
+            z[short] = self.means([texts[i] for i in short])
+        for i in set(range(len(texts))) - set(short):
+            z[i] = self.long_mean(texts[i])
+        z = (z + self.bias) / self.temperature
         e = np.exp(z - z.max(1, keepdims=True))
         return e / e.sum(1, keepdims=True)
 
 
-def _fit(texts: list[str], labels: list[str], epochs: int, rate: float, seed: int) -> LanguageModel | None:
-    """SGD over single documents; every fifth is held back for temperature and threshold."""
+def _fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: list[str], epochs: int, rate: float, seed: int) -> LanguageModel | None:
+    """SGD over single documents, each given by its subword counts; every fifth is held back for temperature and threshold."""
     names = sorted(set(labels))
     if not names:
         return None
     rng = np.random.default_rng(seed)
     y = np.array([names.index(x) for x in labels])
-    seen = []
-    for t in texts:
-        buckets, _ = _subwords([t])
-        u, n = np.unique(buckets, return_counts=True)
-        seen.append((u, (n / max(1, n.sum())).astype(np.float32)))
+    seen = [(u, (n / max(1, n.sum())).astype(np.float32)) for u, n in counts]
     emb = (rng.random((1 << BITS, DIM), np.float32) - 0.5) / DIM
     w = np.zeros((DIM, len(names)), np.float32)
     bias = np.zeros(len(names), np.float32)
-    held = np.arange(len(texts)) % 5 == 4 if len(texts) >= 50 else np.zeros(len(texts), bool)
+    held = np.arange(len(seen)) % 5 == 4 if len(seen) >= 50 else np.zeros(len(seen), bool)
     train = np.flatnonzero(~held)
     total, done = epochs * len(train), 0
     for _ in range(epochs):
@@ -107,31 +148,50 @@ def _fit(texts: list[str], labels: list[str], epochs: int, rate: float, seed: in
     return model
 
 
-def train_language_id(docs: DataFrame, where: Column, sample_docs: int = 6000, sample_chars: int = 2000, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> LanguageModel | None:
-    """Fits on the sample_docs labelled rows with the smallest id digest among those of where.
+def _packed_counts(text: str) -> bytes:
+    u, n = subword_counts(text)
+    return zlib.compress(u.astype(np.int32).tobytes() + n.astype(np.int32).tobytes(), 1)
 
-    The bounds are parameters: at most sample_docs rows, of each at most sample_chars
-    characters from its middle. Prediction reads whole texts. No usable row: None.
-    """
-    at = F.greatest(F.lit(1), ((F.length("text") - sample_chars) / 2).cast("int"))
-    rows = docs.where(where & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    usable = rows.select("lang").count()
-    rows = rows.select(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("k"), F.substring("text", at, F.lit(sample_chars)).alias("text"), "lang")
-    if usable > 4 * sample_docs:
-        # about twice the sample is below this digest, so that few rows leave each task whatever the input
-        rows = rows.where(F.col("k") < f"{int(2 * sample_docs / usable * 16**8):08x}")
-    sample = [r for r in rows.orderBy("k", "lang", "text").limit(sample_docs).collect() if LETTER.search(r["text"])]
-    return _fit([r["text"] for r in sample], [r["lang"] for r in sample], epochs, rate, seed)
 
+def _unpacked_counts(packed: bytes) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(zlib.decompress(packed), np.int32)
+    return both[: len(both) // 2], both[len(both) // 2 :]
 
-def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes: int = 1 << 19) -> DataFrame:
-    """docs with lang_pred, score and rejected.
 
-    Only the text is looked at, whole. Null text, and text without a letter, has lang_pred
-    "und", score 0 and is rejected; else lang_pred is the likeliest label, score its
-    calibrated probability, and rejected says that it is below the model's threshold.
-    Without a model all is "und". Repeated rows and extra columns stay.
+def train_language_id(docs: DataFrame, where: Column, sample_docs: int = 6000, epochs: int = 4, rate: float = 0.5, seed: int = 7) -> LanguageModel | None:
+    """Fits on the sample_docs labelled rows with the smallest digests among those of where.
+
+    The bound on rows is a parameter; each row is read whole, as the counts of its subwords, of
+    which a row has at most 2**BITS. Rows need a language and a letter in their text. The digest
+    covers id, text and language: rows with a common or null id are drawn apart from each
+    other, rows equal in all three count once. No usable row: None.
     """
+    usable = where & F.col("lang").isNotNull() & F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
+    digest = F.shiftrightunsigned(F.xxhash64("doc_id", "text", "lang"), 1)
+    rows = docs.where(usable).select(digest.alias("k"), "text", F.col("lang").cast("string").alias("lang"))
+    n = rows.count()
+    share = 4 * sample_docs / max(1, n)
+    while True:
+        # few digests leave each task, whatever the input; more where rows repeat so often that these are too few
+        low = rows.where(F.col("k") < int(share * 2**63)) if share < 1 else rows
+        drawn = [r["k"] for r in low.select("k").distinct().orderBy("k").limit(sample_docs).collect()]
+        if len(drawn) == sample_docs or share >= 1:
+            break
+        share *= 8
+    if not drawn:
+        return None
+
+    @F.pandas_udf("binary")
+    def packed(text: pd.Series) -> pd.Series:
+        return pd.Series([_packed_counts(t) for t in text])
+
+    sample = rows.where(F.col("k") <= drawn[-1]).select("k", "lang", packed("text").alias("counts")).dropDuplicates(["k"])
+    got = sorted((r["k"], r["lang"], r["counts"]) for r in sample.toLocalIterator())
+    return _fit([_unpacked_counts(c) for _, _, c in got], [x for _, x, _ in got], epochs, rate, seed)
+
+
+def _predicted(docs: DataFrame, model: LanguageModel | None, text: Column, chunk_bytes: int) -> DataFrame:
+    """docs with _p, a struct of lang_pred, score and rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
@@ -142,7 +202,7 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes:
         if m is not None:
             queue: list[int] = []
             size = 0
-            spoken = [i for i, t in enumerate(text) if isinstance(t, str) and LETTER.search(t)]
+            spoken = [i for i, t in enumerate(text) if isinstance(t, str) and has_letter(t)]
             for i in [*spoken, -1]:
                 if i >= 0:
                     queue.append(i)
@@ -156,5 +216,25 @@ def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes:
                     queue, size = [], 0
         return pd.DataFrame({"lang_pred": lang, "score": score, "rejected": held})
 
-    out = docs.withColumn("_p", predict("text"))
-    return out.select(*docs.columns, "_p.lang_pred", "_p.score", "_p.rejected")
+    return docs.withColumn("_p", predict(text))
+
+
+def predict_language(docs: DataFrame, model: LanguageModel | None, chunk_bytes: int = 1 << 19) -> DataFrame:
+    """docs with lang_pred, score and rejected.
+
+    Only the text is looked at, whole. Null text, and text without a letter, has lang_pred
+    "und", score 0 and is rejected; else lang_pred is the likeliest label, score its
+    calibrated probability, and rejected says that it is below the model's threshold.
+    Without a model all is "und". Repeated rows get the same again; extra columns stay, but for
+    those named like an added one, which gives the added one's values.
+    """
+    side = Aside(docs)
+    out = _predicted(side.rows, model, side["text"], chunk_bytes)
+    added = ("lang_pred", "score", "rejected")
+    return out.select(*side.back(*added), *[F.col(f"_p.{a}").alias(a) for a in added])
+
+
+def keep_known_languages(docs: DataFrame, model: LanguageModel | None, chunk_bytes: int = 1 << 19) -> DataFrame:
+    """The rows of docs that predict_language doesn't reject, with all their columns as they are, whatever their names."""
+    side = Aside(docs)
+    return _predicted(side.rows, model, side["text"], chunk_bytes).where(~F.col("_p.rejected")).select(*side.back())
