@@ -2,11 +2,17 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+
 import ahocorasick
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import Aside, Scratch
+
 SCHEMA = "doc_id long, item_id long, distance int, budget int, start long"
 ARROW = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("distance", pa.int32()), ("budget", pa.int32()), ("start", pa.int64())])
 
@@ -52,13 +58,11 @@ def myers(masks: dict[str, int], m: int, window: str, limit: int) -> tuple[int,
 class Matcher:
     """An automaton of the pieces of a block of items."""
 
-    def __init__(self, items: list[tuple[int, str]], error_rate: float, exact_below: int):
+    def __init__(self, items: list[tuple[int, str]], error_rate: float):
+        """items: (item_id, text in normal form)."""
         self.items, where = [], {}
-        for item_id, text in items:
-            t = normal(text)
-            if not t:
-                continue
-            budget = int(len(t) * error_rate) if len(t) >= exact_below else 0
+        for item_id, t in items:
+            budget = int(len(t) * error_rate)
             masks: dict[str, int] = {}
             for i, c in enumerate(t):
                 masks[c] = masks.get(c, 0) | (1 << i)
@@ -105,55 +109,78 @@ class Matcher:
         return found
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, exact_below: int = 40, block_chars: int = 4 << 20) -> DataFrame:
+def _item_blocks(benchmark: DataFrame, block_chars: int) -> DataFrame:
+    """Benchmark items in normal form, packed by tasks to rows (ids, texts) of about block_chars characters; a longer item is a row of its own."""
+
+    def pack(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids: list[int] = []
+        texts: list[str] = []
+        size = 0
+        for f in frames:
+            for item, text in zip(f["item_id"], f["text"], strict=True):
+                t = normal(text)
+                if not t:
+                    continue
+                if texts and size + len(t) > block_chars:
+                    yield pd.DataFrame({"ids": [ids], "texts": [texts]})
+                    ids, texts, size = [], [], 0
+                ids.append(None if item == "" else int(item))
+                texts.append(t)
+                size += len(t)
+        if texts:
+            yield pd.DataFrame({"ids": [ids], "texts": [texts]})
+
+    rows = benchmark.where(F.length("text") > 0).select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), "text")
+    chars = rows.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
+    return rows.coalesce(max(1, math.ceil(chars / block_chars))).mapInPandas(pack, "ids array<long>, texts array<string>")
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame, error_rate: float = 0.08, block_chars: int = 4 << 20) -> DataFrame:
     """(doc_id, item_id, distance, budget, start): items that occur in a document's whole text.
 
     Both sides are lowered, with runs of white space as one blank; start is a place in
-    that form. An item may differ by error_rate of its length in edits; one shorter than
-    exact_below characters must occur as it is. By pigeonhole an occurrence within the budget
-    keeps one of budget + 1 pieces whole: an automaton finds the pieces, Myers' algorithm
-    checks the windows around them, and the best place counts.
-
-    Null and empty texts and items match nothing; repeated rows give repeated results.
-    The benchmark is cut into blocks of at most block_chars characters (a longer item is
-    a block of its own); only one block at a time is sent to the executors, and each block reads the documents once.
+    that form. An item may differ by error_rate of its length in edits, rounded down. By pigeonhole
+    an occurrence within the budget keeps one of budget + 1 pieces whole: an automaton finds the
+    pieces, Myers' algorithm checks the windows around them, and the best place counts.
+
+    Null, empty and blank texts and items match nothing; repeated rows give repeated results; a null
+    doc_id or item_id stays null; other columns of both tables aren't looked at.
+    Tasks write the benchmark as blocks of about block_chars characters. The driver holds one block at a time, whatever
+    the benchmark's size; each is broadcast, read against all documents, its results written, and released.
     """
     spark = docs.sparkSession
-    blocks: list[list[tuple[int, str]]] = [[]]
-    size = 0
-    out = None
-    rows = benchmark.where(F.length("text") > 0).select("item_id", "text")
+    scratch = Scratch(spark)
+    narrow = docs.select(F.col("doc_id").cast("long"), "text")
 
     def scan(block: list[tuple[int, str]]) -> DataFrame:
         shared = spark.sparkContext.broadcast(block)
 
         def match(batches):
-            matcher = Matcher(shared.value, error_rate, exact_below)
+            matcher = Matcher(shared.value, error_rate)
             for b in batches:
                 texts = b.column(1)
                 rows = [(d, *hit) for i, d in enumerate(b.column(0).to_pylist()) for hit in matcher.match(texts[i].as_py())]
                 yield pa.RecordBatch.from_pylist([dict(zip(ARROW.names, r, strict=True)) for r in rows], ARROW)
 
-        return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(match, SCHEMA)
+        found = scratch.write(narrow.mapInArrow(match, SCHEMA), "leaks")
+        shared.destroy()
+        return found
 
-    for r in rows.toLocalIterator():
-        if blocks[-1] and size + len(r["text"]) > block_chars:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((r["item_id"], r["text"]))
-        size += len(r["text"])
-    for block in blocks:
-        part = scan(block)
+    out = None
+    for r in scratch.write(_item_blocks(benchmark, block_chars), "items").toLocalIterator():
+        part = scan(list(zip(r["ids"], r["texts"], strict=True)))
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], SCHEMA) if out is None else out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame, **how) -> DataFrame:
     """docs without those in which find_leaks finds an item.
 
-    The decision is taken on each row where it lies: no join, so rows with a null or
-    repeated doc_id are judged by their own text.
+    Rows are judged by their own text, told apart by a hash of all columns: a null or repeated doc_id
+    doesn't matter, equal rows share their fate. All columns stay as they are, whatever their names.
     """
-    numbered = docs.withColumn("_row", F.xxhash64(*docs.columns))
-    leaks = find_leaks(numbered.select(F.col("_row").alias("doc_id"), "text"), benchmark, **how)
-    return numbered.join(leaks.select(F.col("doc_id").alias("_row")).distinct().hint("merge"), "_row", "left_anti").select(*docs.columns)
+    side = Aside(docs)
+    row = F.xxhash64(*side.every())
+    leaks = find_leaks(side.rows.select(row.alias("doc_id"), side["text"].alias("text")), benchmark, **how)
+    leaks = leaks.select(F.col("doc_id").alias("_row")).distinct()
+    return side.rows.withColumn("_row", row).join(leaks.hint("merge"), "_row", "left_anti").select(*side.back())
