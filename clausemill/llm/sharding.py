@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch
+from .common import Aside, Scratch, numbered
 
 BITS = 60
 
@@ -21,18 +21,19 @@ def shard_documents(docs: DataFrame, byte_limit: int = 8 << 20, spare_bits: int
     hash bit, others stay. shard_id is "depth:prefix" (prefix in binary), and
     ":page" follows where rows repeat so often that hashing can't part them: such equal
     rows go to pages of at most the limit. A single text over the limit is a shard of its own.
-    Null text has 0 bytes; extra columns are kept; an empty table gives no rows.
+    Null text has 0 bytes; an empty table gives no rows; extra columns are kept, but for those
+    named like an added one, which gives the added one's values.
 
     The splits are decided on a histogram of hash prefixes, of a size that follows the
     number of shards: one grouping sums every prefix at every depth, and a bucket is the
     shallowest prefix that fits. Where a prefix as long as the histogram's still doesn't,
     only its rows go on, with more bits.
     """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    keyed = docs.withColumns({
-        "n_bytes": F.coalesce(F.octet_length("text"), F.lit(0)).cast("long"),
-        "_hash": F.shiftrightunsigned(F.xxhash64(*docs.columns), 64 - BITS),
+    scratch = Scratch(docs.sparkSession)
+    side = Aside(docs)
+    keyed = side.rows.withColumns({
+        "n_bytes": F.coalesce(F.octet_length(side["text"]), F.lit(0)).cast("long"),
+        "_hash": F.shiftrightunsigned(F.xxhash64(*side.every()), 64 - BITS),
     })
     narrow = scratch.write(keyed.select("_hash", "n_bytes"), "hashes")
     total = narrow.agg(F.sum("n_bytes")).first()[0] or 0
@@ -48,14 +49,15 @@ def shard_documents(docs: DataFrame, byte_limit: int = 8 << 20, spare_bits: int
             break
         rest = told.where("_more").select(*keyed.columns)
         if base + bits == BITS:
-            done.append(_pages(rest, byte_limit))
+            done.append(_pages(scratch.write(rest, "equal"), byte_limit, scratch))
             break
         left = scratch.write(left.withColumn("_p", entry).join(directory.where("_more").hint("merge"), "_p", "left_semi").drop("_p"), "left")
         base, bits = base + bits, step_bits
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    return out.select(*docs.columns, "n_bytes", "shard_id", "depth", "shard_bytes")
+    added = ("n_bytes", "shard_id", "depth", "shard_bytes")
+    return out.select(*side.back(*added), *added)
 
 
 def _directory(hashed: DataFrame, base: int, bits: int, byte_limit: int) -> DataFrame:
@@ -73,11 +75,12 @@ def _directory(hashed: DataFrame, base: int, bits: int, byte_limit: int) -> Data
     return told.select("_p", depth.alias("depth"), shard.alias("shard_id"), F.col("best.b").alias("shard_bytes"), F.col("best").isNull().alias("_more"))
 
 
-def _pages(rows: DataFrame, byte_limit: int) -> DataFrame:
+def _pages(rows: DataFrame, byte_limit: int, scratch: Scratch) -> DataFrame:
     """Equal rows (one hash each), dealt to pages that fit; a text over the limit has a page of its own."""
     per_page = F.greatest(F.lit(1), F.floor(F.lit(byte_limit) / F.greatest(F.col("n_bytes"), F.lit(1))))
-    page = F.floor((F.row_number().over(W.partitionBy("_hash").orderBy("n_bytes")) - 1) / per_page)
-    out = rows.withColumn("_page", page)
+    out = scratch.write(numbered(rows, "_hash", scratch).withColumn("_page", F.floor((F.col("_no") - 1) / per_page)).drop("_no"), "pages")
+    sizes = out.groupBy("_hash", "_page").agg(F.sum("n_bytes").alias("shard_bytes"))
     shard = F.concat_ws(":", F.lit(str(BITS)), F.lpad(F.bin("_hash"), BITS, "0"), F.col("_page").cast("string"))
-    sized = F.sum("n_bytes").over(W.partitionBy("_hash", "_page"))
-    return out.select(*rows.columns, F.lit(BITS).alias("depth"), shard.alias("shard_id"), sized.alias("shard_bytes"))
+    # a page's rows are as many as fit the limit
+    out = out.join(sizes.hint("merge"), ["_hash", "_page"])
+    return out.select(*rows.columns, F.lit(BITS).alias("depth"), shard.alias("shard_id"), "shard_bytes")
