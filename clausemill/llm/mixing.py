@@ -8,23 +8,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch
+from .common import WORD, Aside, Scratch
 
 SEED = "mix-1"
 
 
-def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, max_repeat: int = 2) -> DataFrame:
+def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, max_repeat: int = 2, max_sources: int = 1_000_000) -> DataFrame:
     """One row per source: (source, source_size, target); sizes has (source, part_size).
 
     Weights repeat over the sources in code point order, null last. A target stops at
     max_repeat times its source's size; the excess is reshared by weight until none is
     above. Sorted by cap per weight, the sources that stop are a prefix, so the water
     level is the first (budget - caps before) / (weights from here) that its own source
-    can take. The windows run over one row per source.
+    can take. The windows run over one row per source, in one task: more than max_sources are an error.
     """
     every = W.orderBy("_ratio", "_rank").rowsBetween(W.unboundedPreceding, W.currentRow)
     later = W.orderBy("_ratio", "_rank").rowsBetween(W.currentRow, W.unboundedFollowing)
     whole = W.partitionBy()
+    if sizes.select("source").distinct().count() > max_sources:
+        raise ValueError(f"more than {max_sources} sources")
     per = sizes.groupBy("source").agg(F.sum("part_size").cast("long").alias("source_size"))
     per = per.withColumn("_rank", F.row_number().over(W.orderBy(F.col("source").asc_nulls_last())))
     ws = F.array(*[F.lit(int(w)) for w in weights])
@@ -41,33 +43,18 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.
     return per.select("source", "source_size", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, max_repeat: int = 2, rows_per_bucket: int = 20000) -> DataFrame:
-    """docs with size, source_size, target, taken and finish.
-
-    Every source is a queue of its documents in hashed order, served max_repeat times
-    over. A document's virtual finish time is the words its source has sent up to and
-    with it, divided by the source's target. As the targets add up to the budget, the
-    truncation point of the globally sorted queue is virtual time 1: words that would
-    finish later aren't taken, and a document that straddles it is cut there, so that
-    a source's taken words are its target, rounded down.
-
-    taken counts repeats; finish is that of the document's first copy. Null text has
-    size 0, is never taken, and finishes when its predecessor does; a null source is a
-    source of its own; repeated rows queue one after the other; extra columns stay.
-
-    Running sums never need a whole source in one task: sources are cut into buckets of
-    the hashed order, bucket sums give each bucket its offset, and the window inside a
-    bucket adds the rest.
-    """
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
-    rows = docs.select("doc_id").count()
+def _queued(side: Aside, weights, budget_ratio: float, max_repeat: int, rows_per_bucket: int) -> DataFrame:
+    """The rows of side with size, source_size, target, _sent (words its source sends before it, in one round) and finish."""
+    scratch = Scratch(side.rows.sparkSession)
+    rows = side.rows.count()
     digits = max(1, math.ceil(math.log(max(rows, 1) / rows_per_bucket, 16))) if rows > rows_per_bucket else 1
-    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    sized = docs.withColumns({
-        "size": F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long"),
+    text = F.coalesce(side["text"], F.lit(""))
+    # the key covers the text, so that rows of one or no doc_id are apart
+    key = F.md5(F.concat(F.lit(SEED + ":"), F.coalesce(side["doc_id"].cast("string"), F.lit("null")), F.lit(":"), text))
+    sized = side.rows.withColumns({
+        "source": side["source"],
+        "size": F.regexp_count(text, F.lit(WORD)).cast("long"),
         "_key": key,
-        "_tie": F.xxhash64("text"),
     }).withColumn("_bucket", F.substring("_key", 1, digits))
     parts = scratch.write(sized.groupBy("source", "_bucket").agg(F.sum("size").alias("part_size")), "parts")
     before = W.partitionBy("source").orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
@@ -77,35 +64,58 @@ def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, m
     offsets = scratch.write(
         offsets.alias("o").join(targets.alias("t").hint("merge"), F.col("o.source").eqNullSafe(F.col("t.source")))
         .select(F.col("o.source").alias("_source"), F.col("o._bucket").alias("_b"), "_offset", "source_size", "target"), "offsets")
-    inside = W.partitionBy("source", "_bucket").orderBy("_key", "size", "_tie").rowsBetween(W.unboundedPreceding, W.currentRow)
+    inside = W.partitionBy("source", "_bucket").orderBy("_key").rowsBetween(W.unboundedPreceding, W.currentRow)
     ran = sized.withColumn("_run", F.sum("size").over(inside))
     joined = ran.join(offsets.hint("merge"), ran["source"].eqNullSafe(offsets["_source"]) & (ran["_bucket"] == offsets["_b"]))
-    start = F.col("_offset") + F.col("_run") - F.col("size")
-    limit = F.floor("target")
-    taken = sum((F.greatest(F.lit(0), F.least(F.col("size"), limit - start - F.col("source_size") * r)) for r in range(max_repeat)), F.lit(0))
-    out = joined.withColumn("taken", taken.cast("long"))
-    out = out.withColumn("finish", F.when(F.col("target") > 0, (F.col("_offset") + F.col("_run")) / F.col("target")))
-    return out.select(*docs.columns, "size", "source_size", "target", "taken", "finish")
+    joined = joined.withColumn("_sent", F.col("_offset") + F.col("_run") - F.col("size"))
+    return joined.withColumn("finish", F.when(F.col("target") > 0, (F.col("_sent") + F.col("size")) / F.col("target")))
+
+
+def mix_sources(docs: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, max_repeat: int = 2, rows_per_bucket: int = 20000) -> DataFrame:
+    """docs with size, source_size, target, taken and finish.
+
+    Every source is a queue of its documents in hashed order, served max_repeat times
+    over. A document's virtual finish time is the words its source has sent up to and
+    with it, divided by the source's target; repeats finish a round (source_size / target) later. As the
+    targets add up to the budget, the globally sorted queue of words reaches the budget at
+    virtual time 1: copies that finish by then are taken whole, the one that a source is
+    sending then is cut there, later ones aren't taken. So a source's taken words are its target, rounded down.
+
+    taken counts repeats; finish is that of the document's first copy. Null text has
+    size 0, is never taken, and finishes when its predecessor does; a null source is a
+    source of its own; a null doc_id counts as the text "null"; repeated rows queue one after
+    the other, and which of them is cut is open. Extra columns stay, but for those named like an
+    added one, which gives the added one's values.
+
+    Running sums never need a whole source in one task: sources are cut into buckets of
+    the hashed order, bucket sums give each bucket its offset, and the window inside a
+    bucket adds the rest.
+    """
+    side = Aside(docs)
+    out = _queued(side, weights, budget_ratio, max_repeat, rows_per_bucket)
+
+    def of_copy(r: int):
+        lap = F.col("source_size") * r
+        return (F.when(F.col("finish") + lap / F.col("target") <= 1, F.col("size"))
+                .otherwise(F.greatest(F.lit(0), F.least(F.col("size"), F.floor("target") - F.col("_sent") - lap))))
+
+    taken = sum((of_copy(r) for r in range(max_repeat)), F.lit(0))
+    out = out.withColumn("taken", F.when(F.col("size") > 0, taken).otherwise(0).cast("long"))
+    added = ("size", "source_size", "target", "taken", "finish")
+    return out.select(*side.back(*added), *added)
 
 
-def mixed_stream(docs: DataFrame, **how) -> DataFrame:
-    """The mix itself: a row per taken copy of a document, range-sorted by finish time.
+def mixed_stream(docs: DataFrame, weights=(5, 2, 1), budget_ratio: float = 1.5, max_repeat: int = 2, rows_per_bucket: int = 20000) -> DataFrame:
+    """The mix itself: a row per taken copy of a document, range-sorted by virtual finish time, with the columns of docs.
 
-    A document cut at the end of its source's target keeps its first words, as many as
-    were taken of that copy. Columns are those of docs.
+    Documents are taken whole: a copy goes in if its source has sent half of it by virtual time 1, where the budget
+    is reached, so that a source's words miss its target by at most half a document. Texts without words are never sent.
+    Nulls and repeated rows are as in mix_sources; all columns stay as they are, whatever their names.
     """
-    keep = docs.columns
-    mix = mix_sources(docs, **how).where("taken > 0")
-    lap = F.col("source_size") / F.col("target")
-    copies = F.sequence(F.lit(0), F.floor((F.col("taken") - 1) / F.col("size")).cast("int"))
-    rows = mix.withColumn("_copy", F.explode(copies))
-    rows = rows.withColumns({
-        "_words": F.least(F.col("size"), F.col("taken") - F.col("_copy") * F.col("size")),
-        "_at": F.col("finish") + F.col("_copy") * lap,
-    })
-    pieces = F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))
-    cut = F.array_join(F.slice(pieces, F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(F.col("_words") < F.col("size"), cut).otherwise(F.col("text")))
-    if "n_chars" in keep:
-        rows = rows.withColumn("n_chars", F.when(F.col("_words") < F.col("size"), F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return rows.repartitionByRange(F.col("_at")).sortWithinPartitions("_at").select(*keep)
+    side = Aside(docs)
+    out = _queued(side, weights, budget_ratio, max_repeat, rows_per_bucket).where((F.col("size") > 0) & (F.col("target") > 0))
+    rounds = F.sequence(F.lit(0), F.lit(max_repeat - 1))
+    sent = F.filter(rounds, lambda r: F.col("_sent") + r * F.col("source_size") + F.col("size") / 2 <= F.col("target"))
+    rows = out.withColumn("_copy", F.explode(sent))
+    rows = rows.withColumn("_at", F.col("finish") + F.col("_copy") * F.col("source_size") / F.col("target"))
+    return rows.repartitionByRange(F.col("_at")).sortWithinPartitions("_at").select(*side.back())

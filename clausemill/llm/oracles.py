@@ -26,7 +26,7 @@ JOIN (SELECT a, min(b) AS c FROM reach GROUP BY a) c ON c.a = e.vec_id
 OP4 = f"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), {_WORDS}))::BIGINT AS size,
-         md5('mix-1:' || CAST(doc_id AS VARCHAR)) AS k
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || coalesce(text, '')) AS k
   FROM documents
 ), s AS (
   SELECT source, sum(size)::BIGINT AS source_size,

@@ -180,9 +180,20 @@ def test_mix(docs, texts):
 
 
 def test_mixed_stream(docs):
-    rows = mixed_stream(docs.drop("size", "score", "_row")).collect()
-    words = sum(len(brute.words(r.text)) for r in rows)
-    assert words == mix_sources(docs.drop("size", "score", "_row")).agg(F.sum("taken")).first()[0]
+    rows = mixed_stream(docs).collect()
+    assert rows[0].__fields__ == docs.columns and all((r.size, r.score, r._row) == ("clash", "clash", 1) for r in rows)
+    whole = {r.doc_id: r.text for r in docs.collect()}
+    sent, most, copies = {}, {}, {}
+    for r in rows:
+        n = len(brute.words(r.text))
+        assert r.text == whole[r.doc_id] and n > 0
+        sent[r.source] = sent.get(r.source, 0) + n
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    for r in docs.collect():
+        most[r.source] = max(most.get(r.source, 0), len(brute.words(r.text)))
+    want = {r.source: r.target for r in mix_sources(docs).select("source", "target").distinct().collect()}
+    assert max(copies.values()) <= 2 and all(abs(sent.get(s, 0) - t) <= most[s] / 2 + 1 for s, t in want.items())
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in mixed_stream(docs.repartition(5)).collect())
 
 
 def test_mix_of_nothing(empty):
