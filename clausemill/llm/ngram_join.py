@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, shuffle_partitions
+from .common import Aside, Scratch, connected_components, give_back, hot_keys, salted_join, shuffle_partitions
 from .shingles import distinct, mix, shingle_set
 
 
@@ -167,6 +167,7 @@ def _meetings(docs: DataFrame, k: int, percent: int, schemes: dict[int, Scheme],
                     yield flush()
         if (last := flush()) is not None:
             yield last
+        give_back()
 
     def meet(pdf: pd.DataFrame) -> pd.DataFrame:
         high = np.concatenate([np.frombuffer(x, np.uint8).reshape(-1, 6) for x in pdf["sigs"]])
@@ -256,8 +257,10 @@ def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     crowds = scratch.write(connected_components(edges, scratch), "crowds").select(F.col("node").alias("fp"), F.col("component").alias("crowd"))
     members = hot.select("fp", "component").distinct().join(crowds.hint("merge"), "fp")
     counted = crowds.join(sets.select("fp", "n").hint("merge"), "fp").groupBy("crowd")
-    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"))
-    members = members.join(sizes.hint("merge"), "crowd").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    sizes = scratch.write(sizes, "sizes")
+    big = hot_keys(sizes, "crowd", "n", crowds.count())
+    members = salted_join(members, sizes.drop("n"), "crowd", big, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     members = members.join(_sets_of(hot.select("fp").distinct(), docs, sets, k, scratch).hint("merge"), "fp")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "set")
@@ -271,6 +274,9 @@ def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     return dealt.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
 
 
+ELEMENTS = 1 << 20  # shingles that a task compares at a time
+
+
 def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: Scratch, crowd: int = 64, block_bytes: int = 6 << 20) -> DataFrame:
     """(a, b): links between fingerprints of different sets, enough of them to connect all that links connect.
 
@@ -278,7 +284,7 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     are then connected need no more comparing; a second round compares all others that meet:
     as pairs, or as a crowd where more than `crowd` do.
     """
-    sets = told.where("n > 0").groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    sets = told.where("n > 0").groupBy("fp").agg(F.min("_row").alias("_row"), F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     sets = scratch.write(sets, "sets")
     width = math.log(100 / percent)
     # one row for each size band: their number is the logarithm of the longest text
@@ -290,21 +296,27 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     met = scratch.write(_meetings(docs, k, percent, schemes, buckets, block_bytes), "met")
 
     first = met.groupBy("fp").agg(F.min("leader").alias("a")).where("a <> fp").select("a", F.col("fp").alias("b"))
-    links = scratch.write(_verified(first, docs, sets, k, percent, scratch), "links")
+    links = _verified(first, docs, sets, k, percent, scratch)
     labels = scratch.write(connected_components(links, scratch), "labels")
     known = met.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select("sig", "fp", F.coalesce("component", "fp").alias("component"))
     known = scratch.write(known, "known")
-    scratch.drop(met)
-    mixed = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", "n")
-    open_ = scratch.write(known.join(mixed.hint("merge"), "sig"), "open")
+    scratch.drop(met, labels)
+    mixed = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("sig", "held")
+    open_ = known.join(mixed.hint("merge"), "sig").join(sets.select("fp", "n").hint("merge"), "fp")
+    open_ = scratch.write(open_, "open")
     scratch.drop(known)
-    calm = open_.where(F.col("n") <= crowd).select("sig", "fp", "component")
-    hot = open_.where(F.col("n") > crowd).select("sig", "fp", "component")
+    calm = open_.where(F.col("held") <= crowd).select("sig", "fp", "component", "n")
+    hot = open_.where(F.col("held") > crowd).select("sig", "fp", "component")
     l, r = calm.alias("l"), calm.alias("r")
-    pairs = l.join(r.hint("merge"), (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component")))
+    met_again = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component"))
+    alike = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
+    pairs = l.join(r.hint("merge"), met_again & alike)
     pairs = pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
-    links = links.union(_verified(pairs, docs, sets, k, percent, scratch))
-    return links if hot.isEmpty() else links.union(crowd_links(hot, docs, sets, k, percent, scratch))
+    all_links = links.union(_verified(pairs, docs, sets, k, percent, scratch))
+    if not hot.isEmpty():
+        all_links = all_links.union(scratch.write(crowd_links(hot, docs, sets, k, percent, scratch), "crowd_links"))
+    scratch.drop(sets, open_)
+    return all_links
 
 
 def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratch: Scratch, block: int = 1 << 18) -> DataFrame:
@@ -315,9 +327,9 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratc
             fps, found, size = [], [], 0
             for fp, t in zip(f["fp"], f["text"], strict=True):
                 fps.append(fp)
-                found.append(_signed(shingle_set(t, k)))
+                found.append(_signed(shingle_set(t, k)).tobytes())
                 size += len(found[-1])
-                if size > block:
+                if size > 8 * block:
                     yield pd.DataFrame({"fp": fps, "set": found})
                     fps, found, size = [], [], 0
             if fps:
@@ -325,28 +337,72 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratc
 
     rows = sets.join(wanted.hint("merge"), "fp", "left_semi").select("fp", "_row")
     texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(rows.hint("merge"), "_row").dropDuplicates(["fp"])
-    return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set array<long>"), "members")
+    return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set binary"), "members")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union: sketches first, then whole sets."""
+    """The pairs (a, b) whose sets have 100 * intersection >= percent * union: sketches first, then whole sets.
 
+    Whole sets don't travel. Pairs are dealt to groups of about ELEMENTS shingles by their a (one with more partners
+    than that, by its partners as well), and a group gets the text of each of its sets once.
+    """
+    pairs = scratch.write(pairs, "pairs")
+    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", pairs.count())
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
-    close = pairs.join(a.hint("merge"), "a").join(b.hint("merge"), "b")
+    close = salted_join(pairs, a, "a", hot, "b").join(b.hint("merge"), "b")
     close = close.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
     close = close.where(_apart(F.col("ask"), F.col("bsk")) * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
-    close = scratch.write(close.select("a", "b"), "close")
-    wanted = close.select(F.col("a").alias("fp")).union(close.select(F.col("b").alias("fp"))).distinct()
-    members = _sets_of(wanted, docs, sets, k, scratch)
-    both = close.join(members.select(F.col("fp").alias("a"), F.col("set").alias("x")).hint("merge"), "a")
-    both = both.join(members.select(F.col("fp").alias("b"), F.col("set").alias("y")).hint("merge"), "b")
-    # 100 * shared >= percent * (all of x and y - shared)
-    shared = F.size(F.array_intersect("x", "y")).cast("long")
-    return both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")).cast("long") * percent).select("a", "b")
+    close = scratch.write(close.select("a", "b", "an", "bn"), "close")
+    scratch.drop(pairs)
+    rows, size = close.agg(F.count("*"), F.coalesce(F.sum(F.col("an") + F.col("bn")), F.lit(0))).first()
+    groups = max(1, math.ceil(size / ELEMENTS))
+    partners = scratch.write(close.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.sum("bn") * 4 / ELEMENTS).cast("int").alias("slots")), "partners")
+    slots = partners.where("slots > 1").select("a", "slots")
+    dealt = salted_join(close, slots, "a", hot_keys(partners, "a", "n", rows), "b", "left")
+    slot = F.pmod(F.xxhash64("b"), F.coalesce("slots", F.lit(1)))
+    dealt = scratch.write(dealt.select("a", "b", F.pmod(F.xxhash64("a", slot), F.lit(groups)).alias("g")), "dealt")
+    scratch.drop(close, partners)
+    members = dealt.select(F.col("g").alias("group"), F.col("a").alias("fp")).union(dealt.select("g", F.col("b"))).distinct()
+    members = members.join(sets.select("fp", "_row").hint("merge"), "fp")
+    texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(members.hint("merge"), "_row")
+    # dealt by group first, so that telling apart equal rows and grouping need no further shuffle
+    texts = texts.select("group", "fp", "text").repartition("group").dropDuplicates(["group", "fp"])
+
+    def compare(texts: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        held = {fp: shingle_set(t, k) for fp, t in zip(texts["fp"], texts["text"], strict=True)}
+        keep = []
+        for a, b in zip(pairs["a"], pairs["b"], strict=True):
+            x, y = held[a], held[b]
+            shared = _same(x, y)
+            keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+        return pairs.loc[keep, ["a", "b"]]
+
+    found = scratch.write(texts.groupBy("group").cogroup(dealt.groupBy("g")).applyInPandas(compare, "a long, b long"), "links")
+    scratch.drop(dealt)
+    return found
+
 
+def _components(keyed: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(doc_id, _row, n, c, component_id) for every row of keyed (doc_id, _row, text); c is the key of the component."""
+    told = scratch.write(_described(keyed, k), "told")
+    links = set_links(keyed, told, k, percent, scratch)
+    labels = scratch.write(connected_components(links, scratch), "labels")
+    found = told.join(labels.hint("merge"), told["fp"] == labels["node"], "left").select("doc_id", "_row", "n", F.coalesce("component", "fp").alias("c"))
+    found = scratch.write(found, "found")
+    scratch.drop(told, labels)
+    least = scratch.write(found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held")), "least")
+    hot = hot_keys(least, "c", "held", found.count())
+    out = salted_join(found, least.select("c", "component_id"), "c", hot, "_row", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.withColumn("component_id", component)
 
-def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, keep_row: bool = False) -> DataFrame:
+
+def _keyed(docs: Aside) -> DataFrame:
+    return docs.rows.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), F.xxhash64(docs["doc_id"], docs["text"]).alias("_row"))
+
+
+def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text).
 
     Words are separated by blanks, A-Z lowered; a text's set holds its distinct k-word
@@ -356,23 +412,10 @@ def ngram_join(docs: DataFrame, k: int = 4, percent: int = 85, keep_row: bool =
     copies share a set and so a component; a null doc_id counts only where all ids of a
     component are null; extra columns are not looked at.
 
-    keep_row adds the hash of the text (_row) and the key of the component (_group).
-
-    Shingles are compared as 64-bit hashes, sets with equal 64-bit fingerprints and
-    equal size as one.
+    Shingles are compared as 64-bit hashes, sets with equal 64-bit fingerprints as one.
     """
-    scratch = Scratch(docs.sparkSession)
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("_row"))
-    told = scratch.write(_described(keyed, k), "told")
-    links = set_links(keyed, told, k, percent, scratch)
-    labels = connected_components(links, scratch)
-    found = told.join(labels.hint("merge"), told["fp"] == labels["node"], "left").select("doc_id", "_row", "n", F.coalesce("component", "fp").alias("c"))
-    found = scratch.write(found, "found")
-    least = found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = found.join(least.hint("merge"), "c", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id")
-    more = ["_row", F.col("c").alias("_group")] if keep_row else []
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component, *more)
+    out = _components(_keyed(Aside(docs)), k, percent, Scratch(docs.sparkSession))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def _described(keyed: DataFrame, k: int) -> DataFrame:
@@ -385,22 +428,24 @@ def _described(keyed: DataFrame, k: int) -> DataFrame:
                 fp.append(fingerprint(s))
                 sketch.append(parity_sketch(s))
             yield pd.DataFrame({"doc_id": f["doc_id"], "_row": f["_row"], "n": n, "fp": fp, "sketch": sketch})
+        give_back()
 
     plain = keyed.select(F.col("doc_id").cast("string").alias("doc_id"), "_row", F.col("text").cast("binary").alias("text"))
     return plain.mapInPandas(run, "doc_id string, _row long, n long, fp long, sketch array<long>").withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def drop_near_copies(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """One row of each group of linked documents: that with the smallest doc_id, then the least text hash.
+    """One row of each group of linked documents: that with the smallest doc_id, then the least hash of id and text; a null id comes last.
 
     Documents without words are all kept, but for repeated rows of one doc_id: rows with equal doc_id and text
-    count as one document.
+    count as one document. All columns stay as they are, whatever their names.
     """
-    whole = docs.withColumns({"_row": F.xxhash64("text"), "_id": F.col("doc_id")})
+    side = Aside(docs)
     scratch = Scratch(docs.sparkSession)
-    joined = scratch.write(ngram_join(docs, k, percent, keep_row=True), "joined")
-    first = joined.where("n_shingles > 0").groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("m"))
-    kept = first.select(F.col("m.doc_id").alias("k_id"), F.col("m._row").alias("k_row")).union(
-        joined.where("n_shingles = 0").select("doc_id", "_row")).distinct()
-    alike = whole["_id"].eqNullSafe(kept["k_id"]) & (whole["_row"] == kept["k_row"])
-    return whole.join(kept.hint("merge"), alike, "left_semi").dropDuplicates(["_id", "_row"]).select(*docs.columns)
+    joined = scratch.write(_components(_keyed(side), k, percent, scratch).select("_row", "doc_id", "n", "c"), "joined")
+    first = joined.where("n > 0").groupBy("c").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "_row")).alias("m"))
+    kept = first.select(F.col("m._row").alias("_row")).union(joined.where("n = 0").select("_row"))
+    kept = scratch.write(kept.distinct(), "kept")
+    scratch.drop(joined)
+    row = F.xxhash64(side["doc_id"], side["text"])
+    return side.rows.withColumn("_row", row).join(kept.hint("merge"), "_row", "left_semi").dropDuplicates(["_row"]).select(*side.back())
