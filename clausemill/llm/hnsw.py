@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components
+from .common import Scratch, connected_components, give_back, hot_keys, salted_join
 from .shingles import distinct
 
 DEGREE = 12
@@ -192,22 +192,28 @@ class Graph:
             return cls(unit, [z[k] for k in z.files], 0)
 
 
-def _unit(raw: bytes, dim: int) -> np.ndarray:
-    x = np.frombuffer(raw, np.float64).reshape(-1, dim)
+def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
 
 
-def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, recall: float, own: bool = False) -> tuple[np.ndarray, np.ndarray]:
-    """(query, vector) of similarity >= least, found by a beam widened until it finds `recall` of what brute force does.
+def _scaled(raw: bytes, dim: int) -> np.ndarray:
+    """Vectors with their largest component between 0.5 and 1: by powers of two, so that no cosine changes and no square leaves the range of doubles."""
+    x = np.frombuffer(raw, np.float64).reshape(-1, dim)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+
+
+def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, recall: float, own: bool = False, most: int = 1 << 21) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(query, vector, whole) of similarity >= least in parts, found by a beam widened until it finds `recall` of what brute force does.
 
     Blocks of queries dealt at random are compared with all vectors until `audit` groups of links are met: a query
-    of k links counts 1/k, so that a crowd is about one group. Where the queries end first, the result is
-    brute force's. own: the queries are the graph's vectors; a vector's link with itself is left out.
+    of k links counts 1/k, so that a crowd is about one group. Where the queries end first, or the links met are more than `most`,
+    brute force goes on to the end. whole says that the part has all links of its queries, by brute force; such parts come first.
+    own: the queries are the graph's vectors; a vector's link with itself is left out.
     """
     n = len(g.unit)
     order = np.random.default_rng(len(q)).permutation(len(q))
-    done, met, true = 0, 0.0, []
-    while done < len(q) and met < audit:
+    done, met, held, true = 0, 0.0, 0, []
+    while done < len(q) and (met < audit or held > most):
         some = order[done : done + BATCH]
         hit = q[some] @ g.unit.T >= least
         if own:
@@ -215,20 +221,80 @@ def _audited(g: Graph, q: np.ndarray, least: float, width: int, audit: int, reca
         links = hit.sum(1)
         met += (1 / links[links > 0]).sum()
         a, v = np.nonzero(hit)
-        true.append((some[a], v))
+        yield some[a], v, True
+        held += len(a)
+        if held <= most:
+            true.append((some[a], v))
         done += len(some)
-    a, v = np.concatenate([x for x, _ in true]), np.concatenate([x for _, x in true])
     if done == len(q):
-        return a, v
+        return
+    a, v = np.concatenate([x for x, _ in true]), np.concatenate([x for _, x in true])
     linked = distinct(a)
     while width < n:
         i, w = g.near(q[linked], least, width, linked if own else None)
         if np.isin(a * n + v, linked[i] * n + w).sum() >= recall * len(a):
             break
         width *= 2
-    rest = order[done:]
-    i, w = g.near(q[rest], least, width, rest if own else None)
-    return np.concatenate([a, rest[i]]), np.concatenate([v, w])
+    for at in range(done, len(q), BATCH):
+        rest = order[at : at + BATCH]
+        i, w = g.near(q[rest], least, width, rest if own else None)
+        i = rest[i]
+        yield (i[i != w], w[i != w], False) if own else (i, w, False)
+
+
+def _hook(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the nodes of each pair are connected: the smallest number of each component."""
+    while True:
+        x, y = root[a], root[b]
+        apart = x != y
+        if not apart.any():
+            return root
+        np.minimum.at(root, np.maximum(x, y)[apart], np.minimum(x, y)[apart])
+        while (root[root] != root).any():
+            root = root[root]
+
+
+def _block_links(g: Graph, q: np.ndarray, x: np.ndarray, y: np.ndarray, nx: np.ndarray, ny: np.ndarray, own: bool, threshold: float, how: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """(others, root) for the vectors x of the graph and behind them, unless they are the same (own), the vectors y of the queries.
+
+    others: how many vectors, copies counted (nx, ny), a vector links with here; root: the smallest vector that links here connect it to. No list of
+    links is kept but of those that only a search found.
+    """
+    n, at_q = len(x), 0 if own else len(x)
+    size = n + (0 if own else len(y))
+    copies = nx if own else np.concatenate([nx, ny])
+    root, there, back, whole = np.arange(size), np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros(size, bool)
+    lx, ly = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
+    pending: list[np.ndarray] = []
+
+    def checked(a: np.ndarray, v: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(a), bool)
+        for at in range(0, len(a), 1 << 14):
+            i, j = a[at : at + (1 << 14)], v[at : at + (1 << 14)]
+            ok[at : at + (1 << 14)] = np.einsum("kd,kd->k", y[i], x[j]) / (ly[i] * lx[j]) >= threshold
+        return ok
+
+    for a, v, complete in _audited(g, q, *how, own):
+        whole[a + at_q] |= complete
+        ok = checked(a, v)
+        a, v = a[ok] + at_q, v[ok]
+        if own and not complete:
+            # links of these with complete ones are known from there; each other is counted once, whichever end found it
+            new = ~whole[v]
+            pending.append(distinct(np.minimum(a, v)[new] * n + np.maximum(a, v)[new]))
+        else:
+            np.add.at(there, a, copies[v])
+            np.add.at(back, v, copies[a])
+            root = _hook(root, a, v)
+    if not own:
+        return there + back, root
+    if pending:
+        pairs = distinct(np.concatenate(pending))
+        a, v = pairs // n, pairs % n
+        np.add.at(there, a, copies[v])
+        np.add.at(there, v, copies[a])
+        root = _hook(root, a, v)
+    return np.where(whole, there, there + back), root
 
 
 def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int = 16384, beam: int = 64, audit: int = 256, recall: float = 1.0) -> DataFrame:
@@ -236,76 +302,73 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
 
     Vectors of one label link when their cosine in double precision is at least threshold.
     Vectors that are null, zero, or hold null or non-finite components, and those without a label, link
-    with nothing; nor do vectors of different length. Repeated rows are further vectors.
-    Extra columns are not looked at.
+    with nothing; nor do vectors of different length. Repeated rows are further vectors; one without a vec_id
+    counts as a link, and is kept. Extra columns are not looked at, whatever their names.
 
     Equal vectors of a label are one entry of the index, with a count. A label's entries go to
     shards of about shard_size by hashed id, each with a graph of its own, and every shard
     is asked for the links of each shard of its label that doesn't come before it: a vector's
     searches grow with the number of shards, so these are as large as one task builds well. A
     beam widens, up to the whole shard, until it finds all links of queries that brute force has
-    found to have some; where too few have any, brute force answers all queries. Links of
+    found to have some; where too few have any, or some have very many, brute force answers all queries. Links of
     vectors found within range are followed, whatever the beam's width; pairs found are
-    checked in double precision.
+    checked in double precision. Of the links of two shards only each vector's number and the forest that connects
+    them leave the task, so that a group of close vectors makes no row per pair.
     """
     scratch = Scratch(vectors.sparkSession)
-    norm = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    largest = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
     fine = F.col("label").isNotNull() & F.col("embedding").isNotNull() & ~F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    rows = vectors.select("vec_id", "label", "embedding", F.coalesce(fine & (norm > 0), F.lit(False)).alias("ok"))
+    rows = vectors.select("vec_id", "label", "embedding").withColumn("ok", F.coalesce(fine & (largest > 0), F.lit(False)))
     key = F.struct(F.xxhash64("label", "embedding").alias("a"), F.xxhash64(F.lit(1), "label", "embedding").alias("b"))
     rows = rows.withColumn("key", F.when(F.col("ok"), key))
     reps = rows.where("ok").groupBy("key").agg(F.min("vec_id").alias("rep"), F.count("*").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding"))
-    reps = scratch.write(reps.withColumn("dim", F.size("embedding")), "reps")
-    group = ["label", "dim"]
-    shards = reps.groupBy(*group).agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"))
-    dealt = reps.withColumn("h", F.xxhash64("key")).join(shards.hint("merge"), group).withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
+    reps = reps.withColumns({"dim": F.size("embedding"), "h": F.xxhash64("key")})
+    reps = scratch.write(reps.withColumn("grp", F.xxhash64("label", "dim")), "reps")
+    # labels whose hashes meet share a number of shards, no more
+    shards = scratch.write(reps.groupBy("grp").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"), F.count("*").alias("n")), "shards")
+    large = hot_keys(shards, "grp", "n", reps.count())
+    dealt = salted_join(reps, shards.drop("n"), "grp", large, "h").withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
         x = np.stack(pdf["embedding"].to_numpy()).astype(np.float64)
-        g = Graph.build(_unit(x.tobytes(), x.shape[1]), int(pdf["shard"].iloc[0]))
+        g = Graph.build(_unit(_scaled(x.tobytes(), x.shape[1])), int(pdf["shard"].iloc[0]))
         first = pdf.iloc[0]
         return pd.DataFrame({"label": [first["label"]], "dim": [first["dim"]], "shard": [first["shard"]], "shards": [first["shards"]],
-                             "ids": [pdf["h"].to_numpy(np.int64).tobytes()], "vecs": [x.tobytes()], "graph": [g.dump()]})
+                             "ids": [pdf["h"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vecs": [x.tobytes()], "graph": [g.dump()]})
 
     label_type = reps.schema["label"].dataType.simpleString()
-    wanted = dealt.select(F.col("label"), "dim", "shard", "shards", "h", "embedding")
-    graphs = wanted.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label_type}, dim int, shard int, shards int, ids binary, vecs binary, graph binary")
+    wanted = dealt.select(F.col("label"), "dim", "shard", "shards", "h", "copies", "embedding")
+    graphs = wanted.groupBy("label", "dim", "shard").applyInPandas(build, f"label {label_type}, dim int, shard int, shards int, ids binary, copies binary, vecs binary, graph binary")
     graphs = scratch.write(graphs, "graphs")
+    group = ["label", "dim"]
     asks = scratch.write(graphs.select(*group, "shard", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("asked")), "asks")
-    index = graphs.select(*group, "shard", "ids", "vecs", "graph")
-    queries = graphs.select(*group, F.col("shard").alias("asked"), F.col("ids").alias("q_ids"), F.col("vecs").alias("q_vecs"))
+    index = graphs.select(*group, "shard", "ids", "copies", "vecs", "graph")
+    queries = graphs.select(*group, F.col("shard").alias("asked"), F.col("ids").alias("q_ids"), F.col("copies").alias("q_copies"), F.col("vecs").alias("q_vecs"))
     work = asks.join(index.hint("merge"), [*group, "shard"]).join(queries.hint("merge"), [*group, "asked"])
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for r in f.itertuples():
-                unit, q = _unit(r.vecs, r.dim), _unit(r.q_vecs, r.dim)
-                g = Graph.load(unit, r.graph)
-                a, v = _audited(g, q, threshold - SLACK, beam, audit, recall, r.shard == r.asked)
-                if r.shard == r.asked:
-                    a, v = np.minimum(a, v), np.maximum(a, v)
-                    both = distinct(a * len(unit) + v)
-                    a, v = both // len(unit), both % len(unit)
-                    a, v = a[a != v], v[a != v]
-                x, y = np.frombuffer(r.vecs, np.float64).reshape(-1, r.dim), np.frombuffer(r.q_vecs, np.float64).reshape(-1, r.dim)
-                nx, ny = np.linalg.norm(x, axis=1), np.linalg.norm(y, axis=1)
-                for at in range(0, len(a), 1 << 14):
-                    i, j = a[at : at + (1 << 14)], v[at : at + (1 << 14)]
-                    cos = np.einsum("kd,kd->k", y[i], x[j]) / (ny[i] * nx[j])
-                    ok = cos >= threshold
-                    if ok.any():
-                        yield pd.DataFrame({"a": np.frombuffer(r.q_ids, np.int64)[i[ok]], "b": np.frombuffer(r.ids, np.int64)[j[ok]]})
-
-    links = scratch.write(work.select("dim", "shard", "asked", "ids", "vecs", "graph", "q_ids", "q_vecs").mapInPandas(search, "a long, b long"), "links")
-    names = scratch.write(reps.select(F.xxhash64("key").alias("h"), "rep", "copies", "key"), "names")
-    both = links.union(links.select("b", "a"))
-    counted = both.join(names.select(F.col("h").alias("b"), "copies").hint("merge"), "b").groupBy("a").agg(F.sum("copies").alias("others"))
-    labels = connected_components(links, scratch)
-    told = names.join(labels.hint("merge"), names["h"] == labels["node"], "left").withColumn("c", F.coalesce("component", "h")).drop("node", "component")
-    told = scratch.write(told.join(counted.hint("merge"), told["h"] == counted["a"], "left").select("key", "rep", "c", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n")), "told")
-    least = told.groupBy("c").agg(F.min("rep").alias("component_id"))
-    told = told.join(least.hint("merge"), "c").select("key", "n", "component_id")
+                own = r.shard == r.asked
+                x, y = _scaled(r.vecs, r.dim), _scaled(r.q_vecs, r.dim)
+                nx, ny = np.frombuffer(r.copies, np.int64), np.frombuffer(r.q_copies, np.int64)
+                g, q = Graph.load(_unit(x), r.graph), _unit(y)
+                others, root = _block_links(g, q, x, y, nx, ny, own, threshold, (threshold - SLACK, beam, audit, recall))
+                ids = np.frombuffer(r.ids if own else r.ids + r.q_ids, np.int64)
+                some = np.flatnonzero(others)
+                yield pd.DataFrame({"h": ids[some], "others": others[some], "root": ids[root[some]]})
+        give_back()
+
+    parts = work.select("dim", "shard", "asked", "ids", "copies", "vecs", "graph", "q_ids", "q_copies", "q_vecs")
+    links = scratch.write(parts.mapInPandas(search, "h long, others long, root long"), "links")
+    scratch.drop(graphs, asks)
+    labels = scratch.write(connected_components(links.select(F.col("h").alias("a"), F.col("root").alias("b")), scratch), "labels")
+    counted = links.groupBy("h").agg(F.sum("others").alias("others"))
+    told = reps.select("h", "rep", "copies", "key").join(counted.hint("merge"), "h", "left").join(labels.withColumnRenamed("node", "h").hint("merge"), "h", "left")
+    told = scratch.write(told.select("key", "rep", F.coalesce("component", "h").alias("c"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n")), "told")
+    least = scratch.write(told.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("held")), "least")
+    told = salted_join(told, least.drop("held"), "c", hot_keys(least, "c", "held", told.count()), "key").select("key", "n", "component_id")
     out = rows.select("vec_id", "key").join(told.hint("merge"), "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

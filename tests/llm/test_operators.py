@@ -9,7 +9,7 @@ from clausemill.llm import context_mixing as cm
 from clausemill.llm.common import connected_components, fold
 from clausemill.llm.common import Scratch
 from clausemill.llm.decontaminate import drop_leaks, find_leaks, myers, normal
-from clausemill.llm.hnsw import Graph, _audited, embedding_links
+from clausemill.llm.hnsw import Graph, _audited, _block_links, embedding_links
 from clausemill.llm.langid import _subwords, predict_language, train_language_id
 from clausemill.llm.licenses import scan_licenses
 from clausemill.llm.lines import dedup_lines
@@ -160,10 +160,45 @@ def test_audit_meets_sparse_links():
     x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
     # a graph without links, whose beams find nothing but their entry
     g = Graph(x[:10000], [np.full((10000, 4), -1, np.int32)], 0)
-    a, v = _audited(g, x[10000:], 0.98, 64, 256, 1.0)
-    assert sorted(zip(a.tolist(), v.tolist())) == [(i, i + j) for i in range(1, 10000, 500) for j in (0, 1)]
-    a, v = _audited(g, g.unit, 0.98, 64, 256, 1.0, own=True)
-    assert {(i, j) for i, j in zip(a.tolist(), v.tolist()) if i != j} == {(i + j, i + 1 - j) for i in range(1, 10000, 500) for j in (0, 1)}
+    def found(*how, **own):
+        parts = list(_audited(g, *how, **own))
+        assert [w for *_, w in parts] == sorted((w for *_, w in parts), reverse=True)
+        return {(int(i), int(j)) for a, v, _ in parts for i, j in zip(a, v)}
+
+    assert found(x[10000:], 0.98, 64, 256, 1.0) == {(i, i + j) for i in range(1, 10000, 500) for j in (0, 1)}
+    assert found(g.unit, 0.98, 64, 256, 1.0, own=True) == {(i + j, i + 1 - j) for i in range(1, 10000, 500) for j in (0, 1)}
+    # with a bound on what is kept, brute force answers all
+    assert found(x[10000:], 0.98, 64, 1, 1.0, most=1) == {(i, i + j) for i in range(1, 10000, 500) for j in (0, 1)}
+
+
+def test_block_links_count_each_pair_once():
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(40, 16))
+    x = np.concatenate([base + rng.normal(size=base.shape) * 0.03 for _ in range(12)] + [rng.normal(size=(600, 16))])
+    x = x[rng.permutation(len(x))]
+    copies = rng.integers(1, 4, len(x))
+    unit = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    g = Graph.build(unit, 1)
+    hit = unit.astype(float) @ unit.T.astype(float) >= 0.98
+    np.fill_diagonal(hit, False)
+    for audit in (3, 10**6):  # mostly searched, all by brute force
+        others, root = _block_links(g, unit, x, x, copies, copies, True, 0.98, (0.98 - 1e-5, 64, audit, 1.0))
+        assert (others == hit @ copies).all()
+        want = brute.components(range(len(x)), list(zip(*map(list, np.nonzero(hit)))))
+        assert root.tolist() == [want[i] for i in range(len(x))]
+    half = len(x) // 2
+    left = Graph.build(unit[:half], 1)
+    others, root = _block_links(left, unit[half:], x[:half], x[half:], copies[:half], copies[half:], False, 0.98, (0.98 - 1e-5, 64, 3, 1.0))
+    across = hit.copy()
+    across[:half, :half] = across[half:, half:] = False
+    assert (others == across @ copies).all()
+
+
+def test_embeddings_of_extreme_size(spark):
+    rows = [(0, [1e-170, 1e-170], 1), (1, [1e-170, 1e-170], 1), (2, [1e160, 2e160], 1), (3, [2e160, 4e160], 1), (3, [2e160, 4e160], 1), (5, [1.0, -1.0], None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({"rep": F.lit(1), "h": F.lit(2), "shard": F.lit(3)})
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in embedding_links(df).collect())
+    assert got == [(0, 1, 0), (1, 1, 0), (2, 2, 2), (3, 2, 2), (3, 2, 2), (5, 0, 5)]
 
 
 def test_mix(docs, texts):
@@ -233,6 +268,7 @@ def test_ngram_join_of_crowds(spark, texts, monkeypatch):
 
     monkeypatch.setattr(module.set_links, "__defaults__", (2, 16 << 20))
     monkeypatch.setattr(module.crowd_links, "__defaults__", (3,))
+    monkeypatch.setattr(module, "ELEMENTS", 300)
     df = spark.createDataFrame(texts, "doc_id long, text string")
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join(df, 3, 60).collect()} == brute.ngram_join(texts, 3, 60)
 
