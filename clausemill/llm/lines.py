@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from .common import Scratch, ascii_lower, row_key
+from .common import Aside, Scratch, ascii_lower, hot_keys, row_key, salted_join
 
 BLANK = " \t\n\x0b\x0c\r"
 SEGMENT_BITS = 19
@@ -71,6 +71,7 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_pe
     code points that at least min_docs documents hold stays only in the document with the
     largest doc_id among them (with every occurrence there). Documents are told apart by
     doc_id; a null id counts as smallest, and repeated rows of one id as one document.
+    Extra columns stay, but for those named like an added one, which gives the added one's values.
 
     The filters have bits_per_line bits a line, at most 2**max_bits in all (a proven
     bound on what is broadcast); a fuller filter only passes more lines on to the exact
@@ -78,9 +79,13 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_pe
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    row = row_key("doc_id", "text")
-    key = F.btrim(ascii_lower(F.col("line")), F.lit(BLANK))
-    lines = docs.select("doc_id", row.alias("_row"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n", -1)).alias("line_no", "line"))
+    side = Aside(docs)
+    row = row_key(side["doc_id"], side["text"])
+    text = F.coalesce(side["text"], F.lit(""))
+    key = F.btrim("line", F.lit(BLANK))
+    # lower-casing makes a string per character: only for lines that need it
+    key = F.when(F.regexp_like("line", F.lit("[A-Z]")), ascii_lower(key)).otherwise(key)
+    lines = side.rows.select(side["doc_id"].alias("doc_id"), row.alias("_row"), F.posexplode(F.split(text, "\n", -1)).alias("line_no", "line"))
     lines = lines.where(F.length("line") >= min_chars).withColumn("line", key).where(F.length("line") >= min_chars)
     lines = scratch.write(lines.select("doc_id", "_row", "line_no", F.unhex(F.sha2("line", 256)).alias("sha"), F.xxhash64("line").alias("h")), "lines")
     n = lines.count()
@@ -98,17 +103,20 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, bits_pe
     suspects = scratch.write(lines.where(seen_again("h")).drop("h"), "suspects")
     scratch.drop(lines)
     held = suspects.select("sha", "doc_id").distinct().groupBy("sha").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    confirmed = held.where(F.col("n") >= min_docs).select("sha", "keeper")
-    drops = suspects.join(confirmed.hint("merge"), "sha").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
-    drops = drops.groupBy("_row").agg(F.collect_set("line_no").alias("_drop"))
-    out = docs.withColumn("_row", row).join(drops.hint("merge"), "_row", "left")
-    split = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    confirmed = scratch.write(held.where(F.col("n") >= min_docs), "confirmed")
+    hot = hot_keys(confirmed, "sha", "n", suspects.count())
+    drops = salted_join(suspects, confirmed.select("sha", "keeper"), "sha", hot, "_row").where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
+    drops = scratch.write(drops.groupBy("_row").agg(F.collect_set("line_no").alias("_drop")), "drops")
+    scratch.drop(suspects, confirmed)
+    out = side.rows.withColumn("_row", row).join(drops.hint("merge"), "_row", "left")
+    split = F.split(text, "\n", -1)
     out = out.withColumn("n_lines", F.size(split).cast("long"))
     stay = F.array_except(F.sequence(F.lit(0), (F.col("n_lines") - 1).cast("int")), F.col("_drop"))
     # the one-element array binds the lines to a variable, so that they are split once
     rebuilt = F.transform(F.array(split), lambda all_lines: F.array_join(F.transform(stay, lambda i: F.get(all_lines, i)), "\n"))[0]
     out = out.withColumns({
         "n_dropped": F.coalesce(F.size("_drop"), F.lit(0)).cast("long"),
-        "kept_text": F.when(F.col("_drop").isNull(), F.coalesce("text", F.lit(""))).otherwise(rebuilt),
+        "kept_text": F.when(F.col("_drop").isNull(), text).otherwise(rebuilt),
     })
-    return out.select(*docs.columns, "n_lines", "n_dropped", "kept_text")
+    added = ("n_lines", "n_dropped", "kept_text")
+    return out.select(*side.back(*added), *added)
