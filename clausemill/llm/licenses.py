@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Scratch, row_key
+from .common import Aside, Scratch, row_key
 
 K = 3
 
@@ -57,7 +57,8 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     and the span counts if its distinct template grams cover least_share of the template.
     score is the best cover (1 where a phrase is found, 0 where nothing is).
 
-    Null and empty texts have no words; repeated rows give the same again; extra columns stay.
+    Null and empty texts have no words; repeated rows give the same again; of templates with equal cover all
+    labels come. Extra columns stay, but for those named like an added one, which gives the added one's values.
     Templates are a fixed list of a few hundred grams and are broadcast.
     """
     spark = docs.sparkSession
@@ -77,9 +78,10 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
             found.append([{"gram": g, "pos": i} for g, i in got])
         return pd.DataFrame({"n_words": n, "hits": found})
 
-    row = row_key(*docs.columns)
-    told = docs.withColumn("_row", row)
-    seen = told.select("_row", hits(F.col("text").cast("binary")).alias("h"))
+    side = Aside(docs)
+    row = row_key(*side.every())
+    told = side.rows.withColumn("_row", row)
+    seen = told.select("_row", hits(side["text"].cast("binary")).alias("h"))
     seen = scratch.write(seen.select("_row", "h.n_words", "h.hits").dropDuplicates(["_row"]), "hits")
     template = spark.createDataFrame(rows, "template string, label string, exact boolean, n_grams int, at int, gram binary")
     votes = seen.select("_row", F.explode("hits").alias("hit")).select("_row", "hit.gram", "hit.pos")
@@ -100,7 +102,7 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     out = told.join(found.hint("merge"), "_row")
     joined = lambda c: F.array_join(F.array_sort(F.array_distinct(c)), ",")
     return out.select(
-        *docs.columns, "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
+        *side.back("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"), "n_words", F.coalesce("n_base", F.lit(0)).cast("long").alias("n_base"), "first_word", "last_word",
         joined(F.coalesce("_base", none)).alias("base_labels"),
         joined(F.concat(F.coalesce("_base", none), F.coalesce("_more", none))).alias("labels"),
         F.when(F.col("n_base").isNotNull(), 1.0).otherwise(F.coalesce("_share", F.lit(0.0))).alias("score"),

@@ -9,7 +9,7 @@ from re import _parser as parser
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Aside, Scratch
 
 
 @dataclass(frozen=True)
@@ -112,7 +112,8 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs with secrets: array of (start, kind_no, kind, end), sorted; kind_no is the rule's place in rules.
 
     For each rule, leftmost non-overlapping matches, of which those too short are
-    dropped. Null text has none; repeated rows have the same; extra columns stay.
+    dropped. Null text has none; repeated rows have the same; extra columns stay, but for one
+    named secrets, whose place the result takes.
 
     Each rule's pattern gives a Boolean trigram query. The index holds the postings of
     all trigrams that some query names; a row is a candidate for a rule where some
@@ -121,10 +122,11 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     all texts. Joining candidates back moves each text once.
     """
     scratch = Scratch(docs.sparkSession)
-    row = F.xxhash64(*docs.columns)
+    side = Aside(docs)
+    row = F.xxhash64(*side.every())
     queries = {r.kind: trigram_query(r.pattern) for r in rules}
     terms = [(kind, alt, len(need), t) for kind, q in queries.items() for alt, need in enumerate(q) for t in sorted(need)]
-    told = docs.withColumn("_row", row)
+    told = side.rows.withColumns({"_row": row, "text": side["text"]})
     if terms:
         query = docs.sparkSession.createDataFrame(terms, "kind string, alt int, need int, trigram string")
         postings = trigram_postings(told, sorted({t[3] for t in terms}), "_row")
@@ -142,7 +144,7 @@ def scan_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
             spans = F.when(F.array_contains("_kinds", r.kind), spans)
         spans = F.coalesce(spans, F.array().cast("array<struct<start:int,end:int>>"))
         found.append(F.transform(spans, _named(no, r.kind)))
-    return told.withColumn("secrets", F.array_sort(F.concat(*found))).select(*docs.columns, "secrets")
+    return told.withColumn("secrets", F.array_sort(F.concat(*found))).select(*side.back("secrets"), "secrets")
 
 
 def listed(spans: Column) -> Column:
