@@ -274,7 +274,7 @@ def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     return dealt.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
 
 
-ELEMENTS = 1 << 20  # shingles that a task compares at a time
+ELEMENTS = 1 << 21  # shingles that a task compares at a time
 
 
 def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: Scratch, crowd: int = 64, block_bytes: int = 6 << 20) -> DataFrame:
@@ -296,7 +296,7 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     met = scratch.write(_meetings(docs, k, percent, schemes, buckets, block_bytes), "met")
 
     first = met.groupBy("fp").agg(F.min("leader").alias("a")).where("a <> fp").select("a", F.col("fp").alias("b"))
-    links = _verified(first, docs, sets, k, percent, scratch)
+    links = _compared(_close(first, sets, percent, scratch).withColumn("key", F.col("a")), docs, sets, k, percent, scratch)
     labels = scratch.write(connected_components(links, scratch), "labels")
     known = met.join(labels.hint("merge"), F.col("fp") == F.col("node"), "left").select("sig", "fp", F.coalesce("component", "fp").alias("component"))
     known = scratch.write(known, "known")
@@ -312,7 +312,7 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     alike = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
     pairs = l.join(r.hint("merge"), met_again & alike)
     pairs = pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
-    all_links = links.union(_verified(pairs, docs, sets, k, percent, scratch))
+    all_links = _connecting(_close(pairs, sets, percent, scratch), links, docs, sets, k, percent, scratch)
     if not hot.isEmpty():
         all_links = all_links.union(scratch.write(crowd_links(hot, docs, sets, k, percent, scratch), "crowd_links"))
     scratch.drop(sets, open_)
@@ -340,12 +340,8 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratc
     return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set binary"), "members")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
-    """The pairs (a, b) whose sets have 100 * intersection >= percent * union: sketches first, then whole sets.
-
-    Whole sets don't travel. Pairs are dealt to groups of about ELEMENTS shingles by their a (one with more partners
-    than that, by its partners as well), and a group gets the text of each of its sets once.
-    """
+def _close(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """(a, b, an, bn): the pairs that sizes and sketches don't tell apart."""
     pairs = scratch.write(pairs, "pairs")
     hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", pairs.count())
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
@@ -355,14 +351,25 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     close = close.where(_apart(F.col("ask"), F.col("bsk")) * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
     close = scratch.write(close.select("a", "b", "an", "bn"), "close")
     scratch.drop(pairs)
-    rows, size = close.agg(F.count("*"), F.coalesce(F.sum(F.col("an") + F.col("bn")), F.lit(0))).first()
-    groups = max(1, math.ceil(size / ELEMENTS))
-    partners = scratch.write(close.groupBy("a").agg(F.count("*").alias("n"), F.ceil(F.sum("bn") * 4 / ELEMENTS).cast("int").alias("slots")), "partners")
-    slots = partners.where("slots > 1").select("a", "slots")
-    dealt = salted_join(close, slots, "a", hot_keys(partners, "a", "n", rows), "b", "left")
-    slot = F.pmod(F.xxhash64("b"), F.coalesce("slots", F.lit(1)))
-    dealt = scratch.write(dealt.select("a", "b", F.pmod(F.xxhash64("a", slot), F.lit(groups)).alias("g")), "dealt")
-    scratch.drop(close, partners)
+    return close
+
+
+def _compared(close: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
+    """The pairs of close (a, b, an, bn, key) whose sets have 100 * intersection >= percent * union.
+
+    Whole sets don't travel. Pairs are dealt to groups of about ELEMENTS shingles by their key, pairs of a key with more
+    than that by a and b as well, and a group gets the text of each of its sets once.
+    """
+    close = close.select("key", "a", "b", "an", "bn")
+    held = close.select("key", F.col("a").alias("fp"), F.col("an").alias("n")).union(close.select("key", "b", "bn")).distinct()
+    keys = scratch.write(held.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n")), "keys")
+    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    slots = keys.where(F.col("size") > ELEMENTS).select("key", F.ceil(F.col("size") * 2 / ELEMENTS).cast("int").alias("slots"))
+    dealt = salted_join(close, slots, "key", hot_keys(keys, "key", "n", rows), "b", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    slot = lambda c: F.pmod(F.xxhash64(c), F.col("slots"))
+    group = F.when(F.col("slots") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, math.ceil(total / ELEMENTS))))).otherwise(F.xxhash64("key", slot("a"), slot("b")))
+    dealt = scratch.write(dealt.select("a", "b", group.alias("g")), "dealt")
+    scratch.drop(keys)
     members = dealt.select(F.col("g").alias("group"), F.col("a").alias("fp")).union(dealt.select("g", F.col("b"))).distinct()
     members = members.join(sets.select("fp", "_row").hint("merge"), "fp")
     texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(members.hint("merge"), "_row")
@@ -383,6 +390,38 @@ def _verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     return found
 
 
+def _open(close: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs of close whose ends labels (node, component) don't connect, with key, the component of a."""
+    of = lambda end, name: labels.select(F.col("node").alias(end), F.col("component").alias(name)).hint("merge")
+    rows = close.join(of("a", "_ca"), "a", "left").join(of("b", "_cb"), "b", "left")
+    rows = rows.withColumns({"_ca": F.coalesce("_ca", "a"), "_cb": F.coalesce("_cb", "b")})
+    return rows.where("_ca <> _cb").select("a", "b", "an", "bn", F.col("_ca").alias("key"))
+
+
+def _connecting(close: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, rounds: int = 3) -> DataFrame:
+    """links, and those of close that connect what all links of close connect.
+
+    Sets that many pairs connect need few of them compared: rounds that compare each b with one a only leave out pairs that are connected
+    by then. Pairs that no round decides are all compared.
+    """
+    for _ in range(rounds):
+        pairs, ends = close.agg(F.count("*"), F.count_distinct("b")).first()
+        if pairs <= 2 * ends:
+            break
+        one = close.groupBy("b").agg(F.min(F.struct("a", "an", "bn")).alias("m")).select("m.a", "b", "m.an", "m.bn", F.col("m.a").alias("key"))
+        one = scratch.write(one, "one")
+        links = links.union(_compared(one, docs, sets, k, percent, scratch))
+        labels = scratch.write(connected_components(links, scratch), "labels")
+        rest = close.join(one.select("a", "b").hint("merge"), ["a", "b"], "left_anti")
+        rest = scratch.write(_open(rest, labels).drop("key"), "close")
+        scratch.drop(one, labels, close)
+        close = rest
+    labels = scratch.write(connected_components(links, scratch), "labels")
+    out = links.union(_compared(scratch.write(_open(close, labels), "left"), docs, sets, k, percent, scratch))
+    scratch.drop(close, labels)
+    return out
+
+
 def _components(keyed: DataFrame, k: int, percent: int, scratch: Scratch) -> DataFrame:
     """(doc_id, _row, n, c, component_id) for every row of keyed (doc_id, _row, text); c is the key of the component."""
     told = scratch.write(_described(keyed, k), "told")
