@@ -8,6 +8,8 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -153,6 +155,12 @@ def hot_keys(counts: DataFrame, key: str, n: str, rows: int) -> list:
     return [r[0] for r in counts.where(F.col(n) > rows / HOT_SHARE).select(key).collect()]
 
 
+def heavy_values(table: DataFrame, column: str) -> list[int]:
+    """Values of a long column that may hold more than a HOT_SHARE-th of all rows, in one pass: fewer than 2 * HOT_SHARE, whatever the input."""
+    rows, top = table.agg(F.count("*"), F.expr(f"approx_top_k({column}, {HOT_SHARE})")).first()
+    return [t["item"] for t in top if t["count"] > rows / HOT_SHARE] if rows >= 8 * HOT_SHARE else []
+
+
 def salted_join(large: DataFrame, small: DataFrame, key: str, hot: list, spread: str, how: str = "inner") -> DataFrame:
     """large joined to small, which has one row for each key; rows of hot keys are spread over SALTS tasks by their spread column."""
     if not hot:
@@ -175,32 +183,60 @@ def numbered(rows: DataFrame, key: str, scratch: Scratch, parts: int = 256) -> D
     return out.withColumn("_no", F.col("_offset") + F.col("_own")).drop("_part", "_offset", "_own")
 
 
+def _forest(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Edges (a, b) of a task as edges (u, v) from each node to the smallest one that edges at hand connect it to; handed on at `most` nodes."""
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[up]
+        return x
+
+    def out() -> pd.DataFrame:
+        ends = [(x, find(x)) for x in parent]
+        parent.clear()
+        return pd.DataFrame([e for e in ends if e[0] != e[1]], columns=["u", "v"], dtype=np.int64)
+
+    for f in frames:
+        for a, b in zip(f["a"].tolist(), f["b"].tolist(), strict=True):
+            x, y = find(a), find(b)
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+        if len(parent) > most:
+            yield out()
+    yield out()
+
+
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
-    """(node, component) for every node of edges (a, b): component is the smallest node reachable.
+    """(node, component) for every node of edges (a, b), longs: component is the smallest node reachable.
 
-    Alternating large-star and small-star rounds; each round is two groupings by
-    node, and writes its edges to the shared folder. Edge lists never meet in one
-    group: a round sends every neighbour to the group's minimum, found beforehand
+    Every task first reduces the edges it holds to a forest. Alternating large-star and small-star rounds
+    follow until nothing changes; each round is two groupings by node, and writes its edges to the shared folder. Edge lists never
+    meet in one group: a round sends every neighbour to the group's minimum, found beforehand
     by a partial aggregate and joined back. Hubs, of which there are few, are salted in that join.
     """
-    und = edges.select("a", "b").where("a <> b")
-    cur = scratch.write(und.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "cc")
-    before = None
+    und = edges.select("a", "b").where("a <> b").distinct()
+    cur = scratch.write(und.mapInPandas(_forest, "u long, v long"), "cc")
+
+    def state() -> tuple:
+        rows, mark, top = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.expr(f"approx_top_k(v, {HOT_SHARE})")).first()
+        return (rows, mark), [t["item"] for t in top if t["count"] > rows / HOT_SHARE] if rows >= 8 * HOT_SHARE else []
+
+    before, hubs = state()
     for _ in range(max_rounds):
         # large star: neighbours larger than u go to the minimum of u and its neighbours
         both = cur.select("u", "v").union(cur.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        hubs = hot_keys(low, "u", "n", 2 * cur.count())
-        large = salted_join(both.where("v > u"), low.select("u", F.least("u", "m").alias("m")), "u", hubs, "v")
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = salted_join(both.where("v > u"), low, "u", hubs, "v")
         large = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         # small star: u (the larger end) and its smaller neighbours go to their minimum; few are smaller, as edges point to minima by now
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         step = large.join(low.hint("merge"), "u")
         small = step.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").union(low.select("u", F.col("m").alias("v"))).distinct()
         nxt = scratch.write(small, "cc")
-        now = nxt.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         scratch.drop(cur)
         cur = nxt
+        now, hubs = state()
         if now == before:
             break
         before = now

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, give_back, hot_keys, salted_join
+from .common import Scratch, connected_components, give_back, heavy_values, salted_join
 from .shingles import distinct
 
 DEGREE = 12
@@ -325,9 +325,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
     reps = reps.withColumns({"dim": F.size("embedding"), "h": F.xxhash64("key")})
     reps = scratch.write(reps.withColumn("grp", F.xxhash64("label", "dim")), "reps")
     # labels whose hashes meet share a number of shards, no more
-    shards = scratch.write(reps.groupBy("grp").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards"), F.count("*").alias("n")), "shards")
-    large = hot_keys(shards, "grp", "n", reps.count())
-    dealt = salted_join(reps, shards.drop("n"), "grp", large, "h").withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
+    shards = scratch.write(reps.groupBy("grp").agg(F.ceil(F.count("*") / shard_size).cast("int").alias("shards")), "shards")
+    dealt = salted_join(reps, shards, "grp", heavy_values(reps, "grp"), "h").withColumn("shard", F.pmod("h", F.col("shards")).cast("int"))
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("h")
@@ -367,8 +366,8 @@ def embedding_links(vectors: DataFrame, threshold: float = 0.98, shard_size: int
     counted = links.groupBy("h").agg(F.sum("others").alias("others"))
     told = reps.select("h", "rep", "copies", "key").join(counted.hint("merge"), "h", "left").join(labels.withColumnRenamed("node", "h").hint("merge"), "h", "left")
     told = scratch.write(told.select("key", "rep", F.coalesce("component", "h").alias("c"), (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n")), "told")
-    least = scratch.write(told.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("held")), "least")
-    told = salted_join(told, least.drop("held"), "c", hot_keys(least, "c", "held", told.count()), "key").select("key", "n", "component_id")
+    least = scratch.write(told.groupBy("c").agg(F.min("rep").alias("component_id")), "least")
+    told = salted_join(told, least, "c", heavy_values(told, "c"), "key").select("key", "n", "component_id")
     out = rows.select("vec_id", "key").join(told.hint("merge"), "key", "left")
     component = F.coalesce("component_id", "vec_id")
     return out.select("vec_id", F.coalesce("n", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Aside
+from .common import Aside, give_back
 
 BITS = 18
 DIM = 16
@@ -186,8 +186,11 @@ def train_language_id(docs: DataFrame, where: Column, sample_docs: int = 6000, e
         return pd.Series([_packed_counts(t) for t in text])
 
     sample = rows.where(F.col("k") <= drawn[-1]).select("k", "lang", packed("text").alias("counts")).dropDuplicates(["k"])
-    got = sorted((r["k"], r["lang"], r["counts"]) for r in sample.toLocalIterator())
-    return _fit([_unpacked_counts(c) for _, _, c in got], [x for _, x, _ in got], epochs, rate, seed)
+    got = sorted((r["k"], r["lang"], bytes(r["counts"])) for r in sample.toLocalIterator())
+    model = _fit([_unpacked_counts(c) for _, _, c in got], [x for _, x, _ in got], epochs, rate, seed)
+    got.clear()
+    give_back()
+    return model
 
 
 def _predicted(docs: DataFrame, model: LanguageModel | None, text: Column, chunk_bytes: int) -> DataFrame:

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Aside, Scratch, connected_components, give_back, hot_keys, salted_join, shuffle_partitions
+from .common import Aside, Scratch, connected_components, give_back, heavy_values, hot_keys, salted_join, shuffle_partitions
 from .shingles import distinct, mix, shingle_set
 
 
@@ -257,10 +257,10 @@ def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     crowds = scratch.write(connected_components(edges, scratch), "crowds").select(F.col("node").alias("fp"), F.col("component").alias("crowd"))
     members = hot.select("fp", "component").distinct().join(crowds.hint("merge"), "fp")
     counted = crowds.join(sets.select("fp", "n").hint("merge"), "fp").groupBy("crowd")
-    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"), F.count("*").alias("n"))
+    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"))
     sizes = scratch.write(sizes, "sizes")
-    big = hot_keys(sizes, "crowd", "n", crowds.count())
-    members = salted_join(members, sizes.drop("n"), "crowd", big, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    big = heavy_values(crowds, "crowd")
+    members = salted_join(members, sizes, "crowd", big, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
     members = members.join(_sets_of(hot.select("fp").distinct(), docs, sets, k, scratch).hint("merge"), "fp")
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "set")
@@ -343,7 +343,7 @@ def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratc
 def _close(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b, an, bn): the pairs that sizes and sketches don't tell apart."""
     pairs = scratch.write(pairs, "pairs")
-    hot = hot_keys(pairs.groupBy("a").agg(F.count("*").alias("n")), "a", "n", pairs.count())
+    hot = heavy_values(pairs, "a")
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
     close = salted_join(pairs, a, "a", hot, "b").join(b.hint("merge"), "b")
@@ -363,9 +363,12 @@ def _compared(close: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     close = close.select("key", "a", "b", "an", "bn")
     held = close.select("key", F.col("a").alias("fp"), F.col("an").alias("n")).union(close.select("key", "b", "bn")).distinct()
     keys = scratch.write(held.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n")), "keys")
-    total, rows = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    total, rows, large = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("size") > ELEMENTS, 1))).first()
     slots = keys.where(F.col("size") > ELEMENTS).select("key", F.ceil(F.col("size") * 2 / ELEMENTS).cast("int").alias("slots"))
-    dealt = salted_join(close, slots, "key", hot_keys(keys, "key", "n", rows), "b", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    if large:
+        dealt = salted_join(close, slots, "key", hot_keys(keys, "key", "n", rows), "b", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
+    else:
+        dealt = close.withColumn("slots", F.lit(1))
     slot = lambda c: F.pmod(F.xxhash64(c), F.col("slots"))
     group = F.when(F.col("slots") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, math.ceil(total / ELEMENTS))))).otherwise(F.xxhash64("key", slot("a"), slot("b")))
     dealt = scratch.write(dealt.select("a", "b", group.alias("g")), "dealt")
@@ -398,7 +401,7 @@ def _open(close: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where("_ca <> _cb").select("a", "b", "an", "bn", F.col("_ca").alias("key"))
 
 
-def _connecting(close: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, rounds: int = 3) -> DataFrame:
+def _connecting(close: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, rounds: int = 2) -> DataFrame:
     """links, and those of close that connect what all links of close connect.
 
     Sets that many pairs connect need few of them compared: rounds that compare each b with one a only leave out pairs that are connected
@@ -430,9 +433,8 @@ def _components(keyed: DataFrame, k: int, percent: int, scratch: Scratch) -> Dat
     found = told.join(labels.hint("merge"), told["fp"] == labels["node"], "left").select("doc_id", "_row", "n", F.coalesce("component", "fp").alias("c"))
     found = scratch.write(found, "found")
     scratch.drop(told, labels)
-    least = scratch.write(found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("held")), "least")
-    hot = hot_keys(least, "c", "held", found.count())
-    out = salted_join(found, least.select("c", "component_id"), "c", hot, "_row", "left")
+    least = scratch.write(found.where("n > 0").groupBy("c").agg(F.min("doc_id").alias("component_id")), "least")
+    out = salted_join(found, least, "c", heavy_values(found, "c"), "_row", "left")
     component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.withColumn("component_id", component)
 
