@@ -105,10 +105,6 @@ def _apart(x: Column, y: Column) -> Column:
     return F.coalesce(F.aggregate(differ, F.lit(0), lambda acc, n: acc + n), F.lit(0))
 
 
-def _signed(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.uint64).view(np.int64)
-
-
 def fingerprint(s: np.ndarray) -> int:
     """64 bits of a whole set, 0 for the empty one."""
     if not len(s):
@@ -198,80 +194,87 @@ def _same(s: np.ndarray, t: np.ndarray) -> int:
     return int((both[1:] == both[:-1]).sum())
 
 
-def _crowd_links(x: pd.DataFrame, percent: int, within: bool, half: int) -> list[tuple[int, int]]:
-    """Links that connect what links connect among the sets of x (fp, component, set): all of them, or the first half to the others.
+def _crowd_pairs(x: pd.DataFrame, percent: int, within: bool, half: int, one: bool) -> pd.DataFrame:
+    """(a, b, an, bn): pairs of sets of x (fp, component, n, sketch) in different components that sizes and sketches don't tell apart.
 
-    Sketches of all are compared as bit matrices; the pairs left are verified on whole
-    sets, but for those that are connected by then.
+    Of all sets, or of the first half with the others. one: of each set only the pair with the least other set.
     """
-    sets = [np.frombuffer(r, np.uint64) for r in x["set"]]
-    n = np.array([len(s) for s in sets])
-    raw = [parity_sketch(s).view(np.uint64) for s in sets]
-    parent: dict[int, int] = {c: c for c in x["component"]}
-
-    def find(c: int) -> int:
-        while parent[c] != c:
-            parent[c] = parent[parent[c]]
-            c = parent[c]
-        return c
-
-    fp, comp = x["fp"].tolist(), x["component"].tolist()
-    found = []
+    raw = [np.asarray(r, np.int64).view(np.uint64) for r in x["sketch"]]
+    n, fp, comp = (x[c].to_numpy(np.int64) for c in ("n", "fp", "component"))
     widths = np.array([len(r) for r in raw])
+    by_size = np.argsort(n, kind="stable")
+    found: list[tuple[np.ndarray, np.ndarray]] = []
     for width in np.unique(widths):
         # wider sketches fold to this width; partners are at most one width apart
-        own = np.flatnonzero(widths == width)
-        near = np.flatnonzero((widths == width) | (widths == 2 * width))
+        own = by_size[widths[by_size] == width]
+        near = by_size[(widths[by_size] == width) | (widths[by_size] == 2 * width)]
         table = np.array([raw[i] if len(raw[i]) == width else raw[i][:width] ^ raw[i][width:] for i in near])
-        step = max(1, (1 << 22) // max(1, table.size))
-        for at in range(0, len(own), step):
-            rows = own[at : at + step]
+        sizes = n[near]
+        at = 0
+        while at < len(own):
+            # sets in the order of their sizes: partners are a range
+            lo = np.searchsorted(sizes, math.ceil(n[own[at]] * percent / 100))
+            hi = np.searchsorted(sizes, n[own[at]] * 100 // percent, "right")
+            rows = own[at : at + max(1, (1 << 21) // max(1, (hi - lo) * width))]
+            hi = np.searchsorted(sizes, n[rows[-1]] * 100 // percent, "right")
+            at += len(rows)
+            some = near[lo:hi]
             mine = np.array([raw[i] for i in rows])
-            apart = np.bitwise_count(mine[:, None, :] ^ table[None, :, :]).sum(2, dtype=np.int64)
-            ok = apart * (100 + percent) <= (n[rows][:, None] + n[near][None, :]) * (100 - percent)
+            apart = np.bitwise_count(mine[:, None, :] ^ table[None, lo:hi, :]).sum(2, dtype=np.int64)
+            ok = apart * (100 + percent) <= (n[rows][:, None] + n[some][None, :]) * (100 - percent)
+            ok &= comp[rows][:, None] != comp[some][None, :]
             if within:
-                ok &= (rows[:, None] < near[None, :]) | (widths[near][None, :] > width)
+                ok &= (rows[:, None] < some[None, :]) | (widths[some][None, :] > width)
             else:
-                ok &= (rows[:, None] < half) != (near[None, :] < half)
-            for i, j in zip(*np.nonzero(ok), strict=True):
-                a, b = int(rows[i]), int(near[j])
-                ca, cb = find(comp[a]), find(comp[b])
-                if ca == cb:
-                    continue
-                same = _same(sets[a], sets[b])
-                if 100 * same >= percent * (n[a] + n[b] - same):
-                    parent[max(ca, cb)] = min(ca, cb)
-                    found.append((min(fp[a], fp[b]), max(fp[a], fp[b])))
-    return found
+                ok &= (rows[:, None] < half) != (some[None, :] < half)
+            if one:
+                held = np.flatnonzero(ok.any(1))
+                least = np.where(ok[held], fp[some][None, :], np.iinfo(np.int64).max).argmin(1)
+                found.append((rows[held], some[least]))
+            else:
+                i, j = np.nonzero(ok)
+                found.append((rows[i], some[j]))
+    i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    flip = fp[i] > fp[j]
+    i, j = np.where(flip, j, i), np.where(flip, i, j)
+    return pd.DataFrame({"a": fp[i], "b": fp[j], "an": n[i], "bn": n[j]})
 
 
-def crowd_links(hot: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096, *, elements: int = 1 << 21) -> DataFrame:
-    """Links (a, b) among sets that meet in crowded entries; hot has (sig, fp, component).
+def crowd_links(hot: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096, *, elements: int = 1 << 24) -> DataFrame:
+    """links, and those among sets that meet in crowded entries; hot has (sig, fp).
 
     Sets that crowded entries chain together form a crowd. A crowd is dealt to blocks of about
-    `block` sets, or fewer where those hold more than `elements` shingles, and every two of its blocks are compared in one task: with bit operations
-    on sketches, so that a crowd of many texts that are alike, but not enough to link, needs no row per pair.
+    `block` sets, or fewer where those hold more than `elements` shingles, and every two of its blocks are compared in one task, by bit operations
+    on sketches, so that a crowd of many texts that are alike, but not enough to link, needs no row per pair. A first round takes
+    one pair of each set, a second one all pairs in components that are still apart; the pairs are then compared as wholes.
     """
     lead = hot.groupBy("sig").agg(F.min("fp").alias("a"))
     edges = hot.join(lead.hint("merge"), "sig").select("a", F.col("fp").alias("b")).distinct()
     crowds = scratch.write(connected_components(edges, scratch), "crowds").select(F.col("node").alias("fp"), F.col("component").alias("crowd"))
-    members = hot.select("fp", "component").distinct().join(crowds.hint("merge"), "fp")
-    counted = crowds.join(sets.select("fp", "n").hint("merge"), "fp").groupBy("crowd")
-    sizes = counted.agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"))
-    sizes = scratch.write(sizes, "sizes")
-    big = heavy_values(crowds, "crowd")
-    members = salted_join(members, sizes, "crowd", big, "fp").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    members = members.join(_sets_of(hot.select("fp").distinct(), docs, sets, k, scratch).hint("merge"), "fp")
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "set")
+    members = crowds.join(sets.select("fp", "n", "sketch").hint("merge"), "fp")
+    sizes = members.groupBy("crowd").agg(F.ceil(F.greatest(F.count("*") / block, F.sum("n") / elements)).cast("int").alias("blocks"))
+    members = salted_join(members, scratch.write(sizes, "sizes"), "crowd", heavy_values(crowds, "crowd"), "fp")
+    members = scratch.write(members.withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")), "members")
+
+    def comparing(one: bool):
+        def compare(pdf: pd.DataFrame) -> pd.DataFrame:
+            first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+            pdf = pdf.sort_values(["own", "fp"], ignore_index=True)
+            return _crowd_pairs(pdf, percent, first == second, int((pdf["own"] == first).sum()), one)
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        pdf = pdf.sort_values(["own", "fp"], ignore_index=True)
-        found = _crowd_links(pdf, percent, first == second, int((pdf["own"] == first).sum()))
-        return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+        return compare
 
-    return dealt.groupBy("crowd", "i", "j").applyInPandas(compare, "a long, b long")
+    for one in (True, False):
+        labels = scratch.write(connected_components(links, scratch), "labels")
+        now = members.join(labels.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+        dealt = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "n", "sketch")
+        close = dealt.groupBy("crowd", "i", "j").applyInPandas(comparing(one), "a long, b long, an long, bn long").distinct()
+        close = scratch.write(close, "close")
+        links = links.union(_compared(scratch.write(_open(close, labels), "keyed"), docs, sets, k, percent, scratch))
+        scratch.drop(close, labels)
+    scratch.drop(members)
+    return links
 
 
 ELEMENTS = 1 << 21  # shingles that a task compares at a time
@@ -306,7 +309,7 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     open_ = scratch.write(open_, "open")
     scratch.drop(known)
     calm = open_.where(F.col("held") <= crowd).select("sig", "fp", "component", "n")
-    hot = open_.where(F.col("held") > crowd).select("sig", "fp", "component")
+    hot = open_.where(F.col("held") > crowd).select("sig", "fp")
     l, r = calm.alias("l"), calm.alias("r")
     met_again = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component"))
     alike = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
@@ -314,32 +317,11 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     pairs = pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
     all_links = _connecting(_close(pairs, sets, percent, scratch), links, docs, sets, k, percent, scratch)
     if not hot.isEmpty():
-        all_links = all_links.union(scratch.write(crowd_links(hot, docs, sets, k, percent, scratch), "crowd_links"))
+        all_links = crowd_links(hot, all_links, docs, sets, k, percent, scratch)
     scratch.drop(sets, open_)
     return all_links
 
 
-def _sets_of(wanted: DataFrame, docs: DataFrame, sets: DataFrame, k: int, scratch: Scratch, block: int = 1 << 18) -> DataFrame:
-    """(fp, set) of the wanted fingerprints, from one text of each; tasks hand on sets of about block elements in all."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            fps, found, size = [], [], 0
-            for fp, t in zip(f["fp"], f["text"], strict=True):
-                fps.append(fp)
-                found.append(_signed(shingle_set(t, k)).tobytes())
-                size += len(found[-1])
-                if size > 8 * block:
-                    yield pd.DataFrame({"fp": fps, "set": found})
-                    fps, found, size = [], [], 0
-            if fps:
-                yield pd.DataFrame({"fp": fps, "set": found})
-
-    rows = sets.join(wanted.hint("merge"), "fp", "left_semi").select("fp", "_row")
-    texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(rows.hint("merge"), "_row").dropDuplicates(["fp"])
-    return scratch.write(texts.select("fp", "text").mapInPandas(run, "fp long, set binary"), "members")
-
-
 def _close(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     """(a, b, an, bn): the pairs that sizes and sketches don't tell apart."""
     pairs = scratch.write(pairs, "pairs")
