@@ -77,3 +77,8 @@ def extractor(mime: Column, name: Column) -> Column:
 def type_label(language: Column, mime: Column) -> Column:
     kind = F.coalesce(lookup(R.TYPE_OF_MIME, mime), F.lit("other"))
     return lookup({f"{x}:{k}": t for x, by in R.TYPE_LABEL.items() for k, t in by.items()}, F.concat_ws(":", language, kind))
+
+
+def length_error(text: Column, payload: Column) -> Column:
+    """What is too long of a request's text and its base64 form, if anything."""
+    return F.when(F.length(text) > R.MAX_TEXT_CHARS, "text_too_long").when(F.length(payload) > R.MAX_BASE64_CHARS, "payload_too_long")

@@ -9,6 +9,8 @@ from .text import LETTER
 
 NUMBER = r"\d+(?:\.\d+){0,5}"
 LABEL = "(?:clause|section|article|пункт|раздел)"
+# Units of money and shares, those in ASCII letters and the others.
+UNITS, SIGNS = "percent|eur|usd", r"руб|рубл|₽|%|€|\$|тыс|млн"
 UPPER = "A-ZА-ЯЁÀ-ÖØ-Þ"
 
 
@@ -36,7 +38,8 @@ def numeric_signal(text: Column) -> Column:
 
 
 def monetary_signal(text: Column) -> Column:
-    return F.regexp_like(text, F.lit(r"(?iu)(?<![0-9A-Za-z_])\d[\d\s.,]*\s*(?:percent|eur|usd)(?![0-9A-Za-z_])"))
+    """A number and a currency, a share or thousands. A sign or Cyrillic unit counts only where an ASCII word character follows, as its word boundary asks."""
+    return F.regexp_like(text, F.lit(rf"(?iu)(?<![0-9A-Za-z_])\d[\d\s.,]*\s*(?:(?:{UNITS})(?![0-9A-Za-z_])|(?:{SIGNS})(?=[0-9A-Za-z_]))"))
 
 
 def excerpt_focus(text: Column) -> Column:
@@ -44,14 +47,6 @@ def excerpt_focus(text: Column) -> Column:
     return F.when(n < 48, -1).when(n <= 180, 2).when(n <= 260, 1).otherwise(0)
 
 
-def excerpt(text: Column, most: int = 240) -> Column:
-    """The clause without its lead, cut to most characters: at a sentence end from 60 on, else with an ellipsis."""
-    body = trim_lead(text)
-    cut = F.substring(body, 1, most)
-    sentence = F.regexp_extract(cut, r"(?s)^(.{59,}[.!?])(?:\s|$)", 1)
-    return F.when(F.length(body) <= most, body).when(sentence != "", sentence).otherwise(F.concat(F.rtrim(F.substring(body, 1, most - 3)), F.lit("...")))
-
-
 def strip_trailing_marker(text: Column) -> Column:
     """The text without a loose number at its end; a labelled number stays."""
     text = F.regexp_replace(text, r"\s+$", "")

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed character classes.
+# Fixed character classes and patterns.
 CONTROL = r"[\x{0000}-\x{0008}\x{000B}-\x{001F}\x{007F}-\x{009F}\x{200B}-\x{200D}\x{2060}\x{FEFF}]"
 GLYPHS = r"[\x{25A0}-\x{25A3}\x{25A7}-\x{25AD}\x{25B6}\x{25C6}\x{25CB}\x{25CF}\x{2610}-\x{2612}\x{2713}\x{2714}\x{F0A7}\x{F0B7}\x{F0D8}]"
 LETTER = "A-Za-zА-Яа-яЁёÀ-ÖØ-öø-ÿ"
@@ -13,11 +15,22 @@ LOWER = "a-zа-яёß-öø-ÿ"
 STRANGE = r"""[^\p{L}\p{N}\s.,:;!?()\[\]{}"'`«»„“”%№/\-–—]"""
 ODD = r"""[^0-9A-Za-zÀ-ÖØ-öø-ÿА-Яа-яЁё\s.,:;!?()\[\]{}"'`«»„“”%№/\-–—+=<>|]"""
 BREAK_TAG = r"(?i)<(?:br|/p|/div|/li|/tr|/h[1-6])\b[^>]*>"
-MOJIBAKE = "Ã|Â|Ð|Ñ"
+SPACED = rf"(?<![{LETTER}])[{LETTER}](?:\s+[{LETTER}](?![{LETTER}])){{3,}}+"
+COMBINING = r"[\x{0300}-\x{036F}]"
+
+
+def _marked() -> list[tuple[str, str]]:
+    """Letters with marks of the Latin and Cyrillic blocks, and the letter each decomposes to."""
+    out = []
+    for c in map(chr, [*range(0xC0, 0x180), *range(0x218, 0x21C), *range(0x400, 0x460), *range(0x1E00, 0x1F00)]):
+        parts = unicodedata.normalize("NFKD", c)
+        bare = "".join(x for x in parts if not 0x300 <= ord(x) <= 0x36F)
+        if len(bare) == 1 and bare != c:
+            out.append((c, bare))
+    return out
 
-# Letters with marks, and what they fold to.
-MARKED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿёйЁЙ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyyеиЕИ"
+
+MARKED, PLAIN = ("".join(x) for x in zip(*_marked(), strict=True))
 
 
 def strip_control(c: Column) -> Column:
@@ -38,11 +51,18 @@ def soft_line_break(c: Column) -> Column:
 
 
 def join_spaced_letters(c: Column) -> Column:
-    """"a b c d" becomes "abcd", from four single letters on: spaces between single letters of such a run go."""
-    inside = rf"(?<![{LETTER}])(?:[{LETTER}]\s+){{3,}}[{LETTER}](?![{LETTER}])"
-    gaps, runs = F.split(c, inside, -1), F.regexp_extract_all(c, F.lit(inside), F.lit(0))
-    whole = F.array_join(F.transform(F.arrays_zip(gaps.alias("g"), runs.alias("r")), lambda x: F.concat(x["g"], F.regexp_replace(F.coalesce(x["r"], F.lit("")), r"\s+", ""))), "")
-    return F.when(F.size(runs) > 0, whole).otherwise(c)
+    """"a b c d" becomes "abcd", from four single letters on: spaces between single letters of such a run go.
+
+    The pattern is possessive: it loops over a run of any length, where a backtracking one would recurse.
+    """
+
+    def joined(x: Column) -> Column:
+        gaps, runs = F.split(x, SPACED, -1), F.regexp_extract_all(x, F.lit(SPACED), F.lit(0))
+        bare = F.concat(F.transform(runs, lambda r: F.regexp_replace(r, r"\s+", "")), F.array(F.lit("")))
+        return F.array_join(F.zip_with(gaps, bare, lambda g, r: F.concat(g, r)), "")
+
+    # the one-element array binds the text to a variable, so that the steps before this one run once
+    return F.transform(F.array(c), lambda x: F.when(F.regexp_like(x, F.lit(SPACED)), joined(x)).otherwise(x))[0]
 
 
 def whitespace_canon(c: Column) -> Column:
@@ -53,8 +73,11 @@ def whitespace_canon(c: Column) -> Column:
 
 
 def normalize_text(c: Column) -> Column:
-    """Control characters, glyphs, broken words, white space: in this order."""
-    return whitespace_canon(soft_line_break(dehyphenate(join_spaced_letters(glyph_normalize(strip_control(c))))))
+    """Wrong code pages, control characters, glyphs, broken words, lost spaces, white space: in this order."""
+    from . import repair
+
+    c = glyph_normalize(strip_control(repair.mojibake_repair(c)))
+    return whitespace_canon(repair.respace_words(soft_line_break(dehyphenate(join_spaced_letters(c)))))
 
 
 def collapse_ws(c: Column) -> Column:
@@ -62,7 +85,8 @@ def collapse_ws(c: Column) -> Column:
 
 
 def fold_diacritics(c: Column) -> Column:
-    return F.translate(c, MARKED, PLAIN)
+    """Letters without their marks; й and ё fold as well. Marks that stand by themselves go."""
+    return F.regexp_replace(F.translate(c, MARKED, PLAIN), COMBINING, "")
 
 
 def search_text(c: Column) -> Column:
@@ -79,7 +103,10 @@ def tokenize_unique(c: Column) -> Column:
 
 
 def xml_entities(c: Column) -> Column:
-    """The five named entities; &amp; last, so that nothing is decoded twice."""
+    """Numeric entities, then the five named ones; &amp; last, so that nothing is decoded twice."""
+    from . import repair
+
+    c = repair.numeric_entities(c)
     for name, by in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(name), F.lit(by))
     return c
@@ -112,19 +139,15 @@ def likely_text(c: Column) -> Column:
     return (F.length(c) >= 20) & (letters >= 12) & (_count(c, STRANGE) <= F.greatest(F.lit(6), room))
 
 
-def mojibake_score(c: Column) -> Column:
-    return _count(c, MOJIBAKE)
-
-
 def readable_lines(c: Column) -> Column:
     """Lines with at least four letters, few strange characters and little repetition."""
 
     def ok(x: Column) -> Column:
         letters = _count(x, f"[{LETTER}]")
         odd = _count(x, ODD) <= F.greatest(F.lit(2), F.floor((letters + _count(x, "[0-9]")) * 0.18))
-        return (letters >= 4) & odd & (repeated_noise(x) < F.length(x) * 0.2)
+        return (letters >= 4) & odd & (repeated_noise(x) < F.length(F.regexp_replace(x, r"\s+", "")) * 0.2)
 
-    return F.array_join(F.filter(F.transform(F.split(c, "\n", -1), lambda x: F.trim(x)), ok), "\n")
+    return F.array_join(F.filter(F.transform(F.split(normalize_text(c), "\n", -1), lambda x: F.trim(x)), ok), "\n")
 
 
 # Fixed character classes of the score: undecodable and control characters, blanks, letters with case, the C1 range.
@@ -153,5 +176,5 @@ def structured_or_flat(structured: Column, flat: Column) -> Column:
 def report_points(c: Column, most: int = 8) -> Column:
     """Sentences and list items without bullets and numbers, the first of equal ones, at most so many."""
     parts = F.split(F.regexp_replace(collapse_ws(c), r"([.!?])\s+", "$1\n"), r"[\n;]+", -1)
-    bare = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^[\x{2022}\x{25AA}\x{2023}\x{25E6}*-]\s*", ""), r"^\d+(?:\.\d+)*[.)]\s*", ""))
+    bare = F.transform(parts, lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r"^[\x{2022}\x{25AA}\x{2023}\x{25E6}*-]\s*", ""), r"^\d+(?:\.\d+){0,20}[.)]\s*", ""))
     return F.slice(unique_strings(bare), 1, most)

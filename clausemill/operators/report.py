@@ -37,14 +37,14 @@ def rank_risks(matches: DataFrame, key: str) -> DataFrame:
 
 def with_fallback_risk(docs: DataFrame, risks: DataFrame, key: str) -> DataFrame:
     """risks, and one low risk without a clause for each document that has none."""
-    rest = docs.select(key).join(risks.select(key).distinct(), key, "left_anti")
+    rest = docs.select(key).join(risks.select(key).distinct().hint("shuffle_hash"), key, "left_anti")
     low = rest.select(key, F.lit("risk-1").alias("risk_id"), F.lit(None).cast("string").alias("clause_id"), F.lit(None).cast("string").alias("rule_id"), F.lit("low").alias("severity"))
     return risks.select(key, "risk_id", "clause_id", "rule_id", "severity").unionByName(low)
 
 
 def with_fallback_dispute(clauses: DataFrame, disputes: DataFrame, key: str) -> DataFrame:
     """disputes, and for each document without any its first clause, at low confidence."""
-    rest = clauses.where("clause_index = 0").join(disputes.select(key).distinct(), key, "left_anti")
+    rest = clauses.where("clause_index = 0").join(disputes.select(key).distinct().hint("shuffle_hash"), key, "left_anti")
     first = rest.select(key, "clause_id", F.lit(None).cast("string").alias("dispute_id"), F.lit(0.35).alias("confidence"), F.substring("clause_text", 1, 300).alias("excerpt"))
     return disputes.select(key, "clause_id", "dispute_id", "confidence", "excerpt").unionByName(first)
 
@@ -78,35 +78,82 @@ def actor_topk(pieces: DataFrame, sections: DataFrame, key: str, actor: str | No
     return hits.withColumn("n", F.row_number().over(W.partitionBy(key, "section").orderBy("pos"))).where(F.col("n") <= most)
 
 
+def _any(text: Column, words) -> Column:
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+
+
+def section_items(lines: Column, section: str, terms: Column, most: int = 5) -> Column:
+    """Lines with a marker of the section, those that name a term first, capped; the same twice where there is no term; a fallback where none is found."""
+    named = F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: F.coalesce(t, F.lit("")) != "")
+    marked = F.filter(lines, lambda x: _any(F.lower(x), R.SECTIONS[section]))
+
+    def ordered(s: Column) -> Column:
+        names = lambda x: F.exists(s["t"], lambda t: F.contains(F.lower(x), t))
+        first = F.when(F.size(s["t"]) == 0, s["x"]).otherwise(F.filter(s["x"], names))
+        rest = F.when(F.size(s["t"]) == 0, s["x"]).otherwise(F.filter(s["x"], lambda x: ~names(x)))
+        return F.slice(F.concat(first, rest), 1, most)
+
+    found = F.transform(F.array(F.struct(marked.alias("x"), named.alias("t"))), ordered)[0]
+    return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(f"none: {section}"))))[0]
+
+
+def summary_sections(docs: DataFrame) -> DataFrame:
+    """docs (role, counterparty_role, document_text) with role_summary: the items of every section, worked out within the row."""
+    own, both = F.array("role"), F.array("role", "counterparty_role")
+    docs = docs.withColumn("_lines", segmentation.line_array(F.col("document_text")))
+    parts = [x for s in R.SECTIONS for x in (F.lit(s), section_items(F.col("_lines"), s, own if s in ("must_do", "deadlines") else both))]
+    return docs.withColumn("role_summary", F.create_map(*parts)).drop("_lines")
+
+
 def role_summary(spark, sf) -> DataFrame:
     """(contract_id, section, items): the five sections of every contract, with a fallback where one is empty."""
-    all_lines = lines(spark, sf)
-    own = F.array("role")
-    both = F.array("role", "counterparty_role")
-    marks = R.section_markers(spark)
-    first = two_tier_topk(all_lines, marks.where(F.col("section").isin("must_do", "deadlines")), "contract_id", own)
-    second = two_tier_topk(all_lines, marks.where(~F.col("section").isin("must_do", "deadlines")), "contract_id", both)
-    items = first.unionByName(second).groupBy("contract_id", "section").agg(F.sort_array(F.collect_list(F.struct("n", "piece"))).alias("x"))
-    docs = T.contracts(spark, sf).select("contract_id", F.explode(F.array(*[F.lit(s) for s in R.SECTIONS])).alias("section"))
-    # both sides are dealt by contract and section; neither is small
-    out = docs.join(items.hint("shuffle_hash"), ["contract_id", "section"], "left")
-    return out.select("contract_id", "section", F.coalesce(F.transform("x", lambda s: s["piece"]), F.array(F.concat(F.lit("none: "), F.col("section")))).alias("items"))
+    docs = segmentation.with_text(T.contracts(spark, sf)).select("contract_id", "role", "counterparty_role", "document_text")
+    return summary_sections(docs).select("contract_id", F.explode("role_summary").alias("section", "items"))
+
+
+def row_risks(clauses: Column) -> Column:
+    """Risks of a document's clauses in rank order, each with its number; one low risk without a clause where there is none."""
+
+    def of(c: Column, i: Column) -> Column:
+        low = F.lower(c)
+        return F.array_compact(F.array(*[
+            F.when(_any(low, words), F.struct(F.lit(-R.SEVERITY_RANK[sev]).alias("rank"), i.alias("i"), F.lit(no).alias("no"), F.lit(sev).alias("severity"), F.lit(rule).alias("rule_id")))
+            for no, (rule, sev, words) in enumerate(R.RULES)]))
+
+    ranked = F.array_sort(F.flatten(F.transform(clauses, of)))
+    rows = F.transform(ranked, lambda r, n: F.struct(
+        F.concat(F.lit("risk-"), (n + 1).cast("string")).alias("risk_id"), r["severity"].alias("severity"), F.concat(F.lit("clause-"), (r["i"] + 1).cast("string")).alias("clause_id"), r["rule_id"].alias("rule_id")))
+    none = F.array(F.struct(F.lit("risk-1").alias("risk_id"), F.lit("low").alias("severity"), F.lit(None).cast("string").alias("clause_id"), F.lit(None).cast("string").alias("rule_id")))
+    return F.transform(F.array(F.array_sort(rows)), lambda x: F.when(F.size(x) > 0, x).otherwise(none))[0]
+
+
+def row_disputes(clauses: Column) -> Column:
+    """Disputes of a document's clauses; the first clause, at low confidence, where there is none."""
+
+    def one(c: Column, i: Column, dispute: Column, confidence: Column) -> Column:
+        return F.struct(F.concat(F.lit("clause-"), (i + 1).cast("string")).alias("clause_id"), dispute.alias("dispute_id"), confidence.alias("confidence"), F.substring(c, 1, 300).alias("excerpt"))
+
+    def of(c: Column, i: Column) -> Column:
+        low = F.lower(c)
+        return F.array_compact(F.array(*[F.when(_any(low, words), one(c, i, F.lit(name), F.lit(conf))) for name, conf, words in R.DISPUTES]))
+
+    found = F.array_sort(F.flatten(F.transform(clauses, of)))
+    first = F.transform(F.slice(clauses, 1, 1), lambda c, i: one(c, i, F.lit(None).cast("string"), F.lit(0.35)))
+    return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(first))[0]
 
 
 def analysis_output(spark, sf) -> DataFrame:
-    """One nested row per contract: language, plan, counts, risks, disputes, sections."""
+    """One nested row per contract: language, plan, counts, risks, disputes, sections.
+
+    The pack is an array of literals, so that matches, ranks, fallbacks and sections are worked out within each
+    contract's row: nothing is shuffled after the contracts are there.
+    """
     docs = segmentation.with_text(T.contracts(spark, sf))
-    clauses = segmentation.clauses_simple(docs)
-    key = "contract_id"
-    risks = with_fallback_risk(docs, rank_risks(M.clause_rule_match(clauses, R.keywords(spark), key), key), key)
-    disputes = with_fallback_dispute(clauses, M.clause_dispute_match(clauses, R.dispute_markers(spark), key), key)
-    risk_rows = risks.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("risk_id", "severity", "clause_id", "rule_id"))).alias("risks"))
-    dispute_rows = disputes.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("clause_id", "dispute_id", "confidence", "excerpt"))).alias("disputes"))
-    sections = role_summary(spark, sf).groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("section", "items"))).alias("role_summary"))
-    counts = clauses.groupBy(key).agg(F.count("*").alias("clauses"))
     plan = L.execution_plan(F.col("mime_type"), F.col("document_text").isNotNull()).alias("execution_plan")
-    head = docs.select(key, "language", "role", plan)
-    return head.join(counts, key).join(risk_rows, key).join(dispute_rows, key, "left").join(sections, key)
+    docs = summary_sections(docs).withColumn("_clauses", segmentation.clause_array(F.col("document_text")))
+    return docs.where(F.size("_clauses") > 0).select(
+        "contract_id", "language", "role", plan, F.size("_clauses").cast("long").alias("clauses"),
+        row_risks(F.col("_clauses")).alias("risks"), row_disputes(F.col("_clauses")).alias("disputes"), "role_summary")
 
 
 def candidates(clauses: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
@@ -165,7 +212,7 @@ def brief(docs: DataFrame, clauses: DataFrame, disputes: DataFrame, sections: Da
         *[first(F.col("section") == s).alias(s) for s in ("payment_terms", "deadlines", "penalties")])
     counts = clauses.groupBy(key).agg(F.count("*").alias("clauses"))
     open_ = disputes.groupBy(key).agg(F.count("*").alias("disputes"))
-    all_ = docs.select(key, "role").join(counts, key).join(got, key, "left").join(open_, key, "left")
+    all_ = docs.select(key, "role").join(counts.hint("shuffle_hash"), key).join(got.hint("shuffle_hash"), key, "left").join(open_.hint("shuffle_hash"), key, "left")
     line = lambda name, label: F.when(F.col(name) != "", F.concat(F.lit(label), F.col(name), F.lit(".")))
     parts = [F.coalesce(line("own", "Obligations: "), line("any", "General obligations: ")), line("other", "Counterparty: "), line("payment_terms", "Payment: "),
              line("deadlines", "Deadlines: "), line("penalties", "Penalties: "), F.when(F.col("disputes") > 0, F.concat(F.lit("Disputed clauses: "), F.col("disputes").cast("string"), F.lit(".")))]
@@ -188,5 +235,5 @@ def safe_report(docs: DataFrame, risks: DataFrame, key: str, text: str = "docume
     """(key, state, risks): documents whose text could not be read get a fallback report with one risk; the others are untouched."""
     n = risks.groupBy(key).agg(F.count("*").alias("n"))
     failed = F.col(text).isNull()
-    out = docs.select(key, failed.alias("failed")).join(n, key, "left")
+    out = docs.select(key, failed.alias("failed")).join(n.hint("shuffle_hash"), key, "left")
     return out.select(key, F.when(F.col("failed"), "fallback").otherwise("analyzed").alias("state"), F.when(F.col("failed"), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("risks"))

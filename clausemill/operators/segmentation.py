@@ -24,16 +24,21 @@ def with_text(requests: DataFrame) -> DataFrame:
     return out.withColumn("document_text", F.when(empty, L.localize_text(L.text_map(R.PLACEHOLDER), F.col("language"))).otherwise(F.col("document_text")))
 
 
+def clause_array(text: Column) -> Column:
+    """The clauses of a text: blank lines separate, empty parts go."""
+    return _trimmed(F.split(F.replace(text, F.lit("\r"), F.lit("")), "\n\n", -1))
+
+
 def clauses_simple(docs: DataFrame, text: str = "document_text") -> DataFrame:
-    """One row per clause: blank lines separate; clause_index counts what is left after dropping empty parts."""
-    parts = _trimmed(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), "\n\n", -1))
+    """One row per clause; clause_index counts what is left after dropping empty parts."""
+    parts = clause_array(F.col(text))
     out = docs.select(*[c for c in docs.columns if c != text], F.posexplode(parts).alias("clause_index", "clause_text"))
     return out.withColumn("clause_id", F.concat(F.lit("clause-"), (F.col("clause_index") + 1).cast("string")))
 
 
 def clauses_numbered(docs: DataFrame, text: str = "document_text") -> DataFrame:
     """Blank lines separate, and so does a line that begins with a number or a bullet."""
-    parts = _trimmed(F.split(F.col(text), r"\n{2,}|(?=\n\s*(?:\d+(?:\.\d+)*[.)]|[\x{2022}*-]))", -1))
+    parts = _trimmed(F.split(F.col(text), r"\n{2,}|(?=\n\s*(?:\d+(?:\.\d+){0,20}[.)]|[\x{2022}*-]))", -1))
     out = docs.select(*[c for c in docs.columns if c != text], F.posexplode(parts).alias("clause_index", "clause_text"))
     return out.withColumn("clause_ref", shape.clause_ref(F.col("clause_text"), F.col("clause_index")))
 
@@ -52,6 +57,14 @@ def pieces(docs: DataFrame, pattern: str, most: int = 240, text: str = "document
     return first.select(*keep, F.col("m.i").alias("pos"), F.substring("m.x", 1, most).alias("piece"))
 
 
+def line_array(text: Column) -> Column:
+    """Lines of a text, also split at ;, the first of those that are equal with letters in either case, cut to 240 characters."""
+    parts = _trimmed(F.split(F.replace(text, F.lit("\r"), F.lit("")), r"[\n;]", -1))
+    keyed = F.struct(parts.alias("x"), F.transform(parts, lambda x: F.lower(x)).alias("k"))
+    return F.transform(F.array(keyed), lambda s: F.transform(
+        F.array_distinct(s["k"]), lambda k: F.substring(F.element_at(s["x"], F.array_position(s["k"], k).cast("int")), 1, 240)))[0]
+
+
 def statements(docs: DataFrame) -> DataFrame:
     return pieces(docs, r"[\n.;]+")
 

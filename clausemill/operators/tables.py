@@ -48,9 +48,72 @@ def many_defaults(table: DataFrame, user: str, is_default: Column) -> DataFrame:
     return table.where(is_default).groupBy(F.col(user).alias("user_id")).agg(F.count("*").alias("defaults")).where("defaults > 1")
 
 
-def default_code(rows: DataFrame, scope: str) -> DataFrame:
-    """The default code of each scope, else its first one."""
-    return rows.groupBy(scope).agg(F.min_by("code", F.struct((~F.col("is_default")).alias("last"), F.col("code").alias("c"))).alias("code"))
+def default_language(catalog: DataFrame) -> DataFrame:
+    """(scope, code, error): each scope's active default, else its first active code, else an error."""
+    active = F.when(F.col("is_active"), F.struct((~F.col("is_default")).alias("last"), F.col("code")))
+    best = catalog.groupBy("scope").agg(F.min(active).alias("m"))
+    return best.select("scope", F.col("m.code").alias("code"), F.when(F.col("m").isNull(), "no active language").alias("error"))
+
+
+def set_default(catalog: DataFrame, code: str) -> DataFrame:
+    """catalog with code as the only default of each scope in which it is active; other scopes stay."""
+    can = F.max(F.col("is_active") & (F.col("code") == code)).over(W.partitionBy("scope"))
+    return catalog.withColumn("is_default", F.when(F.coalesce(can, F.lit(False)), F.col("code") == code).otherwise(F.col("is_default")))
+
+
+def supported_sync(catalog: DataFrame, configured: str) -> DataFrame:
+    """(scope, supported, drifted, elected): active codes, whether they differ from the configured list, and the default after re-election."""
+    active = lambda cond: F.when(F.col("is_active") & cond, F.col("code"))
+    per = catalog.groupBy("scope").agg(F.array_join(F.array_sort(F.collect_list(active(F.lit(True)))), ",").alias("supported"), F.min(active(F.col("is_default"))).alias("held"), F.min(active(F.lit(True))).alias("first"))
+    return per.select("scope", "supported", (F.col("supported") != configured).alias("drifted"), F.coalesce("held", "first").alias("elected"))
+
+
+def typed_config(config: DataFrame, required) -> DataFrame:
+    """(scope, config_key, value, error) for each required key of each scope: its value by its declared type, or what is wrong with it."""
+    wanted = F.array(*[F.struct(F.lit(k).alias("config_key"), F.lit(t).alias("value_type")) for k, t in required])
+    asked = config.select("scope").distinct().select("scope", F.inline(wanted))
+    both = asked.join(config.select("scope", "config_key", "value_type", "value_json").hint("shuffle_hash"), ["scope", "config_key", "value_type"], "left")
+    number = F.col("value_json").rlike("^[0-9]+$")
+    value = F.when(F.col("value_type") == "string", F.get_json_object(F.concat(F.lit('{"v":'), "value_json", F.lit("}")), "$.v")).when(number, F.col("value_json"))
+    error = F.when(F.col("value_json").isNull(), "missing").when((F.col("value_type") == "integer") & ~number, "not an integer")
+    return both.select("scope", "config_key", value.alias("value"), error.alias("error"))
+
+
+def config_invariants(config: DataFrame, catalog: DataFrame, cap: int) -> DataFrame:
+    """(scope, range_ok, target_ok, default_ok): priorities within 1 to 9 and in order, target within its cap, default language active."""
+    number = lambda key: F.max(F.when(F.col("config_key") == key, F.expr("try_cast(value_json AS BIGINT)")))
+    held = config.groupBy("scope").agg(
+        number("jobs.min_priority").alias("lo"), number("jobs.max_priority").alias("hi"), number("quality.target").alias("target"),
+        F.max(F.when(F.col("config_key") == "language.default", F.btrim("value_json", F.lit('"')))).alias("code"))
+    active = catalog.where("is_active").select("scope", "code", F.lit(True).alias("on")).distinct()
+    both = held.join(active.hint("shuffle_hash"), ["scope", "code"], "left")
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return both.select("scope", yes((F.col("lo") >= 1) & (F.col("lo") <= F.col("hi")) & (F.col("hi") <= 9)).alias("range_ok"),
+                       yes((F.col("target") > 0) & (F.col("target") <= cap)).alias("target_ok"), yes(F.col("on")).alias("default_ok"))
+
+
+def cascaded(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """Rows of child whose parent stays."""
+    return child.join(gone, key, "left_anti")
+
+
+def nulled(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
+    """child with its reference nulled where the parent goes."""
+    marked = child.join(gone.select(key, F.lit(True).alias("_gone")), key, "left")
+    return marked.withColumn(key, F.when(F.col("_gone").isNull(), F.col(key))).drop("_gone")
+
+
+def ranked_by_ranges(rows: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
+    """rows with place, their number in the order of by, then ties, over the whole table.
+
+    Values of by are counted; the running sum over these few counts gives each its offset, and only rows that are equal in by
+    are numbered in one task.
+    """
+    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.withColumn("_before", before).drop("_n")
+    own = F.row_number().over(W.partitionBy(*by).orderBy(*ties))
+    return rows.withColumn("_own", own).join(offsets.hint("shuffle_hash"), by).withColumn("place", F.col("_before") + F.col("_own")).drop("_before", "_own")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
@@ -76,12 +139,24 @@ def remote_sync(local: DataFrame, remote: DataFrame) -> DataFrame:
     return local.join(remote, "job_id", "left").select("job_id", status.alias("status"))
 
 
-def pack_violations(pack: DataFrame, languages: DataFrame, severities: list[str]) -> DataFrame:
-    """(rule_id, violation): titles without a language, and severities that aren't known. languages is a short list, and broadcast."""
-    need = pack.select("rule_id", "title").crossJoin(F.broadcast(languages))
-    lacking = need.where(F.coalesce(F.element_at("title", F.col("language")), F.lit("")) == "")
-    unknown = pack.where(~F.coalesce(F.col("severity").isin(severities), F.lit(False)))
-    return lacking.select("rule_id", F.concat(F.lit("title:"), "language").alias("violation")).unionByName(unknown.select("rule_id", F.lit("severity").alias("violation")))
+def pack_violations(packs: DataFrame, languages: list[str], severities: list[str]) -> DataFrame:
+    """(pack_id, violation) of packs (pack_id, rules, labels, modes, network_modes).
+
+    Titles that lack a language, severities that aren't known or have no label, modes without a name, network modes that don't
+    go to a server. Found within each pack's row.
+    """
+    rules = packs.select("*", F.explode("rules").alias("r"))
+    missing = F.filter(F.array(*[F.lit(x) for x in languages]), lambda x: F.coalesce(F.element_at("r.title", x), F.lit("")) == "")
+    sev = F.col("r.severity")
+    found = F.concat(
+        F.transform(missing, lambda x: F.concat(F.lit("title:"), x)),
+        F.array_compact(F.array(
+            F.when(~F.coalesce(sev.isin(severities), F.lit(False)), F.concat(F.lit("severity:"), F.coalesce(sev, F.lit("")))),
+            F.when(F.element_at("labels", sev).isNull(), F.concat(F.lit("label:"), sev)))))
+    modes = F.concat(
+        F.transform(F.filter("modes", lambda m: F.trim(m) == ""), lambda m: F.lit("mode:empty")),
+        F.transform(F.filter("network_modes", lambda m: m != "server_assist"), lambda m: F.concat(F.lit("network:"), m)))
+    return rules.select("pack_id", F.explode(found).alias("violation")).unionByName(packs.select("pack_id", F.explode(modes).alias("violation")))
 
 
 def job_times(log: DataFrame) -> DataFrame:

@@ -99,17 +99,17 @@ def _candidates(spark, sf):
 
 
 @query(f"WITH {CANDIDATES} SELECT contract_id, clause_index, rule_id, marker_hits, lexical FROM candidates")
-def q_risk_candidates(spark, sf):
+def q_clause_risk_candidates(spark, sf):
     return _candidates(spark, sf).select(KEY, "clause_index", "rule_id", "marker_hits", "lexical")
 
 
 @query(f"WITH {CANDIDATES} SELECT contract_id, clause_index, rule_id, row_number() OVER (PARTITION BY contract_id ORDER BY lexical DESC, marker_hits DESC, clause_index, rule_index)::INT AS n FROM candidates")
-def q_candidate_order(spark, sf):
+def q_clause_candidate_order(spark, sf):
     return P.candidate_order(_candidates(spark, sf), KEY).select(KEY, "clause_index", "rule_id", "n")
 
 
 @query(f"WITH {MATCH_CTE} SELECT contract_id, clause_index, excerpt, arg_min(dispute_id, (-confidence, dispute_index)) AS dispute_id, max(confidence)::DOUBLE AS confidence FROM disputed GROUP BY 1, 2, 3")
-def q_dispute_best(spark, sf):
+def q_clause_dispute_best(spark, sf):
     found = disputed(spark, sf).select(KEY, "clause_index", "dispute_id", "dispute_index", "confidence", "excerpt")
     return P.dispute_best(found, KEY)
 

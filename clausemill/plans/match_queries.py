@@ -12,9 +12,9 @@ from ..sources import tables as T
 from .registry import query
 from .text_queries import CLAUSES_CTE, LINES_CTE, clauses
 
-MATCH_CTE = f"""{CLAUSES_CTE}, matched AS (
+MATCH_CTE = f"""{CLAUSES_CTE}, matched AS MATERIALIZED (
   SELECT DISTINCT c.contract_id, c.clause_index, k.rule_id, k.rule_index, k.severity FROM clauses c JOIN {R.KEYWORDS_SQL} ON contains(lower(c.clause_text), k.keyword)
-), disputed AS (
+), disputed AS MATERIALIZED (
   SELECT DISTINCT c.contract_id, c.clause_index, m.dispute_id, m.dispute_index, m.confidence, substr(c.clause_text, 1, 300) AS excerpt
   FROM clauses c JOIN {R.MARKERS_SQL} ON contains(lower(c.clause_text), m.marker)
 )"""

@@ -25,7 +25,7 @@ def query(sql: str | None = None):
 
 
 def _load() -> None:
-    from . import assembly_queries, match_queries, registry_queries, report_queries, request_queries, stream_queries, table_queries, text_queries  # noqa: F401
+    from . import assembly_queries, catalog_queries, deep_queries, match_queries, repair_queries, registry_queries, report_queries, request_queries, stream_queries, table_queries, text_queries  # noqa: F401
 
 
 def queries() -> dict[str, Query]:

@@ -31,61 +31,9 @@ def q_check_job_times(spark, sf):
         "never_started": F.col("finished").isNull() | F.col("started").isNotNull()})
 
 
-@query("""SELECT event_id, CASE WHEN event_type = 'error' THEN 'string' ELSE 'integer' END AS declared,
-  CASE WHEN event_type = 'error' THEN json_type(props, '$.k') = 'VARCHAR' ELSE json_type(props, '$.k') IN ('BIGINT', 'UBIGINT') END AS ok FROM events""")
-def q_json_type_check(spark, sf):
-    declared = F.when(F.col("event_type") == "error", "string").otherwise("integer")
-    held = F.schema_of_variant(F.try_variant_get(F.parse_json("props"), "$.k", "variant"))
-    ok = F.when(declared == "string", held == "STRING").otherwise(held == "BIGINT")
-    return T.table(spark, sf, "events").select("event_id", declared.alias("declared"), ok.alias("ok"))
-
-
-@query("""WITH c AS (SELECT user_id, min((props->>'$.k')::BIGINT) AS lo, max((props->>'$.k')::BIGINT) AS hi, (avg((props->>'$.k')::BIGINT))::DOUBLE AS target FROM events GROUP BY 1)
-  SELECT user_id, 1 <= lo AND lo <= hi AND hi <= 90 AS range_ok, 0 < target AND target <= 60 AS target_ok FROM c""")
-def q_config_invariants(spark, sf):
-    k = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
-    c = T.table(spark, sf, "events").groupBy("user_id").agg(F.min(k).alias("lo"), F.max(k).alias("hi"), F.avg(k).alias("target"))
-    return c.select("user_id", ((F.col("lo") >= 1) & (F.col("lo") <= F.col("hi")) & (F.col("hi") <= 90)).alias("range_ok"), ((F.col("target") > 0) & (F.col("target") <= 60)).alias("target_ok"))
-
-
 @query(f"WITH {T.CONTRACTS_CTE} SELECT contract_id, {lang_sql('language_raw')} AS language, CASE WHEN language_raw IS DISTINCT FROM {lang_sql('language_raw')} THEN '2024-03-01 00:00:00' ELSE strftime(uploaded_at, '%Y-%m-%d %H:%M:%S') END AS updated_at FROM contracts")
 def q_touch_updated_at(spark, sf):
     fixed = normalize_language(F.col("language_raw"))
     was = F.date_format("uploaded_at", "yyyy-MM-dd HH:mm:ss")
     touched = F.when(~F.col("language_raw").eqNullSafe(fixed), "2024-03-01 00:00:00").otherwise(was)
     return T.contracts(spark, sf).select("contract_id", fixed.alias("language"), touched.alias("updated_at"))
-
-
-@query("""SELECT n_name AS rule_id, 'title:' || l.language AS violation FROM nation CROSS JOIN (VALUES ('ru'), ('en'), ('it'), ('fr')) AS l(language) WHERE (l.language = 'it' AND n_nationkey % 3 = 0) OR (l.language = 'fr' AND n_nationkey % 4 = 0)
-  UNION ALL SELECT n_name, 'severity' FROM nation WHERE n_nationkey % 5 = 4""")
-def q_rule_pack_validate(spark, sf):
-    nations = T.table(spark, sf, "nation")
-    key = F.col("n_nationkey")
-    severities = F.array(*[F.lit(s) for s in (*R.SEVERITY_RANK, "severe")])
-    title = F.create_map(F.lit("ru"), F.col("n_name"), F.lit("en"), F.col("n_name"), F.lit("it"), F.when(key % 3 != 0, F.col("n_name")), F.lit("fr"), F.when(key % 4 != 0, F.col("n_name")))
-    pack = nations.select(F.col("n_name").alias("rule_id"), F.get(severities, (key % 5).cast("int")).alias("severity"), title.alias("title"))
-    languages = spark.createDataFrame([(x,) for x in R.LANGUAGES], "language string")
-    return D.pack_violations(pack, languages, list(R.SEVERITY_RANK))
-
-
-@query(f"""WITH {LOG}, c AS (
-  SELECT 'order keys are unique' AS name, count(*) = count(DISTINCT o_orderkey) AS passed FROM orders
-  UNION ALL SELECT 'orders have customers', count(*) = 0 FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-  UNION ALL SELECT 'documents have ids', count(*) FILTER (WHERE doc_id IS NULL) = 0 FROM documents
-  UNION ALL SELECT 'lengths are right', count(*) FILTER (WHERE n_chars <> length(text)) = 0 FROM documents
-  UNION ALL SELECT 'job states are known', count(*) FILTER (WHERE status IS NULL) = 0 FROM job_log) SELECT name, passed FROM c""")
-def q_runtime_validation(spark, sf):
-    orders, docs, log = T.table(spark, sf, "orders"), T.table(spark, sf, "documents"), T.job_log(spark, sf)
-    parents = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("k"))
-    none = lambda df, name: df.agg((F.count("*") == 0).alias("passed")).select(F.lit(name).alias("name"), "passed")
-    checks = [
-        none(D.duplicates(orders, ["o_orderkey"]), "order keys are unique"),
-        none(orders.select(F.col("o_custkey").alias("k")).where("k is not null").join(parents, "k", "left_anti"), "orders have customers"),
-        none(docs.where("doc_id is null"), "documents have ids"),
-        none(docs.where(F.col("n_chars") != F.length("text")), "lengths are right"),
-        none(log.where("status is null"), "job states are known"),
-    ]
-    out = checks[0]
-    for c in checks[1:]:
-        out = out.unionByName(c)
-    return out

@@ -14,9 +14,9 @@ from .text_queries import CLAUSES_CTE, LINES_CTE, STATEMENTS_CTE, clauses
 
 RANKED = f"""SELECT m.contract_id, 'risk-' || row_number() OVER (PARTITION BY m.contract_id ORDER BY r.rank DESC, m.clause_index, m.rule_index) AS risk_id,
   'clause-' || (m.clause_index + 1) AS clause_id, m.rule_id, m.severity FROM matched m JOIN {R.RANK_SQL} ON r.severity = m.severity"""
-RISKS = f"""SELECT * FROM ({RANKED}) UNION ALL SELECT contract_id, 'risk-1', NULL, NULL, 'low' FROM contracts WHERE contract_id NOT IN (SELECT contract_id FROM matched)"""
+RISKS = f"""SELECT * FROM ({RANKED}) UNION ALL SELECT contract_id, 'risk-1', NULL, NULL, 'low' FROM contracts c WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.contract_id = c.contract_id)"""
 DISPUTES = """SELECT contract_id, 'clause-' || (clause_index + 1) AS clause_id, dispute_id, confidence::DOUBLE AS confidence, excerpt FROM disputed
-  UNION ALL SELECT contract_id, 'clause-1', NULL, 0.35::DOUBLE, substr(clause_text, 1, 300) FROM clauses WHERE clause_index = 0 AND contract_id NOT IN (SELECT contract_id FROM disputed)"""
+  UNION ALL SELECT contract_id, 'clause-1', NULL, 0.35::DOUBLE, substr(clause_text, 1, 300) FROM clauses c WHERE clause_index = 0 AND NOT EXISTS (SELECT 1 FROM disputed d WHERE d.contract_id = c.contract_id)"""
 
 
 @query(f"WITH {MATCH_CTE} {RANKED}")
@@ -34,13 +34,13 @@ def q_fallback_dispute(spark, sf):
     return P.with_fallback_dispute(clauses(spark, sf), disputed(spark, sf), "contract_id")
 
 
-TIERED = f"""{LINES_CTE}, hit AS (
+TIERED = f"""{LINES_CTE}, hit AS MATERIALIZED (
   SELECT DISTINCT l.contract_id, s.section, l.pos, l.piece,
     contains(lower(l.piece), lower(l.role)) OR (s.section NOT IN ('must_do', 'deadlines') AND coalesce(contains(lower(l.piece), lower(l.counterparty_role)), false)) AS named
   FROM lines l JOIN {R.SECTIONS_SQL} ON contains(lower(l.piece), s.marker)
 ), ranked AS (
   SELECT *, row_number() OVER (PARTITION BY contract_id, section ORDER BY CASE WHEN named THEN 0 ELSE 1 END, pos) AS n FROM hit
-), sections AS (
+), sections AS MATERIALIZED (
   SELECT c.contract_id, s.section, coalesce(array_to_string(x.items, '|'), 'none: ' || s.section) AS items
   FROM contracts c CROSS JOIN (SELECT DISTINCT section FROM {R.SECTIONS_SQL}) s
   LEFT JOIN (SELECT contract_id, section, list(piece ORDER BY n) AS items FROM ranked WHERE n <= 5 GROUP BY 1, 2) x ON x.contract_id = c.contract_id AND x.section = s.section

@@ -22,7 +22,7 @@ LOCALE = f"CASE WHEN locale_raw IS NOT NULL THEN {lang_sql('locale_raw')} ELSE {
 # contracts with their language and a text that is never empty
 TEXTS_CTE = f"""{C}, texts AS (
   SELECT c.*, {LOCALE} AS language FROM contracts c
-), filled AS (
+), filled AS MATERIALIZED (
   SELECT t.* EXCLUDE (document_text),
          CASE WHEN coalesce(trim(document_text), '') = '' THEN p.placeholder ELSE document_text END AS document_text
   FROM texts t JOIN {R.PLACEHOLDER_SQL} ON p.language = t.language
@@ -39,11 +39,6 @@ def q_doc_scan(spark, sf):
     return T.doc_scan(spark, f"{sf}/documents.parquet").select("doc_id", "text", F.length("text").alias("n"))
 
 
-@query(f"SELECT rule_id, rule_index::INT AS rule_index, severity, keyword FROM {R.KEYWORDS_SQL}")
-def q_rule_pack_load(spark, sf):
-    return R.keywords(spark)
-
-
 def payload_md5(text):
     """Digest of the text after base64 without padding and back."""
     packed = F.regexp_replace(F.base64(F.encode(text, "utf-8")), "[\r\n=]", "")
@@ -51,13 +46,8 @@ def payload_md5(text):
     return F.md5(F.unbase64(padded))
 
 
-@query("SELECT doc_id, md5(encode(substr(text, 1, 90))) AS payload_md5 FROM documents")
-def q_payload_decode(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.substring("text", 1, 90)).alias("payload_md5"))
-
-
 @query("SELECT doc_id, md5(encode(text)) AS payload_md5 FROM documents")
-def q_payload_decode_whole(spark, sf):
+def q_payload_decode(spark, sf):
     return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.col("text")).alias("payload_md5"))
 
 
@@ -67,27 +57,12 @@ def q_admit_documents(spark, sf):
     return T.contracts(spark, sf).select("contract_id", L.reject_reason(F.col("size_bytes"), F.col("mime_type")).alias("reject_reason"))
 
 
-@query("SELECT doc_id, length(text) <= 20000 AS fits FROM documents")
-def q_length_gate(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", (F.length("text") <= 20000).alias("fits"))
-
-
 @query(f"WITH {C} SELECT contract_id, coalesce(document_text, '') <> '' OR coalesce(mime_type, '') <> '' AS ok FROM contracts")
 def q_payload_one_of(spark, sf):
     ok = F.coalesce(L.blank_to_null(F.col("document_text")), L.blank_to_null(F.col("mime_type"))).isNotNull()
     return T.contracts(spark, sf).select("contract_id", ok.alias("ok"))
 
 
-@query(f"""WITH {C}, v AS (SELECT contract_id, list_filter([
-    CASE WHEN length(role) < 2 OR length(role) > 64 THEN 'role' END, CASE WHEN length(counterparty_role) > 6 THEN 'counterparty_role' END,
-    CASE WHEN length(mime_type) > 14 THEN 'mime_type' END, CASE WHEN length(language_raw) < 2 OR length(language_raw) > 8 THEN 'language' END], lambda x: x IS NOT NULL) AS bad FROM contracts)
-  SELECT contract_id, array_to_string(bad, ',') AS violations FROM v WHERE len(bad) > 0""")
-def q_field_checks(spark, sf):
-    bounds = {"role": (2, 64), "counterparty_role": (0, 6), "mime_type": (0, 14), "language_raw": (2, 8)}
-    bad = F.array_compact(F.array(*[F.when(~F.length(c).between(lo, hi), c.removesuffix("_raw")) for c, (lo, hi) in bounds.items()]))
-    return T.contracts(spark, sf).select("contract_id", F.array_join(bad, ",").alias("violations")).where("violations <> ''")
-
-
 @query(f"WITH {C} SELECT contract_id, {lang_sql('language_raw')} AS language FROM contracts")
 def q_normalize_language(spark, sf):
     return T.contracts(spark, sf).select("contract_id", L.normalize_language(F.col("language_raw")).alias("language"))
@@ -133,18 +108,6 @@ def q_status_rollup(spark, sf):
     return T.job_log(spark, sf).select("event_id", L.lookup(R.LIFECYCLE, F.col("status")).alias("lifecycle"), L.lookup(R.PROGRESS, F.col("status")).alias("progress"))
 
 
-@query(f"SELECT rule_id, {case_sql(R.SEVERITY_RANK, 'severity')}::INT AS rank, {case_sql(R.UI_ORDER, chr(39).join(['CASE WHEN severity = ', 'critical', ' THEN ', 'high', ' ELSE severity END']))}::INT AS ui_order FROM (SELECT DISTINCT rule_id, severity FROM {R.KEYWORDS_SQL})")
-def q_severity_map(spark, sf):
-    ui = F.when(F.col("severity") == "critical", "high").otherwise(F.col("severity"))
-    return R.rules(spark).select("rule_id", L.lookup(R.SEVERITY_RANK, F.col("severity")).alias("rank"), L.lookup(R.UI_ORDER, ui).alias("ui_order"))
-
-
-@query(f"SELECT k.rule_id, l.language, l.label || ': ' || k.rule_id || ' (' || l.language || ')' AS title FROM (SELECT DISTINCT rule_id, severity FROM {R.KEYWORDS_SQL}) k JOIN {R.LABEL_SQL} ON l.severity = k.severity")
-def q_severity_label(spark, sf):
-    by = R.rules(spark).select("rule_id", "severity", F.explode("title").alias("language", "fragment"))
-    return by.select("rule_id", "language", F.concat_ws(": ", L.severity_label(F.col("language"), F.col("severity")), "fragment").alias("title"))
-
-
 @query(f"WITH {C} SELECT contract_id, nullif(trim(language_raw), '') AS language FROM contracts")
 def q_blank_to_null(spark, sf):
     return T.contracts(spark, sf).select("contract_id", L.blank_to_null(F.col("language_raw")).alias("language"))
@@ -161,3 +124,8 @@ def q_extraction_warnings(spark, sf):
     text = F.coalesce("document_text", F.lit(""))
     found = F.array_compact(F.array(F.when(F.trim(text) == "", "empty_text"), F.when((F.lower(F.trim("mime_type")) == "application/pdf") & (F.length(text) < 160), "limited_pdf_text")))
     return T.contracts(spark, sf).select("contract_id", F.array_join(found, ",").alias("warnings"))
+
+
+@query("SELECT doc_id, md5(encode(text)) AS payload_md5 FROM documents")
+def q_payload_decode_whole(spark, sf):
+    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.col("text")).alias("payload_md5"))

@@ -37,78 +37,12 @@ def q_stuck_jobs(spark, sf):
     return D.stuck_jobs(T.job_log(spark, sf), "2024-03-01 00:00:00").select("job_id", "status")
 
 
-@query("SELECT o_orderkey AS job_id, row_number() OVER (PARTITION BY o_orderstatus ORDER BY o_orderpriority, o_orderdate, o_orderkey)::INT AS place FROM orders")
-def q_job_queue(spark, sf):
-    from pyspark.sql import Window as W
-
-    order = W.partitionBy("o_orderstatus").orderBy("o_orderpriority", "o_orderdate", "o_orderkey")
-    return T.table(spark, sf, "orders").select(F.col("o_orderkey").alias("job_id"), F.row_number().over(order).alias("place"))
-
-
-@query("""SELECT count(*) FILTER (WHERE NOT (n_chars > 0)) AS n_chars_positive, count(*) FILTER (WHERE NOT (length(lang) BETWEEN 2 AND 8)) AS lang_length,
-  count(*) FILTER (WHERE NOT (n_chars = length(text))) AS n_chars_right, count(*) FILTER (WHERE NOT regexp_matches(source, '^src[0-9]$')) AS source_pattern FROM documents""")
-def q_check_constraints(spark, sf):
-    return D.violations(T.table(spark, sf, "documents"), {
-        "n_chars_positive": F.col("n_chars") > 0, "lang_length": F.length("lang").between(2, 8),
-        "n_chars_right": F.col("n_chars") == F.length("text"), "source_pattern": F.col("source").rlike("^src[0-9]$")})
-
-
-@query("SELECT doc_id, regexp_full_match(sha256(text), '[0-9a-f]{64}') AS ok FROM documents")
-def q_check_sha256(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).rlike("^[0-9a-f]{64}$").alias("ok"))
-
-
-@query("""SELECT 'orders.o_custkey' AS fk, count(*)::BIGINT AS orphans FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer)
-  UNION ALL SELECT 'lineitem.l_orderkey', count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders)
-  UNION ALL SELECT 'labels.doc_id', count(*) FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
-def q_fk_orphans(spark, sf):
-    t = lambda n: T.table(spark, sf, n)
-    return D.orphans([
-        ("orders.o_custkey", t("orders"), "o_custkey", t("customer"), "c_custkey"),
-        ("lineitem.l_orderkey", t("lineitem"), "l_orderkey", t("orders"), "o_orderkey"),
-        ("labels.doc_id", t("labels"), "doc_id", t("documents"), "doc_id"),
-    ])
-
-
-@query("SELECT l_orderkey, l_linenumber, count(*)::BIGINT AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
-def q_unique_keys(spark, sf):
-    return D.duplicates(T.table(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
-
-
 @query("SELECT sha256(text) AS sha, count(*)::BIGINT AS n, min(doc_id)::BIGINT AS first_id FROM documents GROUP BY 1 HAVING count(*) > 1")
 def q_same_file(spark, sf):
     hashed = T.table(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
     return hashed.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
 
 
-@query("SELECT n_regionkey AS user_id, count(*)::BIGINT AS defaults FROM nation WHERE n_nationkey % 2 = 0 GROUP BY 1 HAVING count(*) > 1")
-def q_single_default(spark, sf):
-    return D.many_defaults(T.table(spark, sf, "nation"), "n_regionkey", F.col("n_nationkey") % 2 == 0)
-
-
-@query("SELECT n_regionkey AS scope, arg_min(n_name, (CASE WHEN n_nationkey % 5 = 0 THEN 0 ELSE 1 END, n_name)) AS code FROM nation GROUP BY 1")
-def q_default_language(spark, sf):
-    rows = T.table(spark, sf, "nation").select(F.col("n_regionkey").alias("scope"), F.col("n_name").alias("code"), (F.col("n_nationkey") % 5 == 0).alias("is_default"))
-    return D.default_code(rows, "scope")
-
-
-@query("SELECT n_name AS code, n_name = 'NATION_3' AS is_default FROM nation")
-def q_set_default(spark, sf):
-    rows = T.table(spark, sf, "nation").select(F.col("n_name").alias("code"), F.lit(False).alias("is_default"))
-    return rows.withColumn("is_default", F.col("code") == "NATION_3")
-
-
-@query("SELECT n_regionkey AS scope, array_to_string(list(n_name ORDER BY n_name), ',') AS supported FROM nation GROUP BY 1")
-def q_supported_sync(spark, sf):
-    rows = T.table(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("scope")).agg(F.array_join(F.array_sort(F.collect_list("n_name")), ",").alias("supported"))
-    return rows
-
-
-@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
-def q_typed_config(spark, sf):
-    return T.table(spark, sf, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"))
-
-
 @query(f"WITH {T.CONTRACTS_CTE} SELECT contract_id, {lang_sql('language_raw')} AS language FROM contracts WHERE language_raw IS DISTINCT FROM {lang_sql('language_raw')}")
 def q_backfill_diff(spark, sf):
     from ..functions.lookups import normalize_language
@@ -131,35 +65,3 @@ def q_upsert(spark, sf):
     old = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
     new = old.select((F.col("key") + 100).alias("key"), F.concat(F.lit("new "), F.col("value")).alias("value"))
     return D.upsert(old, new, ["key"])
-
-
-@query("SELECT event_id FROM events WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 10 DAY")
-def q_retention_purge(spark, sf):
-    return D.retained(T.table(spark, sf, "events"), "ts", "2024-01-20 00:00:00", 10).select("event_id")
-
-
-@query("""WITH gone AS (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') SELECT l_orderkey, count(*)::BIGINT AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM gone) GROUP BY 1""")
-def q_cascade_delete(spark, sf):
-    gone = T.table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
-    return T.table(spark, sf, "lineitem").join(gone, "l_orderkey", "left_anti").groupBy("l_orderkey").agg(F.count("*").alias("n"))
-
-
-@query("""SELECT d.lang, avg(l.quality)::DOUBLE AS quality, avg(CASE WHEN length(d.text) > 500 THEN l.quality END)::DOUBLE AS long_quality, count(*)::BIGINT AS n FROM documents d JOIN labels l ON l.doc_id = d.doc_id GROUP BY d.lang""")
-def q_quality_metrics(spark, sf):
-    docs, labels = T.table(spark, sf, "documents"), T.table(spark, sf, "labels")
-    return docs.join(labels, "doc_id").groupBy("lang").agg(
-        F.avg("quality").alias("quality"), F.avg(F.when(F.length("text") > 500, F.col("quality"))).alias("long_quality"), F.count("*").alias("n"))
-
-
-@query("SELECT c.c_custkey AS user_id, count(o.o_orderkey)::BIGINT AS contracts, count(l.l_orderkey)::BIGINT AS clauses FROM customer c LEFT JOIN orders o ON o.o_custkey = c.c_custkey LEFT JOIN lineitem l ON l.l_orderkey = o.o_orderkey GROUP BY 1")
-def q_report_fetch(spark, sf):
-    c, o, l = (T.table(spark, sf, n) for n in ("customer", "orders", "lineitem"))
-    joined = c.join(o, c.c_custkey == o.o_custkey, "left").join(l, l.l_orderkey == o.o_orderkey, "left")
-    return joined.groupBy(F.col("c_custkey").alias("user_id")).agg(F.count("o_orderkey").alias("contracts"), F.count("l_orderkey").alias("clauses"))
-
-
-@query("SELECT o_custkey AS user_id, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM orders GROUP BY 1")
-def q_idx_queries(spark, sf):
-    return T.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("latest"))
-
-

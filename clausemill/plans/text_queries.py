@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import deep, repair
 from ..functions import shape as S
 from ..functions import text as X
 from ..operators import segmentation
@@ -54,7 +55,7 @@ def q_collapse_ws(spark, sf):
     return _docs(spark, sf).select("doc_id", X.collapse_ws(F.col("text")).alias("value"))
 
 
-@query(f"SELECT doc_id, translate(text, '{X.MARKED}', '{X.PLAIN}') AS value FROM documents")
+@query(f"SELECT doc_id, regexp_replace(translate(text, '{X.MARKED}', '{X.PLAIN}'), {rx(X.COMBINING)}, '', 'g') AS value FROM documents")
 def q_fold_diacritics(spark, sf):
     return _docs(spark, sf).select("doc_id", X.fold_diacritics(F.col("text")).alias("value"))
 
@@ -75,7 +76,14 @@ def q_dehyphenate(spark, sf):
     return _docs(spark, sf).select("doc_id", X.dehyphenate(F.replace(F.col("text"), F.lit(" th"), F.lit("-\nth"))).alias("value"))
 
 
-@query()
+def _soft_sql(c: str) -> str:
+    """Twice, as what a match ends with may begin the next one."""
+    for _ in range(2):
+        c = rf"regexp_replace({c}, '([0-9{LETTER}])\n([0-9{X.LOWER}][0-9{LETTER}])', '\1 \2', 'g')"
+    return c
+
+
+@query(f"SELECT doc_id, {_soft_sql("replace(text, ' of', chr(10) || 'of')")} AS value FROM documents")
 def q_soft_line_break(spark, sf):
     return _docs(spark, sf).select("doc_id", X.soft_line_break(F.replace(F.col("text"), F.lit(" of"), F.lit("\nof"))).alias("value"))
 
@@ -90,9 +98,9 @@ def q_unique_strings(spark, sf):
     return _docs(spark, sf).select("doc_id", F.array_join(F.array_sort(X.unique_strings(F.split("text", "\n", -1))), "\n").alias("lines"))
 
 
-@query(f"SELECT doc_id, {COUNT.format('text', rx(X.MOJIBAKE))}::INT AS score FROM documents")
+@query(f"SELECT doc_id, {COUNT.format('text', rx(repair.MOJIBAKE))}::INT AS score FROM documents")
 def q_mojibake_score(spark, sf):
-    return _docs(spark, sf).select("doc_id", X.mojibake_score(F.col("text")).alias("score"))
+    return _docs(spark, sf).select("doc_id", repair.mojibake_score(F.col("text")).alias("score"))
 
 
 @query("SELECT page_id, replace(replace(replace(replace(replace(html, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', ''''), '&amp;', '&') AS value FROM pages")
@@ -146,7 +154,7 @@ def q_chunk_dedupe(spark, sf):
 
 CLAUSES_CTE = f"""{TEXTS_CTE}, cut AS (
   SELECT * EXCLUDE (document_text), list_filter(list_transform(string_split(replace(document_text, chr(13), ''), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM filled
-), clauses AS (
+), clauses AS MATERIALIZED (
   SELECT * EXCLUDE (parts), unnest(parts) AS clause_text, (generate_subscripts(parts, 1) - 1)::INT AS clause_index FROM cut
 )"""
 
@@ -192,7 +200,7 @@ def q_numeric_signal(spark, sf):
     return clauses(spark, sf).select("contract_id", "clause_index", S.numeric_signal(S.trim_lead(F.col("clause_text"))).alias("numeric"))
 
 
-@query(rf"WITH {CLAUSES_CTE} SELECT contract_id, clause_index, regexp_matches({_LEAD}, '(?i)(?:^|[^0-9A-Za-z_])\d[\d\s.,]*\s*(?:percent|eur|usd)(?:$|[^0-9A-Za-z_])') AS monetary FROM clauses")
+@query(rf"WITH {CLAUSES_CTE} SELECT contract_id, clause_index, regexp_matches({_LEAD}, '(?i)(?:^|[^0-9A-Za-z_])\d[\d\s.,]*\s*(?:(?:{S.UNITS})(?:$|[^0-9A-Za-z_])|(?:{S.SIGNS})[0-9A-Za-z_])') AS monetary FROM clauses")
 def q_monetary_signal(spark, sf):
     return clauses(spark, sf).select("contract_id", "clause_index", S.monetary_signal(S.trim_lead(F.col("clause_text"))).alias("monetary"))
 
@@ -203,8 +211,8 @@ def q_excerpt_focus(spark, sf):
 
 
 @query()
-def q_excerpt(spark, sf):
-    return clauses(spark, sf).select("contract_id", "clause_index", S.excerpt(F.col("clause_text"), 60).alias("excerpt"))
+def q_excerpt_short(spark, sf):
+    return clauses(spark, sf).select("contract_id", "clause_index", deep.excerpt(F.col("clause_text"), 60).alias("excerpt"))
 
 
 def _pieces_cte(name: str, pattern: str) -> str:
@@ -212,7 +220,7 @@ def _pieces_cte(name: str, pattern: str) -> str:
   SELECT contract_id, role, counterparty_role, list_filter(list_transform(regexp_split_to_array(replace(document_text, chr(13), ''), '{pattern}'), lambda x: trim(x)), lambda x: x <> '') AS parts FROM filled
 ), {name}_all AS (
   SELECT contract_id, role, counterparty_role, unnest(parts) AS x, (generate_subscripts(parts, 1) - 1)::INT AS i FROM {name}_raw
-), {name} AS (
+), {name} AS MATERIALIZED (
   SELECT contract_id, role, counterparty_role, min(i)::INT AS pos, substr(arg_min(x, i), 1, 240) AS piece FROM {name}_all GROUP BY contract_id, role, counterparty_role, lower(x)
 )"""
 

@@ -63,6 +63,7 @@ MIME_MODES = {
 ACCEPTED_MIMES = ("application/pdf", "application/vnd.openxmlformats-officedocument.wordprocessingml.document", "text/plain")
 MAX_UPLOAD_BYTES = 18 * 1024 * 1024
 MAX_TEXT_CHARS = 500_000
+MAX_BASE64_CHARS = 28_000_000
 
 
 def rules(spark: SparkSession) -> DataFrame:

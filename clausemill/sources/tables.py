@@ -64,7 +64,7 @@ _SPARK_AGG = "array_join(transform(array_sort(collect_list(struct(ln, pk, sk, cl
 _DUCK_AGG = "string_agg(clause_text, chr(10) || chr(10) ORDER BY ln, pk, sk)"
 
 # SQL that other counterparts begin with: the contracts, as a common table expression.
-CONTRACTS_CTE = f"contracts AS ({CONTRACT_SQL.format(agg=_DUCK_AGG, clause=CLAUSE_SQL)})"
+CONTRACTS_CTE = f"contracts AS MATERIALIZED ({CONTRACT_SQL.format(agg=_DUCK_AGG, clause=CLAUSE_SQL)})"
 
 
 def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,6 +72,49 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
 
 
+# Fixed test wording of the deep corpus: risks, near misses, duties and lists; one clause for each remainder of (part + 3 line) by 26.
+DEEP_CLAUSE_SQL = """
+SELECT l_orderkey AS contract_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,
+  CAST(l_linenumber AS VARCHAR(9)) || '. ' || CASE (l_partkey + 3 * l_linenumber) % 26
+    WHEN 0 THEN 'Supplier may unilaterally change the price at its sole discretion.'
+    WHEN 1 THEN 'GENERAL PROVISIONS'
+    WHEN 2 THEN 'Buyer shall pay a penalty of ' || CAST(l_linenumber AS VARCHAR(9)) || ' percent for each day of delay.'
+    WHEN 3 THEN 'Seller is liable for all losses and lost profit in full. Buyer keeps records.'
+    WHEN 4 THEN 'Goods are deemed accepted without objection; acceptance takes ' || CAST(l_linenumber AS VARCHAR(9)) || ' days.'
+    WHEN 5 THEN 'Acceptance act'
+    WHEN 6 THEN 'Acceptance follows within five days with written reasons. Acceptance needs papers of both parties.'
+    WHEN 7 THEN 'Buyer shall:' || chr(10) || 'a) pay the invoice within ' || CAST(l_linenumber AS VARCHAR(9)) || ' days;' || chr(10) || 'b) report losses;' || chr(10) || 'c) keep secret papers.'
+    WHEN 8 THEN 'Contractor must perform the following: deliver goods; undertakes to send papers. Seller undertakes to answer.'
+    WHEN 9 THEN 'Reference only: a penalty of 5 percent for delay is an example.'
+    WHEN 10 THEN 'The scope and price are to be agreed. Terms are set by agreement of the parties.'
+    WHEN 11 THEN 'Work is done within a reasonable time.'
+    WHEN 12 THEN 'Work is done promptly, within ' || CAST(l_linenumber AS VARCHAR(9)) || ' calendar days.'
+    WHEN 13 THEN 'Supplier is entitled to a penalty of ' || CAST(l_linenumber AS VARCHAR(9)) || ' percent for delay.'
+    WHEN 14 THEN 'Seller shall indemnify the buyer for damages without limit.'
+    WHEN 15 THEN 'Lost profit is not recoverable by seller; damages are limited to the price.'
+    WHEN 16 THEN 'Claims go to the court of the seller. Disputes are heard there.'
+    WHEN 17 THEN 'Confidential papers stay secret for an unlimited term.'
+    WHEN 18 THEN 'Personal data may be passed to third parties.'
+    WHEN 19 THEN 'Full prepayment: payment is due immediately, before delivery, ' || CAST(l_linenumber AS VARCHAR(9)) || ' EUR.'
+    WHEN 20 THEN 'Supplier may sell the pledge out of court as collateral.'
+    WHEN 21 THEN 'An independent guarantee, irrevocable, is paid on first demand.'
+    WHEN 22 THEN 'Insurance: the insured event is excluded and not covered.'
+    WHEN 23 THEN 'Исполнитель обязан оплатить неустойку за каждый день, срок ' || CAST(l_linenumber AS VARCHAR(9)) || ' дней.'
+    WHEN 24 THEN 'Section 3.2 Buyer must provide access at its own expense.3.3 Seller waits.'
+    ELSE 'This term is renewed automatically and extended for the same term.' END AS clause_text
+FROM lineitem"""
+
+DEEP_SQL = """
+SELECT o_orderkey AS contract_id,
+  CASE o_custkey % 5 WHEN 0 THEN 'Buyer' WHEN 1 THEN 'seller' WHEN 2 THEN 'Supplier' WHEN 3 THEN 'contractor' ELSE 'Исполнитель' END AS role, t.document_text
+FROM orders JOIN (SELECT contract_id, {agg} AS document_text FROM ({clause}) GROUP BY contract_id) t ON o_orderkey = t.contract_id"""
+
+
+def deep_contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sql = DEEP_SQL.format(agg=_SPARK_AGG, clause=DEEP_CLAUSE_SQL.replace("FROM lineitem", "FROM {lineitem}")).replace("FROM orders", "FROM {orders}")
+    return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
+
+
 def job_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Job states from the event stream."""
     states = {"signup": "uploaded", "view": "queued", "click": "preprocessing", "purchase": "report_ready", "error": "failed"}

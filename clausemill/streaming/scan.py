@@ -2,31 +2,28 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import tables as T
+from ..sources.shared import shared_folder
 
 EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, value DOUBLE, props STRING"
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one in local mode where it is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="clausemill-stream-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+PENDING = ("queued", "preprocessing", "analyzing")
 
 
-def run_available(stream: DataFrame, name: str) -> DataFrame:
-    """Runs a stream over all that is there now, and returns what it wrote; the checkpoint lets a rerun go on after a loss."""
+def run_available(stream: DataFrame, name: str, source: str) -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it has written so far.
+
+    Output and checkpoint lie in the shared folder under the query's name and its input: a run after a loss, or after more
+    input has come, goes on from there.
+    """
     spark = stream.sparkSession
-    at = _folder(spark, name)
+    at = f"{shared_folder(spark)}/stream-{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
     run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -48,8 +45,26 @@ def job_stream(spark: SparkSession, path: str, states: dict[str, str]) -> DataFr
     return rows.select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), pairs[F.col("event_type")].alias("status"))
 
 
-def job_timeouts(log: DataFrame, seconds: int = 120, late: str = "10 minutes") -> DataFrame:
-    """(job_id, since, status): jobs silent for so many seconds after a pending state. Events later than the watermark are dropped."""
-    quiet = log.withWatermark("ts", late).groupBy("job_id", F.session_window("ts", f"{seconds} seconds").alias("s"))
+def job_timeouts(log: DataFrame, seconds: int = 120, late: int = 600) -> DataFrame:
+    """(job_id, since, status): jobs silent for so many seconds after a pending state. Events that come more than `late` seconds behind are dropped."""
+    quiet = log.withWatermark("ts", f"{late} seconds").groupBy("job_id", F.session_window("ts", f"{seconds} seconds").alias("s"))
     last = quiet.agg(F.max(F.struct("ts", "status")).alias("last"))
-    return last.where(F.col("last.status").isin("queued", "preprocessing", "analyzing")).select("job_id", F.col("last.ts").alias("since"), F.col("last.status").alias("status"))
+    return last.where(F.col("last.status").isin(*PENDING)).select("job_id", F.col("last.ts").alias("since"), F.col("last.status").alias("status"))
+
+
+def timeouts_so_far(spark: SparkSession, path: str, states: dict[str, str], name: str, now: str | None = None, seconds: int = 120, late: int = 600) -> DataFrame:
+    """What the stream of time-outs has found, and a closing step for the end of the log, of which the stream still holds the sessions.
+
+    No later event moves the watermark past these. A batch over the log's last `late` seconds, and the events just before them, finds the sessions
+    that have been silent for so many seconds by now (the log's last event where that isn't given).
+    """
+    found = run_available(job_timeouts(job_stream(spark, path, states), seconds, late), name, path)
+    pairs = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
+    log = spark.read.schema(EVENTS).parquet(path).select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), pairs[F.col("event_type")].alias("status"))
+    end = log.agg(F.max("ts")).first()[0]
+    if end is None:
+        return found
+    tail = log.where(F.col("ts") >= F.lit(end) - F.expr(f"INTERVAL {late + 2 * seconds} SECONDS"))
+    at = F.lit(now).cast("timestamp") if now else F.lit(end)
+    closing = job_timeouts(tail, seconds, late).where(F.col("since") + F.expr(f"INTERVAL {seconds} SECONDS") <= at)
+    return found.unionByName(closing).distinct()

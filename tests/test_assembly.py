@@ -49,7 +49,7 @@ def test_job_timeouts(spark, tmp_path):
     rows = [(1, at(0), 7, "view", 0.0, ""), (2, at(1), 7, "click", 0.0, ""), (3, at(0), 8, "view", 0.0, ""), (4, at(0, 30), 8, "purchase", 0.0, ""), (5, at(59), 9, "view", 0.0, "")]
     spark.createDataFrame(rows, scan.EVENTS).write.parquet(str(tmp_path / "events"))
     states = {"view": "queued", "click": "preprocessing", "purchase": "report_ready"}
-    out = scan.run_available(scan.job_timeouts(scan.job_stream(spark, str(tmp_path / "events"), states)), "test")
+    out = scan.run_available(scan.job_timeouts(scan.job_stream(spark, str(tmp_path / "events"), states)), "test", str(tmp_path))
     # job 8 ended in time; job 9's silence is not over at the watermark
     assert [(r.job_id, r.since, r.status) for r in out.collect()] == [(7, at(1), "preprocessing")]
 
