@@ -102,7 +102,9 @@ def reranked(rows: DataFrame, rules, with_role: bool) -> DataFrame:
     return rows.withColumn("passed", F.coalesce(_by_rule([(r[0], r[-1]) for r in rules], "h", "f"), F.lit(False)))
 
 
-ORDER = (F.desc("total"), F.desc("contextual"), F.desc("marker_hits"), F.col("clause_index"), F.col("fragment_index"), F.col("rule_index"))
+def ranking() -> tuple[Column, ...]:
+    """The order of candidates within a contract."""
+    return (F.desc("total"), F.desc("contextual"), F.desc("marker_hits"), F.col("clause_index"), F.col("fragment_index"), F.col("rule_index"))
 
 
 def risk_matches_kept(candidates: DataFrame) -> DataFrame:
@@ -111,11 +113,11 @@ def risk_matches_kept(candidates: DataFrame) -> DataFrame:
     Where some matches of a rule are directed, the others go.
     """
     rows = candidates.where("passed").repartition(KEY)
-    first = F.row_number().over(W.partitionBy(KEY, "rule_id", "clause_ref", "excerpt").orderBy(*ORDER))
+    first = F.row_number().over(W.partitionBy(KEY, "rule_id", "clause_ref", "excerpt").orderBy(*ranking()))
     rows = rows.withColumn("_first", first).where("_first = 1").drop("_first")
     rows = rows.withColumn("directed", (F.col("f_role") == 0) | F.col("f_subject"))
     rows = rows.withColumn("_some", F.max("directed").over(W.partitionBy(KEY, "rule_id"))).where("directed OR NOT _some").drop("_some")
-    return rows.withColumn("n", F.row_number().over(W.partitionBy(KEY).orderBy(*ORDER)))
+    return rows.withColumn("n", F.row_number().over(W.partitionBy(KEY).orderBy(*ranking())))
 
 
 def risk_items(kept: DataFrame) -> DataFrame:
@@ -135,9 +137,9 @@ def risk_items(kept: DataFrame) -> DataFrame:
 def dispute_items(candidates: DataFrame) -> DataFrame:
     """(contract_id, n, clause_ref, excerpt, rule_id): the best dispute of each clause and excerpt, in order."""
     rows = candidates.where("passed").repartition(KEY)
-    best = F.row_number().over(W.partitionBy(KEY, "clause_ref", "excerpt").orderBy(*ORDER))
+    best = F.row_number().over(W.partitionBy(KEY, "clause_ref", "excerpt").orderBy(*ranking()))
     rows = rows.withColumn("_best", best).where("_best = 1")
-    return rows.select(KEY, F.row_number().over(W.partitionBy(KEY).orderBy(*ORDER)).alias("n"), "clause_ref", "excerpt", "rule_id")
+    return rows.select(KEY, F.row_number().over(W.partitionBy(KEY).orderBy(*ranking())).alias("n"), "clause_ref", "excerpt", "rule_id")
 
 
 def carried(signals: DataFrame) -> DataFrame:

@@ -382,7 +382,7 @@ def q_risk_threshold(spark, sf):
 def q_candidate_order(spark, sf):
     from pyspark.sql import Window as W
 
-    return _risks(spark, sf).select(*KEYS, "rule_id", F.row_number().over(W.partitionBy("contract_id").orderBy(*O.ORDER)).alias("n"))
+    return _risks(spark, sf).select(*KEYS, "rule_id", F.row_number().over(W.partitionBy("contract_id").orderBy(*O.ranking())).alias("n"))
 
 
 @query(f"WITH {KEPT} SELECT {MATCH_KEYS}, n FROM kept")
