@@ -510,3 +510,17 @@ def q_inline_evidence(spark, sf):
     docs = T.table(spark, sf, "documents").where("text IS NOT NULL").selectExpr("doc_id", "CASE doc_id % 2 WHEN 0 THEN 'en' ELSE 'ru' END AS lang", f"{_EVIDENCE_TEXT} AS t")
     e = docs.select("doc_id", D.inline_evidence(F.col("t"), F.col("lang")).alias("e"))
     return e.select("doc_id", F.col("e.primary").alias("main_text"), F.array_join("e.evidence", "|").alias("evidence"))
+
+
+_TYPES = ", ".join(f"({i}, {lit(k)}, {items(w)})" for i, (k, w) in enumerate(P.CONTRACT_TYPES.items()))
+
+
+@query(f"""WITH {CLAUSES}, t AS (SELECT contract_id, string_agg(clause_text, chr(10) || chr(10) ORDER BY clause_index) AS text FROM dclauses GROUP BY 1), h AS (SELECT contract_id, {norm('substr(text, 1, 4000)')} AS head FROM t),
+  s AS (SELECT h.contract_id, k.no, k.type, {hits('h.head', 'k.words')} AS n FROM h CROSS JOIN (VALUES {_TYPES}) AS k(no, type, words))
+  SELECT contract_id, coalesce(arg_min(type, (-n, no)) FILTER (WHERE n > 0), 'unknown') AS type FROM s GROUP BY 1""")
+def q_contract_type(spark, sf):
+    from ..operators.report import best_type
+
+    head = X.search_text(F.substring(X.normalize_text(F.col("document_text")), 1, 4000))
+    docs = _contracts(spark, sf).select("contract_id", head.alias("head"))
+    return docs.select("contract_id", best_type(F.col("head"), {k: list(w) for k, w in P.CONTRACT_TYPES.items()}).alias("type"))

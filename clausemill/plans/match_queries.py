@@ -129,15 +129,6 @@ def q_overview_counts(spark, sf):
     return c.join(r, "contract_id", "left").select("contract_id", "clauses", F.greatest(F.coalesce("r", F.lit(0)), F.lit(1)).cast("long").alias("risks"))
 
 
-@query("""WITH h AS (SELECT doc_id, contains(t, 'license')::INT * 1 AS legal, (contains(t, ' the ')::INT + contains(t, ' and ')::INT) AS en, (contains(t, ' der ')::INT + contains(t, ' und ')::INT) AS de, (contains(t, ' que ')::INT + contains(t, ' de ')::INT) AS romance
-    FROM (SELECT doc_id, lower(substr(text, 1, 4000)) AS t FROM documents))
-  SELECT doc_id, CASE WHEN greatest(legal, en, de, romance) = 0 THEN 'unknown' WHEN legal = greatest(legal, en, de, romance) THEN 'legal' WHEN en = greatest(legal, en, de, romance) THEN 'en' WHEN de = greatest(legal, en, de, romance) THEN 'de' ELSE 'romance' END AS type FROM h""")
-def q_contract_type(spark, sf):
-    detectors = {"legal": ["license"], "en": [" the ", " and "], "de": [" der ", " und "], "romance": [" que ", " de "]}
-    head = F.lower(F.substring("text", 1, 4000))
-    return T.table(spark, sf, "documents").select("doc_id", P.best_type(head, detectors).alias("type"))
-
-
 @query(f"""WITH {LINES_CTE} SELECT contract_id, pos, (3 * (contains(lower(piece), 'shall')::INT + contains(lower(piece), 'must')::INT + contains(lower(piece), 'days')::INT) + 2 * contains(lower(piece), lower(role))::INT)::INT AS score FROM lines""")
 def q_line_score(spark, sf):
     low = F.lower("piece")

@@ -151,3 +151,26 @@ EVIDENCE = {
     "it": ("rilevato nella clausola",),
     "fr": ("détecté dans la clause",),
 }
+
+# The types of contracts, the first of equals first. Their words are of our own pack.
+CONTRACT_TYPES = {
+    "bankGuarantee": ("guarantee", "on first demand"),
+    "surety": ("surety", "answers for the debtor"),
+    "pledge": ("pledge", "collateral"),
+    "insurance": ("insurance", "insured event"),
+    "ipLicense": ("license", "exclusive right"),
+    "rentLife": ("annuity", "for life"),
+    "commission": ("commission agent", "on behalf of the principal"),
+    "mandate": ("mandate", "power of attorney"),
+    "bankAccount": ("bank account", "account holder"),
+    "agency": ("agent", "principal"),
+    "loan": ("loan", "interest rate"),
+    "cession": ("assignment of claims", "assignee"),
+    "education": ("education", "student"),
+    "employment": ("employee", "employer"),
+    "nda": ("confidential", "secret"),
+    "contractWork": ("contractor", "work is done"),
+    "supply": ("supplier", "deliver", "goods"),
+    "rent": ("tenant", "landlord"),
+    "services": ("services", "customer"),
+}
