@@ -145,6 +145,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 HOT_SHARE = 64
+ONE_TASK = 1 << 19  # edges, 8 MB
 SALTS = 32
 
 
@@ -210,13 +211,17 @@ def _forest(frames: Iterator[pd.DataFrame], most: int = 1 << 20) -> Iterator[pd.
 def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """(node, component) for every node of edges (a, b), longs: component is the smallest node reachable.
 
-    Every task first reduces the edges it holds to a forest. Alternating large-star and small-star rounds
+    Every task first reduces the edges it holds to a forest. Where ONE_TASK edges or fewer are all there is, one task
+    holds them all, and its forest is the result. Else alternating large-star and small-star rounds
     follow until nothing changes; each round is two groupings by node, and writes its edges to the shared folder. Edge lists never
     meet in one group: a round sends every neighbour to the group's minimum, found beforehand
     by a partial aggregate and joined back. Hubs, of which there are few, are salted in that join.
     """
     und = edges.select("a", "b").where("a <> b").distinct()
-    cur = scratch.write(und.mapInPandas(_forest, "u long, v long"), "cc")
+    few = edges.count() <= ONE_TASK
+    cur = scratch.write((und.coalesce(1) if few else und).mapInPandas(_forest, "u long, v long"), "cc")
+    if few:
+        return _labels(cur)
 
     def state() -> tuple:
         rows, mark, top = cur.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.expr(f"approx_top_k(v, {HOT_SHARE})")).first()
@@ -242,6 +247,10 @@ def connected_components(edges: DataFrame, scratch: Scratch, max_rounds: int = 6
         before = now
     else:
         raise RuntimeError("components did not settle")
-    return cur.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
-        cur.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    )
+    return _labels(cur)
+
+
+def _labels(stars: DataFrame) -> DataFrame:
+    """(node, component) for the edges (u, v) from nodes to their components' smallest ones."""
+    own = stars.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return stars.select(F.col("u").alias("node"), F.col("v").alias("component")).union(own)

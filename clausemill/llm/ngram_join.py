@@ -195,9 +195,9 @@ def _same(s: np.ndarray, t: np.ndarray) -> int:
 
 
 def _crowd_pairs(x: pd.DataFrame, percent: int, within: bool, half: int, one: bool) -> pd.DataFrame:
-    """(a, b, an, bn): pairs of sets of x (fp, component, n, sketch) in different components that sizes and sketches don't tell apart.
+    """(a, b, an, bn, key): pairs of sets of x (fp, component, n, sketch) in different components that sizes and sketches don't tell apart.
 
-    Of all sets, or of the first half with the others. one: of each set only the pair with the least other set.
+    Of all sets, or of the first half with the others. one: of each set only the pair with the least other set. key is the component of a.
     """
     raw = [np.asarray(r, np.int64).view(np.uint64) for r in x["sketch"]]
     n, fp, comp = (x[c].to_numpy(np.int64) for c in ("n", "fp", "component"))
@@ -237,7 +237,7 @@ def _crowd_pairs(x: pd.DataFrame, percent: int, within: bool, half: int, one: bo
     i, j = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
     flip = fp[i] > fp[j]
     i, j = np.where(flip, j, i), np.where(flip, i, j)
-    return pd.DataFrame({"a": fp[i], "b": fp[j], "an": n[i], "bn": n[j]})
+    return pd.DataFrame({"a": fp[i], "b": fp[j], "an": n[i], "bn": n[j], "key": comp[i]})
 
 
 def crowd_links(hot: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, block: int = 4096, *, elements: int = 1 << 24) -> DataFrame:
@@ -269,9 +269,9 @@ def crowd_links(hot: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFra
         now = members.join(labels.select(F.col("node").alias("fp"), "component").hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
         dealt = now.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         dealt = dealt.select("crowd", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "fp", "component", "n", "sketch")
-        close = dealt.groupBy("crowd", "i", "j").applyInPandas(comparing(one), "a long, b long, an long, bn long").distinct()
+        close = dealt.groupBy("crowd", "i", "j").applyInPandas(comparing(one), "a long, b long, an long, bn long, key long").distinct()
         close = scratch.write(close, "close")
-        links = links.union(_compared(scratch.write(_open(close, labels), "keyed"), docs, sets, k, percent, scratch))
+        links = links.union(_compared(close, docs, sets, k, percent, scratch))
         scratch.drop(close, labels)
     scratch.drop(members)
     return links
@@ -344,17 +344,19 @@ def _compared(close: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percen
     """
     close = close.select("key", "a", "b", "an", "bn")
     held = close.select("key", F.col("a").alias("fp"), F.col("an").alias("n")).union(close.select("key", "b", "bn")).distinct()
-    keys = scratch.write(held.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n")), "keys")
+    keys = held.groupBy("key").agg(F.sum("n").alias("size"), F.count("*").alias("n"))
     total, rows, large = keys.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0)), F.count(F.when(F.col("size") > ELEMENTS, 1))).first()
-    slots = keys.where(F.col("size") > ELEMENTS).select("key", F.ceil(F.col("size") * 2 / ELEMENTS).cast("int").alias("slots"))
     if large:
+        keys = scratch.write(keys, "keys")
+        slots = keys.where(F.col("size") > ELEMENTS).select("key", F.ceil(F.col("size") * 2 / ELEMENTS).cast("int").alias("slots"))
         dealt = salted_join(close, slots, "key", hot_keys(keys, "key", "n", rows), "b", "left").withColumn("slots", F.coalesce("slots", F.lit(1)))
     else:
         dealt = close.withColumn("slots", F.lit(1))
     slot = lambda c: F.pmod(F.xxhash64(c), F.col("slots"))
     group = F.when(F.col("slots") == 1, F.pmod(F.xxhash64("key"), F.lit(max(1, math.ceil(total / ELEMENTS))))).otherwise(F.xxhash64("key", slot("a"), slot("b")))
     dealt = scratch.write(dealt.select("a", "b", group.alias("g")), "dealt")
-    scratch.drop(keys)
+    if large:
+        scratch.drop(keys)
     members = dealt.select(F.col("g").alias("group"), F.col("a").alias("fp")).union(dealt.select("g", F.col("b"))).distinct()
     members = members.join(sets.select("fp", "_row").hint("merge"), "fp")
     texts = docs.select("_row", F.col("text").cast("binary").alias("text")).join(members.hint("merge"), "_row")
@@ -383,7 +385,7 @@ def _open(close: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.where("_ca <> _cb").select("a", "b", "an", "bn", F.col("_ca").alias("key"))
 
 
-def _connecting(close: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, rounds: int = 2) -> DataFrame:
+def _connecting(close: DataFrame, links: DataFrame, docs: DataFrame, sets: DataFrame, k: int, percent: int, scratch: Scratch, rounds: int = 1) -> DataFrame:
     """links, and those of close that connect what all links of close connect.
 
     Sets that many pairs connect need few of them compared: rounds that compare each b with one a only leave out pairs that are connected

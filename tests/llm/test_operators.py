@@ -348,7 +348,12 @@ def test_subwords_do_not_cross_texts():
     assert buckets.tolist() == [b for x, _ in alone for b in x.tolist()]
 
 
-def test_components(spark):
+@pytest.mark.parametrize("one_task", [1 << 19, 0])
+def test_components(spark, monkeypatch, one_task):
+    from clausemill.llm import common
+
+    monkeypatch.setattr(common, "ONE_TASK", one_task)
+    monkeypatch.setattr(common._forest, "__defaults__", (1 << 20 if one_task else 50,))
     rng = random.Random(9)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(180)] + [(i, i + 1) for i in range(400, 440)]
     got = connected_components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
