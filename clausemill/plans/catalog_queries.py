@@ -13,6 +13,7 @@ from ..sources import rules as R
 from ..sources import tables as T
 from ..sources.registry_tables import cte
 from ..sources.registry_tables import registry_table as reg
+from ..sources.shared import new_folder
 from .match_queries import MATCH_CTE, matched
 from .registry import query
 from .request_queries import C, LOCALE, case_sql
@@ -332,3 +333,23 @@ def q_runtime_validation(spark, sf):
         n = D.duplicates(reg(spark, sf, t), list(k)).agg((F.count("*") == 0).alias("passed"))
         parts.append(n.select(F.lit(f"{t} keys are unique").alias("name"), "passed"))
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+@query(f"WITH {cte('contracts')} SELECT contract_id, storage_key, status, size_bytes::BIGINT AS size_bytes FROM r_contracts")
+def q_record_scan(spark, sf):
+    """Contract records as JSON files in the shared folder, read back with a declared schema; files of other names there are left alone."""
+    at = new_folder(spark, "records")
+    rows = reg(spark, sf, "contracts").select("contract_id", "storage_key", "status", F.col("size_bytes").cast("long").alias("size_bytes"))
+    rows.write.json(f"{at}/a")
+    rows.select(F.lit("not a record").alias("value")).limit(1).write.text(f"{at}/b")
+    return T.record_scan(spark, f"{at}/*", "contract_id LONG, storage_key STRING, status STRING, size_bytes LONG", one_per_file=False)
+
+
+@query(f"WITH {C}, g AS (SELECT contract_id, role, {LOCALE} AS language FROM contracts) SELECT language, contract_id, role FROM g")
+def q_report_sink(spark, sf):
+    """One report a contract as JSON, a folder for each language, replaced by a second write, and read back."""
+    at = new_folder(spark, "reports") + "/out"
+    reports = T.contracts(spark, sf).select("contract_id", "role", L.locale_precedence(F.col("language_raw"), F.col("locale_raw")).alias("language"))
+    T.report_sink(reports.where("contract_id % 2 = 0"), at)
+    T.report_sink(reports, at)
+    return spark.read.schema("contract_id LONG, role STRING, language STRING").json(at).select("language", "contract_id", "role")

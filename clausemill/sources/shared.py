@@ -19,11 +19,19 @@ def shared_folder(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df, worked out once, written to the shared folder and read back: for what several branches of a plan need. It goes with the session."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared one; it goes with the session."""
     at = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return at
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df, worked out once, written to the shared folder and read back: for what several branches of a plan need."""
+    spark = df.sparkSession
+    at = f"{new_folder(spark, name)}/table"
     df.write.parquet(at)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(path)
     return spark.read.schema(df.schema).parquet(at)

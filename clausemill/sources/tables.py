@@ -22,9 +22,9 @@ def text_scan(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
-def record_scan(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """One JSON record per file; other files are skipped, broken records give nulls."""
-    return spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json").json(path)
+def record_scan(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
+    """JSON records, one for each file or one for each line; files of other names are skipped, broken records give nulls."""
+    return spark.read.schema(schema).option("multiLine", one_per_file).option("pathGlobFilter", "*.json").json(path)
 
 
 def report_sink(reports: DataFrame, path: str) -> None:
