@@ -105,6 +105,11 @@ def _apart(x: Column, y: Column) -> Column:
     return F.coalesce(F.aggregate(differ, F.lit(0), lambda acc, n: acc + n), F.lit(0))
 
 
+def _may_link(n: Column, m: Column, x: Column, y: Column, percent: int) -> Column:
+    """Two sets' sizes and sketches don't rule out that they link."""
+    return (F.least(n, m) * 100 >= F.greatest(n, m) * percent) & (_apart(x, y) * (100 + percent) <= (n + m) * (100 - percent))
+
+
 def fingerprint(s: np.ndarray) -> int:
     """64 bits of a whole set, 0 for the empty one."""
     if not len(s):
@@ -305,17 +310,19 @@ def set_links(docs: DataFrame, told: DataFrame, k: int, percent: int, scratch: S
     known = scratch.write(known, "known")
     scratch.drop(met, labels)
     mixed = known.groupBy("sig").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("held")).where("lo <> hi").select("sig", "held")
-    open_ = known.join(mixed.hint("merge"), "sig").join(sets.select("fp", "n").hint("merge"), "fp")
+    open_ = known.join(mixed.hint("merge"), "sig").join(sets.select("fp", "n", "sketch").hint("merge"), "fp")
     open_ = scratch.write(open_, "open")
     scratch.drop(known)
-    calm = open_.where(F.col("held") <= crowd).select("sig", "fp", "component", "n")
+    calm = open_.where(F.col("held") <= crowd).select("sig", "fp", "component", "n", "sketch")
     hot = open_.where(F.col("held") > crowd).select("sig", "fp")
+    # sizes and sketches are part of the join: at most `crowd` sets meet in an entry, and only pairs that may link leave it
     l, r = calm.alias("l"), calm.alias("r")
     met_again = (F.col("l.sig") == F.col("r.sig")) & (F.col("l.component") < F.col("r.component"))
-    alike = F.least("l.n", "r.n") * 100 >= F.greatest("l.n", "r.n") * percent
-    pairs = l.join(r.hint("merge"), met_again & alike)
-    pairs = pairs.select(F.least("l.fp", "r.fp").alias("a"), F.greatest("l.fp", "r.fp").alias("b")).distinct()
-    all_links = _connecting(_close(pairs, sets, percent, scratch), links, docs, sets, k, percent, scratch)
+    pairs = l.join(r.hint("merge"), met_again & _may_link(F.col("l.n"), F.col("r.n"), F.col("l.sketch"), F.col("r.sketch"), percent))
+    flip = F.col("l.fp") > F.col("r.fp")
+    pick = lambda c, x, y: F.when(flip, F.col(f"{y}.{c}")).otherwise(F.col(f"{x}.{c}"))
+    close = pairs.select(pick("fp", "l", "r").alias("a"), pick("fp", "r", "l").alias("b"), pick("n", "l", "r").alias("an"), pick("n", "r", "l").alias("bn")).distinct()
+    all_links = _connecting(scratch.write(close, "close"), links, docs, sets, k, percent, scratch)
     if not hot.isEmpty():
         all_links = crowd_links(hot, all_links, docs, sets, k, percent, scratch)
     scratch.drop(sets, open_)
@@ -329,8 +336,7 @@ def _close(pairs: DataFrame, sets: DataFrame, percent: int, scratch: Scratch) ->
     a = sets.select(F.col("fp").alias("a"), F.col("n").alias("an"), F.col("sketch").alias("ask"))
     b = sets.select(F.col("fp").alias("b"), F.col("n").alias("bn"), F.col("sketch").alias("bsk"))
     close = salted_join(pairs, a, "a", hot, "b").join(b.hint("merge"), "b")
-    close = close.where(F.least("an", "bn") * 100 >= F.greatest("an", "bn") * percent)
-    close = close.where(_apart(F.col("ask"), F.col("bsk")) * (100 + percent) <= (F.col("an") + F.col("bn")) * (100 - percent))
+    close = close.where(_may_link(F.col("an"), F.col("bn"), F.col("ask"), F.col("bsk"), percent))
     close = scratch.write(close.select("a", "b", "an", "bn"), "close")
     scratch.drop(pairs)
     return close
