@@ -73,6 +73,30 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM m GROUP BY doc_id
 """
 
+OP13 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
+         sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS h
+  FROM documents
+), x AS (
+  SELECT *, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+         CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 AS c, CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 AS e
+  FROM d
+), y AS (
+  SELECT doc_id, t, n, least(a, b) AS p, greatest(a, b) AS m,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+              WHEN e < 20 THEN 'spm' ELSE 'psm' END AS form
+  FROM x
+), z AS (
+  SELECT *, substr(t, 1, p) AS pre, substr(t, p + 1, m - p) AS mid, substr(t, m + 1) AS suf FROM y
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN p END AS prefix_chars, CASE WHEN form <> 'plain' THEN m - p END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM z
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3, "op4_source_mixing": OP4, "op5_line_dedup": OP5}
+    return {"op3_embedding_dedup": OP3, "op4_source_mixing": OP4, "op5_line_dedup": OP5, "op13_fill_in_middle": OP13}

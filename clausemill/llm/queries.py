@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import fold
 from .decontaminate import find_leaks
 from .hnsw import embedding_links
+from .infill import fill_in_middle, restored
 from .langid import predict_language, train_language_id
 from .licenses import scan_licenses
 from .lines import dedup_lines
@@ -73,7 +74,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    sha = lambda text, name: F.sha2(text, 256).alias(name)
+    return out.select("doc_id", F.col("n_units").alias("n"), "form", F.col("prefix_units").alias("prefix_chars"), F.col("middle_units").alias("middle_chars"),
+                      sha(F.col("fim_text"), "output_sha256"), sha(restored(F.col("form"), F.col("fim_text")), "restored_sha256"))
+
+
 def queries():
     ops = (op1_lm_scoring, op2_sharding, op3_embedding_dedup, op4_source_mixing, op5_line_dedup, op6_secret_scan,
-           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id)
+           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id, op13_fill_in_middle)
     return {f.__name__: f for f in ops}
