@@ -73,6 +73,19 @@ SELECT doc_id, count(*)::BIGINT AS n_lines, (count(*) FILTER (WHERE gone))::BIGI
 FROM m GROUP BY doc_id
 """
 
+OP12 = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS place FROM p
+)
+SELECT query_id, CAST(place AS INTEGER) AS rank, vec_id, score FROM r WHERE place <= 5
+"""
+
 OP13 = """
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, ''))::BIGINT AS n,
@@ -99,4 +112,4 @@ FROM z
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_embedding_dedup": OP3, "op4_source_mixing": OP4, "op5_line_dedup": OP5, "op13_fill_in_middle": OP13}
+    return {"op3_embedding_dedup": OP3, "op4_source_mixing": OP4, "op5_line_dedup": OP5, "op12_top_k": OP12, "op13_fill_in_middle": OP13}

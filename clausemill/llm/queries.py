@@ -17,6 +17,7 @@ from .mixing import mix_sources
 from .ngram_join import ngram_join
 from .secrets import BASE_RULES, listed, scan_secrets
 from .sharding import shard_documents
+from .topk import top_inner_products
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +75,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
 def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = fill_in_middle(table(spark, sf_dir, "documents").select("doc_id", "text"))
     sha = lambda text, name: F.sha2(text, 256).alias(name)
@@ -83,5 +88,5 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     ops = (op1_lm_scoring, op2_sharding, op3_embedding_dedup, op4_source_mixing, op5_line_dedup, op6_secret_scan,
-           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id, op13_fill_in_middle)
+           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id, op12_top_k, op13_fill_in_middle)
     return {f.__name__: f for f in ops}
