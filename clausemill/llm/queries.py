@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold
+from .conversations import damaged, digests, key_of, repair_conversations
 from .decontaminate import find_leaks
 from .hnsw import embedding_links
 from .infill import fill_in_middle, restored
@@ -75,6 +76,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    repair = repair_conversations(damaged(rows))
+    told = rows.select("conv_id").distinct().withColumn("conv", key_of(F.col("conv_id")))
+    told = told.join(repair.summary.hint("merge"), "conv", "left").join(digests(repair.blocks).hint("merge"), "conv", "left")
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return told.select("conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"), F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"))
 
@@ -88,5 +98,5 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries():
     ops = (op1_lm_scoring, op2_sharding, op3_embedding_dedup, op4_source_mixing, op5_line_dedup, op6_secret_scan,
-           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id, op12_top_k, op13_fill_in_middle)
+           op7_ngram_join, op8_license_scan, op9_decontamination, op10_language_id, op11_conversation_repair, op12_top_k, op13_fill_in_middle)
     return {f.__name__: f for f in ops}
