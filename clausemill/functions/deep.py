@@ -11,6 +11,7 @@ from ..operators import matching as M
 from ..sources import deep_pack as P
 from . import shape
 from . import text as T
+from .binding import bound
 
 # Fixed patterns: what starts a new fragment, a list item, another party's duty, and what may stand before a leading role.
 UP = shape.UPPER
@@ -38,11 +39,6 @@ EMBEDDED = (
 )
 
 
-def bound(value: Column, f) -> Column:
-    """f(value) with value worked out once, however often f names it."""
-    return F.transform(F.array(value), f)[0]
-
-
 def fragments(text: Column) -> Column:
     """The pieces of a clause: at lines, ; and bullets, and before what begins a new statement. Never empty but for an empty text."""
     whole = T.normalize_text(text)

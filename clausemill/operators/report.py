@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions.binding import bound
 from ..sources import rules as R
 from ..sources import tables as T
 from . import matching as M
@@ -79,30 +82,34 @@ def actor_topk(pieces: DataFrame, sections: DataFrame, key: str, actor: str | No
 
 
 def _any(text: Column, words) -> Column:
-    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(text, w))
+    return reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
 
 
 def section_items(lines: Column, section: str, terms: Column, most: int = 5) -> Column:
-    """Lines with a marker of the section, those that name a term first, capped; the same twice where there is no term; a fallback where none is found."""
-    named = F.filter(F.transform(terms, lambda t: F.lower(F.trim(t))), lambda t: F.coalesce(t, F.lit("")) != "")
-    marked = F.filter(lines, lambda x: _any(F.lower(x), R.SECTIONS[section]))
+    """Lines (x, and l in small letters) with a marker of the section, those that name a term first, capped; the same twice where there is no term; a fallback where none is found."""
+    marked = F.filter(lines, lambda x: _any(x["l"], R.SECTIONS[section]))
 
     def ordered(s: Column) -> Column:
-        names = lambda x: F.exists(s["t"], lambda t: F.contains(F.lower(x), t))
+        names = lambda x: F.exists(s["t"], lambda t: F.contains(x["l"], t))
         first = F.when(F.size(s["t"]) == 0, s["x"]).otherwise(F.filter(s["x"], names))
         rest = F.when(F.size(s["t"]) == 0, s["x"]).otherwise(F.filter(s["x"], lambda x: ~names(x)))
-        return F.slice(F.concat(first, rest), 1, most)
+        return F.transform(F.slice(F.concat(first, rest), 1, most), lambda x: x["x"])
 
-    found = F.transform(F.array(F.struct(marked.alias("x"), named.alias("t"))), ordered)[0]
-    return F.transform(F.array(found), lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(f"none: {section}"))))[0]
+    found = bound(F.struct(marked.alias("x"), terms.alias("t")), ordered)
+    return bound(found, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.lit(f"none: {section}"))))
 
 
 def summary_sections(docs: DataFrame) -> DataFrame:
     """docs (role, counterparty_role, document_text) with role_summary: the items of every section, worked out within the row."""
-    own, both = F.array("role"), F.array("role", "counterparty_role")
-    docs = docs.withColumn("_lines", segmentation.line_array(F.col("document_text")))
-    parts = [x for s in R.SECTIONS for x in (F.lit(s), section_items(F.col("_lines"), s, own if s in ("must_do", "deadlines") else both))]
-    return docs.withColumn("role_summary", F.create_map(*parts)).drop("_lines")
+    named = lambda *c: F.filter(F.transform(F.array(*c), lambda t: F.lower(F.trim(t))), lambda t: F.coalesce(t, F.lit("")) != "")
+
+    def sections(d: Column) -> Column:
+        return F.create_map(*[x for s in R.SECTIONS for x in (F.lit(s), section_items(d["lines"], s, d["own" if s in ("must_do", "deadlines") else "both"]))])
+
+    lines = F.transform(segmentation.line_array(F.col("document_text")), lambda x: F.struct(x.alias("x"), F.lower(x).alias("l")))
+    once = F.struct(lines.alias("lines"), named("role").alias("own"), named("role", "counterparty_role").alias("both"))
+    # bound, so that the lines are cut once and not for each section
+    return docs.withColumn("role_summary", bound(once, sections))
 
 
 def role_summary(spark, sf) -> DataFrame:
@@ -115,10 +122,9 @@ def row_risks(clauses: Column) -> Column:
     """Risks of a document's clauses in rank order, each with its number; one low risk without a clause where there is none."""
 
     def of(c: Column, i: Column) -> Column:
-        low = F.lower(c)
-        return F.array_compact(F.array(*[
+        return bound(F.lower(c), lambda low: F.array_compact(F.array(*[
             F.when(_any(low, words), F.struct(F.lit(-R.SEVERITY_RANK[sev]).alias("rank"), i.alias("i"), F.lit(no).alias("no"), F.lit(sev).alias("severity"), F.lit(rule).alias("rule_id")))
-            for no, (rule, sev, words) in enumerate(R.RULES)]))
+            for no, (rule, sev, words) in enumerate(R.RULES)])))
 
     ranked = F.array_sort(F.flatten(F.transform(clauses, of)))
     rows = F.transform(ranked, lambda r, n: F.struct(
@@ -134,8 +140,7 @@ def row_disputes(clauses: Column) -> Column:
         return F.struct(F.concat(F.lit("clause-"), (i + 1).cast("string")).alias("clause_id"), dispute.alias("dispute_id"), confidence.alias("confidence"), F.substring(c, 1, 300).alias("excerpt"))
 
     def of(c: Column, i: Column) -> Column:
-        low = F.lower(c)
-        return F.array_compact(F.array(*[F.when(_any(low, words), one(c, i, F.lit(name), F.lit(conf))) for name, conf, words in R.DISPUTES]))
+        return bound(F.lower(c), lambda low: F.array_compact(F.array(*[F.when(_any(low, words), one(c, i, F.lit(name), F.lit(conf))) for name, conf, words in R.DISPUTES])))
 
     found = F.array_sort(F.flatten(F.transform(clauses, of)))
     first = F.transform(F.slice(clauses, 1, 1), lambda c, i: one(c, i, F.lit(None).cast("string"), F.lit(0.35)))

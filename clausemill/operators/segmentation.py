@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import lookups as L
 from ..functions import shape
+from ..functions.binding import bound
 from ..sources import rules as R
 
 BLANK = " \t\n\r\x0b\x0c"
@@ -60,9 +61,9 @@ def pieces(docs: DataFrame, pattern: str, most: int = 240, text: str = "document
 def line_array(text: Column) -> Column:
     """Lines of a text, also split at ;, the first of those that are equal with letters in either case, cut to 240 characters."""
     parts = _trimmed(F.split(F.replace(text, F.lit("\r"), F.lit("")), r"[\n;]", -1))
-    keyed = F.struct(parts.alias("x"), F.transform(parts, lambda x: F.lower(x)).alias("k"))
-    return F.transform(F.array(keyed), lambda s: F.transform(
-        F.array_distinct(s["k"]), lambda k: F.substring(F.element_at(s["x"], F.array_position(s["k"], k).cast("int")), 1, 240)))[0]
+    keyed = lambda ps: F.struct(ps.alias("x"), F.transform(ps, lambda x: F.lower(x)).alias("k"))
+    return bound(bound(parts, keyed), lambda s: F.transform(
+        F.array_distinct(s["k"]), lambda k: F.substring(F.element_at(s["x"], F.array_position(s["k"], k).cast("int")), 1, 240)))
 
 
 def statements(docs: DataFrame) -> DataFrame:
