@@ -234,11 +234,3 @@ def core_report(output: DataFrame) -> DataFrame:
     ids = lambda d: F.concat_ws("_", F.col("contract_id").cast("string"), d["clause_id"])
     disputes = F.transform("disputes", lambda d: F.struct(ids(d).alias("dispute_id"), d["clause_id"].alias("clause_ref"), d["excerpt"].alias("fragment")))
     return output.select("contract_id", "language", "role", risks.alias("risks"), disputes.alias("disputes"), "role_summary")
-
-
-def safe_report(docs: DataFrame, risks: DataFrame, key: str, text: str = "document_text") -> DataFrame:
-    """(key, state, risks): documents whose text could not be read get a fallback report with one risk; the others are untouched."""
-    n = risks.groupBy(key).agg(F.count("*").alias("n"))
-    failed = F.col(text).isNull()
-    out = docs.select(key, failed.alias("failed")).join(n.hint("shuffle_hash"), key, "left")
-    return out.select(key, F.when(F.col("failed"), "fallback").otherwise("analyzed").alias("state"), F.when(F.col("failed"), 1).otherwise(F.coalesce("n", F.lit(0))).cast("long").alias("risks"))

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import lookups as L
+from ..functions import payload
 from ..functions import shape as S
 from ..functions import text as X
 from ..operators import report as P
-from ..operators import segmentation
+from ..operators import safe, segmentation
 from ..sources import rules as R
 from ..sources import tables as T
 from .match_queries import MATCH_CTE, disputed, matched
@@ -130,16 +131,6 @@ def q_role_missing_row(spark, sf):
     return P.with_role_missing(P.final_risk_order(matched(spark, sf), KEY), clauses(spark, sf), KEY)
 
 
-@query(f"""WITH {T.CONTRACTS_CTE}, w AS (SELECT contract_id, (coalesce(trim(document_text), '') = '')::INT
-    + coalesce(lower(trim(mime_type)) = 'application/pdf' AND length(coalesce(document_text, '')) < 160, false)::INT AS n FROM contracts)
-  SELECT contract_id, 'medium' AS severity, n::INT AS occurrences FROM w WHERE n > 0""")
-def q_warning_row(spark, sf):
-    text = F.coalesce("document_text", F.lit(""))
-    empty = (F.trim(text) == "").cast("int")
-    short = F.coalesce((F.lower(F.trim("mime_type")) == "application/pdf") & (F.length(text) < 160), F.lit(False)).cast("int")
-    return T.contracts(spark, sf).select(KEY, F.lit("medium").alias("severity"), (empty + short).alias("occurrences")).where("occurrences > 0")
-
-
 def _said(where: str, section: str) -> str:
     return f"coalesce(array_to_string(list(piece ORDER BY pos) FILTER (WHERE section = '{section}' AND {where})[1:2], '; '), '')"
 
@@ -174,8 +165,60 @@ def q_core_report(spark, sf):
     return rows.select(KEY, "r.risk_id", "r.clause_ref", "r.severity", "disputes")
 
 
-@query(f"""WITH {MATCH_CTE}, risks AS ({RISKS}) SELECT c.contract_id, CASE WHEN c.document_text IS NULL THEN 'fallback' ELSE 'analyzed' END AS state,
-  CASE WHEN c.document_text IS NULL THEN 1 ELSE (SELECT count(*) FROM risks r WHERE r.contract_id = c.contract_id) END::BIGINT AS risks FROM contracts c""")
+# What each request holds, and what is wrong with it, from the contract it was made of.
+REQUESTS = f"""{T.CONTRACTS_CTE}, req AS MATERIALIZED (
+  SELECT contract_id, {LOCALE} AS language, contract_id % 11 AS fault, CASE WHEN contract_id % 11 = 8 THEN 'application/msword' ELSE lower(trim(mime_type)) END AS mime,
+    CASE WHEN contract_id % 11 = 4 THEN '' ELSE document_text END AS t FROM contracts
+), read AS MATERIALIZED (
+  SELECT contract_id, language, CASE WHEN fault = 3 OR t IS NULL THEN 'missing_payload' WHEN fault = 1 THEN 'invalid_base64' END AS error, t, mime, fault FROM req
+), warned AS MATERIALIZED (
+  SELECT contract_id, language, error, CASE WHEN fault = 4 THEN p.placeholder ELSE t END AS t, list_filter([CASE WHEN error IS NULL AND fault = 2 THEN 'invalid_utf8' END, CASE WHEN fault = 4 THEN 'empty_text' END,
+    CASE WHEN error IS NULL AND mime = 'application/pdf' AND length(t) < 160 THEN 'limited_pdf_text' END, CASE WHEN mime = 'application/msword' THEN 'legacy_document' END], lambda x: x IS NOT NULL) AS warnings
+  FROM read JOIN {R.PLACEHOLDER_SQL.replace("AS p(language", "AS p(lang")} ON p.lang = read.language
+)"""
+
+
+def _by_language(words: dict, language: str) -> str:
+    return case_sql({k: v.replace("'", "''") for k, v in words.items()}, language)
+
+
+def _notices(codes: str) -> str:
+    return f"(SELECT string_agg(n.words, ' ' ORDER BY x.i) FROM (SELECT unnest({codes}) AS code, generate_subscripts({codes}, 1) AS i) x JOIN {R.words_sql(R.NOTICES)} AS n(code, lang, words) ON n.code = x.code AND n.lang = language)"
+
+
+@query(f"""WITH {REQUESTS},
+  cut AS (SELECT contract_id, list_filter(list_transform(string_split(replace(t, chr(13), ''), chr(10) || chr(10)), lambda x: trim(x, chr(32) || chr(9) || chr(10))), lambda x: x <> '') AS parts FROM warned WHERE error IS NULL),
+  cl AS (SELECT contract_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS i FROM cut),
+  hit AS (SELECT DISTINCT contract_id, i, k.rule_id, k.rule_index, k.severity FROM cl JOIN {R.KEYWORDS_SQL} ON contains(lower(c), k.keyword)),
+  ranked AS (SELECT h.*, row_number() OVER (PARTITION BY contract_id ORDER BY r.rank DESC, i, rule_index) AS n FROM hit h JOIN {R.RANK_SQL} ON r.severity = h.severity),
+  told AS (SELECT w.*, coalesce(rk.n, 1) AS n, coalesce(rk.rule_id, 'none') AS group_id, coalesce(CASE rk.severity WHEN 'critical' THEN 'high' ELSE rk.severity END, 'low') AS severity, rk.i
+    FROM warned w LEFT JOIN ranked rk ON rk.contract_id = w.contract_id WHERE error IS NULL)
+  SELECT contract_id, language, 'analyzed' AS state, error, array_to_string(warnings, ',') AS warnings, {_by_language(R.ANALYZED, 'language')} || coalesce(' ' || {_notices('warnings')}, '') AS summary,
+    'risk-' || n AS risk_id, group_id, severity, coalesce('clause-' || i, {_by_language(R.UNKNOWN_CLAUSE, 'language')}) AS clause_ref, 1::BIGINT AS occurrences, ti.words AS title, no.words AS description, mi.words AS recommendation
+  FROM told JOIN {R.words_sql(R.RULE_TITLE)} AS ti(rule, lang, words) ON ti.rule = group_id AND ti.lang = language JOIN {R.words_sql(R.RULE_NOTE)} AS no(rule, lang, words) ON no.rule = group_id AND no.lang = language
+    JOIN {R.words_sql(R.MITIGATION)} AS mi(rule, lang, words) ON mi.rule = group_id AND mi.lang = language
+  UNION ALL SELECT contract_id, language, 'fallback', error, array_to_string(warnings, ','), {_by_language(R.SAFE_MODE, 'language')} || ' ' || {_notices('list_concat([error], warnings)')},
+    'risk-1', 'analysis-safe-mode', 'medium', 'overview', greatest(len(warnings), 1)::BIGINT, {_by_language(R.REVIEW_TITLE, 'language')},
+    {_by_language(R.SAFE_MODE, 'language')} || ' ' || {_notices('list_concat([error], warnings)')}, {_by_language(R.REVIEW_ADVICE, 'language')} FROM warned WHERE error IS NOT NULL""")
 def q_safe_report(spark, sf):
-    docs = T.contracts(spark, sf)
-    return P.safe_report(docs, P.with_fallback_risk(docs, P.rank_risks(matched(spark, sf), KEY), KEY), KEY)
+    rows = safe.safe_report(T.requests(spark, sf), KEY)
+    return rows.select(KEY, "language", "state", "error", F.array_join("warnings", ",").alias("warnings"), "summary", F.inline("risks"))
+
+
+@query(f"""WITH {REQUESTS} SELECT contract_id, error, array_to_string(list_filter(warnings, lambda x: x = 'invalid_utf8'), '') AS warning,
+  CASE WHEN error IS NULL THEN md5(CASE WHEN len(list_filter(warnings, lambda x: x = 'empty_text')) > 0 THEN '' ELSE t END) END AS text_md5 FROM warned""")
+def q_payload_decode(spark, sf):
+    got = payload.request_text(F.col("document_text"), F.col("document_base64"), R.MAX_TEXT_CHARS, R.MAX_BASE64_CHARS)
+    out = T.requests(spark, sf).select(KEY, got.alias("g"))
+    return out.select(KEY, "g.error", F.coalesce("g.warning", F.lit("")).alias("warning"), F.md5(F.encode("g.text", "utf-8")).alias("text_md5"))
+
+
+@query(f"WITH {REQUESTS} SELECT contract_id, array_to_string(warnings, ',') AS warnings FROM warned")
+def q_extraction_warnings(spark, sf):
+    return safe.read_requests(T.requests(spark, sf)).select(KEY, F.array_join("warnings", ",").alias("warnings"))
+
+
+@query(f"WITH {REQUESTS} SELECT contract_id, 'medium' AS severity, len(warnings)::INT AS occurrences, {_notices('warnings')} AS details FROM warned WHERE len(warnings) > 0")
+def q_warning_row(spark, sf):
+    rows = safe.read_requests(T.requests(spark, sf)).where(F.size("warnings") > 0)
+    return rows.select(KEY, F.lit("medium").alias("severity"), F.size("warnings").alias("occurrences"), safe.warning_text(F.col("warnings"), F.col("language")).alias("details"))

@@ -39,18 +39,6 @@ def q_doc_scan(spark, sf):
     return T.doc_scan(spark, f"{sf}/documents.parquet").select("doc_id", "text", F.length("text").alias("n"))
 
 
-def payload_md5(text):
-    """Digest of the text after base64 without padding and back."""
-    packed = F.regexp_replace(F.base64(F.encode(text, "utf-8")), "[\r\n=]", "")
-    padded = F.rpad(packed, (F.ceil(F.length(packed) / 4) * 4).cast("int"), "=")
-    return F.md5(F.unbase64(padded))
-
-
-@query("SELECT doc_id, md5(encode(text)) AS payload_md5 FROM documents")
-def q_payload_decode(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.col("text")).alias("payload_md5"))
-
-
 @query(f"""WITH {C} SELECT contract_id, CASE WHEN size_bytes IS NULL OR size_bytes <= 0 THEN 'missing_file'
   WHEN size_bytes > 18874368 THEN 'too_large' WHEN coalesce(mime_type, '') NOT IN ({MIMES}) THEN 'mime_not_allowed' END AS reject_reason FROM contracts""")
 def q_admit_documents(spark, sf):
@@ -116,16 +104,3 @@ def q_blank_to_null(spark, sf):
 @query(f"WITH {TEXTS_CTE} SELECT contract_id, language, document_text FROM filled")
 def q_placeholder_text(spark, sf):
     return segmentation.with_text(T.contracts(spark, sf)).select("contract_id", "language", "document_text")
-
-
-@query(f"""WITH {C} SELECT contract_id, array_to_string(list_filter([CASE WHEN coalesce(trim(document_text), '') = '' THEN 'empty_text' END,
-    CASE WHEN lower(trim(mime_type)) = 'application/pdf' AND length(coalesce(document_text, '')) < 160 THEN 'limited_pdf_text' END], lambda x: x IS NOT NULL), ',') AS warnings FROM contracts""")
-def q_extraction_warnings(spark, sf):
-    text = F.coalesce("document_text", F.lit(""))
-    found = F.array_compact(F.array(F.when(F.trim(text) == "", "empty_text"), F.when((F.lower(F.trim("mime_type")) == "application/pdf") & (F.length(text) < 160), "limited_pdf_text")))
-    return T.contracts(spark, sf).select("contract_id", F.array_join(found, ",").alias("warnings"))
-
-
-@query("SELECT doc_id, md5(encode(text)) AS payload_md5 FROM documents")
-def q_payload_decode_whole(spark, sf):
-    return T.table(spark, sf, "documents").select("doc_id", payload_md5(F.col("text")).alias("payload_md5"))

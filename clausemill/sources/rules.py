@@ -111,3 +111,53 @@ TYPE_OF_MIME = dict(zip(ACCEPTED_MIMES, ("pdf", "docx", "text"), strict=True))
 UNKNOWN_CLAUSE = {"ru": "Без номера пункта", "en": "Clause reference not found", "it": "Riferimento clausola non trovato", "fr": "Référence de clause introuvable"}
 TYPE_LABEL_SQL = values([(x, k, t) for x, by in TYPE_LABEL.items() for k, t in by.items()]) + " AS y(language, kind, label)"
 UNKNOWN_SQL = values(list(UNKNOWN_CLAUSE.items())) + " AS u(language, unknown)"
+SHORT_PDF_CHARS = 160
+
+# Wording of reports, our own: titles, notes and advice by rule ("none": nothing was found), and notices by code.
+RULE_TITLE = {
+    "penalty": {"ru": "Неустойка", "en": "Penalty", "it": "Penale", "fr": "Pénalité"},
+    "one_sided": {"ru": "Одностороннее право", "en": "One-sided right", "it": "Diritto unilaterale", "fr": "Droit unilatéral"},
+    "secrecy": {"ru": "Конфиденциальность", "en": "Confidentiality", "it": "Riservatezza", "fr": "Confidentialité"},
+    "indemnity": {"ru": "Возмещение убытков", "en": "Indemnity", "it": "Manleva", "fr": "Indemnisation"},
+    "none": {"ru": "Явных рисков не найдено", "en": "No evident risk", "it": "Nessun rischio evidente", "fr": "Aucun risque évident"},
+}
+RULE_NOTE = {
+    "penalty": {"ru": "Пункт устанавливает санкции.", "en": "The clause sets sanctions.", "it": "La clausola fissa sanzioni.", "fr": "La clause fixe des sanctions."},
+    "one_sided": {"ru": "Пункт даёт право одной стороне.", "en": "The clause gives one party a right of its own.", "it": "La clausola dà un diritto a una sola parte.", "fr": "La clause donne un droit à une seule partie."},
+    "secrecy": {"ru": "Пункт требует хранить тайну.", "en": "The clause asks for secrecy.", "it": "La clausola chiede il segreto.", "fr": "La clause impose le secret."},
+    "indemnity": {"ru": "Пункт возлагает возмещение убытков.", "en": "The clause shifts losses.", "it": "La clausola trasferisce le perdite.", "fr": "La clause transfère les pertes."},
+    "none": {"ru": "Правила ничего не нашли.", "en": "No rule found anything.", "it": "Nessuna regola ha trovato nulla.", "fr": "Aucune règle n'a rien trouvé."},
+}
+MITIGATION = {
+    "penalty": {"ru": "Ограничьте размер санкций.", "en": "Ask for a ceiling.", "it": "Chiedere un tetto.", "fr": "Demander un plafond."},
+    "one_sided": {"ru": "Согласуйте взаимность.", "en": "Ask for the same right.", "it": "Chiedere lo stesso diritto.", "fr": "Demander le même droit."},
+    "secrecy": {"ru": "Уточните срок и объём.", "en": "Settle term and scope.", "it": "Definire durata e oggetto.", "fr": "Préciser durée et portée."},
+    "indemnity": {"ru": "Исключите косвенные убытки.", "en": "Leave out indirect losses.", "it": "Escludere i danni indiretti.", "fr": "Exclure les pertes indirectes."},
+    "none": {"ru": "Прочтите договор целиком.", "en": "Read the whole contract.", "it": "Leggere tutto il contratto.", "fr": "Lire tout le contrat."},
+}
+ANALYZED = {"ru": "Договор разобран.", "en": "The contract was analysed.", "it": "Il contratto è stato analizzato.", "fr": "Le contrat a été analysé."}
+SAFE_MODE = {
+    "ru": "Разбор не удался, отчёт составлен без него.", "en": "The analysis failed; this report was made without it.",
+    "it": "L'analisi non è riuscita; il rapporto ne fa a meno.", "fr": "L'analyse a échoué ; ce rapport est fait sans elle.",
+}
+REVIEW_TITLE = {"ru": "Нужна ручная проверка", "en": "Review by hand needed", "it": "Serve una verifica manuale", "fr": "Vérification manuelle nécessaire"}
+REVIEW_ADVICE = {
+    "ru": "Проверьте договор сами или отправьте его текстом.", "en": "Read the contract yourself, or send it as text.",
+    "it": "Leggere il contratto o inviarlo come testo.", "fr": "Lire le contrat ou l'envoyer en texte.",
+}
+NOTICES = {
+    "missing_payload": {"ru": "Нет содержимого.", "en": "Nothing was sent.", "it": "Nulla è stato inviato.", "fr": "Rien n'a été envoyé."},
+    "invalid_base64": {"ru": "Содержимое не читается.", "en": "The payload can't be decoded.", "it": "Il contenuto non è decodificabile.", "fr": "Le contenu ne peut être décodé."},
+    "invalid_utf8": {"ru": "Часть знаков потеряна.", "en": "Some characters were lost.", "it": "Alcuni caratteri sono andati persi.", "fr": "Des caractères ont été perdus."},
+    "text_too_long": {"ru": "Текст слишком длинный.", "en": "The text is too long.", "it": "Il testo è troppo lungo.", "fr": "Le texte est trop long."},
+    "payload_too_long": {"ru": "Файл слишком велик.", "en": "The file is too large.", "it": "Il file è troppo grande.", "fr": "Le fichier est trop grand."},
+    "no_clauses": {"ru": "Пунктов не найдено.", "en": "There are no clauses.", "it": "Non ci sono clausole.", "fr": "Il n'y a pas de clauses."},
+    "empty_text": {"ru": "Текст пуст.", "en": "The text is empty.", "it": "Il testo è vuoto.", "fr": "Le texte est vide."},
+    "limited_pdf_text": {"ru": "Из PDF извлечено мало текста.", "en": "The PDF gave little text.", "it": "Il PDF ha dato poco testo.", "fr": "Le PDF a donné peu de texte."},
+    "legacy_document": {"ru": "Старый формат документа.", "en": "The document has an old format.", "it": "Il documento ha un formato vecchio.", "fr": "Le document a un ancien format."},
+}
+
+
+def words_sql(tables: dict[str, dict[str, str]]) -> str:
+    """(code, language, words) of a table of wording by code."""
+    return values([(k, x, t) for k, by in tables.items() for x, t in by.items()])

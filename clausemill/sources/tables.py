@@ -72,6 +72,19 @@ def contracts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(sql, lineitem=table(spark, sf_dir, "lineitem"), orders=table(spark, sf_dir, "orders"))
 
 
+def requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contracts as requests: as text, as payloads with and without faults, and with nothing in them, by contract_id modulo 11."""
+    packed = lambda b: F.regexp_replace(F.base64(b), "[\r\n]", "")
+    fault, text = F.col("contract_id") % 11, F.col("document_text")
+    raw = F.encode(text, "utf-8")
+    payload = (
+        F.when(fault == 1, F.concat(F.lit("%"), packed(raw))).when(fault == 2, packed(F.concat(F.unhex(F.lit("FFFE")), raw)))
+        .when(fault == 5, F.concat(F.lit(" "), F.regexp_replace(packed(raw), "=", ""), F.lit("\n"))))
+    given = F.when(fault == 4, "").when(fault.isin(0, 6, 7, 8, 9, 10), text)
+    mime = F.when(fault == 8, "application/msword").otherwise(F.col("mime_type"))
+    return contracts(spark, sf_dir).withColumns({"document_base64": payload, "document_text": given, "mime_type": mime})
+
+
 # Fixed test wording of the deep corpus: risks, near misses, duties and lists; one clause for each remainder of (part + 3 line) by 26.
 DEEP_CLAUSE_SQL = """
 SELECT l_orderkey AS contract_id, l_linenumber AS ln, l_partkey AS pk, l_suppkey AS sk,

@@ -52,10 +52,3 @@ def test_job_timeouts(spark, tmp_path):
     out = scan.run_available(scan.job_timeouts(scan.job_stream(spark, str(tmp_path / "events"), states)), "test", str(tmp_path))
     # job 8 ended in time; job 9's silence is not over at the watermark
     assert [(r.job_id, r.since, r.status) for r in out.collect()] == [(7, at(1), "preprocessing")]
-
-
-def test_payload_decoded_whole(spark, tmp_path):
-    texts = ["a" * 90 + "b" * n + "é" for n in range(60)]
-    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: r.payload_md5 for r in request_queries.q_payload_decode_whole(spark, str(tmp_path)).collect()}
-    assert got == {i: hashlib.md5(t.encode()).hexdigest() for i, t in enumerate(texts)}
