@@ -69,7 +69,7 @@ def positions(norm: Column, terms: Column) -> Column:
 
 
 def _quoted(word: str) -> str:
-    return "'" + word.replace("'", "\\'") + "'"
+    return "'" + word.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def phrases(*words: str) -> Column:
@@ -80,10 +80,10 @@ def signal(name: str) -> Column:
     return phrases(*P.SIGNALS[name])
 
 
-def signal_hits(norm: str) -> Column:
+def signal_hits(norm: str, signals: dict) -> Column:
     """A struct with the number of phrases of every signal that the column norm contains; one SQL expression, as there are hundreds of phrases."""
     of = lambda words: " + ".join(f"CAST(contains({norm}, {_quoted(w)}) AS INT)" for w in words)
-    return F.expr("named_struct(" + ", ".join(f"'{name}', {of(words)}" for name, words in P.SIGNALS.items()) + ")")
+    return F.expr("named_struct(" + ", ".join(f"{_quoted(name)}, {of(words)}" for name, words in signals.items()) + ")")
 
 
 def reference_like(norm: Column) -> Column:

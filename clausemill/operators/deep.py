@@ -6,8 +6,6 @@ groupings by contract and rule use that partitioning again.
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,10 +13,10 @@ from pyspark.sql import functions as F
 from ..functions import deep as D
 from ..functions import shape
 from ..functions import text as T
-from ..sources import deep_pack as P
+from ..sources.packs import STARTER, Pack
 from ..sources.shared import written
 from . import matching as M
-from . import segmentation
+from . import scoring, segmentation
 from .report import elevate_severity
 
 KEY = "contract_id"
@@ -37,24 +35,17 @@ def fragment_table(contracts: DataFrame) -> DataFrame:
     return out.withColumns({"norm": T.search_text(F.col("fragment")), "excerpt": D.excerpt(F.col("fragment"), 220)})
 
 
-def with_signals(frags: DataFrame) -> DataFrame:
+def with_signals(frags: DataFrame, pack: Pack = STARTER) -> DataFrame:
     """Fragments with the numbers of phrases found (h, and ch for the clause), the role's hits, and who acts."""
     norm, clause, roles = F.col("norm"), F.col("clause_norm"), F.col("roles")
     return frags.withColumns({
-        "h": D.signal_hits("norm"), "ch": D.signal_hits("clause_norm"),
+        "h": D.signal_hits("norm", pack.signals), "ch": D.signal_hits("clause_norm", pack.signals),
         "f_role": D.hits(norm, roles), "c_role": D.hits(clause, roles),
         "f_subject": D.role_action_lead(norm, roles), "c_subject": D.role_action_lead(clause, roles),
         "num": shape.numeric_signal(F.col("excerpt")), "mon": shape.monetary_signal(F.col("excerpt")), "norm_mon": shape.monetary_signal(norm),
     })
 
 
-def _by_rule(rules: list[tuple[str, str]], hits: str, side: str) -> Column:
-    """CASE over rule_id of expressions over signal names, read from the given struct; role and subject are those of the side (f, c)."""
-    names = {n: f"{hits}.{n}" for n in P.SIGNALS} | {"role": f"{side}_role", "subject": f"{side}_subject"}
-    put = lambda e: re.sub(r"[a-z_]+", lambda m: names.get(m[0], m[0]), e)
-    return F.expr("CASE rule_id " + " ".join(f"WHEN '{r}' THEN {put(e)}" for r, e in rules) + " END")
-
-
 def _matched(frags: DataFrame, rules: list[tuple[str, int, str | None, tuple[str, ...]]]) -> DataFrame:
     """A row per fragment and rule with a keyword, but for headings and references; a fragment's own number beats its clause's."""
     found = F.array(*[
@@ -66,9 +57,9 @@ def _matched(frags: DataFrame, rules: list[tuple[str, int, str | None, tuple[str
     return rows.withColumns({"clause_ref": F.coalesce(own, "clause_ref"), "lexical": F.col("marker_hits") * 4})
 
 
-def risk_matches(signals: DataFrame) -> DataFrame:
+def risk_matches(signals: DataFrame, pack: Pack = STARTER) -> DataFrame:
     """Fragments by rule before exclusions, with excluded and beneficial as flags."""
-    rows = _matched(signals, [(r, i, s, k) for i, (r, s, k, *_) in enumerate(P.RULES)])
+    rows = _matched(signals, [(r["rule_id"], i, r["severity"], r["keywords"]) for i, r in enumerate(pack.rules)])
     rows = rows.withColumn("others", D.counterparty_terms(F.col("roles")))
     return rows.withColumns({
         "excluded": D.acceptance_excluded(F.col("rule_id"), F.col("fragment"), F.col("h"), F.col("ch")),
@@ -76,30 +67,24 @@ def risk_matches(signals: DataFrame) -> DataFrame:
     })
 
 
-def risk_candidates(signals: DataFrame) -> DataFrame:
-    return risk_matches(signals).where(~F.col("excluded") & ~F.col("beneficial"))
-
-
-def dispute_candidates(signals: DataFrame) -> DataFrame:
-    return _matched(signals, [(r, i, None, k) for i, (r, k, *_) in enumerate(P.DISPUTES)])
+def risk_candidates(signals: DataFrame, pack: Pack = STARTER) -> DataFrame:
+    return risk_matches(signals, pack).where(~F.col("excluded") & ~F.col("beneficial"))
 
 
-def context_scores(rows: DataFrame, rules) -> DataFrame:
-    """rows with f_score and c_score: the context score of the fragment, and of its clause."""
-    scores = [(r[0], r[-2]) for r in rules]
-    return rows.withColumns({"f_score": _by_rule(scores, "h", "f").cast("int"), "c_score": _by_rule(scores, "ch", "c").cast("int")})
+def dispute_candidates(signals: DataFrame, pack: Pack = STARTER) -> DataFrame:
+    return _matched(signals, [(r["rule_id"], i, None, r["keywords"]) for i, r in enumerate(pack.disputes)])
 
 
-def reranked(rows: DataFrame, rules, with_role: bool) -> DataFrame:
-    """rows with contextual, total and passed: the scores, half the clause's (towards zero), and what stands near the keywords."""
+def reranked(rows: DataFrame, kind: str, pack: Pack = STARTER) -> DataFrame:
+    """Candidates of a kind (rules, disputes) with contextual, total and passed: the scores, half the clause's (towards zero), and what stands near the keywords; near rules, the role as well."""
     norm, words = F.col("norm"), D.positions(F.col("norm"), F.col("keywords"))
-    rows = context_scores(rows, rules).withColumn("_kw", words)
-    near = M.near_count(F.col("_kw"), D.positions(norm, D.signal("role_action")), 96)
-    if with_role:
+    rows = scoring.context_scores(rows, pack, kind).withColumn("_kw", words)
+    near = M.near_count(F.col("_kw"), D.positions(norm, D.phrases(*pack.signals["role_action"])), 96)
+    if kind == "rules":
         near = near + 2 * M.near_count(D.positions(norm, F.col("roles")), F.col("_kw"), 88)
     context = F.col("f_score") + (F.col("c_score") / 2).cast("int") + near + shape.excerpt_focus(F.col("excerpt"))
     rows = rows.withColumn("contextual", context.cast("int")).withColumn("total", (F.col("lexical") + F.col("contextual")).cast("int")).drop("_kw")
-    return rows.withColumn("passed", F.coalesce(_by_rule([(r[0], r[-1]) for r in rules], "h", "f"), F.lit(False)))
+    return scoring.passing(rows, pack, kind)
 
 
 def ranking() -> tuple[Column, ...]:
@@ -204,16 +189,16 @@ def merged_obligations(blocks: DataFrame, own: DataFrame) -> DataFrame:
     return both.select(KEY, F.slice(F.when(F.size(led_items) > 0, F.array_union(led_items, explicit)).otherwise(own_items), 1, most).alias("items"))
 
 
-def deep_report(contracts: DataFrame) -> DataFrame:
+def deep_report(contracts: DataFrame, pack: Pack = STARTER) -> DataFrame:
     """(contract_id, role_found, risks, disputes, duties): one row per contract, those without matches included.
 
     Without a risk a contract has one of low severity; a role that no clause names gives a medium one before all others.
     """
     # four branches need the fragments: written once
-    signals = written(with_signals(fragment_table(contracts)), "signals")
-    risks = risk_items(risk_matches_kept(reranked(risk_candidates(signals), P.RULES, True)))
+    signals = written(with_signals(fragment_table(contracts), pack), "signals")
+    risks = risk_items(risk_matches_kept(reranked(risk_candidates(signals, pack), "rules", pack)))
     risks = risks.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("risk_no", "rule_id", "severity", "occurrences", "clause_refs", "evidence"))).alias("risks"))
-    disputes = dispute_items(reranked(dispute_candidates(signals), P.DISPUTES, False))
+    disputes = dispute_items(reranked(dispute_candidates(signals, pack), "disputes", pack))
     disputes = disputes.groupBy(KEY).agg(F.array_sort(F.collect_list(F.struct("n", "clause_ref", "excerpt", "rule_id"))).alias("disputes"))
     rows = written(carried(signals), "carried")
     duties = merged_obligations(role_led_blocks(rows), role_obligations(rows))

@@ -10,8 +10,10 @@ from ..functions import deep as D
 from ..functions import shape as S
 from ..functions import text as X
 from ..operators import deep as O
+from ..operators.scoring import context_scores
 from ..sources import deep_pack as P
 from ..sources import tables as T
+from ..sources.packs import STARTER
 from .registry import query
 
 KEYS = ("contract_id", "clause_index", "fragment_index")
@@ -260,11 +262,11 @@ def _signals(spark, sf):
 
 
 def _risks(spark, sf):
-    return O.reranked(O.risk_candidates(_signals(spark, sf)), P.RULES, True)
+    return O.reranked(O.risk_candidates(_signals(spark, sf)), "rules")
 
 
 def _disputes(spark, sf):
-    return O.reranked(O.dispute_candidates(_signals(spark, sf)), P.DISPUTES, False)
+    return O.reranked(O.dispute_candidates(_signals(spark, sf)), "disputes")
 
 
 @query(f"WITH {FRAGS} SELECT contract_id, clause_index, fragment_index, fragment FROM dfrags")
@@ -365,7 +367,7 @@ def q_risk_candidates(spark, sf):
 
 @query(f"WITH {RISK_SCORES} SELECT {MATCH_KEYS}, f_score, c_score FROM sc")
 def q_risk_context_score(spark, sf):
-    return O.context_scores(O.risk_candidates(_signals(spark, sf)), P.RULES).select(*KEYS, "rule_id", "f_score", "c_score")
+    return context_scores(O.risk_candidates(_signals(spark, sf)), STARTER, "rules").select(*KEYS, "rule_id", "f_score", "c_score")
 
 
 @query(f"WITH {RISK_SCORES} SELECT {MATCH_KEYS}, contextual, total FROM sc")
@@ -397,7 +399,7 @@ def q_dispute_candidates(spark, sf):
 
 @query(f"WITH {DISPUTE_SCORES} SELECT {MATCH_KEYS}, f_score, c_score FROM sc")
 def q_dispute_context_score(spark, sf):
-    return O.context_scores(O.dispute_candidates(_signals(spark, sf)), P.DISPUTES).select(*KEYS, "rule_id", "f_score", "c_score")
+    return context_scores(O.dispute_candidates(_signals(spark, sf)), STARTER, "disputes").select(*KEYS, "rule_id", "f_score", "c_score")
 
 
 @query(f"WITH {DISPUTE_SCORES} SELECT {MATCH_KEYS}, contextual, total FROM sc")

@@ -1,8 +1,8 @@
 """Pack of the deep analysis: signals, rules and dispute markers as data.
 
 The phrases are a starter wording of our own, in the form in which text is searched (lower case, marks
-folded); a user brings a pack of theirs. Score and passing condition of each rule are fixed values, written
-as SQL over the numbers of phrases found, by signal name. Beside signals there are:
+folded); a user brings a pack of theirs (see packs). Score and passing condition of each rule are fixed values, stated
+as SQL over the numbers of phrases found, by signal name, which the queries' counterparts use, and below as tables, which the queries use. Beside signals there are:
 role (forms of the chosen role found), subject (the role opens an action), num and mon (the excerpt has a
 number, an amount).
 """
@@ -119,6 +119,62 @@ DISPUTES = (
     ("discretionary-right", ("is entitled", "sole discretion"), "CASE WHEN unilateral_support > 0 THEN 3 ELSE 0 END - 4*remedial", "total >= 4 AND remedial = 0"),
 )
 
+# The same scores and conditions as data. Weights: feature, weight, cap of the feature, and bounds (feature, from, to) that have
+# to hold. Thresholds: of each list one bound has to hold.
+def _acting(otherwise: int) -> list[tuple]:
+    """Terms of a rule that counts for the role that acts, and against one that is only named, or when another acts."""
+    return [("role", 1, None, [("subject", 1, None)]), ("role", -2, 2, [("subject", None, 0)]), ("one", otherwise, None, [("role", None, 0), ("role_action", 1, None)])]
+
+
+WEIGHTS = {
+    "unilateral": [("unilateral_support", 4), ("unilateral_change", 4), ("role", 1), ("role_action", 1), ("remedial", -6), ("unilateral_negative", -8)],
+    "penalties": [("penalty_support", 4), ("penalty_trigger", 3), ("mon", 3), ("num", 1), *_acting(-6)],
+    "liability": [("liability_support", 2), ("liability_aggravating", 5), ("liability_hard", 4), ("role_action", 1), ("mon", 2), ("liability_neutral", -4), *_acting(-5)],
+    "acceptance": [("acceptance_support", 3), ("acceptance_escalation", 5), ("role_action", 1), ("num", 1), ("acceptance_negative", -4),
+                   ("acceptance_clarity", -2, None, [("acceptance_escalation", 1, None)]), ("acceptance_clarity", -5, None, [("acceptance_escalation", None, 0)]), ("acceptance_transfer", -3)],
+    "payment-deadlines": [("payment_support", 3), ("payment_hard", 5), ("role", 1), ("role_action", 1), ("mon", 2), ("num", 1), ("payment_neutral", -4)],
+    "auto-renewal": [("renewal_support", 4), ("num", 1)],
+    "jurisdiction-claim": [("jurisdiction_support", 3), ("jurisdiction_hard", 5), ("role", 1), ("role_action", 1), ("num", 1), ("jurisdiction_neutral", -6)],
+    "confidentiality": [("confidentiality_support", 3), ("confidentiality_hard", 4), ("role", 1), ("role_action", 1), ("confidentiality_neutral", -6)],
+    "personal-data": [("personal_data_support", 4), ("personal_data_hard", 4), ("role", 1), ("role_action", 1)],
+    "force-majeure": [("force_majeure_support", 3), ("force_majeure_hard", 5), ("role_action", 1), ("force_majeure_clarity", -3)],
+    "collateral-enforcement": [("collateral_support", 3), ("collateral_hard", 5), ("role", 1), ("role_action", 1), ("mon", 2)],
+    "independent-guarantee": [("guarantee_support", 4), ("guarantee_hard", 5), ("role", 1), ("role_action", 1), ("mon", 2)],
+    "insurance-exclusions": [("insurance_support", 3), ("insurance_hard", 5), ("role", 1), ("role_action", 1)],
+    "ip-scope": [("ip_support", 3), ("ip_hard", 4), ("role", 1), ("role_action", 1)],
+    "operational-dependencies": [("operational_support", 3), ("operational_hard", 5), ("role", 1), ("role_action", 1)],
+    "reasonable-time": [("one", -6, None, [("precise_timeline", 1, None)]), ("one", 3, None, [("precise_timeline", None, 0)])],
+    "future-agreement": [("essential_terms", 3), ("open_ended", 5), ("framework", -2), ("amendment", -5), ("routine", -6), ("one", -2, None, [("precise_timeline", 1, None)])],
+    "discretionary-right": [("one", 3, None, [("unilateral_support", 1, None)]), ("remedial", -4)],
+}
+
+
+def _total(n: int, *found: str) -> list[list[tuple]]:
+    """The total, and each of the features found."""
+    return [[("total", n, None)], *[[(f, 1, None)] for f in found]]
+
+
+THRESHOLDS = {
+    "unilateral": [*_total(8, "unilateral_change"), [("remedial", None, 0)], [("unilateral_negative", None, 0)]],
+    "penalties": [*_total(8, "penalty_support"), [("penalty_trigger", 1, None), ("norm_mon", 1, None)]],
+    "liability": _total(7, "liability_support", "liability_hard"),
+    "acceptance": [*_total(7, "acceptance_support"), [("acceptance_clarity", None, 1), ("acceptance_escalation", 1, None)], [("acceptance_transfer", None, 2)]],
+    "payment-deadlines": _total(8, "payment_support", "payment_hard"),
+    "auto-renewal": _total(7),
+    "jurisdiction-claim": [*_total(8, "jurisdiction_support", "jurisdiction_hard"), [("jurisdiction_neutral", None, 0)]],
+    "confidentiality": [*_total(8, "confidentiality_support"), [("confidentiality_neutral", None, 0)]],
+    "personal-data": _total(8, "personal_data_support"),
+    "force-majeure": _total(8, "force_majeure_support", "force_majeure_hard"),
+    "collateral-enforcement": [*_total(8, "collateral_support"), [("collateral_hard", 1, None), ("role_action", 1, None)]],
+    "independent-guarantee": [*_total(8, "guarantee_support"), [("guarantee_hard", 1, None), ("norm_mon", 1, None)]],
+    "insurance-exclusions": _total(8, "insurance_support", "insurance_hard"),
+    "ip-scope": [*_total(8, "ip_support"), [("ip_hard", 1, None), ("open_ended", 1, None)]],
+    "operational-dependencies": _total(8, "operational_support", "operational_hard"),
+    "reasonable-time": [*_total(3), [("precise_timeline", None, 0)]],
+    "future-agreement": [*_total(6, "essential_terms", "open_ended"), [("amendment", None, 0)], [("routine", None, 0)]],
+    "discretionary-right": [*_total(4), [("remedial", None, 0)]],
+}
+
 # Parties whose burden is no risk of the chosen role, and wording that says who bears or gains.
 PARTIES = ("buyer", "seller", "supplier", "contractor", "исполнитель", "заказчик")
 BURDEN = {"liability": ("indemnif", "is liable", "compensates"), "penalties": ("pays a penalty", "shall pay a penalty")}

@@ -19,7 +19,7 @@ def doc_scan(spark: SparkSession, path: str) -> DataFrame:
 
 def text_scan(spark: SparkSession, path: str) -> DataFrame:
     """One row per plain-text file: (path, text)."""
-    return spark.read.option("wholetext", True).text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
 
 
 def record_scan(spark: SparkSession, path: str, schema: str, one_per_file: bool = True) -> DataFrame:
