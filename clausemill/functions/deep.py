@@ -20,7 +20,7 @@ SMALL = "[a-zа-яёß-öø-ÿ]"
 REF = r"(?:(?:clause|section|article|пункт|раздел)\s+)?\d+(?:\.\d+){%d,5}[.)]?"
 OBLIGED = "обязан(?:а|ы)?|обязуется|должен(?:а|ы)?|shall|must|undertakes"
 BREAKS = (
-    (rf"([{UP}\s]{{6,}})(?={CAPITAL}{SMALL}{{2,}}\s+(?:обязан|обязуется|вправе|должен|shall|must|undertakes|may)(?![0-9A-Za-z_]))", "$1\n"),
+    (rf"(?<![{UP}\s])([{UP}\s]{{6,}})(?={CAPITAL}{SMALL}{{2,}}\s+(?:обязан|обязуется|вправе|должен|shall|must|undertakes|may)(?![0-9A-Za-z_]))", "$1\n"),
     (rf"(?i)((?:{OBLIGED}|вправе|may)):\s*(?=[0-9{T.LETTER}])", "$1:\n"),
     (rf"([:.;])(?=\d+(?:\.\d+){{1,5}}[.)]?(?:\s|{CAPITAL}))", "$1\n"),
     (rf"({REF % 1})(?={CAPITAL})", "$1\n"),
@@ -41,10 +41,12 @@ EMBEDDED = (
 
 def fragments(text: Column) -> Column:
     """The pieces of a clause: at lines, ; and bullets, and before what begins a new statement. Never empty but for an empty text."""
-    whole = T.normalize_text(text)
-    broken = reduce(lambda c, b: F.regexp_replace(c, b[0], b[1]), BREAKS, whole)
-    parts = F.filter(F.transform(F.split(broken, r"\n+|[;\x{2022}]+", -1), T.normalize_text), lambda x: x != "")
-    return bound(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.filter(F.array(T.normalize_text(text)), lambda x: x != "")))
+    def cut(whole: Column) -> Column:
+        broken = reduce(lambda c, b: F.regexp_replace(c, b[0], b[1]), BREAKS, whole)
+        parts = F.filter(F.transform(F.split(broken, r"\n+|[;\x{2022}]+", -1), T.normalize_text), lambda x: x != "")
+        return bound(parts, lambda p: F.when(F.size(p) > 0, p).otherwise(F.filter(F.array(whole), lambda x: x != "")))
+
+    return bound(T.normalize_text(text), cut)
 
 
 def hits(norm: Column, terms: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources import deep_pack as P
 from . import text as T
+from .binding import bound
 
 # The characters of code page 1251 from 0x80 on, and the byte of each as a character: a rule, not a list. The page leaves 0x98 open.
 _HIGH = [(bytes([b]).decode("cp1251") if b != 0x98 else chr(b), chr(b)) for b in range(0x80, 0x100)]
@@ -15,68 +16,107 @@ CP1251, BYTES = "".join(c for c, _ in _HIGH), "".join(b for _, b in _HIGH)
 MOJIBAKE = "[РС]|[ÃÂÐÑ]"
 
 
+# Fixed value: the one-letter words that are put right though they are too short to tell. И lacks its second byte, as the page leaves 0x98 open.
+ONE_LETTER = "аАвВиИсСкКоОуУ"
+SHORT_TOKENS = {c.encode().decode("cp1251", errors="ignore"): c for c in ONE_LETTER}
+# What a text has that holds such a token, or one with enough markers: two of them at most four apart.
+GUARD = rf"(?:{MOJIBAKE})\S{{0,3}}(?:{MOJIBAKE})|(?<!\S)(?:{'|'.join(SHORT_TOKENS)})(?!\S)"
+
+
 def mojibake_score(c: Column) -> Column:
     return F.regexp_count(c, F.lit(MOJIBAKE))
 
 
+def suspicious(token: Column) -> Column:
+    """A token that is to be looked at: a known short one, or one of four characters or more that are markers for 35 % and more."""
+    return token.isin(*SHORT_TOKENS) | ((F.length(token) >= 4) & (mojibake_score(token) >= F.length(token) * F.lit(0.35)))
+
+
 def repaired_token(token: Column) -> Column:
-    """A token read as code page 1251 that was UTF-8, read again; as it is where that isn't valid or no better."""
+    """A token read as code page 1251 that was UTF-8, read again; as it is where that isn't valid or no better. Short ones by the table."""
     score = mojibake_score(token)
-    suspicious = (F.length(token) >= 4) & (score >= F.length(token) * F.lit(0.35))
     known = ~F.regexp_like(token, F.lit(rf"[^\x00-\x7F{CP1251}]"))
     # translate makes each byte a character of Latin-1, so that encoding it gives the bytes
     again = F.try_validate_utf8(F.encode(F.translate(F.when(known, token), CP1251, BYTES), "ISO-8859-1").cast("string"))
-    return F.when(suspicious & known & (mojibake_score(again) < score), again).otherwise(token)
+    short = F.create_map(*[F.lit(x) for kv in SHORT_TOKENS.items() for x in kv])
+    return F.coalesce(F.element_at(short, token), F.when(suspicious(token) & known & (mojibake_score(again) < score), again), token)
+
+
+def by_pattern(c: Column, pattern: str, f) -> Column:
+    """c with f applied to what matches the pattern."""
+    done = F.concat(F.transform(F.regexp_extract_all(c, F.lit(pattern), F.lit(0)), f), F.array(F.lit("")))
+    return F.array_join(F.zip_with(F.split(c, pattern, -1), done, lambda g, w: F.concat(g, w)), "")
 
 
 def by_token(c: Column, f) -> Column:
     """c with f applied to what stands between white space."""
-    words = F.regexp_extract_all(c, F.lit(r"\S+"), F.lit(0))
-    gaps = F.split(c, r"\S+", -1)
-    done = F.concat(F.transform(words, f), F.array(F.lit("")))
-    return F.array_join(F.zip_with(gaps, done, lambda g, w: F.concat(g, w)), "")
+    return by_pattern(c, r"\S+", f)
 
 
 def mojibake_repair(c: Column) -> Column:
     plain = F.replace(c, F.lit("\0"), F.lit(""))
-    return F.transform(F.array(plain), lambda x: F.when(F.regexp_like(x, F.lit(MOJIBAKE)), by_token(x, repaired_token)).otherwise(x))[0]
+    return bound(plain, lambda x: F.when(F.regexp_like(x, F.lit(GUARD)), by_token(x, repaired_token)).otherwise(x))
+
+
+LONG_RUN = "[А-Яа-яЁё]{14,}"
+STRETCH = 512  # positions whose results are gathered before they are put with the others: arrays are copied as they grow
+
+
+def _stretches(n: Column) -> Column:
+    return F.sequence(F.lit(0), F.floor((n - 1) / STRETCH).cast("int"))
 
 
 def _respaced(run: Column) -> Column:
-    """A run of letters as dictionary words, the fewest that reach its end; as it is where none do.
+    """A run of letters as dictionary words, the fewest that reach its end, the shortest first among equals; as it is where none do.
 
-    best[i] is (words, text) for the first i letters, built letter by letter.
+    From the end on, ahead[k - 1] is how many words are needed k letters further on; no more is remembered than the longest word needs. steps has the
+    first word's length for each letter. Time and memory grow with the run's length.
     """
-    longest = max(map(len, P.SEGMENT_WORDS))
+    lengths = sorted({len(w) for w in P.SEGMENT_WORDS})
     words = F.array(*[F.lit(w) for w in P.SEGMENT_WORDS])
-    none = F.lit(None).cast("struct<n:int,s:string>")
+    ints, strings = F.array().cast("array<int>"), F.array().cast("array<string>")
 
-    def step(best: Column, end: Column) -> Column:
-        sizes = F.sequence(F.lit(1), F.least(F.lit(longest), end))
+    def step(letters: Column, acc: Column, i: Column) -> Column:
+        word = lambda k: F.lower(F.array_join(F.slice(letters, i + 1, k), ""))
+        ahead = lambda k: F.get(acc["ahead"], F.lit(k - 1))
+        ways = F.array(*[F.when(ahead(k).isNotNull() & F.array_contains(words, word(k)), F.struct((ahead(k) + 1).alias("n"), F.lit(k).alias("k"))) for k in lengths])
+        return bound(F.array_min(ways), lambda b: F.struct(
+            F.slice(F.concat(F.array(b["n"]), acc["ahead"]), 1, lengths[-1]).alias("ahead"), F.concat(acc["out"], F.array(b["k"])).alias("out")))
 
-        def before(k: Column) -> Column:
-            prior = F.get(best, end - k)
-            part = F.substring(run, end - k + 1, k)
-            joined = F.struct((prior["n"] + 1).alias("n"), F.concat_ws(" ", F.nullif(prior["s"], F.lit("")), part).alias("s"))
-            return F.when(prior.isNotNull() & F.array_contains(words, F.lower(part)), joined)
+    def solved(letters: Column) -> Column:
+        n = F.size(letters)
 
-        return F.concat(best, F.array(F.array_min(F.transform(sizes, before))))
+        def stretch(acc: Column, j: Column) -> Column:
+            places = F.sequence(n - 1 - j * STRETCH, F.greatest(n - (j + 1) * STRETCH, F.lit(0)), F.lit(-1))
+            part = F.aggregate(places, F.struct(acc["ahead"].alias("ahead"), ints.alias("out")), lambda a, i: step(letters, a, i))
+            return bound(part, lambda p: F.struct(p["ahead"].alias("ahead"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
 
-    start = F.slice(F.array(F.struct(F.lit(0).alias("n"), F.lit("").alias("s")), none), 1, 1)
-    table = F.aggregate(F.sequence(F.lit(1), F.length(run)), start, step)
-    last = F.element_at(table, -1)
-    return F.when(last["n"] > 1, last["s"]).otherwise(run)
+        start = F.struct(F.array(F.lit(0)).alias("ahead"), F.array().cast("array<array<int>>").alias("out"))
+        return F.aggregate(_stretches(n), start, stretch, lambda s: F.reverse(F.flatten(s["out"])))
 
+    def told(letters: Column, steps: Column) -> Column:
+        n = F.size(letters)
 
-def respace_words(c: Column) -> Column:
-    """Cyrillic runs of 14 letters and more, taken apart by the dictionary."""
-    long_run = "[А-Яа-яЁё]{14,}"
+        def letter(acc: Column, i: Column) -> Column:
+            cut = acc["left"] == 0
+            text = F.concat(acc["out"], F.when(cut & (i > 0), " ").otherwise(""), F.get(letters, i))
+            return F.struct((F.when(cut, F.get(steps, i)).otherwise(acc["left"]) - 1).alias("left"), text.alias("out"))
+
+        def stretch(acc: Column, j: Column) -> Column:
+            places = F.sequence(j * STRETCH, F.least((j + 1) * STRETCH, n) - 1)
+            part = F.aggregate(places, F.struct(acc["left"].alias("left"), F.lit("").alias("out")), letter)
+            return bound(part, lambda p: F.struct(p["left"].alias("left"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
 
-    def whole(x: Column) -> Column:
-        runs = F.concat(F.transform(F.regexp_extract_all(x, F.lit(long_run), F.lit(0)), _respaced), F.array(F.lit("")))
-        return F.array_join(F.zip_with(F.split(x, long_run, -1), runs, lambda g, w: F.concat(g, w)), "")
+        return F.aggregate(_stretches(n), F.struct(F.lit(0).alias("left"), strings.alias("out")), stretch, lambda s: F.array_join(s["out"], ""))
 
-    return F.transform(F.array(c), lambda x: F.when(F.regexp_like(x, F.lit(long_run)), whole(x)).otherwise(x))[0]
+    # without a step for its first letter a run can't be taken apart
+    whole = lambda letters: bound(solved(letters), lambda s: F.when(F.get(s, F.lit(0)).isNotNull(), told(letters, s)).otherwise(F.array_join(letters, "")))
+    return bound(F.regexp_extract_all(run, F.lit("."), F.lit(0)), whole)
+
+
+def respace_words(c: Column) -> Column:
+    """Cyrillic runs of 14 letters and more, taken apart by the dictionary."""
+    return bound(c, lambda x: F.when(F.regexp_like(x, F.lit(LONG_RUN)), by_pattern(x, LONG_RUN, _respaced)).otherwise(x))
 
 
 def layout_repair(c: Column) -> Column:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import repair
+from ..operators import repair as O
 from ..sources import tables as T
+from ..sources.deep_pack import SEGMENT_WORDS
 from .deep_queries import lit
 from .registry import query
 
@@ -25,13 +27,13 @@ _KNOWN = " ".join(f"WHEN {i + 1} THEN {lit(r if i < 5 else r.replace(' ', ''))}"
 def q_mojibake_repair(spark, sf):
     # UTF-8 read as code page 1251, and put right again
     wrong = F.translate(F.decode(F.encode("document_text", "UTF-8"), "ISO-8859-1"), repair.BYTES, repair.CP1251)
-    return T.deep_contracts(spark, sf).select("contract_id", repair.mojibake_repair(wrong).alias("value"))
+    return O.mojibake_repaired(T.deep_contracts(spark, sf).select("contract_id", wrong.alias("value")), "value")
 
 
 @query(f"SELECT l_orderkey, l_linenumber, 'Пункт: ' || CASE l_linenumber {_KNOWN} END AS value FROM lineitem")
 def q_respace_words(spark, sf):
-    runs = T.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"'Пункт: ' || {_runs(False)} AS t")
-    return runs.select("l_orderkey", "l_linenumber", repair.respace_words(F.col("t")).alias("value"))
+    runs = T.table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_linenumber", f"'Пункт: ' || {_runs(False)} AS value")
+    return O.respaced(runs, "value", list(SEGMENT_WORDS))
 
 
 _SPLIT = "replace(text, ' th', '-' || chr(10) || 'th')"

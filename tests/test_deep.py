@@ -144,3 +144,13 @@ def test_corpora(spark, name):
 def test_marker_hits(spark):
     df = spark.createDataFrame([("abc",)], "t string")
     assert df.select(M.marker_hits(F.col("t"), ["a", "b", "x", "a"]).alias("n")).first().n == 3
+
+
+def test_capitals_in_a_row_end(spark):
+    import time
+
+    began = time.time()
+    text = "A" * 200_000 + "Buyer shall pay. GENERAL TERMS Buyer shall pay"
+    got = spark.createDataFrame([(text,)], "t string").select(D.fragments(F.col("t"))).first()[0]
+    assert got == ["A" * 200_000, "Buyer shall pay.", "GENERAL TERMS", "Buyer shall pay"]
+    assert time.time() - began < 60
