@@ -57,17 +57,8 @@ def hits(norm: Column, terms: Column) -> Column:
 def positions(norm: Column, terms: Column) -> Column:
     """Sorted start offsets (from 0) of all non-overlapping occurrences of all terms, an array."""
 
-    def of(t: Column) -> Column:
-        gaps = F.split(norm, F.concat(F.lit(r"\Q"), t, F.lit(r"\E")), -1)
-        walk = F.aggregate(
-            F.slice(gaps, F.lit(1), F.size(gaps) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, g: F.struct((acc["at"] + F.length(g) + F.length(t)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(g))).alias("out")),
-            lambda acc: acc["out"])
-        return walk
-
     found = F.filter(terms, lambda t: F.contains(norm, t))
-    return F.array_sort(F.flatten(F.transform(found, of)))
+    return F.array_sort(F.flatten(F.transform(found, lambda t: M.occurrences_of(norm, t))))
 
 
 def _quoted(word: str) -> str:

@@ -5,24 +5,60 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.binding import bound
+from ..sources.shared import written
+from .joins import MOST_SENT, fits
 
-def contains_join(units: DataFrame, markers: DataFrame, text: str, marker: str) -> DataFrame:
-    """units with each marker that their text contains. The marker table is a pack of rules, small by nature, and broadcast."""
-    return units.join(F.broadcast(markers), F.contains(F.col(text), F.col(marker)))
 
+def contains_join(units: DataFrame, markers: DataFrame, text: str, marker: str, most: int = MOST_SENT) -> DataFrame:
+    """units with each marker that their text contains. A marker table of at most `most` bytes is sent to the units; a larger one goes by trigrams."""
+    if fits(markers, most):
+        return units.join(F.broadcast(markers), F.contains(F.col(text), F.col(marker)))
+    return contains_join_blocked(units, markers, text, marker, most)
 
-def contains_join_blocked(units: DataFrame, markers: DataFrame, text: str, marker: str) -> DataFrame:
+
+def _grams(text: Column, n: int) -> Column:
+    """All stretches of n characters, with the whole text as the only one where it is shorter."""
+    return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - n + 1)), lambda i: F.substring(text, i, F.lit(n)))
+
+
+def _trigrams(text: Column) -> Column:
+    return _grams(text, 3)
+
+
+def rarest_trigrams(units: DataFrame, markers: DataFrame, text: str, marker: str, most: int = MOST_SENT) -> DataFrame:
+    """markers (of three characters and more) with _tri, that trigram of theirs that fewest units contain; markers with one that no unit contains are left out.
+
+    Only trigrams that occur in markers are counted, one row each after the partial count of a task.
+    """
+    of_marker = markers.where(F.length(marker) >= 3).withColumn("_tris", F.array_distinct(_trigrams(F.col(marker))))
+    known = of_marker.select(F.explode("_tris").alias("_tri")).distinct()
+    in_units = units.select(F.explode(F.array_distinct(_trigrams(F.col(text)))).alias("_tri")).join(known.hint("broadcast" if fits(known, most) else "merge"), "_tri")
+    counts = written(in_units.groupBy("_tri").agg(F.count("*").alias("_units")), "trigrams")
+    each = of_marker.select(marker, F.explode("_tris").alias("_tri")).distinct().join(counts.hint("merge"), "_tri", "left")
+    best = each.groupBy(marker).agg(F.min(F.struct(F.coalesce("_units", F.lit(0)).alias("n"), "_tri")).alias("_b")).where("_b.n > 0")
+    return markers.join(best.select(marker, F.col("_b._tri").alias("_tri")).hint("merge"), marker)
+
+
+def contains_join_blocked(units: DataFrame, markers: DataFrame, text: str, marker: str, most: int = MOST_SENT) -> DataFrame:
     """The same rows as contains_join, for dictionaries of thousands of markers.
 
-    Units meet markers on one trigram of the marker (its middle one) by an equi join, and
-    are verified. Markers shorter than three characters go through contains_join.
+    A unit meets a marker on the marker's rarest trigram, and is verified. Where the markers fit, they are sent to the units, so that no text is
+    shuffled; else (unit, trigram) rows without text meet them, and only units with a candidate are dealt out once more for the check.
+    Markers of one or two characters meet the units' single characters and pairs. An empty marker is in no text.
     """
-    long = markers.where(F.length(marker) >= 3).withColumn("_tri", F.substring(F.col(marker), (F.length(marker) / 2).cast("int"), F.lit(3)))
-    unit = units.withColumn("_u", F.monotonically_increasing_id())
-    places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2))
-    tri = unit.withColumn("_tri", F.explode(F.array_distinct(F.transform(places, lambda i: F.substring(F.col(text), i, F.lit(3))))))
-    met = tri.join(long.hint("shuffle_hash"), "_tri").where(F.contains(F.col(text), F.col(marker))).drop("_tri", "_u")
-    return met.unionByName(contains_join(units, markers.where(F.length(marker) < 3), text, marker))
+    chosen = written(rarest_trigrams(units, markers, text, marker, most), "rarest")
+    short = markers.where((F.length(marker) < 3) & (F.length(marker) > 0))
+    if fits(chosen, most):
+        met = units.withColumn("_tri", F.explode(F.array_distinct(_trigrams(F.col(text))))).join(F.broadcast(chosen), "_tri")
+        met = met.where(F.contains(F.col(text), F.col(marker))).drop("_tri")
+    else:
+        keyed = written(units.withColumn("_u", F.monotonically_increasing_id()), "units")
+        pairs = keyed.select("_u", F.explode(F.array_distinct(_trigrams(F.col(text)))).alias("_tri")).join(chosen.hint("merge"), "_tri").drop("_tri")
+        met = keyed.join(pairs.hint("merge"), "_u").where(F.contains(F.col(text), F.col(marker))).drop("_u")
+    parts = lambda c: F.array_distinct(F.concat(_grams(c, 1), _grams(c, 2)))
+    near = units.withColumn("_part", F.explode(parts(F.col(text)))).where("_part <> ''").join(short.hint("broadcast" if fits(short, most) else "merge"), F.col("_part") == F.col(marker)).drop("_part")
+    return met.unionByName(near)
 
 
 def clause_rule_match(clauses: DataFrame, keywords: DataFrame, key: str) -> DataFrame:
@@ -42,32 +78,59 @@ def marker_hits(text: Column, markers: list[str]) -> Column:
     return sum((F.contains(text, F.lit(m)).cast("int") for m in markers), F.lit(0))
 
 
+STRETCH = 512  # places that are added up before they are put with the others: arrays are copied as they grow
+
+
+def _running(sizes: Column) -> Column:
+    """The sums of all sizes before each: 0, then the first, then the first two; stretch by stretch, as an array is copied with every value it gets."""
+    ints = F.array().cast("array<int>")
+
+    def stretch(acc: Column, j: Column) -> Column:
+        part = F.aggregate(F.slice(sizes, j * STRETCH + 1, F.lit(STRETCH)), F.struct(acc["at"].alias("at"), ints.alias("out")),
+                           lambda a, x: F.struct((a["at"] + x).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")))
+        return bound(part, lambda p: F.struct(p["at"].alias("at"), F.concat(acc["out"], F.array(p["out"])).alias("out")))
+
+    stretches = F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / STRETCH).cast("int"))
+    sums = F.aggregate(stretches, F.struct(F.lit(0).alias("at"), F.array().cast("array<array<int>>").alias("out")), stretch, lambda s: F.flatten(s["out"]))
+    return F.when(F.size(sizes) > 0, sums).otherwise(ints)
+
+
+def occurrences_of(text: Column, marker: Column) -> Column:
+    """Start offsets (from 0) of the non-overlapping occurrences of a marker."""
+    gaps = F.split(text, F.concat(F.lit(r"\Q"), F.replace(marker, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), -1)
+    # an occurrence stands behind each gap but the last, and begins where the marker's length has not been added yet
+    ends = lambda g: F.transform(F.slice(g, F.lit(1), F.size(g) - 1), lambda x: F.length(x) + F.length(marker))
+    return bound(bound(gaps, ends), lambda sizes: F.zip_with(_running(sizes), sizes, lambda a, x: a + x - F.length(marker)))
+
+
 def marker_positions(text: Column, markers: list[str]) -> Column:
     """Sorted start offsets (from 0) of all non-overlapping occurrences of all markers."""
+    return F.array_sort(F.concat(*[F.when(F.contains(text, F.lit(m)), occurrences_of(text, F.lit(m))).otherwise(F.array().cast("array<int>")) for m in markers]))
 
-    def of(m: str) -> Column:
-        gaps = F.split(text, r"\Q" + m + r"\E", -1)
-        step = F.aggregate(
-            F.slice(gaps, F.lit(1), F.size(gaps) - 1),
-            F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")),
-            lambda acc, g: F.struct((acc["at"] + F.length(g) + len(m)).alias("at"), F.concat(acc["out"], F.array(acc["at"] + F.length(g))).alias("out")),
-            lambda acc: acc["out"],
-        )
-        return F.when(F.size(gaps) > 1, step).otherwise(F.array().cast("array<int>"))
 
-    return F.array_sort(F.concat(*[of(m) for m in markers]))
+def _reached(points: Column, targets: Column, back: int, on: int) -> Column:
+    """How many points lie within [target - back, target + on] of some target: one merge of the points and the ends of these stretches.
+
+    At equal places stretches begin (0) before points are met (1), and end (2) after.
+    """
+    at = lambda xs, by, kind: F.transform(xs, lambda x: F.struct((x + by).alias("at"), F.lit(kind).alias("kind")))
+    events = F.array_sort(F.concat(at(targets, -back, 0), at(points, 0, 1), at(targets, on, 2)))
+    zero = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
+    return F.aggregate(events, zero, lambda a, e: F.struct(
+        (a["open"] + F.when(e["kind"] == 0, 1).when(e["kind"] == 2, -1).otherwise(0)).alias("open"),
+        (a["n"] + F.when((e["kind"] == 1) & (a["open"] > 0), 1).otherwise(0)).alias("n")), lambda a: a["n"])
 
 
 def near_any(a: Column, b: Column, within: int = 96) -> Column:
     """Some position of a is within so many characters of some position of b."""
-    return F.exists(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= within))
+    return near_count(a, b, within) > 0
 
 
 def lead_any(a: Column, b: Column, within: int = 96) -> Column:
     """Some position of a is at or before some position of b, by at most so many characters."""
-    return F.exists(a, lambda x: F.exists(b, lambda y: (x <= y) & (y - x <= within)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(False)).otherwise(_reached(a, b, within, 0) > 0)
 
 
 def near_count(a: Column, b: Column, within: int = 96) -> Column:
     """Positions of a that have one of b within so many characters."""
-    return F.size(F.filter(a, lambda x: F.exists(b, lambda y: F.abs(x - y) <= within)))
+    return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0)).otherwise(_reached(a, b, within, within))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..sources.shared import written
+
 
 def illegal_transitions(log: DataFrame, allowed: dict[str, tuple[str, ...]]) -> DataFrame:
     """(event_id, from_status, to_status) of steps that aren't allowed."""
@@ -106,14 +108,16 @@ def nulled(child: DataFrame, gone: DataFrame, key: str) -> DataFrame:
 def ranked_by_ranges(rows: DataFrame, by: list[str], ties: list[str]) -> DataFrame:
     """rows with place, their number in the order of by, then ties, over the whole table.
 
-    Values of by are counted; the running sum over these few counts gives each its offset, and only rows that are equal in by
-    are numbered in one task.
+    Rows are dealt by ranges of all these columns and written so; each range is numbered by itself, and the numbers of rows of the ranges
+    before it, of which there are as many as partitions, are added. Rows that are equal in by alone are parted by ties.
     """
-    counts = rows.groupBy(*by).agg(F.count("*").alias("_n"))
-    before = F.coalesce(F.sum("_n").over(W.orderBy(*by).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.withColumn("_before", before).drop("_n")
-    own = F.row_number().over(W.partitionBy(*by).orderBy(*ties))
-    return rows.withColumn("_own", own).join(offsets.hint("shuffle_hash"), by).withColumn("place", F.col("_before") + F.col("_own")).drop("_before", "_own")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = written(rows.repartitionByRange(parts, *by, *ties).withColumn("_part", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select("_part", before.alias("_before"))
+    own = F.row_number().over(W.partitionBy("_part").orderBy(*by, *ties))
+    return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_before", "_own", "_part")
 
 
 def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
