@@ -120,13 +120,16 @@ def ranked_by_ranges(rows: DataFrame, by: list[str], ties: list[str]) -> DataFra
     return dealt.withColumn("_own", own).join(F.broadcast(offsets), "_part").withColumn("place", F.col("_before") + F.col("_own")).drop("_before", "_own", "_part")
 
 
-def upsert(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old with rows of equal key replaced by new ones, and the other new rows added."""
-    o, n = old.alias("o"), new.alias("n")
-    on = [F.col(f"o.{k}") == F.col(f"n.{k}") for k in key]
-    # a row is new where its key is: a null in it replaces as well
-    present = F.col(f"n.{key[0]}").isNotNull()
-    return o.join(n, on, "full").select(*[F.when(present, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}")).alias(c) for c in old.columns])
+def report_fetch(contracts: DataFrame, children: dict[str, tuple[DataFrame, list[str]]], key: str) -> DataFrame:
+    """contracts with an array for each child table: its rows of that contract as structs of the listed columns, in their order; empty where there are none.
+
+    Each child is gathered by key and joined by key: where all tables are bucketed by it alike, nothing is shuffled.
+    """
+    out = contracts
+    for name, (child, columns) in children.items():
+        rows = child.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
+        out = out.join(rows.hint("merge"), key, "left").withColumn(name, F.coalesce(F.col(name), F.array().cast(rows.schema[name].dataType)))
+    return out
 
 
 def retained(table: DataFrame, at: str, now: str, days: int) -> DataFrame:

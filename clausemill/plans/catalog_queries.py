@@ -11,6 +11,7 @@ from ..functions import lookups as L
 from ..operators import tables as D
 from ..sources import rules as R
 from ..sources import tables as T
+from ..sources.layout import bucketed
 from ..sources.registry_tables import cte
 from ..sources.registry_tables import registry_table as reg
 from ..sources.shared import new_folder
@@ -188,17 +189,30 @@ def q_job_queue(spark, sf):
     return D.ranked_by_ranges(waiting, ["rank", "created_at"], ["job_id", "contract_id", "requested_by"]).select("job_id", "requested_by", "priority", "place")
 
 
-@query(f"""WITH {cte('users', 'contracts', 'analysis_jobs', 'risk_items', 'disputed_clauses', 'summaries')},
-  j AS (SELECT contract_id, count(*) AS n FROM r_analysis_jobs GROUP BY 1), r AS (SELECT contract_id, count(*) AS n FROM r_risk_items GROUP BY 1),
-  d AS (SELECT contract_id, count(*) AS n FROM r_disputed_clauses GROUP BY 1), s AS (SELECT contract_id, count(*) AS n FROM r_summaries GROUP BY 1)
-  SELECT c.contract_id, u.email, coalesce(j.n, 0)::BIGINT AS jobs, coalesce(r.n, 0)::BIGINT AS risks, coalesce(d.n, 0)::BIGINT AS disputes, coalesce(s.n, 0)::BIGINT AS summaries
-  FROM r_contracts c LEFT JOIN r_users u ON u.user_id = c.user_id LEFT JOIN j ON j.contract_id = c.contract_id LEFT JOIN r ON r.contract_id = c.contract_id LEFT JOIN d ON d.contract_id = c.contract_id LEFT JOIN s ON s.contract_id = c.contract_id""")
+# Children of a contract: kind, table, id, label, number.
+CHILDREN = (
+    ("jobs", "analysis_jobs", "job_id", "status", "priority"), ("risks", "risk_items", "risk_id", "severity", "score"),
+    ("disputes", "disputed_clauses", "dispute_id", "clause_text", "confidence"), ("summaries", "summaries", "summary_id", "brief", "job_id"),
+)
+
+
+@query(f"WITH {cte('users', 'contracts', *(c[1] for c in CHILDREN))}, ch AS (" + " UNION ALL ".join(
+    f"SELECT contract_id, '{k}' AS kind, {i} AS id, {l} AS label, round({v}::DOUBLE, 6) AS number FROM r_{t}" for k, t, i, l, v in CHILDREN) + """)
+  SELECT c.contract_id, u.email, ch.kind, row_number() OVER (PARTITION BY c.contract_id, ch.kind ORDER BY ch.id, ch.label, ch.number)::INT AS n, ch.id, ch.label, ch.number
+  FROM r_contracts c LEFT JOIN r_users u ON u.user_id = c.user_id LEFT JOIN ch ON ch.contract_id = c.contract_id""")
 def q_report_fetch(spark, sf):
-    out = reg(spark, sf, "contracts").select("contract_id", "user_id").join(reg(spark, sf, "users").select("user_id", "email"), "user_id", "left")
-    for t, name in (("analysis_jobs", "jobs"), ("risk_items", "risks"), ("disputed_clauses", "disputes"), ("summaries", "summaries")):
-        n = reg(spark, sf, t).groupBy("contract_id").agg(F.count("*").alias(name))
-        out = out.join(n, "contract_id", "left").withColumn(name, F.coalesce(name, F.lit(0)))
-    return out.select("contract_id", "email", "jobs", "risks", "disputes", "summaries")
+    owners = reg(spark, sf, "users").select("user_id", "email")
+    contracts = bucketed(reg(spark, sf, "contracts").select("contract_id", "user_id").join(owners, "user_id", "left"), "contracts", "contract_id")
+    children = {
+        kind: (bucketed(reg(spark, sf, t).select("contract_id", F.col(i).alias("id"), F.col(label).alias("label"), F.round(F.col(v).cast("double"), 6).alias("number")), t, "contract_id"), ["id", "label", "number"])
+        for kind, t, i, label, v in CHILDREN}
+    nested = D.report_fetch(contracts, children, "contract_id")
+    rows = F.concat(*[_numbered(kind) for kind, *_ in CHILDREN])
+    return nested.select("contract_id", "email", F.inline_outer(rows))
+
+
+def _numbered(kind: str):
+    return F.transform(kind, lambda x, i: F.struct(F.lit(kind).alias("kind"), (i + 1).alias("n"), x["id"].alias("id"), x["label"].alias("label"), x["number"].alias("number")))
 
 
 @query(f"""WITH {cte('contracts', 'analysis_jobs', 'risk_items', 'audit_logs')},
@@ -213,7 +227,11 @@ def q_report_fetch(spark, sf):
   UNION ALL SELECT 'category', category || ':' || role_impact, count(*)::DOUBLE FROM r_risk_items GROUP BY category, role_impact
   UNION ALL SELECT 'events', event_type, count(*)::DOUBLE FROM r_audit_logs GROUP BY event_type""")
 def q_idx_queries(spark, sf):
-    c, j, r, a = (reg(spark, sf, t) for t in ("contracts", "analysis_jobs", "risk_items", "audit_logs"))
+    """Access patterns over tables that are laid out for them: contracts by status and in buckets of users, jobs in buckets of contracts, risks of jobs, events by type."""
+    c = bucketed(reg(spark, sf, "contracts").select("contract_id", "user_id", "status", "uploaded_at", "deleted_at"), "contracts", "user_id", by="status", order=("uploaded_at",))
+    j = bucketed(reg(spark, sf, "analysis_jobs").select("job_id", "contract_id", "created_at"), "jobs", "contract_id", order=("created_at",))
+    r = bucketed(reg(spark, sf, "risk_items").select("risk_id", "job_id", "severity", "score", "category", "role_impact"), "risks", "job_id")
+    a = reg(spark, sf, "audit_logs")
     live = c.where("deleted_at IS NULL")
     out = lambda df, name, k, v: df.select(F.lit(name).alias("pattern"), k.cast("string").alias("k"), v.cast("double").alias("v"))
     n = lambda *by: F.row_number().over(W.partitionBy(*by[:-1]).orderBy(*by[-1]))

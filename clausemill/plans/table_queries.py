@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import tables as D
 from ..sources import rules as R
 from ..sources import tables as T
+from ..sources.layout import upsert_parts, write_parts
+from ..sources.shared import new_folder
 from .registry import query
 from .request_queries import lang_sql
 
@@ -64,4 +66,7 @@ def q_fallback_share(spark, sf):
 def q_upsert(spark, sf):
     old = T.table(spark, sf, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("value"))
     new = old.select((F.col("key") + 100).alias("key"), F.concat(F.lit("new "), F.col("value")).alias("value"))
-    return D.upsert(old, new, ["key"])
+    at = f"{new_folder(spark, 'customers')}/table"
+    write_parts(old, at, ["key"], 64)
+    upsert_parts(spark, at, new, ["key"], 64)
+    return spark.read.schema(old.schema).parquet(at).select("key", "value")
