@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..sources import rules as R
 from ..sources import tables as T
+from ..sources.shared import new_folder
 from ..streaming import scan as S
 from .registry import query
 
@@ -17,8 +18,9 @@ STATES = {"signup": "uploaded", "view": "queued", "click": "preprocessing", "pur
 
 @query(f"SELECT d.doc_id, m.marker FROM documents d JOIN {R.values([(m,) for m in MARKERS])} AS m(marker) ON contains(lower(d.text), m.marker)")
 def q_stream_scan(spark, sf):
-    at = f"{sf}/{DOCUMENTS}"
-    return S.run_available(S.stream_scan(S.document_stream(spark, at), MARKERS), "scan", at)
+    rules = f"{new_folder(spark, 'stream-rules')}/table"
+    spark.createDataFrame([(m,) for m in MARKERS], "marker string").write.parquet(rules)
+    return S.stream_scan(spark, f"{sf}/{DOCUMENTS}", rules, "scan").select("doc_id", "marker")
 
 
 # Sessions of a job end after 120 seconds of silence; a job is timed out where a session ends in a pending state.

@@ -7,6 +7,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.matching import contains_join
 from ..sources import tables as T
 from ..sources.shared import shared_folder
 
@@ -16,14 +17,15 @@ EVENTS = "event_id LONG, ts TIMESTAMP_NTZ, user_id LONG, event_type STRING, valu
 PENDING = ("queued", "preprocessing", "analyzing")
 
 
-def run_available(stream: DataFrame, name: str, source: str) -> DataFrame:
-    """Runs a stream over all that is there now, and returns what it has written so far.
+def _place(spark: SparkSession, name: str, source: str) -> str:
+    """A query's folder in the shared one, under its name and its input: a run after a loss, or after more input has come, goes on from there."""
+    return f"{shared_folder(spark)}/stream-{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
 
-    Output and checkpoint lie in the shared folder under the query's name and its input: a run after a loss, or after more
-    input has come, goes on from there.
-    """
+
+def run_available(stream: DataFrame, name: str, source: str) -> DataFrame:
+    """Runs a stream over all that is there now, and returns what it has written so far."""
     spark = stream.sparkSession
-    at = f"{shared_folder(spark)}/stream-{name}-{hashlib.sha256(source.encode()).hexdigest()[:16]}"
+    at = _place(spark, name, source)
     run = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     run.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{at}/out")
@@ -33,10 +35,26 @@ def document_stream(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(T.DOCUMENTS).parquet(path)
 
 
-def stream_scan(docs: DataFrame, markers: list[str]) -> DataFrame:
-    """(doc_id, marker) for each marker that a document contains, letters in either case; without state."""
-    found = F.filter(F.array(*[F.lit(m) for m in markers]), lambda m: F.contains(F.lower("text"), m))
-    return docs.select("doc_id", F.explode(found).alias("marker"))
+SCANNED = "doc_id LONG, marker STRING, batch LONG"
+
+
+def stream_scan(spark: SparkSession, documents: str, rules: str, name: str) -> DataFrame:
+    """(doc_id, marker, batch) for each marker of the rule table that a document contains, letters in either case, of all that is there now and was before.
+
+    The rule table (marker) is read anew for every batch: documents that come after it has changed are matched with what it holds then, earlier results
+    stay. A batch writes its rows to a folder of its own, which it replaces: a batch that is run once more after a loss gives them once.
+    """
+    at = _place(spark, name, documents)
+
+    def one(docs: DataFrame, batch: int) -> None:
+        session = docs.sparkSession
+        wanted = session.read.parquet(rules).select(F.lower("marker").alias("marker")).where("marker <> ''").distinct()
+        found = contains_join(docs.select("doc_id", F.lower("text").alias("_low")), wanted, "_low", "marker").select("doc_id", "marker")
+        found.write.mode("overwrite").parquet(f"{at}/out/batch={batch}")
+
+    run = document_stream(spark, documents).writeStream.foreachBatch(one).option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.schema(SCANNED).parquet(f"{at}/out")
 
 
 def job_stream(spark: SparkSession, path: str, states: dict[str, str]) -> DataFrame:
@@ -53,18 +71,15 @@ def job_timeouts(log: DataFrame, seconds: int = 120, late: int = 600) -> DataFra
 
 
 def timeouts_so_far(spark: SparkSession, path: str, states: dict[str, str], name: str, now: str | None = None, seconds: int = 120, late: int = 600) -> DataFrame:
-    """What the stream of time-outs has found, and a closing step for the end of the log, of which the stream still holds the sessions.
+    """What the stream of time-outs has found, and the sessions it still holds that have been silent for so many seconds by now (the log's last event where that isn't given).
 
-    No later event moves the watermark past these. A batch over the log's last `late` seconds, and the events just before them, finds the sessions
-    that have been silent for so many seconds by now (the log's last event where that isn't given).
+    No later event moves the watermark past these. They are read from the stream's state, a row for each open session: the log itself isn't
+    read again, and the next run goes on as if nothing had been asked.
     """
     found = run_available(job_timeouts(job_stream(spark, path, states), seconds, late), name, path)
-    pairs = F.create_map(*[F.lit(x) for kv in states.items() for x in kv])
-    log = spark.read.schema(EVENTS).parquet(path).select(F.col("user_id").alias("job_id"), F.col("ts").cast("timestamp").alias("ts"), pairs[F.col("event_type")].alias("status"))
-    end = log.agg(F.max("ts")).first()[0]
-    if end is None:
-        return found
-    tail = log.where(F.col("ts") >= F.lit(end) - F.expr(f"INTERVAL {late + 2 * seconds} SECONDS"))
-    at = F.lit(now).cast("timestamp") if now else F.lit(end)
-    closing = job_timeouts(tail, seconds, late).where(F.col("since") + F.expr(f"INTERVAL {seconds} SECONDS") <= at)
+    held = spark.read.format("statestore").load(f"{_place(spark, name, path)}/state").where("value is not null")
+    open_ = held.select(F.col("value.job_id").alias("job_id"), F.col("value.max.ts").alias("since"), F.col("value.max.status").alias("status"))
+    # the last event's own session is among the open ones
+    end = F.lit(now).cast("timestamp") if now else F.lit(open_.agg(F.max("since")).first()[0]).cast("timestamp")
+    closing = open_.where(F.col("status").isin(*PENDING) & (F.col("since") + F.expr(f"INTERVAL {seconds} SECONDS") <= end))
     return found.unionByName(closing).distinct()
