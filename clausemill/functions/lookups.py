@@ -31,6 +31,12 @@ def text_map(values: dict[str, str]) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])
 
 
+def said(table: dict[str, dict[str, str]], code: Column, language: Column) -> Column:
+    """The words of a table of wording by code and language."""
+    words = text_map({f"{k}:{x}": t for k, by in table.items() for x, t in by.items()})
+    return F.element_at(words, F.concat_ws(":", code, language))
+
+
 def severity_label(language: Column, severity: Column) -> Column:
     flat = {f"{x}:{s}": t for x, by in R.SEVERITY_LABEL.items() for s, t in by.items()}
     return F.coalesce(lookup(flat, F.concat_ws(":", language, severity)), severity)

@@ -39,10 +39,12 @@ def rank_risks(matches: DataFrame, key: str) -> DataFrame:
 
 
 def with_fallback_risk(docs: DataFrame, risks: DataFrame, key: str) -> DataFrame:
-    """risks, and one low risk without a clause for each document that has none."""
-    rest = docs.select(key).join(risks.select(key).distinct().hint("shuffle_hash"), key, "left_anti")
-    low = rest.select(key, F.lit("risk-1").alias("risk_id"), F.lit(None).cast("string").alias("clause_id"), F.lit(None).cast("string").alias("rule_id"), F.lit("low").alias("severity"))
-    return risks.select(key, "risk_id", "clause_id", "rule_id", "severity").unionByName(low)
+    """risks, and one low risk without a clause for each document (with language) that has none; all with title and mitigation in the document's language."""
+    rows = docs.select(key, "language").join(risks.select(key, "risk_id", "clause_id", "rule_id", "severity").hint("merge"), key, "left")
+    rule = F.coalesce("rule_id", F.lit("none"))
+    words = lambda table: L.said(table, rule, F.col("language"))
+    return rows.select(key, F.coalesce("risk_id", F.lit("risk-1")).alias("risk_id"), "clause_id", "rule_id", F.coalesce("severity", F.lit("low")).alias("severity"),
+                       words(R.RULE_TITLE).alias("title"), words(R.MITIGATION).alias("mitigation"))
 
 
 def with_fallback_dispute(clauses: DataFrame, disputes: DataFrame, key: str) -> DataFrame:
@@ -189,14 +191,15 @@ def final_risk_order(found: DataFrame, key: str) -> DataFrame:
 
 
 def with_role_missing(risks: DataFrame, clauses: DataFrame, key: str) -> DataFrame:
-    """risks, and before them (n = 0) a medium one for each document in whose clauses the role isn't named."""
-    found = clauses.groupBy(key).agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
-    row = found.where(~F.col("found")).select(key, F.lit(0).alias("n"), F.lit("role_missing").alias("rule_id"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("occurrences"))
-    return risks.unionByName(row)
+    """risks with summary, and before them (n = 0) a medium one for each document in whose clauses the role isn't named: its summary says so, in the document's language."""
+    found = clauses.groupBy(key, "language", "role").agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
+    says = F.concat(L.said(R.BRIEF, F.lit("role_missing"), F.col("language")), "role", F.lit("."))
+    row = found.where(~F.col("found")).select(key, F.lit(0).alias("n"), F.lit("role_missing").alias("rule_id"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("occurrences"), says.alias("summary"))
+    return risks.withColumn("summary", F.lit(None).cast("string")).unionByName(row)
 
 
 def brief(docs: DataFrame, clauses: DataFrame, disputes: DataFrame, sections: DataFrame) -> DataFrame:
-    """(contract_id, brief): an opening, then obligations, payment, deadlines, penalties and disputes as far as there are any.
+    """(contract_id, language, brief), in the contract's language: an opening, then obligations, payment, deadlines, penalties and disputes as far as there are any.
 
     Every section lists its first two statements; obligations are those that name the
     role, else any; the counterparty's follow if it has one.
@@ -217,20 +220,23 @@ def brief(docs: DataFrame, clauses: DataFrame, disputes: DataFrame, sections: Da
         *[first(F.col("section") == s).alias(s) for s in ("payment_terms", "deadlines", "penalties")])
     counts = clauses.groupBy(key).agg(F.count("*").alias("clauses"))
     open_ = disputes.groupBy(key).agg(F.count("*").alias("disputes"))
-    all_ = docs.select(key, "role").join(counts.hint("shuffle_hash"), key).join(got.hint("shuffle_hash"), key, "left").join(open_.hint("shuffle_hash"), key, "left")
-    line = lambda name, label: F.when(F.col(name) != "", F.concat(F.lit(label), F.col(name), F.lit(".")))
-    parts = [F.coalesce(line("own", "Obligations: "), line("any", "General obligations: ")), line("other", "Counterparty: "), line("payment_terms", "Payment: "),
-             line("deadlines", "Deadlines: "), line("penalties", "Penalties: "), F.when(F.col("disputes") > 0, F.concat(F.lit("Disputed clauses: "), F.col("disputes").cast("string"), F.lit(".")))]
-    rest = F.concat_ws(" ", *parts)
-    opening = F.concat(F.lit("Contract for "), "role", F.lit(" with "), F.col("clauses").cast("string"), F.lit(" clauses."))
-    return all_.select(key, F.when(rest == "", F.concat(opening, F.lit(" Nothing stands out."))).otherwise(F.concat(opening, F.lit(" "), rest)).alias("brief"))
+    all_ = docs.select(key, "role", "language").join(counts.hint("shuffle_hash"), key).join(got.hint("shuffle_hash"), key, "left").join(open_.hint("shuffle_hash"), key, "left")
+    words = lambda part: L.said(R.BRIEF, F.lit(part), F.col("language"))
+    line = lambda name: F.when(F.col(name) != "", F.concat(words(name), F.col(name), F.lit(".")))
+    parts = [F.coalesce(line("own"), line("any")), *[line(x) for x in ("other", "payment_terms", "deadlines", "penalties")],
+             F.when(F.col("disputes") > 0, F.concat(words("disputes"), F.col("disputes").cast("string"), F.lit(".")))]
+    rest = F.coalesce(F.nullif(F.concat_ws(" ", *parts), F.lit("")), words("nothing"))
+    return all_.select(key, "language", F.concat(words("for"), "role", words("with"), F.col("clauses").cast("string"), F.lit(". "), rest).alias("brief"))
 
 
 def core_report(output: DataFrame) -> DataFrame:
-    """analysis_output as the report a client gets: shown severities, a wording for risks without a clause, dispute ids, type label."""
+    """analysis_output as the report a client gets: shown severities, titles, notes and advice, a wording for risks without a clause, dispute ids."""
     unknown = L.lookup(R.UNKNOWN_CLAUSE, F.col("language"))
     shown = lambda s: F.when(s == "critical", "high").otherwise(s)
-    risks = F.transform("risks", lambda r: F.struct(r["risk_id"].alias("risk_id"), F.coalesce(r["clause_id"], unknown).alias("clause_ref"), shown(r["severity"]).alias("severity")))
+    words = lambda table, r: L.said(table, F.coalesce(r["rule_id"], F.lit("none")), F.col("language"))
+    risks = F.transform("risks", lambda r: F.struct(
+        r["risk_id"].alias("risk_id"), F.coalesce(r["clause_id"], unknown).alias("clause_ref"), shown(r["severity"]).alias("severity"),
+        words(R.RULE_TITLE, r).alias("title"), words(R.RULE_NOTE, r).alias("description"), words(R.MITIGATION, r).alias("recommendation")))
     ids = lambda d: F.concat_ws("_", F.col("contract_id").cast("string"), d["clause_id"])
     disputes = F.transform("disputes", lambda d: F.struct(ids(d).alias("dispute_id"), d["clause_id"].alias("clause_ref"), d["excerpt"].alias("fragment")))
     return output.select("contract_id", "language", "role", risks.alias("risks"), disputes.alias("disputes"), "role_summary")

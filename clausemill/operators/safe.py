@@ -39,25 +39,19 @@ def read_requests(requests: DataFrame, most_text: int = R.MAX_TEXT_CHARS, most_p
     return requests.select(*requests.columns, _request(requests, most_text, most_payload).alias("_r")).select(*requests.columns, "_r.*")
 
 
-def said(table: dict[str, dict[str, str]], code: Column, language: Column) -> Column:
-    """The words of a table of wording by code and language."""
-    words = L.text_map({f"{k}:{x}": t for k, by in table.items() for x, t in by.items()})
-    return F.element_at(words, F.concat_ws(":", code, language))
-
-
 def warning_text(warnings: Column, language: Column) -> Column:
     """The sentences of warnings, or of errors, one after the other."""
-    return F.array_join(F.filter(F.transform(warnings, lambda w: said(R.NOTICES, w, language)), lambda s: s.isNotNull()), " ")
+    return F.array_join(F.filter(F.transform(warnings, lambda w: L.said(R.NOTICES, w, language)), lambda s: s.isNotNull()), " ")
 
 
 def _risks(clauses: Column, language: Column) -> Column:
     """Risks of the rules in the form of a report."""
-    unknown = said({"unknown": R.UNKNOWN_CLAUSE}, F.lit("unknown"), language)
+    unknown = L.said({"unknown": R.UNKNOWN_CLAUSE}, F.lit("unknown"), language)
 
     def one(r: Column) -> Column:
         rule = F.coalesce(r["rule_id"], F.lit("none"))
         return F.struct(r["risk_id"], rule, F.when(r["severity"] == "critical", "high").otherwise(r["severity"]), F.coalesce(r["clause_id"], unknown), F.lit(1).cast("bigint"),
-                        said(R.RULE_TITLE, rule, language), said(R.RULE_NOTE, rule, language), said(R.MITIGATION, rule, language)).cast(RISK)
+                        L.said(R.RULE_TITLE, rule, language), L.said(R.RULE_NOTE, rule, language), L.said(R.MITIGATION, rule, language)).cast(RISK)
 
     return F.transform(P.row_risks(clauses), one)
 
@@ -68,7 +62,7 @@ def safe_report(requests: DataFrame, key: str, most_text: int = R.MAX_TEXT_CHARS
     analyzed: the rules' risks. fallback: the request could not be read, or nothing of it is a clause; error says why, and the one risk
     asks for a review by hand. Failed rows take a branch of their own, in which the analysis has no part; nothing is shuffled, and requests are read once.
     """
-    words = lambda table: lambda language: said({"it": table}, F.lit("it"), language)
+    words = lambda table: lambda language: L.said({"it": table}, F.lit("it"), language)
 
     def good(r: Column) -> Column:
         notes = warning_text(r["warnings"], r["language"])

@@ -125,8 +125,8 @@ def q_final_risk_order(spark, sf):
     return P.final_risk_order(matched(spark, sf), KEY)
 
 
-@query(f"""WITH {FINAL}, r AS (SELECT contract_id, bool_or(contains(lower(clause_text), lower(role))) AS found FROM clauses GROUP BY 1)
-  SELECT contract_id, n, rule_id, severity, occurrences FROM final UNION ALL SELECT contract_id, 0, 'role_missing', 'medium', 1 FROM r WHERE NOT found""")
+@query(f"""WITH {FINAL}, r AS (SELECT contract_id, language, role, bool_or(contains(lower(clause_text), lower(role))) AS found FROM clauses GROUP BY ALL)
+  SELECT contract_id, n, rule_id, severity, occurrences, NULL AS summary FROM final UNION ALL SELECT contract_id, 0, 'role_missing', 'medium', 1, {R.brief_sql('role_missing')} || role || '.' FROM r WHERE NOT found""")
 def q_role_missing_row(spark, sf):
     return P.with_role_missing(P.final_risk_order(matched(spark, sf), KEY), clauses(spark, sf), KEY)
 
@@ -143,26 +143,27 @@ def _said(where: str, section: str) -> str:
   cut AS (SELECT contract_id, list_filter(list_transform(string_split(replace(document_text, chr(13), ''), chr(10) || chr(10)), lambda x: trim(x)), lambda x: x <> '') AS parts FROM filled),
   cl AS (SELECT contract_id, unnest(parts) AS c FROM cut), n AS (SELECT contract_id, count(*) AS n FROM cl GROUP BY 1),
   d AS (SELECT contract_id, count(DISTINCT (c, dispute_id, i)) AS n FROM (SELECT contract_id, unnest(parts) AS c, generate_subscripts(parts, 1) AS i FROM cut) x JOIN {R.MARKERS_SQL} ON contains(lower(x.c), m.marker) GROUP BY 1),
-  t AS (SELECT f.contract_id, 'Contract for ' || f.role || ' with ' || n.n || ' clauses.' AS opening, concat_ws(' ',
-    CASE WHEN g.own <> '' THEN 'Obligations: ' || g.own || '.' WHEN g.any_ <> '' THEN 'General obligations: ' || g.any_ || '.' END,
-    CASE WHEN g.other <> '' THEN 'Counterparty: ' || g.other || '.' END, CASE WHEN g.pay <> '' THEN 'Payment: ' || g.pay || '.' END,
-    CASE WHEN g.due <> '' THEN 'Deadlines: ' || g.due || '.' END, CASE WHEN g.fine <> '' THEN 'Penalties: ' || g.fine || '.' END,
-    CASE WHEN d.n > 0 THEN 'Disputed clauses: ' || d.n || '.' END) AS rest
+  t AS (SELECT f.contract_id, {R.brief_sql('for')} || f.role || {R.brief_sql('with')} || n.n || '.' AS opening, concat_ws(' ',
+    CASE WHEN g.own <> '' THEN {R.brief_sql('own')} || g.own || '.' WHEN g.any_ <> '' THEN {R.brief_sql('any')} || g.any_ || '.' END,
+    CASE WHEN g.other <> '' THEN {R.brief_sql('other')} || g.other || '.' END, CASE WHEN g.pay <> '' THEN {R.brief_sql('payment_terms')} || g.pay || '.' END,
+    CASE WHEN g.due <> '' THEN {R.brief_sql('deadlines')} || g.due || '.' END, CASE WHEN g.fine <> '' THEN {R.brief_sql('penalties')} || g.fine || '.' END,
+    CASE WHEN d.n > 0 THEN {R.brief_sql('disputes')} || d.n || '.' END) AS rest, f.language
     FROM filled f JOIN n ON n.contract_id = f.contract_id LEFT JOIN g ON g.contract_id = f.contract_id LEFT JOIN d ON d.contract_id = f.contract_id)
-  SELECT contract_id, opening || ' ' || CASE WHEN rest = '' THEN 'Nothing stands out.' ELSE rest END AS brief FROM t""")
+  SELECT contract_id, language, opening || ' ' || CASE WHEN rest = '' THEN {R.brief_sql('nothing')} ELSE rest END AS brief FROM t""")
 def q_brief(spark, sf):
     docs = segmentation.with_text(T.contracts(spark, sf))
     return P.brief(docs, segmentation.clauses_simple(docs), disputed(spark, sf), R.section_markers(spark))
 
 
 @query(f"""WITH {MATCH_CTE}, risks AS ({RISKS}), disputes AS ({DISPUTES})
-  SELECT c.contract_id, r.risk_id, coalesce(r.clause_id, u.unknown) AS clause_ref, CASE r.severity WHEN 'critical' THEN 'high' ELSE r.severity END AS severity,
+  SELECT c.contract_id, r.risk_id, coalesce(r.clause_id, u.unknown) AS clause_ref, CASE r.severity WHEN 'critical' THEN 'high' ELSE r.severity END AS severity, r.title, no.words AS description, r.mitigation AS recommendation,
     (SELECT count(*) FROM disputes d WHERE d.contract_id = c.contract_id)::BIGINT AS disputes
-  FROM filled c JOIN risks r ON r.contract_id = c.contract_id JOIN {R.UNKNOWN_SQL} ON u.language = c.language""")
+  FROM filled c JOIN risks r ON r.contract_id = c.contract_id JOIN {R.UNKNOWN_SQL} ON u.language = c.language
+    JOIN {R.words_sql(R.RULE_NOTE)} AS no(rule, lang, words) ON no.rule = coalesce(r.rule_id, 'none') AND no.lang = c.language""")
 def q_core_report(spark, sf):
     report = P.core_report(P.analysis_output(spark, sf))
     rows = report.select(KEY, F.explode("risks").alias("r"), F.size("disputes").cast("long").alias("disputes"))
-    return rows.select(KEY, "r.risk_id", "r.clause_ref", "r.severity", "disputes")
+    return rows.select(KEY, "r.*", "disputes")
 
 
 # What each request holds, and what is wrong with it, from the contract it was made of.

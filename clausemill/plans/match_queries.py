@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import lookups as L
 from ..operators import matching as M
 from ..operators import report as P
 from ..sources import rules as R
@@ -121,12 +122,15 @@ def q_pair_dedupe(spark, sf):
     return groups.agg(F.sum("n").alias("pairs"), F.count("*").alias("groups"))
 
 
-@query(f"""WITH {MATCH_CTE}, c AS (SELECT contract_id, count(*) AS n FROM clauses GROUP BY 1), r AS (SELECT contract_id, count(*) AS n FROM matched GROUP BY 1)
-  SELECT c.contract_id, c.n::BIGINT AS clauses, greatest(coalesce(r.n, 0), 1)::BIGINT AS risks FROM c LEFT JOIN r ON r.contract_id = c.contract_id""")
+@query(f"""WITH {MATCH_CTE}, c AS (SELECT contract_id, language, count(*) AS n FROM clauses GROUP BY ALL), r AS (SELECT contract_id, count(*) AS n FROM matched GROUP BY 1)
+  SELECT c.contract_id, c.n::BIGINT AS clauses, greatest(coalesce(r.n, 0), 1)::BIGINT AS risks, {R.brief_sql('clauses')} || c.n || {R.brief_sql('risks')} || greatest(coalesce(r.n, 0), 1) || '.' AS overview
+  FROM c LEFT JOIN r ON r.contract_id = c.contract_id""")
 def q_overview_counts(spark, sf):
-    c = clauses(spark, sf).groupBy("contract_id").agg(F.count("*").alias("clauses"))
+    c = clauses(spark, sf).groupBy("contract_id", "language").agg(F.count("*").alias("clauses"))
     r = matched(spark, sf).groupBy("contract_id").agg(F.count("*").alias("r"))
-    return c.join(r, "contract_id", "left").select("contract_id", "clauses", F.greatest(F.coalesce("r", F.lit(0)), F.lit(1)).cast("long").alias("risks"))
+    rows = c.join(r.hint("merge"), "contract_id", "left").select("contract_id", "language", "clauses", F.greatest(F.coalesce("r", F.lit(0)), F.lit(1)).cast("long").alias("risks"))
+    words = lambda part: L.said(R.BRIEF, F.lit(part), F.col("language"))
+    return rows.select("contract_id", "clauses", "risks", F.concat(words("clauses"), "clauses", words("risks"), "risks", F.lit(".")).alias("overview"))
 
 
 @query(f"""WITH {LINES_CTE} SELECT contract_id, pos, (3 * (contains(lower(piece), 'shall')::INT + contains(lower(piece), 'must')::INT + contains(lower(piece), 'days')::INT) + 2 * contains(lower(piece), lower(role))::INT)::INT AS score FROM lines""")

@@ -14,7 +14,9 @@ from .text_queries import CLAUSES_CTE, LINES_CTE, STATEMENTS_CTE, clauses
 
 RANKED = f"""SELECT m.contract_id, 'risk-' || row_number() OVER (PARTITION BY m.contract_id ORDER BY r.rank DESC, m.clause_index, m.rule_index) AS risk_id,
   'clause-' || (m.clause_index + 1) AS clause_id, m.rule_id, m.severity FROM matched m JOIN {R.RANK_SQL} ON r.severity = m.severity"""
-RISKS = f"""SELECT * FROM ({RANKED}) UNION ALL SELECT contract_id, 'risk-1', NULL, NULL, 'low' FROM contracts c WHERE NOT EXISTS (SELECT 1 FROM matched m WHERE m.contract_id = c.contract_id)"""
+RISKS = f"""SELECT f.contract_id, coalesce(k.risk_id, 'risk-1') AS risk_id, k.clause_id, k.rule_id, coalesce(k.severity, 'low') AS severity, ti.words AS title, mi.words AS mitigation
+  FROM filled f LEFT JOIN ({RANKED}) k ON k.contract_id = f.contract_id JOIN {R.words_sql(R.RULE_TITLE)} AS ti(rule, lang, words) ON ti.rule = coalesce(k.rule_id, 'none') AND ti.lang = f.language
+    JOIN {R.words_sql(R.MITIGATION)} AS mi(rule, lang, words) ON mi.rule = coalesce(k.rule_id, 'none') AND mi.lang = f.language"""
 DISPUTES = """SELECT contract_id, 'clause-' || (clause_index + 1) AS clause_id, dispute_id, confidence::DOUBLE AS confidence, excerpt FROM disputed
   UNION ALL SELECT contract_id, 'clause-1', NULL, 0.35::DOUBLE, substr(clause_text, 1, 300) FROM clauses c WHERE clause_index = 0 AND NOT EXISTS (SELECT 1 FROM disputed d WHERE d.contract_id = c.contract_id)"""
 
@@ -26,7 +28,7 @@ def q_rank_risks(spark, sf):
 
 @query(f"WITH {MATCH_CTE} {RISKS}")
 def q_fallback_risk(spark, sf):
-    return P.with_fallback_risk(T.contracts(spark, sf), P.rank_risks(matched(spark, sf), "contract_id"), "contract_id")
+    return P.with_fallback_risk(segmentation.with_text(T.contracts(spark, sf)), P.rank_risks(matched(spark, sf), "contract_id"), "contract_id")
 
 
 @query(f"WITH {MATCH_CTE} {DISPUTES}")

@@ -161,3 +161,26 @@ NOTICES = {
 def words_sql(tables: dict[str, dict[str, str]]) -> str:
     """(code, language, words) of a table of wording by code."""
     return values([(k, x, t) for k, by in tables.items() for x, t in by.items()])
+
+
+# Wording of briefs, our own: what stands before the role, the number of clauses and the end; before each part; and where there is none.
+BRIEF = {
+    "for": {"ru": "Договор для стороны ", "en": "Contract for ", "it": "Contratto per ", "fr": "Contrat pour "},
+    "with": {"ru": ", пунктов: ", "en": " with clauses: ", "it": ", clausole: ", "fr": ", clauses : "},
+    "own": {"ru": "Обязанности: ", "en": "Obligations: ", "it": "Obblighi: ", "fr": "Obligations : "},
+    "any": {"ru": "Общие обязанности: ", "en": "General obligations: ", "it": "Obblighi generali: ", "fr": "Obligations générales : "},
+    "other": {"ru": "Другая сторона: ", "en": "Counterparty: ", "it": "Controparte: ", "fr": "Autre partie : "},
+    "payment_terms": {"ru": "Оплата: ", "en": "Payment: ", "it": "Pagamento: ", "fr": "Paiement : "},
+    "deadlines": {"ru": "Сроки: ", "en": "Deadlines: ", "it": "Scadenze: ", "fr": "Délais : "},
+    "penalties": {"ru": "Санкции: ", "en": "Penalties: ", "it": "Penali: ", "fr": "Pénalités : "},
+    "disputes": {"ru": "Спорных пунктов: ", "en": "Disputed clauses: ", "it": "Clausole controverse: ", "fr": "Clauses litigieuses : "},
+    "nothing": {"ru": "Особых условий нет.", "en": "Nothing stands out.", "it": "Nulla di particolare.", "fr": "Rien de particulier."},
+    "clauses": {"ru": "Пунктов: ", "en": "Clauses: ", "it": "Clausole: ", "fr": "Clauses : "},
+    "risks": {"ru": ", рисков: ", "en": ", risks: ", "it": ", rischi: ", "fr": ", risques : "},
+    "role_missing": {"ru": "Роль не названа в договоре: ", "en": "The contract does not name the role: ", "it": "Il contratto non nomina il ruolo: ", "fr": "Le contrat ne nomme pas le rôle : "},
+}
+
+
+def brief_sql(part: str, language: str = "language") -> str:
+    """The words of a part as SQL over a language."""
+    return f"CASE {language} " + " ".join(f"WHEN '{x}' THEN '" + t.replace("'", "''") + "'" for x, t in BRIEF[part].items()) + " END"

@@ -77,6 +77,9 @@ def timeouts_so_far(spark: SparkSession, path: str, states: dict[str, str], name
     read again, and the next run goes on as if nothing had been asked.
     """
     found = run_available(job_timeouts(job_stream(spark, path, states), seconds, late), name, path)
+    state = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{_place(spark, name, path)}/state/state")
+    if not state.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(state):
+        return found  # no event has come yet
     held = spark.read.format("statestore").load(f"{_place(spark, name, path)}/state").where("value is not null")
     open_ = held.select(F.col("value.job_id").alias("job_id"), F.col("value.max.ts").alias("since"), F.col("value.max.status").alias("status"))
     # the last event's own session is among the open ones
