@@ -241,7 +241,7 @@ KEPT = f"""{RISK_SCORES}, k0 AS (
   SELECT *, row_number() OVER (PARTITION BY contract_id ORDER BY {SORT})::INT AS n FROM k1 WHERE directed OR NOT any_led
 )"""
 ITEMS = f"""{KEPT}, it0 AS (
-  SELECT contract_id, rule_id, any_value(severity) AS base, count(*)::BIGINT AS occurrences, min(n) AS first, list(clause_ref ORDER BY n) AS refs FROM kept GROUP BY 1, 2
+  SELECT contract_id, rule_id, any_value(severity) AS base, count(*)::BIGINT AS occurrences, min(n) AS first, list(clause_ref ORDER BY n) AS refs, list(excerpt ORDER BY n) AS excerpts FROM kept GROUP BY 1, 2
 ), it1 AS (
   SELECT *, CASE WHEN occurrences >= 2 AND base = 'low' THEN 'medium' WHEN occurrences >= 2 AND base = 'medium' THEN 'high' ELSE base END AS severity FROM it0
 ), risk_items AS (
@@ -485,9 +485,45 @@ def q_deep_digest(spark, sf):
     return O.deep_report(_contracts(spark, sf)).select("contract_id", "role_found", risks.alias("risks"))
 
 
-@query()
+def _first_of_equal(xs: str) -> str:
+    return f"list_filter({xs}, lambda x, i: list_position({xs}, x) = i)"
+
+
+_TOLD = f"""found AS (SELECT d.contract_id, bool_or({hits('d.clause_norm', 'f.roles')} > 0) AS ok FROM dclauses d JOIN dforms f ON f.contract_id = d.contract_id GROUP BY 1), rows AS (
+  SELECT contract_id, risk_no, rule_id, severity, occurrences, array_to_string({_first_of_equal('refs')}, '|') AS clause_refs, array_to_string(list_slice(excerpts, 1, 6), '|') AS evidence FROM risk_items
+  UNION ALL SELECT contract_id, 0, 'role-missing', 'medium', 1, 'overview', '' FROM found WHERE NOT ok
+  UNION ALL SELECT contract_id, 1, 'low-signal', 'low', 1, 'overview', '' FROM found WHERE contract_id NOT IN (SELECT contract_id FROM risk_items)
+)"""
+
+
+@query(f"""WITH {ITEMS}{MERGED[len(WHO):]}, {_TOLD}
+  SELECT f.contract_id, f.ok AS role_found, coalesce(array_to_string(m.items, '|'), '') AS duties, r.risk_no, r.rule_id, r.severity, r.occurrences::BIGINT AS occurrences, r.clause_refs, r.evidence
+  FROM found f JOIN rows r ON r.contract_id = f.contract_id LEFT JOIN merged m ON m.contract_id = f.contract_id""")
 def q_deep_report(spark, sf):
-    return O.deep_report(_contracts(spark, sf))
+    """Reports with a row for each risk; disputes are those of dispute_best."""
+    out = O.deep_report(_contracts(spark, sf)).select("contract_id", "role_found", F.array_join("duties", "|").alias("duties"), F.inline("risks"))
+    return out.withColumns({"clause_refs": F.array_join("clause_refs", "|"), "evidence": F.array_join("evidence", "|")})
+
+
+@query(f"WITH {ITEMS} SELECT contract_id, rule_id, occurrences, array_to_string({_first_of_equal('refs')}, '|') AS refs, array_to_string(list_slice(excerpts, 1, 6), '|') AS evidence FROM risk_items")
+def q_occurrence_rollup(spark, sf):
+    """Occurrences of each rule, the clauses they are in and the first excerpts as evidence."""
+    items_ = O.risk_items(O.risk_matches_kept(_risks(spark, sf)))
+    return items_.select("contract_id", "rule_id", "occurrences", F.array_join("clause_refs", "|").alias("refs"), F.array_join("evidence", "|").alias("evidence"))
+
+
+@query(f"WITH {KEPT} SELECT contract_id, rule_id, row_number() OVER (PARTITION BY contract_id, rule_id ORDER BY n)::INT AS place, clause_ref, excerpt FROM kept")
+def q_risk_group(spark, sf):
+    """The matches of each rule in order, one of those that are equal in clause and excerpt."""
+    kept = O.risk_matches_kept(_risks(spark, sf))
+    rows = kept.groupBy("contract_id", "rule_id").agg(F.array_sort(F.collect_list(F.struct("n", "clause_ref", "excerpt"))).alias("x"))
+    return rows.select("contract_id", "rule_id", F.posexplode("x").alias("place", "r")).select("contract_id", "rule_id", (F.col("place") + 1).alias("place"), "r.clause_ref", "r.excerpt")
+
+
+@query(f"WITH {WHO} SELECT d.contract_id, bool_or({hits('d.clause_norm', 'f.roles')} > 0) AS found FROM dclauses d JOIN dforms f ON f.contract_id = d.contract_id GROUP BY 1")
+def q_role_found(spark, sf):
+    """Whether a clause names the role, in any of its words and case forms."""
+    return _signals(spark, sf).groupBy("contract_id").agg(F.max(F.col("c_role") > 0).alias("found"))
 
 
 _PREVIEW = "regexp_extract(substr(x, 1, 220), '(?s)^(.{79,}[.!?;])', 1)"

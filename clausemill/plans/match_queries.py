@@ -95,12 +95,12 @@ def q_role_mention(spark, sf):
 
 
 @query(f"WITH {CLAUSES_CTE} SELECT contract_id, bool_or(contains(lower(clause_text), lower(role))) AS found FROM clauses GROUP BY contract_id")
-def q_role_found(spark, sf):
+def q_clause_role_found(spark, sf):
     return clauses(spark, sf).groupBy("contract_id").agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
 
 
 @query(f"WITH {MATCH_CTE} SELECT contract_id, rule_id, count(*)::BIGINT AS occurrences, array_to_string(list(clause_index + 1 ORDER BY clause_index), ', ') AS refs FROM matched GROUP BY contract_id, rule_id")
-def q_occurrence_rollup(spark, sf):
+def q_clause_occurrence_rollup(spark, sf):
     return P.occurrences(matched(spark, sf), "contract_id").select("contract_id", "rule_id", "occurrences", "refs")
 
 
@@ -112,7 +112,7 @@ def q_elevate_severity(spark, sf):
 
 
 @query(f"WITH {MATCH_CTE} SELECT contract_id, rule_id, min(clause_index)::INT AS first_clause FROM matched GROUP BY contract_id, rule_id")
-def q_risk_group(spark, sf):
+def q_clause_risk_group(spark, sf):
     return matched(spark, sf).groupBy("contract_id", "rule_id").agg(F.min("clause_index").alias("first_clause"))
 
 
