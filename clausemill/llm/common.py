@@ -123,7 +123,8 @@ class Aside:
         return [F.col(f"c{i}").alias(n) for i, n in enumerate(self.names) if n.lower() not in taken]
 
     def every(self) -> list[Column]:
-        return [F.col(f"c{i}") for i in range(len(self.names))]
+        """All columns in a form that can be hashed: those that hold maps, which can't, as JSON."""
+        return [F.to_json(F.struct(c)) if "map<" in kind else F.col(c) for c, kind in self.rows.dtypes]
 
 
 def fold(doc_id: Column, parts: int) -> Column:
