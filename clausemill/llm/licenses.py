@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Aside, Scratch, row_key
+from .common import Aside, Scratch, give_back, row_key
+from .shingles import mix, word_hashes
 
 K = 3
 
@@ -28,12 +32,60 @@ TEMPLATES = {
     "all-rights-reserved": "all rights reserved",
 }
 
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
 
-def words(text: bytes | None) -> list[bytes]:
-    """Words of letters, digits and all that isn't ASCII, A-Z lowered."""
-    return text.translate(_WORDS).split() if text else []
+def gram_hashes(text: bytes | None) -> tuple[int, np.ndarray]:
+    """How many words (of letters, digits and all that isn't ASCII, A-Z lowered) a text has, and a 64-bit hash of its K words from each on."""
+    w = word_hashes(text.translate(_WORDS)) if text else np.zeros(0, np.uint64)
+    n = len(w) - K + 1
+    if n <= 0:
+        return len(w), np.zeros(0, np.int64)
+    h = np.zeros(n, np.uint64)
+    for j in range(K):
+        h = h * _STEP + w[j : n + j]
+    return len(w), mix(h).view(np.int64)
+
+
+MOST_ROWS = 1 << 19  # grams handed on at once
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each text a row with its number of words (pos -1, no gram), and one for each of its grams."""
+    names = ["_row", "n_words", "pos", "gram"]
+
+    def out(rows: pa.Array, which: list[int], counts: list[int], held: list[np.ndarray]) -> pa.RecordBatch:
+        sizes = [len(h) + 1 for h in held]
+        n = sum(sizes)
+        heads = np.cumsum([0, *sizes[:-1]])
+        pos = np.arange(n) - np.repeat(heads, sizes) - 1
+        is_head = np.zeros(n, bool)
+        is_head[heads] = True
+        gram = np.zeros(n, np.int64)
+        gram[~is_head] = np.concatenate(held)
+        words = np.repeat(np.array(counts), sizes)
+        return pa.RecordBatch.from_arrays([rows.take(pa.array(np.repeat(np.array(which), sizes))), pa.array(words, pa.int64()), pa.array(pos, pa.int64()), pa.array(gram, mask=is_head)], names=names)
+
+    for b in batches:
+        rows, texts = b.column("_row"), b.column("_text")
+        which, counts, held, size = [], [], [], 0
+        for i, t in enumerate(texts):
+            n, h = gram_hashes(t.as_py())
+            for at in range(0, max(len(h), 1), MOST_ROWS):
+                if at:  # a very long text goes on without a second row for itself
+                    part = h[at : at + MOST_ROWS]
+                    yield pa.RecordBatch.from_arrays([rows.take(pa.array([i] * len(part))), pa.array([n] * len(part), pa.int64()), pa.array(np.arange(at, at + len(part))), pa.array(part)], names=names)
+            which.append(i)
+            counts.append(n)
+            held.append(h[:MOST_ROWS])
+            size += len(held[-1]) + 1
+            if size >= MOST_ROWS:
+                yield out(rows, which, counts, held)
+                which, counts, held, size = [], [], [], 0
+        if which:
+            yield out(rows, which, counts, held)
+        give_back()
 
 
 def _template_rows(phrases: dict[str, str], templates: dict[str, str]) -> list[tuple]:
@@ -42,17 +94,16 @@ def _template_rows(phrases: dict[str, str], templates: dict[str, str]) -> list[t
         for no, (text, label) in enumerate(group.items() if exact else [(t, n) for n, t in group.items()]):
             w = text.split()
             name = f"{'p' if exact else 't'}{no}"
-            rows += [(name, label, exact, len(w) - K + 1, i, b" ".join(x.encode() for x in w[i : i + K])) for i in range(len(w) - K + 1)]
+            rows += [(name, label, exact, len(w) - K + 1, i, int(h)) for i, h in enumerate(gram_hashes(text.encode())[1])]
     return rows
 
 
 def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, least_share: float = 0.6, slack: int = 3) -> DataFrame:
     """docs with n_words, n_base, first_word, last_word, base_labels, labels, score.
 
-    Every whole text's rolling K-word grams that occur in some template (a set test where the text
-    lies) are joined by Spark to the templates' positions; a hit votes for the diagonal
+    The hashes of all rolling K-word grams of every whole text are joined by Spark to the templates' positions; a hit votes for the diagonal
     "place in the text minus place in the template". A phrase is found where a diagonal has
-    all its grams, which are compared as words, so nothing needs rechecking. For longer
+    all its grams, as 64-bit hashes. For longer
     templates, diagonals of one document within slack words of each other merge to a span,
     and the span counts if its distinct template grams cover least_share of the template.
     score is the best cover (1 where a phrase is found, 0 where nothing is).
@@ -64,28 +115,16 @@ def scan_licenses(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     spark = docs.sparkSession
     scratch = Scratch(spark)
     rows = _template_rows(phrases, templates)
-    grams = frozenset(r[5] for r in rows)
-    firsts = frozenset(g.split()[0] for g in grams)
-
-    @F.pandas_udf("n_words long, hits array<struct<gram:binary,pos:long>>")
-    def hits(text: pd.Series) -> pd.DataFrame:
-        n, found = [], []
-        for t in text:
-            w = words(t)
-            n.append(len(w))
-            at = [i for i, x in enumerate(w) if x in firsts]
-            got = [(g, i) for i in at if (g := b" ".join(w[i : i + K])) in grams]
-            found.append([{"gram": g, "pos": i} for g, i in got])
-        return pd.DataFrame({"n_words": n, "hits": found})
-
+    template = spark.createDataFrame(rows, "template string, label string, exact boolean, n_grams int, at int, gram long")
     side = Aside(docs)
     row = row_key(*side.every())
     told = side.rows.withColumn("_row", row)
-    seen = told.select("_row", hits(side["text"].cast("binary")).alias("h"))
-    seen = scratch.write(seen.select("_row", "h.n_words", "h.hits").dropDuplicates(["_row"]), "hits")
-    template = spark.createDataFrame(rows, "template string, label string, exact boolean, n_grams int, at int, gram binary")
-    votes = seen.select("_row", F.explode("hits").alias("hit")).select("_row", "hit.gram", "hit.pos")
-    votes = votes.join(F.broadcast(template), "gram").withColumn("diagonal", F.col("pos") - F.col("at"))
+    grams = told.select("_row", side["text"].cast("binary").alias("_text")).mapInArrow(_grams, "_row struct<a:long,b:long>, n_words long, pos long, gram long")
+    # only hits are written, and a row for each text
+    hits = scratch.write(grams.join(F.broadcast(template), "gram", "left").where("pos = -1 OR template IS NOT NULL"), "hits")
+    seen = hits.where("pos = -1").select("_row", "n_words").dropDuplicates(["_row"])
+    # repeated rows have voted more than once
+    votes = hits.where("pos >= 0").drop("n_words", "gram").distinct().withColumn("diagonal", F.col("pos") - F.col("at"))
     diagonals = votes.groupBy("_row", "template", "label", "exact", "n_grams", "diagonal").agg(
         F.count("*").alias("n"), F.min("pos").alias("first"), F.max("pos").alias("last"), F.collect_set("at").alias("ats"))
     place = diagonals.where(F.col("exact") & (F.col("n") == F.col("n_grams")))
