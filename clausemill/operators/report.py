@@ -191,8 +191,9 @@ def final_risk_order(found: DataFrame, key: str) -> DataFrame:
 
 
 def with_role_missing(risks: DataFrame, clauses: DataFrame, key: str) -> DataFrame:
-    """risks with summary, and before them (n = 0) a medium one for each document in whose clauses the role isn't named: its summary says so, in the document's language."""
-    found = clauses.groupBy(key, "language", "role").agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
+    """risks with summary, and before them (n = 0) a medium one for each document in whose clauses the role isn't named: its summary says so, in the document's language (the default one where clauses have none)."""
+    language = F.col("language") if "language" in clauses.columns else F.lit(R.DEFAULT_LANGUAGE)
+    found = clauses.groupBy(key, language.alias("language"), "role").agg(F.bool_or(F.contains(F.lower("clause_text"), F.lower("role"))).alias("found"))
     says = F.concat(L.said(R.BRIEF, F.lit("role_missing"), F.col("language")), "role", F.lit("."))
     row = found.where(~F.col("found")).select(key, F.lit(0).alias("n"), F.lit("role_missing").alias("rule_id"), F.lit("medium").alias("severity"), F.lit(1).cast("long").alias("occurrences"), says.alias("summary"))
     return risks.withColumn("summary", F.lit(None).cast("string")).unionByName(row)
