@@ -10,6 +10,7 @@ from ..sources import rules as R
 from ..sources import tables as T
 from .match_queries import MATCH_CTE, disputed, matched
 from .registry import query
+from .request_queries import TEXTS_CTE, case_sql
 from .text_queries import CLAUSES_CTE, LINES_CTE, STATEMENTS_CTE, clauses
 
 RANKED = f"""SELECT m.contract_id, 'risk-' || row_number() OVER (PARTITION BY m.contract_id ORDER BY r.rank DESC, m.clause_index, m.rule_index) AS risk_id,
@@ -93,9 +94,25 @@ def q_analysis_digest(spark, sf):
     return out.select("contract_id", "language", "clauses", risks.alias("risks"), F.size("disputes").cast("long").alias("disputes"))
 
 
-@query()
+# a contract's text is never empty once it has its placeholder: without a mode of its type it is read locally
+_MODE = f"coalesce({case_sql(R.MIME_MODES, 'lower(trim(c.mime_type))')}, 'local_first')"
+
+
+@query(f"""WITH {MATCH_CTE}{TIERED[len(TEXTS_CTE):]}, risks AS ({RISKS}), disputes AS ({DISPUTES}),
+  n AS (SELECT contract_id, count(*) AS n FROM clauses GROUP BY 1),
+  r AS (SELECT contract_id, string_agg(concat_ws(':', risk_id, severity, clause_id, rule_id), ',' ORDER BY risk_id) AS risks FROM risks GROUP BY 1),
+  d AS (SELECT contract_id, string_agg(concat_ws(':', clause_id, dispute_id, confidence::VARCHAR), ',' ORDER BY clause_id, dispute_id) AS disputes FROM disputes GROUP BY 1),
+  s AS (SELECT contract_id, string_agg(section || '=' || items, chr(10) ORDER BY section) AS role_summary FROM sections GROUP BY 1)
+  SELECT c.contract_id, c.language, c.role, {_MODE} AS mode, n.n::BIGINT AS clauses, r.risks, d.disputes, s.role_summary
+  FROM filled c JOIN n ON n.contract_id = c.contract_id JOIN r ON r.contract_id = c.contract_id JOIN d ON d.contract_id = c.contract_id JOIN s ON s.contract_id = c.contract_id""")
 def q_analysis_output(spark, sf):
-    return P.analysis_output(spark, sf)
+    """The nested rows of all contracts, each part as text."""
+    out = P.analysis_output(spark, sf)
+    listed = lambda c, f: F.array_join(F.transform(c, f), ",").alias(c)
+    sections = F.transform(F.array_sort(F.map_entries("role_summary")), lambda e: F.concat_ws("=", e["key"], F.array_join(e["value"], "|")))
+    return out.select(
+        "contract_id", "language", "role", "execution_plan.mode", "clauses", listed("risks", lambda r: F.concat_ws(":", r["risk_id"], r["severity"], r["clause_id"], r["rule_id"])),
+        listed("disputes", lambda d: F.concat_ws(":", d["clause_id"], d["dispute_id"], d["confidence"].cast("string"))), F.array_join(sections, "\n").alias("role_summary"))
 
 
 @query(f"WITH {CLAUSES_CTE}, n AS (SELECT contract_id, count(*) AS n FROM clauses GROUP BY 1) SELECT c.contract_id, 'Contract was split into ' || n.n || ' clauses for ' || c.role || '.' AS brief FROM filled c JOIN n ON n.contract_id = c.contract_id")
