@@ -224,38 +224,40 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
 
+def _slabs(counts: dict[int, int], most: int) -> dict[int, tuple[int, int]]:
+    """For each pivot with so many queries the first of its slabs and their number: pivots share a slab of about `most` queries, or have several."""
+    out, at, held = {}, 0, 0
+    for pivot, n in sorted(counts.items()):
+        if held and held + n > most:
+            at, held = at + 1, 0
+        k = -(-n // most)
+        out[pivot] = (at, k)
+        at, held = (at + k, 0) if k > 1 else (at, held + n)
+    return out
+
+
 def _round(asked: DataFrame, found: DataFrame, index: DataFrame, cells: DataFrame, points: Pivots, dim: int, k: int, own: bool, slab_bytes: int, scratch: Scratch) -> DataFrame:
     """What queries find in the cells of their own pivot, or of all others, that may hold scores as good as their k-th so far."""
     kth = found.groupBy("q").agg(F.count("*").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select("q", "least")
     asks = asked.join(kth.hint("merge"), "q", "left")
-    parts = shuffle_partitions(asked.sparkSession)
-    most = max(1, slab_bytes // (8 * dim))
-
-    def slabs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Queries in slabs of at most slab_bytes; span: the pivots that each has to look at and the distances from there."""
-        from pyspark import TaskContext
+    per = _slabs({r.q_pivot: r.n for r in asked.groupBy("q_pivot").agg(F.count("*").alias("n")).collect()}, max(1, slab_bytes // (8 * dim)))
+    of = lambda i: F.create_map(*[F.lit(x) for p, at in per.items() for x in (p, at[i])])[F.col("q_pivot")]
+    asks = asks.withColumn("slab", (of(0) + F.pmod(F.xxhash64("q"), of(1))).cast("long")) if per else asks.withColumn("slab", F.lit(0).cast("long"))
 
-        slab, held = TaskContext.get().partitionId() << 32, 0
+    def reached(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Queries with the distances from each pivot between which they have to look."""
         for f in frames:
-            for at in range(0, len(f), most):
-                g = f.iloc[at : at + most].copy()
-                if held + len(g) > most:
-                    slab, held = slab + 1, 0
-                held += len(g)
-                x = _matrix(g["v"], dim)
-                least = g["least"].fillna(-np.inf).to_numpy(float)
-                reach, d = points.reach(x, least)[:, None], points.distances(x, True)
-                with np.errstate(all="ignore"):
-                    lo, hi = d - reach, d + reach
-                # what isn't a number bounds nothing
-                lo, hi = np.where(np.isnan(lo), -np.inf, lo), np.where(np.isnan(hi), np.inf, hi)
-                g["slab"] = slab
-                g["lo"], g["hi"] = list(lo), list(hi)
-                yield g[["slab", "q", "query_id", "q_pivot", "v", "least", "lo", "hi"]]
+            x = _matrix(f["v"], dim)
+            least = f["least"].fillna(-np.inf).to_numpy(float)
+            reach, d = points.reach(x, least)[:, None], points.distances(x, True)
+            with np.errstate(all="ignore"):
+                lo, hi = d - reach, d + reach
+            # what isn't a number bounds nothing
+            f["lo"], f["hi"] = list(np.where(np.isnan(lo), -np.inf, lo)), list(np.where(np.isnan(hi), np.inf, hi))
+            yield f[["slab", "q", "query_id", "q_pivot", "v", "least", "lo", "hi"]]
 
     fields = "slab long, q long, query_id long, q_pivot int, v binary, least double, lo array<double>, hi array<double>"
-    dealt = asks.withColumn("least", F.col("least").cast("double")).repartitionByRange(parts, "q_pivot", "q").sortWithinPartitions("q_pivot", "q")
-    slab = scratch.write(dealt.mapInPandas(slabs, fields), "slabs")
+    slab = scratch.write(asks.withColumn("least", F.col("least").cast("double")).mapInPandas(reached, fields), "slabs")
     spans = slab.select("slab", "q_pivot", F.posexplode(F.arrays_zip("lo", "hi")).alias("pivot", "span"))
     spans = spans.where((F.col("pivot") == F.col("q_pivot")) == F.lit(own)).groupBy("slab", "pivot").agg(F.min("span.lo").alias("lo"), F.max("span.hi").alias("hi"))
     # a slab meets cells, not each query each vector

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from clausemill.llm.topk import Pivots, pick, scores, top_inner_products, whole
+from clausemill.llm.topk import Pivots, _slabs, pick, scores, top_inner_products, whole
 
 SCHEMA = "vec_id long, embedding array<double>, label int"
 
@@ -95,3 +95,8 @@ def test_whole_numbers(spark):
 def test_distances_of_copies_are_near_zero():
     x = np.full((3, 4), 100.0)
     assert Pivots(x[:1], 200.0).distances(x, False).max() < 1e-3
+
+
+def test_slabs_share_pivots_and_part_large_ones():
+    assert _slabs({0: 3, 1: 4, 2: 25, 3: 10, 5: 1}, 10) == {0: (0, 1), 1: (0, 1), 2: (1, 3), 3: (4, 1), 5: (5, 1)}
+    assert _slabs({}, 10) == {}
