@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, pattern: str, most: int = 240, text: str = "document
     """(…, pos, piece): the text split by pattern, first of equal pieces (letters in either case), cut to most characters.
 
     The clauses of a text hold nothing that the text doesn't: splitting the text gives all.
-    Both steps stay within a row, so nothing is shuffled.
+    Pieces are cut within a row; the first of equal ones is found by one grouping, which deals the pieces out by their columns.
     """
     parts = _trimmed(F.split(F.replace(F.col(text), F.lit("\r"), F.lit("")), pattern, -1))
     keyed = F.transform(parts, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x")))

@@ -32,14 +32,25 @@ def violations(table: DataFrame, checks: dict[str, Column]) -> DataFrame:
     return table.agg(*[F.count(F.when(~ok, 1)).alias(name) for name, ok in checks.items()])
 
 
-def orphans(keys: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
-    """(fk, orphans) for each (name, child, child key, parent, parent key); null keys are no orphans."""
-    out = None
-    for name, child, ck, parent, pk in keys:
-        left = child.where(F.col(ck).isNotNull()).select(F.col(ck).alias("k")).join(parent.select(F.col(pk).alias("k")), "k", "left_anti")
-        part = left.agg(F.count("*").alias("orphans")).select(F.lit(name).alias("fk"), "orphans")
-        out = part if out is None else out.unionByName(part)
-    return out
+def orphans(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]]) -> DataFrame:
+    """(fk, orphans) for each (child, child key, parent, parent key) of the tables; null keys are no orphans.
+
+    Each table is read once and gives its keys with what they are, all of them are counted by key in one grouping, after counts within the tasks, and a key
+    that no parent has is an orphan wherever it was found. Keys are compared as text.
+    """
+    parents = list(dict.fromkeys((p, pk) for _, _, p, pk in keys))
+    cell = lambda at, column, fk: F.struct(F.lit(at).alias("at"), F.col(column).cast("string").alias("k"), F.lit(fk).alias("fk"))
+    every = None
+    for name, table in tables.items():
+        held = [cell(parents.index((name, pk)), pk, -1) for p, pk in parents if p == name]
+        held += [cell(parents.index((p, pk)), ck, i) for i, (c, ck, p, pk) in enumerate(keys) if c == name]
+        if held:
+            rows = table.select(F.explode(F.array(*held)).alias("x")).select("x.*").where("k IS NOT NULL")
+            every = rows if every is None else every.unionByName(rows)
+    found = every.groupBy("at", "k").agg(F.max(F.col("fk") == -1).alias("known"), *[F.count(F.when(F.col("fk") == i, 1)).alias(f"n{i}") for i in range(len(keys))])
+    sums = found.where(~F.col("known")).agg(*[F.coalesce(F.sum(f"n{i}"), F.lit(0)).alias(f"n{i}") for i in range(len(keys))])
+    told = ", ".join(f"'{c}.{ck}', n{i}" for i, (c, ck, *_) in enumerate(keys))
+    return sums.selectExpr(f"stack({len(keys)}, {told}) AS (fk, orphans)")
 
 
 def duplicates(table: DataFrame, key: list[str]) -> DataFrame:

@@ -93,7 +93,7 @@ FK_TABLES = tuple(dict.fromkeys(x for c, _, p, _ in FOREIGN for x in (c, p)))
 @query(f"WITH {cte(*FK_TABLES)} " + " UNION ALL ".join(
     f"SELECT '{c}.{ck}' AS fk, count(*)::BIGINT AS orphans FROM r_{c} x WHERE x.{ck} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM r_{p} y WHERE y.{pk} = x.{ck})" for c, ck, p, pk in FOREIGN))
 def q_fk_orphans(spark, sf):
-    return D.orphans([(f"{c}.{ck}", reg(spark, sf, c), ck, reg(spark, sf, p), pk) for c, ck, p, pk in FOREIGN])
+    return D.orphans({t: reg(spark, sf, t) for t in FK_TABLES}, list(FOREIGN))
 
 
 UNIQUE = (("users", ("email",)), ("contracts", ("storage_key",)), ("role_profiles", ("user_id", "role")), ("analysis_jobs", ("idempotency_key",)), ("summaries", ("job_id",)))
