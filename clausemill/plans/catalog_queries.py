@@ -190,14 +190,14 @@ def q_job_queue(spark, sf):
 
 
 # Children of a contract: kind, table, id, label, number.
-CHILDREN = (
+NESTED = (
     ("jobs", "analysis_jobs", "job_id", "status", "priority"), ("risks", "risk_items", "risk_id", "severity", "score"),
     ("disputes", "disputed_clauses", "dispute_id", "clause_text", "confidence"), ("summaries", "summaries", "summary_id", "brief", "job_id"),
 )
 
 
-@query(f"WITH {cte('users', 'contracts', *(c[1] for c in CHILDREN))}, ch AS (" + " UNION ALL ".join(
-    f"SELECT contract_id, '{k}' AS kind, {i} AS id, {l} AS label, round({v}::DOUBLE, 6) AS number FROM r_{t}" for k, t, i, l, v in CHILDREN) + """)
+@query(f"WITH {cte('users', 'contracts', *(c[1] for c in NESTED))}, ch AS (" + " UNION ALL ".join(
+    f"SELECT contract_id, '{k}' AS kind, {i} AS id, {l} AS label, round({v}::DOUBLE, 6) AS number FROM r_{t}" for k, t, i, l, v in NESTED) + """)
   SELECT c.contract_id, u.email, ch.kind, row_number() OVER (PARTITION BY c.contract_id, ch.kind ORDER BY ch.id, ch.label, ch.number)::INT AS n, ch.id, ch.label, ch.number
   FROM r_contracts c LEFT JOIN r_users u ON u.user_id = c.user_id LEFT JOIN ch ON ch.contract_id = c.contract_id""")
 def q_report_fetch(spark, sf):
@@ -205,9 +205,9 @@ def q_report_fetch(spark, sf):
     contracts = bucketed(reg(spark, sf, "contracts").select("contract_id", "user_id").join(owners, "user_id", "left"), "contracts", "contract_id")
     children = {
         kind: (bucketed(reg(spark, sf, t).select("contract_id", F.col(i).alias("id"), F.col(label).alias("label"), F.round(F.col(v).cast("double"), 6).alias("number")), t, "contract_id"), ["id", "label", "number"])
-        for kind, t, i, label, v in CHILDREN}
+        for kind, t, i, label, v in NESTED}
     nested = D.report_fetch(contracts, children, "contract_id")
-    rows = F.concat(*[_numbered(kind) for kind, *_ in CHILDREN])
+    rows = F.concat(*[_numbered(kind) for kind, *_ in NESTED])
     return nested.select("contract_id", "email", F.inline_outer(rows))
 
 
