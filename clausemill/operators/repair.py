@@ -20,6 +20,8 @@ def by_distinct(docs: DataFrame, text: str, found: Callable[[Column], Column], r
     table of fixes is sent to the texts if it fits, else only texts that have some are dealt to it, and one that fills much of the table is split by AQE.
     Texts without such parts, nulls among them, are handed on as they are.
     """
+    # texts are needed two or three times: what makes them is done once
+    docs = written(docs, "texts")
     parts = docs.select(F.md5(F.encode(text, "utf-8")).alias("_text"), F.array_distinct(found(F.col(text))).alias("_parts")).where(F.size("_parts") > 0)
     pairs = written(parts.groupBy("_text").agg(F.first("_parts").alias("_parts")).select("_text", F.explode("_parts").alias("part")), "parts")
     fixes = written(repaired(pairs.select("part").distinct()).where("fixed <> part"), "fixes")
