@@ -5,9 +5,10 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from clausemill.functions import repair
 from clausemill.functions import text as X
 from clausemill.operators import deep as O
-from clausemill.operators import joins
+from clausemill.operators import joins, segmentation
 
 SCHEMA = "contract_id long, role string, document_text string"
 
@@ -40,3 +41,20 @@ def test_clean_texts_are_those_that_stay(spark):
     df = spark.createDataFrame([(t,) for t in _odd_texts(3000)], "t string")
     wrong = df.where(~X.normalize_text(F.col("t")).eqNullSafe(X.normalize_all(F.col("t"))))
     assert wrong.collect() == []
+
+
+def test_changes_are_looked_for_only_where_they_may_begin(spark):
+    places, (signs, broken, run) = X._changes()
+    assert all(p.startswith("(?=") for p in (places, signs, broken, run))
+    white = rf"\A[ \t\n]|[ \t](?:[ \t\n]|\z)|\n(?:[ \t]|\z|\n\n|(?<=[0-9{X.LETTER}]\n)[0-9{X.LOWER}][0-9{X.LETTER}])|-[ \t\n]|\s[{X.LETTER}]\s+[{X.LETTER}]\s|[\x00-\x08\x0B-\x1F\x7F]"
+    plain = {places: white, signs: f"[{X.CONTROL[1:-1]}{X.GLYPHS[1:-1]}±©ª\\x{{A0}}\\x{{AD}}](?<=[^\\x00-\\x7E])", broken: rf"[\x{{2010}}\x{{2011}}][ \t\n]|{repair.GUARD}", run: repair.LONG_RUN}
+    more = [" ab", " a b c", "x a\n\nb y", "x- y", "x -", "x y ", "ёжикидоговорпоставки Ђдоговорпоставкит", "а Р° б", "a\x1fb", "\U0001f600 \x85", "x‐\ny", "﻿x", "\xffÿ"]
+    df = spark.createDataFrame([(t,) for t in _odd_texts(2000) + more], "t string")
+    for p, q in plain.items():
+        assert df.where(~F.regexp_like("t", F.lit(p)).eqNullSafe(F.regexp_like("t", F.lit(q)))).collect() == []
+
+
+def test_numbered_lines_part_clauses(spark):
+    text = "1. a\n2) b\nc\n  3.1. d\n\n\n• e\n-f\n\ng\n\n 4. h\n"
+    rows = segmentation.clauses_numbered(spark.createDataFrame([(text,)], "document_text string")).collect()
+    assert [r.clause_text for r in rows] == ["1. a", "2) b\nc", "3.1. d", "• e", "-f", "g", "4. h"]
