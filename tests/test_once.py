@@ -58,3 +58,27 @@ def test_numbered_lines_part_clauses(spark):
     text = "1. a\n2) b\nc\n  3.1. d\n\n\n• e\n-f\n\ng\n\n 4. h\n"
     rows = segmentation.clauses_numbered(spark.createDataFrame([(text,)], "document_text string")).collect()
     assert [r.clause_text for r in rows] == ["1. a", "2) b\nc", "3.1. d", "• e", "-f", "g", "4. h"]
+
+
+def _odd_lines(n):
+    rng = random.Random(5)
+    bits = ["a", "Bc", "жЁ", "é", "«", "#", "@", "_", "~", "€", "\x7f", "Ђ", "■", "¿", "😀", " ", "  ", "\n", "12", "aaaaaa", "-----", "\x0b"]
+    return ["".join(rng.choice(bits) for _ in range(rng.randint(0, 30))) for _ in range(n)] + ["ab#cd@", "ab#c@d~", "", None]
+
+
+def test_counts_and_readable_lines(spark):
+    df = spark.createDataFrame([(t,) for t in _odd_lines(1500)], "t string")
+    t = F.col("t")
+    for p in (f"[{X.LETTER}]", X.ODD, r"\s", r"\p{L}", X.SPACE, X.C1):
+        assert df.where(~X._count(t, p).eqNullSafe(F.regexp_count(t, F.lit(p)))).collect() == []
+    assert df.where(~X.collapse_ws(t).eqNullSafe(F.btrim(F.regexp_replace(t, r"\s+", " "), F.lit(" ")))).collect() == []
+    assert df.where(F.regexp_like(t, F.lit(X.ODD)) & ~F.regexp_like(t, F.lit(f"(?=[{X.ODD_FIRST}]){X.ODD}"))).collect() == []
+
+    def plain(x):
+        odd = F.regexp_count(x, F.lit(X.ODD)) <= F.greatest(F.lit(2), F.floor(F.regexp_count(x, F.lit(f"[0-9{X.LETTER}]")) * 0.18))
+        return (F.regexp_count(x, F.lit(f"[{X.LETTER}]")) >= 4) & odd & (X.repeated_noise(x) < F.length(F.regexp_replace(x, r"\s+", "")) * 0.2)
+
+    want = F.array_join(F.filter(F.transform(F.split(X.normalize_text(t), "\n", -1), lambda x: F.trim(x)), plain), "\n")
+    assert df.where(~want.eqNullSafe(X.readable_lines(t))).collect() == []
+    # what is counted is not listed first
+    assert "regexp_count" not in df.select(X.readable_lines(t))._jdf.queryExecution().analyzed().toString()
