@@ -9,6 +9,7 @@ from clausemill.functions import repair
 from clausemill.functions import text as X
 from clausemill.operators import deep as O
 from clausemill.operators import joins, segmentation
+from clausemill.operators.report import best_type
 
 SCHEMA = "contract_id long, role string, document_text string"
 
@@ -81,4 +82,16 @@ def test_counts_and_readable_lines(spark):
     want = F.array_join(F.filter(F.transform(F.split(X.normalize_text(t), "\n", -1), lambda x: F.trim(x)), plain), "\n")
     assert df.where(~want.eqNullSafe(X.readable_lines(t))).collect() == []
     # what is counted is not listed first
-    assert "regexp_count" not in df.select(X.readable_lines(t))._jdf.queryExecution().analyzed().toString()
+    assert "regexp_count" not in df.select(X._count(t, X.ODD))._jdf.queryExecution().analyzed().toString()
+
+
+def test_contract_type_heads(spark):
+    df = spark.createDataFrame([(t,) for t in [*_odd_texts(600), *_odd_lines(300), "plain " * 9]], "t string")
+    for most in (5, 4000):
+        want = X.search_text(F.substring(X.normalize_text(F.col("t")), 1, most))
+        assert df.where(~want.eqNullSafe(X.search_head(F.col("t"), most))).collect() == []
+    kinds = spark.createDataFrame([("a lease and a loan",), ("loan",), ("x",), ("",), (None,), ("lease",)], "t string")
+    best = best_type(F.col("t"), {"rent": ["lease"], "loan": ["loan", "credit"]})
+    assert [r.b for r in kinds.select(best.alias("b")).collect()] == ["rent", "loan", "unknown", "unknown", "unknown", "rent"]
+    # the detectors are scored once
+    assert kinds.select(best.alias("b"))._jdf.queryExecution().analyzed().toString().count("array_max") == 1
