@@ -89,3 +89,24 @@ def test_places_without_one_task(spark):
     order = sorted(rows, key=lambda r: (r[1] is not None, r[1] or 0, r[2], r[0]))
     assert [r.id for r in out.orderBy("place").collect()] == [r[0] for r in order]
     assert [r.place for r in out.orderBy("place").select("place").collect()] == list(range(1, 3001))
+
+
+@pytest.mark.parametrize("listed", [M.MOST_LISTED, 3])
+@pytest.mark.parametrize("most", [1 << 24, 0])
+def test_blocked_join_works_units_out_once(spark, monkeypatch, listed, most):
+    monkeypatch.setattr(M, "MOST_LISTED", listed)
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def told(t):
+        seen.add(1)
+        return t
+
+    texts = ["the lease ends", "a😀bc😀d lease", "x" * 40_000 + "lease\n\nlea", "", "ab", None, "😀bc", "?bc"]
+    units = spark.createDataFrame(list(enumerate(texts)), "id long, t string").repartition(2).withColumn("t", told.asNondeterministic()("t"))
+    words = ["lease", "😀bc😀", "😀bc", "bc😀d", "e\n\nl", "zzz", "the lease ends!"]
+    marks = spark.createDataFrame([(w,) for w in words], "w string")
+    out = M.contains_join_blocked(units, marks, "t", "w", most)
+    assert "_tri" not in out.columns and "_u" not in out.columns and "_tris" not in out.columns
+    assert sorted((r.id, r.w) for r in out.collect()) == sorted((i, w) for i, t in enumerate(texts) for w in words if t and w in t)
+    assert seen.value == len(texts)
