@@ -53,8 +53,14 @@ def orphans(tables: dict[str, DataFrame], keys: list[tuple[str, str, str, str]])
     return sums.selectExpr(f"stack({len(keys)}, {told}) AS (fk, orphans)")
 
 
+ROWS_A_TASK = 500_000
+
+
 def duplicates(table: DataFrame, key: list[str]) -> DataFrame:
-    return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+    """Keys that stand more than once, and how often. Keys are dealt to as many tasks as the table's rows ask for, so that a task holds no more of them when there are more rows."""
+    keys = table.select(*key)
+    dealt = keys.repartition(-(-keys.count() // ROWS_A_TASK) or 1, *key)
+    return dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def many_defaults(table: DataFrame, user: str, is_default: Column) -> DataFrame:
