@@ -59,3 +59,13 @@ def test_plans_stay_small(spark):
     docs = spark.createDataFrame([(1, "buyer", "1. Seller is liable for all losses in full.")], "contract_id long, role string, document_text string")
     rows = O.reranked(O.risk_candidates(O.with_signals(O.clause_units(docs)[1])), "rules")
     assert len(rows._jdf.queryExecution().optimizedPlan().toString()) < 100_000
+
+
+def test_report_parts_are_those_of_the_whole(spark):
+    docs = spark.createDataFrame([(1, "buyer", "1. Seller is liable for all losses in full.\n\n2. Buyer shall pay 5 EUR. Buyer shall:\na) answer;"), (2, "buyer", "x"), (3, None, None)],
+                                 "contract_id long, role string, document_text string")
+    part, whole = O.deep_report(docs, parts=("risks",)), O.deep_report(docs)
+    assert part.columns == ["contract_id", "role_found", "risks"] and whole.columns == [*part.columns, "disputes", "duties"]
+    assert sorted(part.collect()) == sorted(whole.select(*part.columns).collect())
+    # one row per clause says whether it names the role
+    assert O.role_named(O.clause_units(docs)[1]).count() == 3
