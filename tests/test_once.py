@@ -95,3 +95,25 @@ def test_contract_type_heads(spark):
     assert [r.b for r in kinds.select(best.alias("b")).collect()] == ["rent", "loan", "unknown", "unknown", "unknown", "rent"]
     # the detectors are scored once
     assert kinds.select(best.alias("b"))._jdf.queryExecution().analyzed().toString().count("array_max") == 1
+
+
+def test_long_expressions_take_few_calls(spark, monkeypatch):
+    """An expression of Columns takes a call to the JVM for each of its parts, wherever it is used; those that stand many times are SQL."""
+    from py4j.clientserver import ClientServerConnection
+
+    from clausemill.functions import deep as D
+    from clausemill.sources.packs import STARTER
+
+    calls, send = [0], ClientServerConnection.send_command
+    monkeypatch.setattr(ClientServerConnection, "send_command", lambda *a, **k: (calls.__setitem__(0, calls[0] + 1), send(*a, **k))[1])
+
+    def taken(made):
+        before = calls[0]
+        made()
+        return calls[0] - before
+
+    t, roles = F.col("t"), F.col("roles")
+    assert taken(lambda: X.normalize_text(t)) < 2000 and taken(lambda: D.excerpt(t)) < 200 and taken(lambda: D.summary_item(t)) < 2500
+    assert taken(lambda: D.role_action_lead(t, roles)) < 300 and taken(lambda: D.benefits(t, t, roles, roles)) < 2500
+    frags = spark.createDataFrame([], f"{SCHEMA}, fragment string, norm string, clause_norm string, excerpt string, clause_ref string, roles array<string>")
+    assert taken(lambda: O.risk_matches(O.with_signals(frags, STARTER), STARTER)) < 7000
