@@ -37,6 +37,16 @@ def test_stretches_are_cut_as_in_the_whole(spark):
         assert got == lists(spark, texts, made)
 
 
+def test_a_text_is_clean_if_its_stretches_are(spark):
+    bits = [*BITS, "-", "‐", "‑", "\x1e", "\t", "\xad", "\x07", "\x0b", "é", "Р°", "Ђ", "\n\n\n", "\n12) ", "x\n7) ", " a b ", "договорпоставкитовара", "±", "\x7f", "\r"]
+    rng = random.Random(8)
+    texts = [*("".join(rng.choice(bits) for _ in range(rng.randint(1, 9))) for _ in range(6000)), "-\n1. x", "‐\n\n1. x", "a\n12. x", "a\n1. x", ".\n\n\n1 x", "", "\n1. x"]
+    want, parts = lists(spark, texts, X.unclean), lists(spark, texts, D.stretches)
+    assert 0.2 < sum(want) / len(want) < 0.95 and sum(len(p) > 1 for p in parts) > 500
+    told = iter(lists(spark, [x for p in parts for x in p], X.unclean))
+    assert [any([next(told) for _ in p]) for p in parts] == want
+
+
 def test_twice_normalized(spark):
     texts = [*odd_texts(400, 5), "a‐\n b c d e", "Р°Р±РІ x", "договорпоставкитовара\n\n\n\nx", " x\ty \n", "", None]
     assert lists(spark, texts, X.normalize_twice) == lists(spark, lists(spark, texts, X.normalize_text), X.normalize_text)
@@ -63,10 +73,15 @@ def plain_lines(spark, texts):
     return out
 
 
-@pytest.mark.parametrize("most", [joins.MOST_SENT, 0])
-def test_excerpts_of_text_and_clauses(spark, monkeypatch, most):
-    monkeypatch.setattr(joins.put_back, "__defaults__", (most,))
+@pytest.mark.parametrize(("most", "clean"), [(joins.MOST_SENT, False), (0, False), (0, True)])
+def test_excerpts_of_text_and_clauses(spark, monkeypatch, most, clean):
+    for f in (joins.put_back, joins.fits):
+        monkeypatch.setattr(f, "__defaults__", (most,))
     texts = [*odd_texts(300, 3), "1. Buyer pays.\n\n2. buyer  PAYS.\n\n3. Seller waits; Buyer pays.", "; • ;", "", None, "x\n\n1. x\n2) y"] * 2
+    if clean:
+        texts = [*dict.fromkeys(t for t in lists(spark, texts, X.normalize_twice) if t), "x - y\n\n1. z"]
+        texts = [t for t, u in zip(texts, lists(spark, texts, X.unclean), strict=True) if not u]
+        assert len(texts) > 200
     df = spark.createDataFrame([(i, "buyer", t) for i, t in enumerate(texts)], SCHEMA)
     got = {}
     for r in O.candidate_excerpts(df).orderBy("contract_id", "n").collect():
@@ -85,9 +100,9 @@ def test_stretches_are_worked_out_once(spark):
     """Texts put together from few clauses take as much work as these; no text is dealt out by contract."""
     clauses = ["Buyer shall pay. Seller waits", "Seller waits", "No line:", "GOODS"]
     df = spark.createDataFrame([(i, "buyer", "\n\n".join(f"{n}. {clauses[(i * n) % 4]}" for n in range(1, 6))) for i in range(200)], SCHEMA)
-    rows = df.select("contract_id", F.posexplode(D.stretches(F.col("document_text"))).alias("part", "stretch"))
-    assert rows.count() == 1000 and rows.select("stretch").distinct().count() <= 20
-    lines = O.candidate_lines(rows)
+    rows, units = O.stretch_rows(df)
+    assert rows.count() == 1000 and units.count() <= 20
+    lines = O.candidate_lines(units)
     assert lines.count() <= 30 and lines.select("same").distinct().count() == 2
     plan = O.candidate_excerpts(df)._jdf.queryExecution().optimizedPlan().toString()
     dealt = plan[plan.index("RepartitionByExpression"):]
